@@ -71,3 +71,10 @@ def batch(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
 def folded(text: str | None) -> bytes:
     """UTF-8 of the text with A-Z, and no other letter, lower-cased; null counts as empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass").lower()
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores in front as it takes to be none of ``taken``."""
+    while name in taken:
+        name = f"_{name}"
+    return name
