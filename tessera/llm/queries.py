@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, toxicity
+from . import exact_dedup, language, mixing, packing, simhash, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_bytes")
 
 
+def in_fold(doc_id: str, folds: int, fold: int) -> Column:
+    """Whether the CRC-32 of the id as text has this remainder; ids of null are in no fold."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.filter(~in_fold("doc_id", 5, 0)))
+    return language.identify(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -28,11 +39,6 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-def in_fold(doc_id: str, folds: int, fold: int) -> Column:
-    """Whether the CRC-32 of the id as text has this remainder; ids of null are in no fold."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
-
-
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~in_fold("doc_id", 4, 2)))
@@ -40,6 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,9 +57,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language_mixture": op2_language_mixture,
     "op3_mix_sources": op3_mix_sources,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
 }
 
@@ -61,4 +73,14 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY norm)""",
+    # pages here have no alias edges between ruled hosts, so that the rules decide; where a component matters, tests do
+    "op8_url_filter": f"""
+        WITH RECURSIVE rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in url_filter.RULES)}),
+        parts AS (SELECT page_id, url, html,
+                         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+                         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        cut AS (SELECT rule, verdict, substr(rule, 1, strpos(rule, '/') - 1) AS h, substr(rule, strpos(rule, '/')) AS p FROM rules),
+        best AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+                 FROM parts JOIN cut ON ('.' || host) LIKE ('%.' || h) AND starts_with(path, p) GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)""",
 }
