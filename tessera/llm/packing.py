@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, text_pass, written
-from .tokens import WordEnds, load
+from .tokens import word_ends
 
 LENGTH = 2048
 END = 0
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = EN
     """Pieces of each document: its ids and the end id, cut at ``length``; ids (little-endian 32-bit) only if asked for."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordEnds(load(vocabulary))
+        cache = word_ends(vocabulary)
         tail, step = int(end).to_bytes(4, "little"), 4 * length
         for b in it:
             for at in range(0, len(b), 512):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 from array import array
 
 
@@ -58,28 +57,52 @@ class PieceCache:
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be seen, else from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+def byte_level(text: str) -> str:
+    """The text as byte-level vocabularies spell it."""
+    return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_byte_letters())
+
+
 class WordEnds(PieceCache):
     """For the lower-case vocabulary whose words never span white space: texts are cut at ASCII spaces and line breaks.
 
-    Letters followed by stops encode as the letters, then the stops; plain Latin letters encode as in lower case.
+    Letters followed by stops encode as the letters, then the stops. Plain Latin letters encode as in lower case, and
+    are one word, so that the model can take them without the steps before it.
     """
 
+    def ids_of_word(self, low: str) -> bytes:
+        got = self.young.get(low) or self.old.get(low)
+        if got is None:
+            got = array("I", [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else byte_level(low))]).tobytes()
+            self.young[low] = got
+        return got
+
     def split(self, piece: str) -> bytes:
         if not piece:
             return b""
         core = piece.rstrip(".,")
         if core and core.isalpha() and max(core) < "ɐ" and "İ" not in core:
-            low = core.lower()
-            if len(core) != len(piece):
-                return self.encode([low]) + self.encode([piece[len(core) :]])
-            if low != piece:
-                return self.encode([low])
+            got = self.ids_of_word(core.lower())
+            return got if len(core) == len(piece) else got + self.encode([piece[len(core) :]])
         return self.ids(piece)
 
     def text(self, text: str | None) -> bytes:
         return self.encode(text.replace("\n", " ").split(" ")) if text else b""
 
 
+@functools.lru_cache(maxsize=2)
+def word_ends(path: str) -> WordEnds:
+    """One cache for each Python worker and vocabulary: tasks after the first find it warm."""
+    return WordEnds(load(path))
+
+
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -90,5 +113,3 @@ def pre_tokens():
 
     return regex.compile(PRE_TOKEN)
 
-
-SPACES = re.compile(r"\s")
