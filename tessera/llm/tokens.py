@@ -20,14 +20,24 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Young(dict):
+    """A dict that asks its owner for what it lacks; map(young.__getitem__, ...) stays in C for what it has."""
+
+    def __init__(self, owner: PieceCache):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.owner.miss(piece)
+
+
 class PieceCache:
     """Ids of pieces as little-endian unsigned 32-bit numbers. At most two generations of ``limit`` pieces are held:
     when the young one is full it becomes the old one, and pieces still in use move back to the young."""
 
-    def __init__(self, tokenizer, limit: int = 250_000):
+    def __init__(self, tokenizer, limit: int = 300_000):
         self.tokenizer, self.limit = tokenizer, limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Young(self), {}
 
     def ids(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -37,7 +47,7 @@ class PieceCache:
         if got is None:
             got = self.split(piece)
         if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, _Young(self)
         if len(piece) <= 64:
             self.young[piece] = got
         return got
@@ -46,15 +56,7 @@ class PieceCache:
         return self.ids(piece)
 
     def encode(self, pieces: list[str]) -> bytes:
-        young = self.young
-        out = []
-        for p in pieces:
-            got = young.get(p)
-            if got is None:
-                got = self.miss(p)
-                young = self.young
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.young.__getitem__, pieces))
 
 
 @functools.lru_cache(maxsize=1)
@@ -78,7 +80,7 @@ class WordEnds(PieceCache):
     """
 
     def ids_of_word(self, low: str) -> bytes:
-        got = self.young.get(low) or self.old.get(low)
+        got = dict.get(self.young, low) or dict.get(self.old, low)
         if got is None:
             got = array("I", [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else byte_level(low))]).tobytes()
             self.young[low] = got
@@ -88,9 +90,9 @@ class WordEnds(PieceCache):
         if not piece:
             return b""
         core = piece.rstrip(".,")
-        if core and core.isalpha() and max(core) < "ɐ" and "İ" not in core:
+        if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core)):
             got = self.ids_of_word(core.lower())
-            return got if len(core) == len(piece) else got + self.encode([piece[len(core) :]])
+            return got if len(core) == len(piece) else got + self.young[piece[len(core) :]]
         return self.ids(piece)
 
     def text(self, text: str | None) -> bytes:
