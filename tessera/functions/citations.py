@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .values import any_match
+from .values import any_match, let
 
 #: Case matters: the verb is never a designation. Phrases such as "relevant IS" name nothing.
 CITATION = "".join(rf"(?<!\b{w})" for w in fixed.GENERIC) + r"(?<![A-Za-z])" + fixed.PREFIX + r"(?![A-Za-z])[:\s]*(\d{2,})(?:\s*\(([^)]{0,40})\))?"
@@ -25,9 +25,9 @@ def extract(text: Column) -> Column:
     brackets = F.regexp_extract_all(text, F.lit(CITATION), F.lit(2))
     found = F.zip_with(numbers, brackets, lambda n, p: F.struct(unglued(n).alias("n"), F.trim(F.regexp_replace(F.coalesce(p, F.lit("")), r"\s+", " ")).alias("p")))
     keyed = F.transform(F.filter(found, lambda x: x["n"] != ""), lambda x: F.struct(F.concat(x["n"], F.lit("|"), F.regexp_replace(F.lower(x["p"]), "[^a-z0-9]", "")).alias("k"), F.when(x["p"] == "", F.concat(F.lit("IS "), x["n"])).otherwise(F.concat(F.lit("IS "), x["n"], F.lit(" ("), x["p"], F.lit(")"))).alias("c")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    firsts = F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-    return F.coalesce(F.transform(firsts, lambda x: x["c"]), F.array().cast("array<string>"))
+    # one pass over a map of what was seen: the first spelling of each key stays
+    firsts = F.aggregate(F.coalesce(keyed, F.array().cast("array<struct<k:string,c:string>>")), F.struct(F.array().cast("array<string>").alias("k"), F.array().cast("array<string>").alias("c")), lambda s, x: F.when(F.array_contains(s["k"], x["k"]), s).otherwise(F.struct(F.array_append(s["k"], x["k"]).alias("k"), F.array_append(s["c"], x["c"]).alias("c"))))
+    return firsts["c"]
 
 
 def demands_mark(text: Column) -> Column:
@@ -49,8 +49,9 @@ def leaked(text: Column, allowed: Column, years: Column | None = None) -> Column
     numbers, stated = F.regexp_extract_all(text, F.lit(LOOSE), F.lit(1)), F.regexp_extract_all(text, F.lit(LOOSE), F.lit(2))
     found = F.zip_with(numbers, stated, lambda n, y: F.struct(n.alias("n"), y.alias("y")))
     wrong_year = lambda x: F.lit(False) if years is None else (F.coalesce(x["y"], F.lit("")) != "") & F.coalesce(F.element_at(years, x["n"]) != x["y"], F.lit(False))
-    bad = F.filter(found, lambda x: ~F.array_contains(bases, x["n"]) | wrong_year(x))
-    return F.transform(bad, lambda x: F.when(~F.array_contains(bases, x["n"]), F.concat(F.lit("IS "), x["n"])).otherwise(F.concat(F.lit("IS "), x["n"], F.lit(":"), x["y"])))
+    bad = lambda b: F.filter(found, lambda x: ~F.array_contains(b, x["n"]) | wrong_year(x))
+    said = lambda b, x: F.when(~F.array_contains(b, x["n"]), F.concat(F.lit("IS "), x["n"])).otherwise(F.concat(F.lit("IS "), x["n"], F.lit(":"), x["y"]))
+    return let(bases, lambda b: F.transform(bad(b), lambda x: said(b, x)))
 
 
 def replace_citation(text: Column, old: Column, new: Column) -> Column:
@@ -69,15 +70,17 @@ def occurrences(text: Column, citation: Column) -> Column:
 
 def notification(reference: Column) -> Column:
     """The first order of a running history: list number off, amendments cut, ended at its own date, bounded in length."""
-    text = F.trim(F.regexp_replace(F.coalesce(reference, F.lit("")), r"\s+", " "))
-    head = F.regexp_replace(F.regexp_replace(text, r"^\d+\.\s*", ""), f"(?s){fixed.ORDER_TAIL}.*$", "")
     trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[ ,;]+", ""), r"[ ,;]+$", "")
-    head = trimmed(head)
+    most = fixed.NOTIFICATION_CHARS
     dated = r"(?i)^(.*?\bdated\s+\d{1,2}\s*(?:[-/.]\s*\d{1,2}\s*[-/.]\s*\d{2,4}|(?:st|nd|rd|th)?\s*(?:" + fixed.MONTH + r")\.?,?\s*\d{2,4}))"
-    head = F.coalesce(F.nullif(F.regexp_extract(head, dated, 1), F.lit("")), head)
-    cut = F.substring(head, 1, fixed.NOTIFICATION_CHARS)
-    word = F.regexp_extract(cut, r"^(.*) ", 1)
-    word = F.when(F.char_length(word) > fixed.NOTIFICATION_CHARS // 2, word).otherwise(cut)
-    head = trimmed(F.when(F.char_length(head) > fixed.NOTIFICATION_CHARS, F.concat(trimmed(word), F.lit(" …"))).otherwise(head))
-    open_ = F.char_length(F.regexp_replace(head, r"[^(]", "")) - F.char_length(F.regexp_replace(head, r"[^)]", ""))
-    return F.when(F.upper(text).isin("", "N/A"), "").otherwise(F.concat(head, F.repeat(F.lit(")"), F.greatest(open_, F.lit(0)))))
+    by_word = lambda cut: let(F.regexp_extract(cut, r"^(.*) ", 1), lambda w: F.when(F.char_length(w) > most // 2, w).otherwise(cut))
+    bounded = lambda h: F.when(F.char_length(h) > most, F.concat(trimmed(by_word(F.substring(h, 1, most))), F.lit(" …"))).otherwise(h)
+    missing = lambda h: F.char_length(F.regexp_replace(h, r"[^(]", "")) - F.char_length(F.regexp_replace(h, r"[^)]", ""))
+    closed = lambda h: F.concat(h, F.repeat(F.lit(")"), F.greatest(missing(h), F.lit(0))))
+
+    def of(text: Column) -> Column:
+        first = trimmed(F.regexp_replace(F.regexp_replace(text, r"^\d+\.\s*", ""), f"(?s){fixed.ORDER_TAIL}.*$", ""))
+        head = let(first, lambda h: F.coalesce(F.nullif(F.regexp_extract(h, dated, 1), F.lit("")), h))
+        return F.when(F.upper(text).isin("", "N/A"), "").otherwise(let(let(head, lambda h: trimmed(bounded(h))), closed))
+
+    return let(F.trim(F.regexp_replace(F.coalesce(reference, F.lit("")), r"\s+", " ")), of)

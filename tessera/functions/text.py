@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .values import let
 
 
 def tokens(c: Column) -> Column:
@@ -75,10 +76,10 @@ def masked(c: Column) -> Column:
 def restored(c: Column, kept: Column) -> Column:
     """Slots filled in; null if a slot is missing, doubled or unknown, so that nothing is lost in silence."""
     slots = F.transform(F.regexp_extract_all(c, F.lit(r"\{(\d+)\}"), F.lit(1)), lambda s: s.cast("int"))
-    whole = F.array_sort(slots) == F.when(F.size(kept) > 0, F.sequence(F.lit(0), F.size(kept) - 1)).otherwise(F.array().cast("array<int>"))
+    whole = lambda x: F.array_sort(x["slots"]) == F.when(F.size(x["kept"]) > 0, F.sequence(F.lit(0), F.size(x["kept"]) - 1)).otherwise(F.array().cast("array<int>"))
     pieces = F.split(c, r"\{\d+\}", -1)
-    filled = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(kept, F.get(slots, i - 1)), p))), "")
-    return F.when(whole, filled)
+    filled = lambda x: F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(x["kept"], F.get(x["slots"], i - 1)), p))), "")
+    return let(F.struct(slots.alias("slots"), kept.alias("kept")), lambda x: F.when(whole(x), filled(x)))
 
 
 def post_edit(c: Column, glossary: list[tuple[str, str]]) -> Column:
@@ -109,8 +110,8 @@ def tidy(c: Column) -> Column:
 
 def shingles(c: Column, n: int = fixed.SHINGLE) -> Column:
     """Distinct runs of n tokens, joined by spaces; empty for fewer tokens."""
-    t = tokens(c)
-    return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))))
+    runs = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " ")))
+    return let(tokens(c), lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(runs(t)))
 
 
 def is_heading(line: Column) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def clean_null(c: Column) -> Column:
     """Null for null, blank, and the words that stand for a missing value; else the trimmed text."""
     t = F.trim(c.cast("string"))

@@ -109,16 +109,21 @@ def shortest_path(pairs: DataFrame, start: object, end: object, most: int = 8, a
     return found.unionByName(none).orderBy(F.col("hops").asc_nulls_last()).limit(1)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iterative plan through the folder that all executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def settled_folder(spark) -> str:
+    """The folder that driver and executors share; one of our own only where the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         import tempfile
 
         folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tessera-{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of an iterative plan through the folder that all executors share."""
+    spark = df.sparkSession
+    path = f"{settled_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

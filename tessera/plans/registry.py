@@ -1,4 +1,4 @@
 """All registered queries; importing this module fills the registry."""
 
-from . import lookups  # noqa: F401
+from . import graphs, lookups, retrieval, streams, texts  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
