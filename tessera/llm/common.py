@@ -59,9 +59,40 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, t
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def text_pass(docs: DataFrame, columns: list[Column], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """One Arrow pass over the named columns only; batches are bounded by the session's Arrow limits."""
-    return docs.select(*columns).mapInArrow(fn, schema)
+#: Rows of an Arrow batch of texts, unless the session names another number than Spark's default.
+BATCH_ROWS = 1000
+_held: tuple[str, object] | None = None
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one thing at a time, made when first asked for."""
+    global _held
+    if _held is None or _held[0] != name:
+        _held = None  # frees the former before the next is made
+        _held = (name, make())
+    return _held[1]
+
+
+def release_cache() -> None:
+    global _held
+    _held = None
+
+
+def text_pass(docs: DataFrame, columns: list[Column], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps_cache: bool = False) -> DataFrame:
+    """One Arrow pass over the named columns only, in small batches, as texts may be long.
+
+    Workers serve one operator after another: a pass that has no use for what a former one kept lets it go.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps_cache:
+            release_cache()
+        yield from fn(it)
+
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def batch(schema: pa.Schema, **columns: list) -> pa.RecordBatch:

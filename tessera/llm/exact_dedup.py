@@ -38,7 +38,7 @@ def combine(a: tuple[int, int], b: tuple[int, int], prime: int = PRIMES[0], base
 class Fingerprints:
     """Fingerprints of many texts at a time; the matrix of chunk rows never holds more than ``rows`` rows."""
 
-    def __init__(self, primes: tuple[int, int] = PRIMES, bases: tuple[int, int] = BASES, rows: int = 1024):
+    def __init__(self, primes: tuple[int, int] = PRIMES, bases: tuple[int, int] = BASES, rows: int = 256):
         self.primes, self.bases, self.rows = primes, bases, rows
         self.powers = np.array([[pow(b, ROW - 1 - i, p) for b, p in zip(bases, primes)] for i in range(ROW)], dtype=np.float64)
         self.shift = [pow(b, ROW, p) for b, p in zip(bases, primes)]

@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = EN
                             out[k].append(v)
                 yield batch(ARROW, **out)
 
-    return text_pass(docs, [F.col("doc_id").cast("long"), F.col("text").cast("string")], run, PIECES)
+    return text_pass(docs, [F.col("doc_id").cast("long"), F.col("text").cast("string")], run, PIECES, keeps_cache=True)
 
 
 class Rooms:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, text_pass
+from .common import batch, text_pass, worker_cache
 from .tokens import byte_level, load, pre_tokens
 
 #: Pre-tokens of a leaf.
@@ -152,7 +152,7 @@ def edited_counts(docs: DataFrame, edits: Column, vocabulary: str | None = None)
     path = vocabulary or default_vocabulary()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = worker_cache(f"counter {path}", lambda: Counter(path))
         for b in it:
             for at in range(0, len(b), 512):
                 out: dict[str, list] = {n: [] for n in ARROW.names}
@@ -169,7 +169,7 @@ def edited_counts(docs: DataFrame, edits: Column, vocabulary: str | None = None)
                 yield batch(ARROW, **out)
 
     kind = "array<struct<position:long,delete:long,insert:string>>"
-    return text_pass(docs, [F.col("doc_id").cast("long"), F.col("text").cast("string"), edits.cast(kind).alias("edits")], run, "doc_id long, n_chars long, n_tokens long, n_edits int, chars_after long, tokens_after long, chars_reencoded long")
+    return text_pass(docs, [F.col("doc_id").cast("long"), F.col("text").cast("string"), edits.cast(kind).alias("edits")], run, "doc_id long, n_chars long, n_tokens long, n_edits int, chars_after long, tokens_after long, chars_reencoded long", keeps_cache=True)
 
 
 def revision(text: Column) -> Column:

@@ -6,6 +6,8 @@ import functools
 import os
 from array import array
 
+from .common import worker_cache
+
 
 def load(path: str):
     """The tokenizer of a vocabulary file, one for each Python worker and file."""
@@ -99,10 +101,9 @@ class WordEnds(PieceCache):
         return self.encode(text.replace("\n", " ").split(" ")) if text else b""
 
 
-@functools.lru_cache(maxsize=2)
 def word_ends(path: str) -> WordEnds:
     """One cache for each Python worker and vocabulary: tasks after the first find it warm."""
-    return WordEnds(load(path))
+    return worker_cache(f"word_ends {path}", lambda: WordEnds(load(path)))
 
 
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

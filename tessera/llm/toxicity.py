@@ -81,10 +81,15 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str], toxic: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, seed: int = 7, step: int = 128, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """The number of each bucket, and the bias: log-odds of toxic are bias + the mean of the numbers of a text."""
     rng = np.random.default_rng(seed)
-    bags = [bag(t) for t in texts]
-    spread = np.bincount(np.concatenate([b[0] for b in bags] or [np.empty(0, np.int64)]), minlength=BUCKETS)
+    spread = np.zeros(BUCKETS, np.int32)
+    for t in texts:
+        spread[bag(t)[0]] += 1
     common = spread >= max(LEAST_TEXTS, len(texts) * LEAST_SHARE)  # an n-gram of a few texts tells those texts apart, not toxicity
-    bags = [(b[common[b]], w[common[b]]) for b, w in bags]
+    bags = []
+    for t in texts:
+        ids, w = bag(t)
+        keep = common[ids]
+        bags.append((ids[keep], w[keep]))
     embed = rng.normal(0, 0.001, (BUCKETS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     share = float(np.clip(toxic.mean(), 1e-3, 1 - 1e-3))
