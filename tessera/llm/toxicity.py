@@ -3,6 +3,7 @@
 Embeddings and softmax are trained together in numpy on a bounded sample of labelled rows. An unseen misspelling
 shares most of its n-grams with the word it comes from, and so its vectors. As averaging and the last layer are linear,
 the trained model is one number for each n-gram bucket; scoring a text averages those numbers, over all of the text.
+A fifth of the sample is kept from training, to calibrate the scores on.
 
 Defined results: null, empty and letterless texts score as the model's bias alone. Every row gets a score from its text
 only; equal texts score alike. Labels of null, and ids with both labels, are not learned. Without labelled rows of both
@@ -69,13 +70,64 @@ def grams(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, h[at] & np.uint32(BUCKETS - 1)
 
 
+def counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams and how often each occurs; long texts are counted span by span."""
+    over = max(GRAMS) - 1
+    if len(x) <= SPAN + over:
+        got = [b for _, b in grams(x)]
+        return np.unique(np.concatenate(got), return_counts=True) if got else (np.empty(0, np.uint32), np.empty(0, np.int64))
+    total = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(x) - over, SPAN):
+        own = x[at : at + SPAN + over]
+        last = at + SPAN >= len(x) - over
+        for start, b in grams(own):
+            total += np.bincount(b if last else b[: np.searchsorted(start, SPAN)], minlength=BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids, total[ids]
+
+
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's n-grams and their shares."""
-    x = codes(text)
-    got = [b for _, b in grams(x)]
-    both = np.concatenate(got) if got else np.empty(0, np.uint32)
-    ids, n = np.unique(both, return_counts=True)
-    return ids, (n / max(1, len(both))).astype(np.float32)
+    """Buckets of a text's n-grams and their weights in the mean: the root of their count, so that no word repeated
+    over and over makes up the whole text."""
+    ids, n = counts(codes(text))
+    w = np.sqrt(n)
+    return ids, (w / max(1e-9, w.sum())).astype(np.float32)
+
+
+def odds(text: str | None, numbers: np.ndarray) -> float:
+    """The weighted mean of the numbers of a text's n-grams."""
+    ids, w = bag(text)
+    return float((numbers[ids] * w).sum(dtype=np.float64))
+
+
+def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make log-odds of rows not trained on fit their labels, drawn towards 1 and 0 by a prior."""
+    at = np.array([1.0, 0.0])
+
+    def loss(v: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y == 1, -1, 1) * (v[0] * z + v[1])).sum() + 0.5 * ((v[0] - 1) ** 2 + 0.1 * v[1] ** 2))
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -40, 40)))
+        w = p * (1 - p)
+        g = np.array([((p - y) * z).sum() + at[0] - 1, (p - y).sum() + 0.1 * at[1]])
+        h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 0.1]])
+        step = np.linalg.solve(h, g)
+        while loss(at - step) > loss(at) and abs(step).max() > 1e-9:
+            step /= 2
+        at = at - step
+        if abs(step).max() < 1e-9:
+            break
+    return float(max(at[0], 0.01)), float(at[1])
+
+
+def fitted(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Trains on four fifths of the sample and calibrates on the rest: the number of each bucket, and the bias."""
+    held = np.arange(len(texts)) % 5 == 0
+    numbers, bias = train([t for t, h in zip(texts, held) if not h], toxic[~held])
+    z = np.array([odds(t, numbers) + bias for t, h in zip(texts, held) if h])
+    slope, shift = calibrated(z, toxic[held])
+    return (numbers * slope).astype(np.float32), float(bias * slope + shift)
 
 
 def train(texts: list[str], toxic: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, seed: int = 7, step: int = 128, rate: float = 0.1) -> tuple[np.ndarray, float]:
@@ -137,21 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.nda
     toxic = (got.column("y").to_numpy() > 0).astype(np.int64)
     if len(set(toxic.tolist())) < 2:
         return None
-    return train(got.column("text").to_pylist(), toxic)
-
-
-def odds(x: np.ndarray, numbers: np.ndarray) -> float:
-    """The mean of the numbers of a text's n-grams."""
-    total, n = 0.0, 0
-    over = max(GRAMS) - 1
-    for at in range(0, max(1, len(x) - over), SPAN):
-        own = x[at : at + SPAN + over]
-        last = at + SPAN >= len(x) - over
-        for start, b in grams(own):
-            b = b if last else b[: np.searchsorted(start, SPAN)]
-            total += float(numbers[b].sum(dtype=np.float64))
-            n += len(b)
-    return total / n if n else 0.0
+    return fitted(got.column("text").to_pylist(), toxic)
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float] | None, columns: list[str]) -> DataFrame:
@@ -167,7 +205,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float] | None, columns: lis
             if found is None:
                 values = [0.0] * len(b)
             else:
-                values = [float(1 / (1 + np.exp(-np.clip(odds(codes(t.as_py()), found[0]) + found[1], -50, 50)))) for t in b.column(b.num_columns - 1)]
+                values = [float(1 / (1 + np.exp(-np.clip(odds(t.as_py(), found[0]) + found[1], -50, 50)))) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(values, pa.float64())], names=[*columns, name])
 
     return text_pass(docs, [*[F.col(c) for c in columns], F.col("text").cast("string").alias(text)], run, schema)

@@ -30,13 +30,20 @@ def test_grams_are_those_of_words():
 
 def test_odds_of_long_texts_do_not_depend_on_spans(monkeypatch):
     numbers = np.random.default_rng(1).normal(size=T.BUCKETS).astype(np.float32)
-    x = T.codes("some words and idle talk " * 90)
-    whole = T.odds(x, numbers)
-    ids, share = T.bag("some words and idle talk " * 90)
-    assert whole == pytest.approx(float((numbers[ids] * share).sum()), rel=1e-3)
-    for span in (1, 7, 64, len(x) - 4, len(x)):
+    text = "some words and idle talk " * 90
+    whole, n = T.odds(text, numbers), len(text) + 2
+    for span in (1, 7, 64, n - 4, n):
         monkeypatch.setattr(T, "SPAN", span)
-        assert T.odds(x, numbers) == pytest.approx(whole, rel=1e-6)
+        assert T.odds(text, numbers) == pytest.approx(whole, rel=1e-4)
+
+
+def test_calibration_is_tame():
+    z = np.array([5.0, 6.0, -5.0, -6.0])
+    slope, shift = T.calibrated(z, np.array([1, 1, 0, 0]))
+    assert 0.5 < slope < 3 and abs(shift) < 2
+    slope, shift = T.calibrated(np.linspace(-3, 1, 400), (np.linspace(-3, 1, 400) > -1).astype(int))
+    assert abs(1 / (1 + np.exp(-(slope * -1 + shift))) - 0.5) < 0.1
+    assert T.calibrated(np.empty(0), np.empty(0, int)) == (1.0, 0.0)
 
 
 def test_held_out_accuracy_and_unseen_spellings(spark):
