@@ -69,7 +69,7 @@ def rrf_calibrated_gate(t: Tables):
     top AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY co DESC, dst) AS r FROM edges),
     nb AS (SELECT query, dst AS doc, min((rank, r)) AS o FROM short JOIN top ON doc = src WHERE rank <= 3 AND r <= 5 GROUP BY ALL),
     fr AS (SELECT nb.* FROM nb LEFT JOIN short s ON s.query = nb.query AND s.doc = nb.doc WHERE s.doc IS NULL)
-    SELECT query, doc, CAST(rrf AS DOUBLE) AS rrf, rank FROM short UNION ALL SELECT query, doc, 0.0, 10 + row_number() OVER (PARTITION BY query ORDER BY o, doc) FROM fr""")
+    SELECT query, doc, CAST(rrf AS DOUBLE) AS rrf, rank FROM short UNION ALL SELECT query, doc, 0.0, (SELECT max(rank) FROM short s WHERE s.query = fr.query) + row_number() OVER (PARTITION BY query ORDER BY o, doc) FROM fr""")
 def graph_expand_candidates(t: Tables):
     from pyspark.sql import Window
 
