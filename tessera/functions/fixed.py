@@ -150,3 +150,34 @@ VOCABULARY_STOPS = "and for the with from part section specification specificati
 REFUSAL = r"(?i)^\s*(i (cannot|can't|am unable)|as an ai|sorry|here is|here's|certainly|sure[,.])"
 PERMISSIVE = r"(?i)\bnot\s+(?:strictly\s+)?(?:mandatory|compulsory|required|obligatory|binding)\b|\bnon-?mandatory\b|\bmerely\s+advisory\b|\bfor\s+reference\s+only\b|\bdiscretion\b|\boptional\b|\bwhere\s+deemed\s+(?:necessary|appropriate)\b|\bfor\s+reference\b|\bguidance\s+only\b|\bwherever\s+applicable\b|\bencouraged\s+to\b|\bindustry\s+practice\b|\bneed\s+not\s+(?:be|comply)\b"
 PARTY = r"(?i)\b(supplier|purchaser|contractor|bidder|tenderer|vendor|department|employer)s?\b[^.]{0,60}?\b(?:shall|must|is\s+required\s+to|are\s+required\s+to)\s+(?:also\s+)?(?:comply|conform|adhere|ensure|review|refer|verify|check)"
+
+# --- Fixed values: words of document names -------------------------------------------------------------------------
+ABBREVIATIONS = {
+    "nit": "Notice Inviting Tender",
+    "niq": "Notice Inviting Quotation",
+    "nib": "Notice Inviting Bid",
+    "eoi": "Expression of Interest",
+    "rfp": "Request for Proposal",
+    "boq": "Bill of Quantities",
+    "loa": "Letter of Award",
+    "lt": "LT",
+    "ht": "HT",
+    "pvc": "PVC",
+    "gi": "GI",
+    "led": "LED",
+    "rcc": "RCC",
+    "hdpe": "HDPE",
+    "xlpe": "XLPE",
+    "vol": "Volume",
+    "sec": "Section",
+    "doc": "Document",
+    "tenderdoc": "Tender Document",
+    "spec": "Specification",
+    "tech": "Technical",
+    "addendum": "Addendum",
+    "corrigendum": "Corrigendum",
+}
+ALWAYS_UPPER = "LT HT PVC GI LED RCC HDPE XLPE IS BIS II III IV VI VII VIII IX".split()
+SMALL_WORDS = "and for of the to in with under on at".split()
+ORDINAL_OWNERS = ["volume", "part", "section", "vol", "sec", "no"]
+GENERIC_TITLES = ["tender document", "document", "tender", "volume", "addendum", "corrigendum", "technical specification", "notice inviting tender", "specification"]

@@ -126,3 +126,25 @@ def prose_fault(text: Column, mandatory: Column, leaks: Column, governing: Colum
         .when(F.size(leaks) > 0, "subset_guard_failed")
         .when(~named, "governing_standard_missing")
     )
+
+
+def route(n_citations: Column, asked: Column | None = None) -> Column:
+    """Where a query goes: as asked, else to the audit if it cites anything, else to a draft; with the reason."""
+    say = lambda r, why: F.struct(F.lit(r).alias("route"), F.lit(why).alias("why"))
+    own = F.when(n_citations >= 1, say("audit", "the text cites entries")).otherwise(say("draft", "the text cites nothing"))
+    if asked is None:
+        return own
+    return F.when(asked.isin("audit", "draft"), F.struct(asked.alias("route"), F.lit("as asked").alias("why"))).otherwise(own)
+
+
+def within(size: Column, most: int) -> Column:
+    """Whether an input is of a size that is taken."""
+    return F.coalesce(size <= most, F.lit(False))
+
+
+def tied_on_voltage(number: Column, other: Column, title: Column, other_title: Column, score: Column, other_score: Column) -> Column:
+    """Two parts of one base, too close in score, that declare different bands."""
+    from .ids import base_with_year
+
+    a, b = voltage_band(title), voltage_band(other_title)
+    return (F.abs(score - other_score) < fixed.MARGIN) & (base_with_year(number) == base_with_year(other)) & a.isNotNull() & b.isNotNull() & ~a.eqNullSafe(b)

@@ -200,3 +200,23 @@ def layout_quality(places: DataFrame) -> DataFrame:
     near = cells.select("node", "x", "y", around.alias("c")).select("node", "x", "y", "c.cx", "c.cy").join(cells.select(F.col("node").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy"), ["cx", "cy"]).filter("node != other")
     gap = near.groupBy("node").agg(F.min(F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2)).alias("gap")).agg(F.round(F.expr("percentile(gap, 0.5)"), 3).alias("median_gap"))
     return q.crossJoin(gap)  # two single rows
+
+
+def visible(edges: DataFrame, nodes: DataFrame, least: int, family: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges of a count at least, and nodes that are of the family and, above a count of 1, still have an edge."""
+    e = edges.filter(F.col("co") >= least)
+    n = nodes if family is None else nodes.filter(F.col("family") == family)
+    if least > 1:
+        n = n.join(e.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    return e, n
+
+
+def citing(bridge: DataFrame, doc: str, cited: Column, targets: DataFrame, target: Column, buyer: str, first: int = 25) -> DataFrame:
+    """For each target: documents that cite it by digits, their share of all, buyers, and the first of them."""
+    t = targets.select(F.col(targets.columns[0]).alias("target"), target.alias("_k")).filter("_k != ''")
+    all_ = bridge.select(doc).distinct().agg(F.count(F.lit(1)).alias("_all"))
+    hits = bridge.select(F.col(doc).alias("_doc"), F.col(buyer).alias("_buyer"), cited.alias("_k")).join(t, "_k").select("target", "_doc", "_buyer").distinct()
+    rank = hits.select("target", "_doc").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("target").orderBy("_doc"))).filter(F.col("_r") <= first)
+    g = hits.groupBy("target").agg(F.count_distinct("_doc").alias("docs"), F.count_distinct("_buyer").alias("buyers")).crossJoin(F.broadcast(all_))  # one row
+    firsts = rank.groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("_doc")), " ").alias("first_docs"))
+    return g.join(firsts, "target").select("target", "docs", F.round(100.0 * F.col("docs") / F.col("_all"), 1).alias("share"), "buyers", "first_docs")
