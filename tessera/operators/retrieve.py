@@ -33,16 +33,23 @@ PIPELINES = {
 }
 
 
-def postings(docs: DataFrame, key: str, content: str, tokens=text.tokens) -> DataFrame:
-    """term, doc, tf, length. Terms are counted before the shuffle; the length is that of the document's array."""
+def postings(docs: DataFrame, key: str, content: str, tokens=text.tokens, terms: DataFrame | None = None) -> DataFrame:
+    """term, doc, tf, length; only of the terms given, which are taken before anything is shuffled."""
     t = docs.select(F.col(key).alias("doc"), tokens(F.col(content)).alias("t"))
-    return t.select("doc", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", "doc", "length").agg(F.count(F.lit(1)).alias("tf"))
+    words = t.select("doc", F.size("t").alias("length"), F.explode("t").alias("term"))
+    if terms is not None:
+        words = words.join(terms, "term", "left_semi")
+    return words.groupBy("term", "doc", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(posts: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """term, idf: the logarithm of odds; negative ones become a share of the mean. n_docs: one row (n, mean_length)."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs))  # n_docs is one row
-    raw = df.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+def term_weights(docs: DataFrame, content: str, tokens=text.tokens) -> DataFrame:
+    """term, idf: the logarithm of odds over documents; negative ones become a share of the mean over all terms.
+
+    Each document counts a term once; the counts combine on the map side to one row for each term and task.
+    """
+    seen = docs.select(F.explode(F.array_distinct(tokens(F.col(content)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    raw = seen.crossJoin(F.broadcast(n)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))  # n is one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -50,17 +57,17 @@ def term_weights(posts: DataFrame, n_docs: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, q_key: str, q_text: str, docs: DataFrame, key: str, content: str, k: int = fixed.FUSE_DEPTH, tokens=text.tokens) -> DataFrame:
     """query, doc, score, rank of the k best documents of each query; a query's repeated terms count each time.
 
-    Only postings of terms that occur in queries are joined. Ties go by document.
+    Only postings of terms that occur in queries are made. Ties go by document.
     """
-    posts = postings(docs, key, content, tokens)
-    sizes = docs.select(F.size(tokens(F.col(content))).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    sizes = docs.select(F.size(tokens(F.col(content))).alias("length")).agg(F.avg("length").alias("mean_length"))
     q = queries.select(F.col(q_key).alias("query"), F.explode(tokens(F.col(q_text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qf"))
-    used = posts.join(q.select("term").distinct(), "term", "left_semi")
-    weights = term_weights(posts, sizes)
+    terms = q.select("term").distinct()
+    used = postings(docs, key, content, tokens, terms)
+    weights = term_weights(docs, content, tokens)
     k1, b = fixed.BM25_K1, fixed.BM25_B
     norm = k1 * (1 - b + b * F.col("length") / F.col("mean_length"))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scored = q.join(used, "term").join(weights, "term").crossJoin(F.broadcast(sizes)).groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = q.join(weights, "term").join(used, "term").crossJoin(F.broadcast(sizes)).groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

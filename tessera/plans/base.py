@@ -44,7 +44,7 @@ class Tables:
     @property
     def bridge(self) -> DataFrame:
         """Orders as documents, the parts of their lines as what they cite."""
-        return self.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("item")).distinct()
+        return self.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("item")).repartition("doc").distinct()
 
     @property
     def buyers(self) -> DataFrame:
