@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, batch, written
+from .common import BROADCAST_BYTES, WORD, batch, skew_join, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -117,13 +117,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """One row per row of docs: doc_id, row_hash, source, size, source_size, target, copies, taken."""
     rows = written(sizes(docs), "mix-rows")
     goals = written(targets(rows, weights, share, most), "mix-targets")
-    held, largest = goals.agg(F.count(F.lit(1)), F.max("n")).first()
-    goals = F.broadcast(goals) if held * 64 <= 16 << 20 else goals
-    by_source = lambda df: df.withColumn("_s", F.struct("source"))  # noqa: E731  a struct of null is not null: it joins
+    held, largest, total = goals.agg(F.count(F.lit(1)), F.max("n"), F.sum("n")).first()
+    keyed = goals.withColumn("_s", F.struct("source")).drop("source")  # a struct of null is not null: it joins
+
+    def with_goals(df: DataFrame) -> DataFrame:
+        named = df.withColumn("_s", F.struct("source"))
+        if held * 64 <= BROADCAST_BYTES:
+            return named.join(F.broadcast(keyed), "_s")
+        return skew_join(named, keyed, ["_s"], "n", total, F.col("row_hash"), "inner")
+
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     ratio = F.when(F.abs(ratio - F.round(ratio)) < 1e-12, F.round(ratio)).otherwise(ratio)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block))
-    start = by_source(rows).join(by_source(goals).drop("source"), "_s").withColumn("r", ratio)
+    start = with_goals(rows).withColumn("r", ratio)
     start = start.select("doc_id", "row_hash", "source", "size", F.floor("r").alias("whole"), (F.col("r") - F.floor("r")).alias("p"), F.pmod("row_hash", blocks).alias("block"), F.lit(True).alias("open"))
     level = written(round_blocks(start, seed, 0), "mix-level")
     done, left, depth = level.filter("not open"), -(-int(largest or 0) // block), 0
@@ -134,7 +140,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         done = done.unionByName(level.filter("not open"))
     last = F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id", "size"), F.lit(1 << 30)) / float(1 << 30) < F.col("p")
     rounded = done.unionByName(level.filter("open").withColumn("p", last.cast("double")))
-    out = by_source(rounded).join(by_source(goals).drop("source"), "_s")
+    out = with_goals(rounded)
     copies = (F.col("whole") + F.col("p").cast("long")).cast("long")
     return out.select("doc_id", "row_hash", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
