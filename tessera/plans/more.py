@@ -150,9 +150,9 @@ def golden_built(t: Tables):
     return tables.golden_built(c, "query", "expected", "title", reg, "p_brand").select("query")
 
 
-@query("SELECT c_custkey, 'GEM/2025/B/' || c_custkey AS doc, '2025' AS year, c_custkey % 2 = 0 AS accepted FROM customer")
+@query("SELECT c_custkey, 'DOC/2025/B/' || c_custkey AS doc, '2025' AS year, c_custkey % 2 = 0 AS accepted FROM customer")
 def size_guards_and_years(t: Tables):
-    doc = F.concat(F.lit("GEM/2025/B/"), F.col("c_custkey").cast("string"))
+    doc = F.concat(F.lit("DOC/2025/B/"), F.col("c_custkey").cast("string"))
     size = F.when(F.col("c_custkey") % 2 == 0, 400_000).otherwise(400_001)
     return t.customer.select("c_custkey", doc.alias("doc"), ids.year_in(doc).alias("year"), verdicts.within(size, 400_000).alias("accepted"))
 

@@ -24,7 +24,7 @@ def test_keys(spark):
     assert each(spark, ids.parts, ["IS 10118 (Part 2/Sec 1)", "IS 5", "IS 3 Section IV"]) == ["2 1", "", "iv"]
     assert [tuple(x) for x in each(spark, ids.split_year, ["IS 10 : 2012", "IS 10"])] == [("IS 10", 2012), ("IS 10", None)]
     assert each(spark, ids.variants, ["IS 10553 (Part II)", "IS 60947", "IS 5"]) == [["IS 10553 (Part II)", "IS 10553 (Part 2)"], ["IS 60947", "IS/IEC 60947"], ["IS 5"]]
-    assert each(spark, ids.year_in, ["GEM/2025/B/6183459", "none"]) == ["2025", "unknown"]
+    assert each(spark, ids.year_in, ["DOC/2025/B/6183459", "none"]) == ["2025", "unknown"]
 
 
 @pytest.mark.parametrize("a, b, near", [("1234", "1243", True), ("1234", "124", True), ("1234", "1235", True), ("1234", "12345", True), ("1234", "1234", False), ("1234", "2143", False), ("12", "21", True)])
