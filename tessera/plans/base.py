@@ -24,6 +24,12 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Texts of a scan of fewer splits than cores (files of one row group can't be split) are dealt over the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -31,7 +37,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in ("documents", "pages") else df
 
     @property
     def register(self) -> DataFrame:
