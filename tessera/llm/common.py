@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +22,26 @@ BROADCAST_BYTES = 16 << 20
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers once for each application, unless they find it where the driver did."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if context.applicationId in _shipped or any(p and Path(p).resolve() == root for p in known):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted((root / "tessera").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
@@ -83,6 +104,7 @@ def text_pass(docs: DataFrame, columns: list[Column], fn: Callable[[Iterator[pa.
 
     Workers serve one operator after another: a pass that has no use for what a former one kept lets it go.
     """
+    ship(docs.sparkSession)
     conf = docs.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
