@@ -76,15 +76,27 @@ def matched(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return nodes.join(found, ["host", "path"], "left").withColumns({"rule": F.col("_best.rule"), "own": F.col("_best.verdict")}).drop("_best")
 
 
+def undotted(path: Column) -> Column:
+    """The path without its . and .. segments."""
+    parts = F.split(path, "/", -1)
+    step = lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    return F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+
+
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """from_url, to_url: canonical links and meta refresh redirects in a page's html; relative links are resolved on the host."""
+    """from_url, to_url: canonical links and meta refresh redirects in a page's html; relative links are resolved against the page's url."""
     tag = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>"), F.lit(0)))
     tags = pages.filter(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("from_url"), tag.alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?i)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
+    canonical = F.when(F.col("tag").rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    refresh = F.when(F.col("tag").rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
     target = F.coalesce(canonical, refresh)
     scheme, host = F.regexp_extract("from_url", r"(?s)^(.*?)://", 1), host_of(F.col("from_url"))
-    whole = F.when(target.contains("://"), target).when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target)).when(F.startswith(target, F.lit("/")), F.concat(scheme, F.lit("://"), host, target))
+    path = path_of(F.col("from_url"))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/(.*/)?", 1))
+    rooted = F.when(F.startswith(target, F.lit("/")), target).when(target.rlike("^[?#]"), F.concat(path, target)).otherwise(F.concat(folder, target))
+    near = F.when(host != "", F.concat(scheme, F.lit("://"), host, undotted(F.regexp_extract(rooted, "^[^?#]*", 0)), F.regexp_extract(rooted, "[?#].*$", 0)))
+    whole = F.when(target.rlike("(?i)^[a-z][a-z0-9+.-]*://"), target).when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target)).when(~target.rlike("(?i)^[a-z][a-z0-9+.-]*:") & (target != ""), near)
     return tags.select("from_url", whole.alias("to_url")).filter("to_url is not null and from_url is not null")
 
 

@@ -83,3 +83,18 @@ def test_hub_of_aliases_and_html_edges(spark):
     by = {r[0]: r[4] for r in judged(spark, rows, [("bad.com", "block"), ("s7.net", "allow")])}
     assert by[102] == "allow" and by[7] == "allow"
     assert all(v == "block" for i, v in by.items() if i not in (7, 102))
+
+
+def test_relative_targets_and_broken_tags(spark):
+    from urllib.parse import urljoin
+
+    base = ["http://a.net/x/y/page.html?q=/z#f", "http://a.net", "http://a.net/", "https://a.net/x"]
+    targets = ["page.html", "./p", "../x", "../../../x", "..", ".", "?id=1", "#top", "p?next=http://b.net/c", "/r/./s/../t", "//c.net/u", "HTTP://d.net/v", "sub/p.html"]
+    rows = [(i, b, t) for i, (b, t) in enumerate((b, t) for b in base for t in targets)]
+    forms = ["<link\n rel='canonical'\n href='{}'>", '<meta\n content="0; url={}"\n http-equiv=refresh>']
+    pages = [(i, b, forms[i % 2].format(t)) for i, b, t in rows] + [(999, "http://a.net/x", '<link rel="canonical" href="mailto:a@b.c">')]
+    got = {(r.from_url, r.to_url) for r in U.alias_links(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    parts = lambda u: re.match(r"(?s).*?://([^/?#]*)/?([^?#]*)", u).groups()
+    assert {(a, parts(b)) for a, b in got} == {(b, parts(urljoin(b, t) if "://" not in t[:8] else t)) for _, b, t in rows}
+    rows = [(1, "http://h.net/d/a", "<link\nrel=canonical href=b>"), (2, "http://h.net/d/b", '<meta\nhttp-equiv="refresh" content="0;url=../bad">'), (3, "http://h.net/d/c", "")]
+    assert [r[4] for r in judged(spark, rows, [("h.net/bad", "block")])] == ["block", "block", "allow"]
