@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import citations, text, values, verdicts
@@ -51,9 +52,13 @@ def voltage_verdicts(t: Tables):
     SELECT k, row_number() OVER (PARTITION BY qn ORDER BY CASE WHEN a IS NULL OR b IS NULL THEN 1 WHEN a = b OR (a = 'pvc' AND b = 'upvc') OR (a = 'upvc' AND b = 'pvc') THEN 0 ELSE 2 END,
         CASE WHEN (w = 'product' AND r NOT IN ('terminology', 'installation')) OR (w <> 'product' AND w = r) THEN 0 ELSE 1 END, CASE status WHEN 'Current' THEN 0 WHEN 'Superseded' THEN 1 WHEN 'Withdrawn' THEN 2 ELSE 3 END, score DESC, k) AS place FROM m""")
 def final_rank(t: Tables):
+    return ranked(titles(t).filter("k < 600"))
+
+
+def ranked(of: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    c = titles(t).filter("k < 600").withColumn("score", 1.0 / (1 + F.col("k") % 7)).withColumn("status", F.when(F.col("k") % 4 == 0, "Current").when(F.col("k") % 4 == 1, "Superseded").when(F.col("k") % 4 == 2, "Withdrawn"))
+    c = of.withColumn("score", 1.0 / (1 + F.col("k") % 7)).withColumn("status", F.when(F.col("k") % 4 == 0, "Current").when(F.col("k") % 4 == 1, "Superseded").when(F.col("k") % 4 == 2, "Withdrawn"))
     order = verdicts.final_order(F.lit("not_declared"), verdicts.material_verdict(F.col("q"), F.col("title")), verdicts.role_verdict(F.col("q"), F.col("title")), F.col("status"), F.col("score"), F.col("k"))
     return c.select("k", F.row_number().over(Window.partitionBy(F.col("k") % 5).orderBy(*order)).alias("place"))
 

@@ -1,0 +1,61 @@
+"""Queries of whole tables, beside those of the same name (without _all) whose SQL names a range of ids.
+
+Their SQL is the other's without its id filter; where that is too slow, tests hold the query against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import verdicts
+from ..operators import graph, rollup
+from ..sources import tables
+from .base import SQL, Tables, query
+from .graphs import part_edges
+from .lookups import flagged
+from .texts import ranked, titles
+
+
+def without(name: str, *filters: str) -> str:
+    """The SQL of a query without these filters."""
+    out = SQL[name]
+    for f in filters:
+        assert f in out, f"{name} has no {f}"
+        out = out.replace(f, "")
+    return out
+
+
+@query(without("final_rank", " WHERE k < 600"))
+def final_rank_all(t: Tables):
+    return ranked(titles(t))
+
+
+@query(without("evidence_statements", " WHERE src < 200"))
+def evidence_statements_all(t: Tables):
+    return part_edges(t).select("src", "dst", graph.evidence_statement(F.col("src"), F.col("dst"), F.col("co"), F.col("n_src")).alias("evidence"))
+
+
+@query(without("peer_tally", " WHERE item < 50"))
+def peer_tally_all(t: Tables):
+    return rollup.peer_tally(flagged(t), "doc", "item")
+
+
+@query(without("file_inventory", " WHERE p_partkey < 500"))
+def file_inventory_all(t: Tables):
+    k = F.col("p_partkey").cast("string")
+    names = F.array(F.concat(F.lit("/d/a-"), k, F.lit("-1.pdf")), F.concat(F.lit("/d/b-"), k, F.lit("-2.pdf")), F.concat(F.lit("/d/c-"), k, F.lit("-bid.pdf")))
+    files = t.part.select(F.explode(names).alias("path"))
+    return tables.inventory(files, "path", r"^[a-z]-(\d+)-", "-bid.pdf").select("id", F.array_join("files", " ").alias("files"))
+
+
+@query(without("roles_grouped", " WHERE pk < 400"))
+def roles_grouped_all(t: Tables):
+    title = F.when(F.col("pk") % 4 == 0, "Glossary of terms").when(F.col("pk") % 4 == 1, "Safety of plant").otherwise(F.col("title"))
+    r = t.register.select("pk", verdicts.role(title).alias("role"), (0.5 + (F.col("pk") % 50) / 100.0).alias("c"))
+    return r.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") >= 0.75).alias("likely"), F.min(F.when(F.col("c") >= 0.75, F.col("pk"))).alias("first_likely"))
+
+
+@query(without("grouped_by_cause", " WHERE event_id < 500"))
+def grouped_by_cause_all(t: Tables):
+    g = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
+    return g.select("user_id", F.array_join(F.transform("x", lambda e: e["event_type"]), " ").alias("kinds"))
