@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import verdicts
-from ..operators import graph, rollup
+from ..operators import evaluate, graph, resolve, rollup
 from ..sources import tables
+from . import more, retrieval  # noqa: F401 - their SQL
 from .base import SQL, Tables, query
 from .graphs import part_edges
 from .lookups import flagged
@@ -59,3 +60,38 @@ def roles_grouped_all(t: Tables):
 def grouped_by_cause_all(t: Tables):
     g = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
     return g.select("user_id", F.array_join(F.transform("x", lambda e: e["event_type"]), " ").alias("kinds"))
+
+
+@query()
+def typo_suggestion_all(t: Tables):
+    """Every part as known, ten times every part as unknown; beside an unknown stands whatever is cited with a candidate."""
+    pairs = graph.undirected(part_edges(t)).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("co").alias("n"))
+    pairs = graph.settled(pairs)
+    unknown, known = t.part.select((F.col("p_partkey") * 10).cast("string").alias("s")), t.part.select(F.col("p_partkey").cast("string").alias("s"))
+    c = graph.settled(resolve.typo_candidates(unknown, "s", known, "s"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("known", "beside")
+    return resolve.typo_choice(c, c.join(both, "known").select("unknown", "beside"), pairs)
+
+
+@query()
+def typo_candidates_all(t: Tables):
+    known = t.part.select(F.col("p_partkey").cast("string").alias("s"))
+    unknown = t.part.select((F.col("p_partkey") * 10 + 1).cast("string").alias("s"))
+    return resolve.typo_candidates(unknown, "s", known, "s")
+
+
+@query(without("related_by_two_keys", " WHERE p_partkey % 40 = 0"))
+def related_by_two_keys_all(t: Tables):
+    return graph.related(t.part.select("p_partkey"), F.col("p_partkey"), part_edges(t), F.col("p_partkey") + 1, 5)
+
+
+@query(without("citing_documents", " WHERE p_partkey % 100 = 1"))
+def citing_documents_all(t: Tables):
+    b = t.bridge.join(t.buyers.select("doc", "department"), "doc")
+    return graph.citing(b, "doc", F.col("item").cast("string"), t.part.select("p_partkey"), F.col("p_partkey").cast("string"), "department")
+
+
+@query(without("accuracy_by_family", " WHERE p_partkey % 2 = 0"))
+def accuracy_by_family_all(t: Tables):
+    j = t.part.select(F.col("p_brand").alias("family"), F.lit(1).alias("rank"), (F.col("p_size") > 20).alias("right"), (F.col("p_size") > 20).alias("relevant"))
+    return evaluate.by_family(j, "family")

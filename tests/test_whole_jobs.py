@@ -4,6 +4,7 @@ import random
 import re
 
 from tessera.operators import lineage
+from tessera.plans import registry
 
 
 def family(n, seed=3):
@@ -34,3 +35,39 @@ def test_tiles_lose_and_repeat_no_pair(spark):
     signed = spark.createDataFrame([(i, [1, 2, 3, 4] if i < 40 else [5, 6, i, i]) for i in range(50)], "doc long, sig array<bigint>")
     pairs = [(r.a, r.b) for r in lineage.candidate_pairs(signed, 2, 4, 7).collect()]
     assert sorted(pairs) == sorted((a, b) for b in range(50) for a in range(b) if b < 40 or a >= 40)
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < len(b):
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+    at = [i for i in range(len(a)) if a[i] != b[i]]
+    return len(at) == 1 or len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]
+
+
+def test_typos_of_all_parts(spark, tmp_path):
+    rng = random.Random(2)
+    parts = [*range(1, 40), *range(95, 130), *range(980, 1300, 3)]
+    lines = [(d, p) for d in range(400) for p in rng.sample(parts, 6)]
+    spark.createDataFrame([(p,) for p in parts], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    close = lambda unknown: [(u, k) for u in unknown for k in map(str, parts) if len(u) > 2 and len(k) > 2 and one_edit(u, k)]
+    got = [(r.unknown, r.known) for r in registry.QUERIES["typo_candidates_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(close([str(p * 10 + 1) for p in parts]))
+    by_doc, tie = {}, {}
+    for d, p in lines:
+        by_doc.setdefault(d, set()).add(p)
+    co = {}
+    for items in by_doc.values():
+        for x in items:
+            for y in items - {x}:
+                co[x, y] = co.get((x, y), 0) + 1
+    for (x, _), n in co.items():
+        tie[str(x)] = tie.get(str(x), 0) + (n if n >= 2 else 0)
+    best = {}
+    for u, k in close([str(p * 10) for p in parts]):
+        if tie.get(k):
+            best[u] = max(best.get(u, (0, 0, "")), (tie[k], -int(k), k))
+    got = {r.unknown: (r.suggestion, r.strength) for r in registry.QUERIES["typo_suggestion_all"](spark, str(tmp_path)).collect()}
+    assert got == {u: (k, n) for u, (n, _, k) in best.items()} and any(u != k + "0" for u, (k, _) in got.items())
