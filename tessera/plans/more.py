@@ -283,9 +283,9 @@ def dates_and_editions(t: Tables):
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'audit' WHEN 1 THEN 'draft' WHEN 2 THEN 'draft' ELSE 'audit' END AS route, CASE doc_id % 4 WHEN 0 THEN 'the text cites entries' WHEN 1 THEN 'the text cites nothing' ELSE 'as asked' END AS why FROM documents""")
 def query_router(t: Tables):
     k = F.col("doc_id")
-    said = F.when(k % 4 == 0, "cable to IS 1554").otherwise(F.substring("text", 1, 40))
+    said = F.when(k % 4 == 0, "cable to IS 1554").otherwise("")
     asked = F.when(k % 4 == 2, "draft").when(k % 4 == 3, "audit")
-    r = verdicts.route(F.size(citations.extract(said)), asked)
+    r = verdicts.route(F.size(citations.extract(F.concat_ws("\n", "text", said))), asked)
     return t.documents.select("doc_id", r["route"].alias("route"), r["why"].alias("why"))
 
 

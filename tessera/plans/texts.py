@@ -70,8 +70,8 @@ CITING = """citing AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'as per releva
 @query(f"""WITH {CITING} SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'IS 694; IS ' || (1000 + doc_id) WHEN 1 THEN 'IS 2016' WHEN 2 THEN 'IS 60947 (Part 1)' WHEN 3 THEN 'IS 1554 (Part 2/ Sec 1)' WHEN 5 THEN 'IS 456' ELSE '' END AS found FROM citing""")
 def citation_extraction(t: Tables):
     k = F.col("doc_id")
-    c = F.when(k % 8 == 0, F.concat(F.lit("as per relevant IS 10. See IS 694 and IS "), (k + 1000).cast("string"))).when(k % 8 == 1, "THIS 20 and he is 11, IS:20161967").when(k % 8 == 2, "IS/IEC 60947 (Part 1), IS 60947 (part-1)").when(k % 8 == 3, "IS 1554 (Part 2/ Sec 1) then IS 1554 (Part-2/Sec.-1)").when(k % 8 == 4, "IS 99999999 and IS 8").when(k % 8 == 5, "IS 456. " * 50).when(k % 8 == 6, "").otherwise(F.col("text"))
-    return t.documents.select("doc_id", F.array_join(citations.extract(c), "; ").alias("found"))
+    case = F.when(k % 8 == 0, F.concat(F.lit("as per relevant IS 10. See IS 694 and IS "), (k + 1000).cast("string"))).when(k % 8 == 1, "THIS 20 and he is 11, IS:20161967").when(k % 8 == 2, "IS/IEC 60947 (Part 1), IS 60947 (part-1)").when(k % 8 == 3, "IS 1554 (Part 2/ Sec 1) then IS 1554 (Part-2/Sec.-1)").when(k % 8 == 4, "IS 99999999 and IS 8").when(k % 8 == 5, "IS 456. " * 50).otherwise("")
+    return t.documents.select("doc_id", F.array_join(citations.extract(F.concat_ws("\n", "text", case)), "; ").alias("found"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'IS 77' ELSE 'IS 10:2001' END AS leaks FROM documents""")

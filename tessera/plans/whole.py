@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import verdicts
+from ..functions import text, verdicts
 from ..operators import evaluate, graph, resolve, rollup
 from ..sources import tables
 from . import more, retrieval  # noqa: F401 - their SQL
@@ -95,3 +95,11 @@ def citing_documents_all(t: Tables):
 def accuracy_by_family_all(t: Tables):
     j = t.part.select(F.col("p_brand").alias("family"), F.lit(1).alias("rank"), (F.col("p_size") > 20).alias("right"), (F.col("p_size") > 20).alias("relevant"))
     return evaluate.by_family(j, "family")
+
+
+@query()
+def query_expansion_all(t: Tables):
+    """Whole texts of all documents, the cases of query_expansion behind them."""
+    k = F.col("doc_id")
+    case = F.when(k % 5 == 0, "XLPE cable").when(k % 5 == 1, "MS and ms pipe").when(k % 5 == 2, "street lighting").when(k % 5 == 3, "gi GI galvanized iron").otherwise("")
+    return t.documents.select("doc_id", text.expand(F.concat_ws("\n", "text", case)).alias("expanded"))

@@ -71,3 +71,31 @@ def test_typos_of_all_parts(spark, tmp_path):
             best[u] = max(best.get(u, (0, 0, "")), (tie[k], -int(k), k))
     got = {r.unknown: (r.suggestion, r.strength) for r in registry.QUERIES["typo_suggestion_all"](spark, str(tmp_path)).collect()}
     assert got == {u: (k, n) for u, (n, _, k) in best.items()} and any(u != k + "0" for u, (k, _) in got.items())
+
+
+def test_citations_anywhere_in_a_text_count(spark, tmp_path):
+    long = "plain words go on and on for more than forty characters " * 3
+    rows = [(i, long + ("then IS 8130 applies" if i < 8 else "and nothing is cited")) for i in range(16)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.found for r in registry.QUERIES["citation_extraction"](spark, str(tmp_path)).collect()}
+    assert all(found[i].startswith("IS 8130") for i in range(8)) and found[0] == "IS 8130; IS 694; IS 1000" and found[14] == found[15] == ""
+    route = {r.doc_id: r.route for r in registry.QUERIES["query_router"](spark, str(tmp_path)).collect()}
+    assert route[1] == route[5] == "audit" and route[9] == "draft" and route[8] == "audit"
+
+
+def test_whole_texts_are_expanded(spark, tmp_path):
+    from tessera.functions import fixed
+
+    texts = ["far behind the first twenty characters stand GI pipes", "xlpe, ms and MS near potable water", "nothing here", None, "ABC abc street lights\nearthing", "glt lt2 HT", "galvanised iron"]
+    rows = [(i, t) for i, t in enumerate(texts * 5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cases = ["XLPE cable", "MS and ms pipe", "street lighting", "gi GI galvanized iron", ""]
+    fence = lambda k: rf"(?<![A-Za-z0-9]){re.escape(k)}(?![A-Za-z0-9])"
+
+    def brute(i, text):
+        q = "\n".join(x for x in (text, cases[i % 5]) if x is not None)
+        found = [v for k, v in fixed.EXPANSIONS.items() if re.search(fence(k), q, re.I)] + [v for k, v in fixed.STRICT_EXPANSIONS.items() if re.search(fence(k), q)] + [v for k, v in fixed.PHRASES.items() if re.search(k, q, re.I)]
+        return " ".join([q, *dict.fromkeys(found)]) if found else q
+
+    got = {r.doc_id: r.expanded for r in registry.QUERIES["query_expansion_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(i, t) for i, t in rows}
