@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, verdicts
-from ..operators import evaluate, graph, resolve, rollup
+from ..operators import evaluate, graph, lookup, resolve, rollup
 from ..sources import tables
 from . import more, retrieval  # noqa: F401 - their SQL
 from .base import SQL, Tables, query
@@ -103,3 +103,10 @@ def query_expansion_all(t: Tables):
     k = F.col("doc_id")
     case = F.when(k % 5 == 0, "XLPE cable").when(k % 5 == 1, "MS and ms pipe").when(k % 5 == 2, "street lighting").when(k % 5 == 3, "gi GI galvanized iron").otherwise("")
     return t.documents.select("doc_id", text.expand(F.concat_ws("\n", "text", case)).alias("expanded"))
+
+
+@query(without("typed_sort", " WHERE place <= 100 OR place > 9 * (SELECT count(*) FROM part) / 10"))
+def typed_sort_all(t: Tables):
+    v = F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string"))
+    rows = t.part.select(F.col("p_partkey").alias("k"), v.alias("v"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).alias("brand"))
+    return lookup.places(rows, [lookup.typed_order(F.col("v"))[0], F.col("brand").asc(), F.col("k").asc()]).select("k", "place")

@@ -99,3 +99,12 @@ def test_whole_texts_are_expanded(spark, tmp_path):
 
     got = {r.doc_id: r.expanded for r in registry.QUERIES["query_expansion_all"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(i, t) for i, t in rows}
+
+
+def test_typed_sort_places_every_row(spark, tmp_path):
+    rng = random.Random(4)
+    parts = [(i, f"Brand#{rng.randrange(30)}", rng.randrange(60)) for i in range(3000)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    order = sorted(parts, key=lambda p: (True, p[1], p[0]) if p[0] % 4 == 0 else (False, p[2], p[0]))
+    got = {r.k: r.place for r in registry.QUERIES["typed_sort_all"](spark, str(tmp_path)).collect()}
+    assert got == {p[0]: i + 1 for i, p in enumerate(order)}
