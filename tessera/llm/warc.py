@@ -1,7 +1,8 @@
-"""WARC archives written and read as a chunked record table.
+"""WARC archives, read as a chunked record table.
 
-Payloads travel as rows of a record's identifier and a chunk number, each with the digest and length of the payload so
-far, so that the last row of a record carries the digest of the whole and no record has to be in memory at once.
+On reading, payloads travel as rows of a record's identifier and a chunk number, each with the digest and length of the payload so
+far, so that the last row of a record carries the digest of the whole and no record has to be in memory at once. Writing
+is not chunked: digests and archives are made of whole html values, so that oversized payloads take memory there.
 Records of equal payloads are written once; the others are revisits that refer to it. Archives hold a gzip member for
 each record; tasks write them to the shared folder, and a table of block ranges, committed by Spark, says what counts, so that
 files of failed or doubled tasks are never read.
