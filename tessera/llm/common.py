@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more than this share of all rows is dealt over SALTS tasks; there are at most 1 / HOT_SHARE such keys.
@@ -40,17 +43,45 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own on a master of one machine."""
     ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_folders: dict[str, SparkSession] = {}
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _erase(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    """Removes what the application has written for itself, when the driver ends."""
+    for path, spark in _folders.items():
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                _erase(spark, path)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The application's part of the shared folder; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    _folders[path] = spark
+    return path
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -58,7 +89,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes tables that written() gave, of which nothing that is still to run reads."""
+    for df in tables:
+        path = _written.pop(df, None)
+        if path:
+            _erase(df.sparkSession, path)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -72,16 +113,17 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, t
     Keys above HOT_SHARE (at most 256, so their list is broadcast) are dealt over SALTS tasks: their rows by
     ``spread``, their group's row to each of them. All other keys go by the key alone. Keys must not be null.
     """
+    warm, salt = (fresh(n, [*rows.columns, *groups.columns]) for n in ("_hot", "_salt"))
     hot = F.col(count) > F.lit(max(1.0, total * HOT_SHARE))
-    hot_keys = F.broadcast(groups.filter(hot).select(*keys, F.lit(True).alias("_hot")))
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    left = rows.join(hot_keys, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
-    right = groups.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    hot_keys = F.broadcast(groups.filter(hot).select(*keys, F.lit(True).alias(warm)))
+    dealt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    left = rows.join(hot_keys, keys, "left").withColumn(salt, F.when(F.col(warm), dealt).otherwise(F.lit(0))).drop(warm)
+    right = groups.withColumn(salt, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, salt], how).drop(salt)
 
 
-#: Rows of an Arrow batch of texts, unless the session names another number than Spark's default.
-BATCH_ROWS = 1000
+#: Rows of texts that a pass works on at a time; also the session's Arrow batch size where the session sets none itself.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _held: tuple[str, object] | None = None
 
 
@@ -100,19 +142,19 @@ def release_cache() -> None:
 
 
 def text_pass(docs: DataFrame, columns: list[Column], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps_cache: bool = False) -> DataFrame:
-    """One Arrow pass over the named columns only, in small batches, as texts may be long.
+    """One Arrow pass over the named columns only; fn gets slices of BATCH_ROWS rows at most, as texts may be long.
 
     Workers serve one operator after another: a pass that has no use for what a former one kept lets it go.
     """
     ship(docs.sparkSession)
     conf = docs.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, str(BATCH_ROWS))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps_cache:
             release_cache()
-        yield from fn(it)
+        yield from fn(part.slice(at, BATCH_ROWS) for part in it for at in range(0, max(1, part.num_rows), BATCH_ROWS))
 
     return docs.select(*columns).mapInArrow(run, schema)
 
@@ -131,3 +173,41 @@ def fresh(name: str, taken: list[str]) -> str:
     while name in taken:
         name = f"_{name}"
     return name
+
+
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """docs as a written table whose rows have numbers of their own, and the name of that column, which docs lacks."""
+    name = fresh("_row", docs.columns)
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
+#: Rows of a key that one task ranks, and copies that one array of exploded() holds.
+RANKED, ARRAY = 1 << 16, 1 << 12
+
+
+def ranked(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Adds the place of each row among those of its key, from 1, in no stated order; ``order`` tells the rows of a key apart.
+
+    A key of many rows is ranked in parts of some RANKED rows, and each part starts behind those before it.
+    """
+    m, part, start, total = (fresh(n, [*rows.columns, name]) for n in ("_m", "_part", "_start", "_total"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(m))
+    n = rows.count()
+    dealt = skew_join(rows, sizes, keys, m, n, F.col(order), "inner").withColumn(part, F.pmod(F.xxhash64(order), F.ceil(F.col(m) / RANKED)))
+    place = F.row_number().over(Window.partitionBy(*keys, part).orderBy(order))
+    parts = dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(total))
+    before = F.coalesce(F.sum(total).over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(*keys, part, before.alias(start))
+    return dealt.withColumn(name, place).join(starts, [*keys, part]).withColumn(name, F.col(name) + F.col(start)).drop(m, part, start)
+
+
+def exploded(rows: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row n times, numbered from 1 in a new column; none for n under 1. No array holds more than ARRAY copies, and
+    where a row has more, its arrays are dealt over the tasks."""
+    top, at = fresh("_top", rows.columns), fresh("_at", rows.columns)
+    rows = rows.withColumn(top, n.cast("long")).filter(F.col(top) > 0)
+    many = rows.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(top) - 1) / ARRAY))))
+    if (rows.agg(F.max(top)).first()[0] or 0) > ARRAY:
+        many = many.repartition(rows.sparkSession.sparkContext.defaultParallelism * 2)
+    first = F.col(at) * ARRAY + 1
+    return many.withColumn(name, F.explode(F.sequence(first, F.least(F.col(top), first + (ARRAY - 1))))).drop(top, at)
