@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, folded, maybe_broadcast, skew_join, text_pass, written
+from .common import batch, exploded, folded, maybe_broadcast, numbered, skew_join, text_pass, written
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1977012337)
@@ -93,16 +93,25 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFrame
     return text_pass(docs, [F.col("doc_id").cast("long"), F.col("text").cast("string")], run, SCHEMA)
 
 
+CHUNKS = pa.schema([("doc_id", pa.int64()), ("is_rep", pa.bool_()), *[(k, pa.int64()) for k in KEY], ("chunk_no", pa.int64()), ("chunk", pa.binary())])
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
-    """A row for each CHUNK bytes of each text; the columns beside the text are carried along."""
+    """A row for each CHUNK bytes of each text (doc_id, is_rep, KEY, text), in batches of some 64 chunks' bytes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in it:
-            for i in range(len(b)):
-                row = b.slice(i, 1)
-                text = folded(row.column("text")[0].as_py())
+            for *row, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "is_rep", *KEY)], b.column("text")):
+                text = folded(text.as_py())
                 for n in range(max(1, -(-len(text) // CHUNK))):
-                    yield pa.RecordBatch.from_arrays([*[row.column(c) for c in ("doc_id", "is_rep", *KEY)], pa.array([n], pa.int64()), pa.array([text[n * CHUNK : (n + 1) * CHUNK]], pa.binary())], names=["doc_id", "is_rep", *KEY, "chunk_no", "chunk"])
+                    held.append((*row, n, text[n * CHUNK : (n + 1) * CHUNK]))
+                    size += 100 + len(held[-1][-1])
+                    if size >= 64 * CHUNK:
+                        yield batch(CHUNKS, **dict(zip(CHUNKS.names, map(list, zip(*held)))))
+                        held, size = [], 0
+        if held:
+            yield batch(CHUNKS, **dict(zip(CHUNKS.names, map(list, zip(*held)))))
 
     return docs.mapInArrow(run, "doc_id long, is_rep boolean, fp_a long, fp_b long, n_bytes long, chunk_no long, chunk binary")
 
@@ -140,17 +149,27 @@ def exact_duplicates(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataF
         found = written(groups(keys).filter("n > 1"), "dedup-groups")
     out = skew_join(once, found.drop("ids"), keys, "n", total, F.col("doc_id"))
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    out = out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", "m").alias("group_size"), "text_sha256", "n_bytes", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("_copy"))
+    out = out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", "m").alias("group_size"), "text_sha256", "n_bytes", "m")
+    if once.agg(F.max("m")).first()[0] not in (None, 1):  # rows that agree in doc_id and text
+        out = exploded(written(out, "dedup-rows"), F.col("m"), "_copy")
+    else:
+        out = out.withColumn("_copy", F.lit(1))
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256", "n_bytes")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    found = written(exact_duplicates(docs), "dedup-found")
-    if found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():  # each doc_id names one row
-        drops = found.filter("not kept").select("doc_id")
+    """The rows of docs that stay, with all their columns. Up to BROADCAST_BYTES of dropped ids no text is shuffled.
+
+    Where doc_ids repeat or are null, rows get numbers, and a group's row of the largest doc_id with the least number stays.
+    """
+    ids = docs.groupBy("doc_id").count()
+    if ids.filter("count > 1 or doc_id is null").isEmpty():  # each doc_id names one row
+        drops = written(exact_duplicates(docs).filter("not kept").select("doc_id"), "dedup-drops")
         return docs.join(maybe_broadcast(drops, drops.count(), 16), "doc_id", "left_anti").select(docs.columns)
-    keep = found.filter("kept").select(F.col("text_sha256").alias("_sha"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id"))
-    key = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    rows = docs.withColumns({"_sha": key, "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))})
-    return rows.join(keep, ["_sha", "_id"], "left_semi").dropDuplicates(["_sha", "_id"]).select(docs.columns)
+    rows, row = numbered(docs, "dedup-numbered")
+    found = exact_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))  # equal texts by row number
+    group = found.select(F.col("doc_id").alias(row), F.col("keep_id").alias("_group"))
+    group = written(group.join(rows.select(row, F.col("doc_id").cast("long").alias("_id")), row), "dedup-grouped")
+    best = group.groupBy("_group").agg(F.max_by(row, F.struct(F.coalesce("_id", F.lit(-(1 << 63))), F.col("_id").isNotNull(), -F.col(row))).alias(row))
+    keep = written(best.select(row), "dedup-kept")
+    return rows.join(maybe_broadcast(keep, keep.count(), 16), row, "left_semi").select(docs.columns)

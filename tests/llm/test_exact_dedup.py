@@ -64,3 +64,21 @@ def test_fingerprints_compose(texts, cut):
                 assert h == slow
         left, right = X.Fingerprints().of([t[:cut], t[cut:]])
         assert X.combine((left[0], len(t[:cut])), (right[0], len(t[cut:]))) == (a, len(t))
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = [(i // 2 if i < 6 else None, f"t{i % 4}", f"sha{i}", f"id{i}", i, f"c{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha string, _id string, _row long, _copy string")
+    kept = X.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted([tuple(r) for r in kept.collect()], key=str)
+    assert set(got) <= set(rows) and sorted(r[1] for r in got) == ["t0", "t1", "t2", "t3"]
+    for r in got:  # the largest doc_id of a text stays
+        assert (r[0] is not None, r[0]) == max((x[0] is not None, x[0]) for x in rows if x[1] == r[1] and x[0] is not None)
+
+
+def test_a_hot_row(spark):
+    docs = spark.range(150_000).selectExpr("cast(null as long) as doc_id", "'same' as text").unionByName(spark.createDataFrame([(5, "Same"), (6, "other")], "doc_id long, text string"))
+    out = X.exact_duplicates(docs)
+    assert [tuple(r) for r in out.groupBy("doc_id", "keep_id", "group_size", "kept").count().orderBy("doc_id").collect()] == [(None, 5, 150_001, False, 150_000), (5, 5, 150_001, True, 1), (6, 6, 1, True, 1)]
+    assert sorted(r.text for r in X.keep_one(docs).collect()) == ["Same", "other"]
