@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WORD, batch, skew_join, written
+from .common import BROADCAST_BYTES, WORD, batch, exploded, fresh, numbered, ranked, skew_join, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -147,13 +147,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; rows equal in doc_id, source and text share their copies."""
-    key = ["_id", "_hash"]
-    named = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    taken = written(named(mix(docs, **options)).withColumnRenamed("row_hash", "_hash").groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "mix-taken")
-    rows = named(docs).withColumn("_hash", F.xxhash64("doc_id", "source", "text"))
-    out = rows.join(taken.filter("_copies > 0"), key)
-    if not taken.filter("_rows > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy(*key).orderBy("_rows"))
-        share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(place <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-        out = out.withColumn("_copies", share).filter("_copies > 0")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    key, hashed, copies, m = (fresh(n, docs.columns) for n in ("_id", "_hash", "_copies", "_rows"))
+    named = lambda df: df.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    taken = named(mix(docs, **options)).withColumnRenamed("row_hash", hashed).groupBy(key, hashed).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(m))
+    taken = written(taken.filter(F.col(copies) > 0), "mix-taken")
+    rows = named(docs).withColumn(hashed, F.xxhash64("doc_id", "source", "text"))
+    if taken.filter(F.col(m) > 1).isEmpty():
+        out = rows.join(taken, [key, hashed])
+    else:  # equal rows get numbers; a key's copies are shared out by place
+        rows, row = numbered(rows, "mix-numbered")
+        place = fresh("_place", rows.columns)
+        each = written(skew_join(rows.select(row, key, hashed), taken, [key, hashed], m, rows.count(), F.col(row), "inner"), "mix-each")
+        more = F.floor(F.col(copies) / F.col(m)) + F.when(F.col(place) <= F.col(copies) % F.col(m), 1).otherwise(0)
+        shared = ranked(each.filter(F.col(m) > 1), [key, hashed], row, place).select(row, more.cast("long").alias(copies))
+        out = rows.join(written(each.filter(F.col(m) == 1).select(row, copies).unionByName(shared), "mix-shares"), row)
+    return exploded(out, F.col(copies), fresh("_n", out.columns)).select(docs.columns)

@@ -81,3 +81,29 @@ def test_mixed_repeats_rows(spark):
     want = sum(r.taken for r in M.mix(df).collect())
     assert sum(len((r.text or "").split()) for r in out.collect()) == want
     assert max(Counter((r.doc_id, r.text) for r in out.collect() if r.text != "same row").values()) <= 2
+
+
+def test_columns_of_the_caller_stay_and_equal_rows_share(spark):
+    rows = [(i % 5 if i % 7 else None, "a b c " * (i % 3), f"s{i % 2}", f"id{i}", i, i, i, i, f"p{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, _hash long, _n long, _copies long, _rows long, _place string")
+    out = M.mixed(df)
+    assert out.columns == df.columns
+    got = Counter(tuple(r) for r in out.collect())
+    assert set(got) <= set(rows)
+    want, mine = Counter(), Counter()
+    for r in M.mix(df).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    for r, n in got.items():
+        mine[r[0], r[2], len(r[1].split())] += n
+    assert mine == +want
+    by = defaultdict(list)  # rows equal in doc_id, source and text differ by one copy at most
+    for r in rows:
+        by[r[:3]].append(got[r])
+    assert all(max(x) - min(x) <= 1 for x in by.values())
+
+
+def test_a_hot_row(spark):
+    df = spark.range(150_000).selectExpr("1L as doc_id", "'a b' as text", "'s' as source", "id as _id").unionByName(spark.createDataFrame([(2, "c " * 400, "t", 7)], "doc_id long, text string, source string, _id long"))
+    out = M.mixed(df)
+    assert out.filter("doc_id = 1").count() * 2 == sum(r.taken for r in M.mix(df).filter("doc_id = 1").selectExpr("sum(taken) as taken").collect())
+    assert out.filter("doc_id = 1").groupBy("_id").count().agg({"count": "max"}).first()[0] <= 2
