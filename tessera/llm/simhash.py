@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, folded, maybe_broadcast, skew_join, text_pass, written
-from .components import components
+from .common import batch, folded, maybe_broadcast, numbered, skew_join, text_pass, written
+from .components import FEW, components
 
 WORDS = 4
 RADIUS = 4
@@ -46,7 +46,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = [0, *(ends[:-words] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64, len(starts))
+    return majority(np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is 1 in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         total += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -180,23 +184,49 @@ def _blocks(n: int, radius: int) -> tuple[list[tuple[int, ...]], list[tuple[int,
     return list(itertools.combinations(range(b), b - radius)), [(x, y - x) for x, y in zip(cuts, cuts[1:])]
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """a, b: links that span the components of n distinct fingerprints (column fp). Exact: no pair within radius is lost."""
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _mask(bits: list[int]) -> int:
+    return _signed(sum(1 << b for b in bits))
+
+
+def buckets(distinct: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """fp, t, k, i, j: the buckets (t, k, i, j) in which each pair within radius of n distinct fingerprints meets.
+
+    A bucket of more than ``tile`` fingerprints is split once more by the pigeonhole: of the bits that its key leaves free,
+    cut into radius + 1 blocks, a pair agrees in one whole block. What is still above the limit is cut into parts, and each
+    pair of parts is a bucket.
+    """
     tables, blocks = _blocks(n, radius)
+    bits_of = [list(range(first, first + size)) for first, size in blocks]
+    fixed = [[x for i in t for x in bits_of[i]] for t in tables]
+    free = [[x for i in range(len(blocks)) if i not in t for x in bits_of[i]] for t in tables]
+    cuts = [[f[round(len(f) * s / (radius + 1)) : round(len(f) * (s + 1) / (radius + 1))] for s in range(radius + 1)] for f in free]
+    at = lambda masks: F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])
+    sizes = lambda rows, keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > tile)
+
+    rows = distinct.select("fp", F.posexplode(at([_mask(b) for b in fixed])).alias("t", "k"))
+    large = written(sizes(rows, ["t", "k"]), "simhash-large")
+    plain = ["fp", F.col("t").cast("long").alias("t"), "k", F.lit(0).alias("i"), F.lit(0).alias("j")]
+    if large.isEmpty():
+        return rows.select(*plain)
+    mark = maybe_broadcast(large, large.count(), 32)
+    small = rows.join(mark, ["t", "k"], "left_anti").select(*plain)
+    again = F.array(*[at([_mask(fixed[t] + c) for c in cuts[t]]) for t in range(len(tables))])
+    inner = rows.join(mark, ["t", "k"], "left_semi").select("fp", "t", F.posexplode(F.element_at(again, F.col("t") + 1)).alias("s", "k"))
+    inner = inner.select("fp", ((F.col("t") + 1) * 16 + F.col("s") + len(tables)).cast("long").alias("t"), "k")
+    still = written(sizes(inner, ["t", "k"]), "simhash-large")
+    inner = inner.join(maybe_broadcast(still, still.count(), 32), ["t", "k"], "left")
+    parts = F.coalesce(F.ceil(F.col("m") / (tile // 2)), F.lit(1)).cast("int")
+    inner = inner.withColumns({"_part": F.pmod(F.xxhash64("fp"), parts).cast("int"), "_other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    return small.unionByName(inner.select("fp", "t", "k", F.least("_part", "_other").alias("i"), F.greatest("_part", "_other").alias("j")))
 
-    def key(table: tuple[int, ...]) -> Column:
-        mask = sum(((1 << bits) - 1) << first for first, bits in (blocks[i] for i in table))
-        return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
-    rows = distinct.select("fp", F.posexplode(F.array(*[key(t) for t in tables])).alias("t", "k"))
-    large = written(rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > tile), "simhash-large")
-    # a bucket above the limit is cut into parts, and each pair of parts becomes a bucket
-    rows = rows.join(maybe_broadcast(large, large.count(), 32), ["t", "k"], "left")
-    parts = F.ceil(F.col("m") / (tile // 2)).cast("int")
-    part = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    other = F.explode(F.when(F.col("m").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.withColumns({"_part": part, "_other": other})
-    rows = rows.select("fp", "t", "k", F.coalesce(F.least("_part", "_other"), F.lit(-1)).alias("i"), F.coalesce(F.greatest("_part", "_other"), F.lit(-1)).alias("j"))
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """a, b: links that span the components of n distinct fingerprints (column fp). Exact: no pair within radius is lost."""
+    rows = buckets(distinct, n, radius, tile)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(rows: np.ndarray) -> pa.RecordBatch:
@@ -226,7 +256,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     rows = written(fingerprints(docs, words), "simhash-rows")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     n, total = distinct.agg(F.count(F.lit(1)), F.sum("n")).first()
-    joined = components(links(distinct, n or 0, radius), "a", "b")
+    joined = components(links(distinct, n or 0, radius), "a", "b", few=FEW)
     # components are named by a fingerprint; documents by the least doc_id of the component
     member = written(distinct.join(joined.withColumnRenamed("node", "fp"), "fp"), "simhash-members")
     least = member.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
@@ -236,11 +266,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component, with all their columns; of rows with that doc_id, one."""
-    found = written(near_duplicates(docs, words, radius), "simhash-found")
-    if found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():  # each doc_id names one row
-        drops = found.filter("doc_id != component_id").select("doc_id")
+    """The rows of docs whose doc_id is the least of their component, with all their columns.
+
+    Where doc_ids repeat or are null, rows get numbers, and the first of a component stays.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():  # each doc_id names one row
+        drops = written(near_duplicates(docs, words, radius).filter("doc_id != component_id").select("doc_id"), "simhash-drops")
         return docs.join(maybe_broadcast(drops, drops.count(), 16), "doc_id", "left_anti").select(docs.columns)
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-numbered")  # else rows get numbers; the first of a component stays
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, radius)
-    return rows.join(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(docs.columns)
+    rows, row = numbered(docs, "simhash-numbered")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, radius)
+    drops = written(found.filter("doc_id != component_id").select(F.col("doc_id").alias(row)), "simhash-drops")
+    return rows.join(maybe_broadcast(drops, drops.count(), 16), row, "left_anti").select(docs.columns)

@@ -130,3 +130,33 @@ def test_odd_tables(spark):
     got = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()), key=str)
     assert got == [(4, 4), (4, 4), (4, 4), (None, 4)]
     assert sorted(r.text for r in S.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == ["a b c d e", "q r s t u v"]
+
+
+def test_a_skewed_bucket_is_split_by_further_blocks(spark):
+    rng = np.random.default_rng(8)
+    low = int(rng.integers(1 << 16))
+    fps = {(int(x) & ~0xFFFF) | low for x in rng.integers(0, 1 << 63, 3000, dtype=np.uint64)}
+    for x in list(fps)[:200]:
+        fps.add(x ^ sum(1 << int(b) for b in rng.choice(np.arange(16, 63), int(rng.integers(1, 5)), replace=False)))
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    rows = S.buckets(df, len(fps), tile=256)
+    assert rows.count() < 12 * len(fps)  # tiles alone: some (3000 / 128) rows for each fingerprint of the bucket
+    label, place = list(range(len(fps))), {x: i for i, x in enumerate(fps)}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in S.links(df, len(fps), tile=256).collect():
+        i, j = sorted((root(place[a]), root(place[b])))
+        label[j] = i
+    assert [root(i) for i in range(len(fps))] == brute_components(fps)
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = [(1, "a b c d e f", "r0"), (1, "a b c d e f", "r1"), (None, "other words than those before", "r2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    out = S.keep_one(df)
+    assert out.columns == df.columns and len(got := [tuple(r) for r in out.collect()]) == 2 and set(got) <= set(rows)
