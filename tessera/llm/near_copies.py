@@ -1,11 +1,12 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, grouped by components.
+"""The pipeline's SimHash stage: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash bits of texts at 0.8 differ in some 10 of 64, too many for pigeonhole blocks; candidates come from seeded minima
-of the shingles instead. BANDS groups of ROWS minima each are keys; a pair at 0.8 shares none of them with probability
-(1 - 0.8^5)^24 = 7e-5, and less above. Of candidates, those that agree in LEAST of the 120 minima are joined to groups (at
-0.8, 96 agree on average, fewer than 72 in one pair of some ten million); each group's texts then meet once, and links are
-pairs whose similarity, counted on the sets themselves, is 0.8 or more. Nothing is left out of a large bucket or group:
-above a limit it is compared tile by tile in many tasks. A task yields a spanning forest of its links.
+Candidates are the links of SimHash fingerprints of the shingles, found and compared bit-sliced as in ``simhash``. Those
+are the closest copies only: at 0.8 fingerprints differ in some 10 of 64 bits, too many for pigeonhole blocks. The other
+candidates come from seeded minima of the shingles: BANDS groups of ROWS minima each are keys; a pair at 0.8 shares none
+of them with probability (1 - 0.8^5)^24 = 7e-5, and less above. Of those, pairs that agree in LEAST of the 120 minima (at
+0.8, 96 agree on average, fewer than 72 in one pair of some ten million) are joined with the links to groups; each group's texts then
+meet once, and near copies are pairs whose similarity, counted on the sets themselves, is 0.8 or more. Nothing is left out
+of a large bucket or group: above a limit it is compared tile by tile in many tasks. A task yields a spanning forest.
 
 Words are those of op9. Fewer words than a shingle's are one shingle; wordless and null texts are copies of each other.
 """
@@ -20,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, folded, maybe_broadcast, skew_join, text_pass, written
-from .components import components
-from .simhash import Forest
+from . import simhash
+from .common import batch, folded, maybe_broadcast, numbered, removed, skew_join, text_pass, written
+from .components import FEW, components
+from .simhash import Forest, majority
 
 WORDS = 5
 BANDS, ROWS = 24, 5
@@ -74,18 +76,27 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-SIGNED = pa.schema([("id", pa.int64()), ("sig", pa.binary())])
+SIGNED = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("sig", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def signed(docs: DataFrame, key: str) -> DataFrame:
-    """id, sig (a byte for each minimum), in one pass without a shuffle."""
+    """id, fp (the SimHash of the shingles), sig (a byte for each minimum), in one pass without a shuffle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield batch(SIGNED, id=b.column(0), sig=[minima(shingles(t.as_py())) for t in b.column(1)])
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            yield batch(SIGNED, id=b.column(0), fp=np.array([majority(x) for x in sets], np.uint64).view(np.int64), sig=[minima(x) for x in sets])
 
-    return text_pass(docs, [F.col(key).cast("long").alias("id"), F.col("text").cast("string")], run, "id long, sig binary")
+    return text_pass(docs, [F.col(key).cast("long").alias("id"), F.col("text").cast("string")], run, "id long, fp long, sig binary")
+
+
+def closest(sigs: DataFrame) -> DataFrame:
+    """a, b: the least ids of fingerprints that SimHash links. Equal fingerprints have their ids linked by their minima."""
+    distinct = written(sigs.groupBy("fp").agg(F.min("id").alias("id")), "near-prints")
+    found = simhash.links(distinct.select("fp"), distinct.count())
+    side = lambda name: distinct.select(F.col("fp").alias(name), F.col("id").alias(f"{name}_id"))
+    return found.join(side("a"), "a").join(side("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def tiled(rows: DataFrame, keys: list[str], tile: int) -> DataFrame:
@@ -172,20 +183,24 @@ def verified(groups: DataFrame, tile: int = GROUP_TILE) -> DataFrame:
 def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """node, component (its least key) of the rows of docs that are similar to another; keys are whole numbers of one row each."""
     sigs = written(signed(docs, key), "near-sigs")
-    near = components(candidates(sigs), "a", "b")
+    near = components(candidates(sigs.select("id", "sig")).unionByName(closest(sigs)), "a", "b", few=FEW)
     near = written(near.select(F.col("node").alias("id"), "component"), "near-groups")
+    removed(sigs)
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     n = near.count()
     member = written(skew_join(near, sizes, ["component"], "m", n, F.col("id"), "inner"), "near-members")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return components(verified(texts.join(maybe_broadcast(member, n, 32), "id")), "a", "b")
+    return components(verified(texts.join(maybe_broadcast(member, n, 32), "id")), "a", "b", few=FEW)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have the least doc_id of their component, with all their columns."""
+    """The rows of docs that have the least doc_id of their component, with all their columns.
+
+    Where doc_ids repeat or are null, rows get numbers, and the first of a component stays.
+    """
     if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():  # each doc_id names one row
         rows, key = docs, "doc_id"
-    else:  # else rows get numbers; the first of a component stays
-        rows, key = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-numbered"), "_row"
+    else:
+        rows, key = numbered(docs, "near-numbered")
     drops = written(near_copies(rows, key).filter("node != component").select(F.col("node").alias(key)), "near-drops")
     return rows.join(maybe_broadcast(drops, drops.count(), 16), key, "left_anti").select(docs.columns)

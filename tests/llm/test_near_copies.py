@@ -54,9 +54,7 @@ def test_pipeline_against_brute_force(spark):
     want = brute(rows)
     df = spark.createDataFrame([(d, t, "en") for d, t in rows], DOCS)
     assert kept(spark, rows) == want and len(want) < len(rows) - 40
-    for name, stage in corpus_pipeline.STAGES:
-        if name.endswith("near_dedup"):
-            df = stage(spark, df, "")
+    df = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, df, "")
     left = [(r.doc_id, grams(r.text)) for r in df.collect()]
     assert not any(5 * len(a & b) >= 4 * len(a | b) for i, (_, a) in enumerate(left) for _, b in left[:i])
 
@@ -74,3 +72,18 @@ def test_odd_tables(spark):
     assert kept(spark, []) == []
     rows = [(None, "a b c d e f", "en"), (4, "A b c d e f", "en"), (4, "q r s t u v", "en")]
     assert sorted(r.text.lower() for r in N.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == ["a b c d e f", "q r s t u v"]
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = [(1, "a b c d e f", "r0"), (1, "A b c d e f", "r1"), (None, "other words that are not alike", "r2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    out = N.keep_one(df)
+    assert out.columns == df.columns and len(got := [tuple(r) for r in out.collect()]) == 2 and set(got) <= set(rows)
+
+
+def test_fingerprint_links_name_ids(spark):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(7, " ".join(words)), (3, " ".join(words[:-1])), (9, "something else altogether, and no more than that"), (5, " ".join(words))]
+    sigs = N.signed(spark.createDataFrame([(d, t, "en") for d, t in rows], DOCS), "doc_id").cache()
+    got = {frozenset(r) for r in N.closest(sigs).collect()}
+    assert got <= {frozenset((3, 5))} and (len({r.fp for r in sigs.collect()}) == 2 or got)

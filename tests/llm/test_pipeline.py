@@ -4,7 +4,9 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from collections import Counter, defaultdict  # noqa: E402
 
-from tessera.llm import exact_dedup, mixing, packing, simhash  # noqa: E402
+from test_near_copies import brute  # noqa: E402
+
+from tessera.llm import exact_dedup, mixing, packing  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -40,8 +42,8 @@ def test_each_stage_takes_effect(spark, tables):
     assert once.columns == columns and {r.doc_id for r in once.collect()} == want
     once = once.cache()
     near = stages["simhash_near_dedup"](spark, once, tables)
-    groups = simhash.near_duplicates(once).collect()
-    assert near.columns == columns and {r.doc_id for r in near.collect()} == {r.component_id for r in groups}
+    want = brute([(r.doc_id, r.text) for r in once.collect()])
+    assert near.columns == columns and sorted(r.doc_id for r in near.collect()) == want
     near = near.cache()
     mix = stages["mix_sources"](spark, near, tables)
     copies = {r.doc_id: r.copies for r in mixing.mix(near).collect()}
@@ -62,3 +64,7 @@ def test_run_and_empty(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_as_agreed():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mix_sources", "best_fit_packing"]
