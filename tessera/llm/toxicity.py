@@ -1,9 +1,12 @@
 """Toxicity by subword bags: embeddings of character n-grams, averaged over a text, under a linear softmax.
 
-Embeddings and softmax are trained together in numpy on a bounded sample of labelled rows. An unseen misspelling
-shares most of its n-grams with the word it comes from, and so its vectors. As averaging and the last layer are linear,
-the trained model is one number for each n-gram bucket; scoring a text averages those numbers, over all of the text.
-A fifth of the sample is kept from training, to calibrate the scores on.
+Embeddings and softmax are trained together in numpy on a bounded sample of labelled rows. Vectors go to the n-grams that
+occur in more toxic than clean texts of the sample, or the other way round, by LEAST_Z standard errors: some thousand.
+Tasks count n-grams and make the bags; what comes to the driver are the counts, a row for each bucket at most, and the
+bags of the chosen n-grams, whatever the length of a text. An unseen misspelling shares most of its n-grams with the word
+it comes from, and so its vectors. As averaging and the last layer are linear, the trained model is one number for each
+n-gram bucket; scoring a text averages those numbers, over all of the text. A fifth of the sample is kept from training,
+to calibrate the scores on.
 
 Defined results: null, empty and letterless texts score as the model's bias alone. Every row gets a score from its text
 only; equal texts score alike. Labels of null, and ids with both labels, are not learned. Without labelled rows of both
@@ -19,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_pass
+from .common import batch, fresh, text_pass, written
 
 BUCKETS = 1 << 18
 DIM = 8
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6)
 #: Most labelled rows that the model is fitted on, the rows with the least hash; and passes over them.
 SAMPLE = 6000
 EPOCHS = 14
-#: Texts, and share of all texts, that an n-gram must occur in to have a vector.
-LEAST_TEXTS, LEAST_SHARE = 3, 0.002
+#: Texts that an n-gram must occur in to have a vector; standard errors between toxic and clean; and n-grams at least.
+LEAST_TEXTS, LEAST_Z, LEAST_GRAMS = 3, 4.0, 512
 #: Least number of gradient steps, so that a small sample is fitted as well.
 STEPS = 400
 THRESHOLD = 0.3
@@ -121,75 +124,144 @@ def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(at[0], 0.01)), float(at[1])
 
 
-def fitted(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """Trains on four fifths of the sample and calibrates on the rest: the number of each bucket, and the bias."""
-    held = np.arange(len(texts)) % 5 == 0
-    numbers, bias = train([t for t, h in zip(texts, held) if not h], toxic[~held])
-    z = np.array([odds(t, numbers) + bias for t, h in zip(texts, held) if h])
-    slope, shift = calibrated(z, toxic[held])
-    return (numbers * slope).astype(np.float32), float(bias * slope + shift)
+def chosen(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Buckets that get vectors, from the number of toxic and clean texts with each bucket, and of such texts in all."""
+    seen = toxic + clean
+    share = seen / max(1, n_toxic + n_clean)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / max(1, n_toxic) + 1 / max(1, n_clean)))
+    z = np.abs(toxic / max(1, n_toxic) - clean / max(1, n_clean)) / error
+    z[seen < LEAST_TEXTS] = 0
+    n = max(LEAST_GRAMS, int((z >= LEAST_Z).sum()))
+    best = np.argsort(-z, kind="stable")[:n]
+    return np.sort(best[z[best] > 0])
 
 
-def train(texts: list[str], toxic: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, seed: int = 7, step: int = 128, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """The number of each bucket, and the bias: log-odds of toxic are bias + the mean of the numbers of a text."""
+class Bags:
+    """The bags of many texts: places of n-grams among the chosen, and their weights; text i has starts[i] to starts[i + 1]."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, starts: np.ndarray):
+        self.ids, self.weights, self.starts = ids, weights, starts
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bags of some texts one after another, and where each begins."""
+        sizes = (self.starts[1:] - self.starts[:-1])[rows]
+        first = np.append(0, np.cumsum(sizes[:-1]))
+        at = np.repeat(self.starts[rows] - first, sizes) + np.arange(sizes.sum())
+        return self.ids[at], self.weights[at], first
+
+
+def gradients(embed: np.ndarray, soft: np.ndarray, bias: np.ndarray, ids: np.ndarray, weights: np.ndarray, first: np.ndarray, onehot: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean cross-entropy of a batch, and its gradients by embeddings, softmax and bias. No bag is empty."""
+    mean = np.add.reduceat(embed[ids] * weights[:, None], first, axis=0)
+    z = mean @ soft + bias
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(axis=1, keepdims=True)
+    g = (p - onehot) / len(onehot)
+    back = g @ soft.T
+    rows = np.repeat(np.arange(len(first)), np.diff([*first, len(ids)]))
+    by_embed = np.stack([np.bincount(ids, weights * back[rows, d], len(embed)) for d in range(embed.shape[1])], axis=1)
+    return float(-np.log(np.maximum((p * onehot).sum(axis=1), 1e-30)).mean()), by_embed, mean.T @ g, g.sum(axis=0)
+
+
+def train(bags: Bags, toxic: np.ndarray, grams: int, dim: int = DIM, epochs: int = EPOCHS, seed: int = 7, step: int = 128, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """The number of each of ``grams`` n-grams, and the bias: log-odds of toxic are bias + the weighted numbers of a text."""
     rng = np.random.default_rng(seed)
-    spread = np.zeros(BUCKETS, np.int32)
-    for t in texts:
-        spread[bag(t)[0]] += 1
-    common = spread >= max(LEAST_TEXTS, len(texts) * LEAST_SHARE)  # an n-gram of a few texts tells those texts apart, not toxicity
-    bags = []
-    for t in texts:
-        ids, w = bag(t)
-        keep = common[ids]
-        bags.append((ids[keep], w[keep]))
-    embed = rng.normal(0, 0.001, (BUCKETS, dim)).astype(np.float32)
+    embed = rng.normal(0, 0.001, (grams, dim)).astype(np.float32)
     soft = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     share = float(np.clip(toxic.mean(), 1e-3, 1 - 1e-3))
     bias = np.log(np.array([1 - share, share], np.float32))
-    memory = [np.full(BUCKETS, 1e-8, np.float32), np.full(soft.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)]
-    scale = 40.0  # means of many vectors are small; one scale for all texts
+    memory = [np.full(grams, 1e-8, np.float32), np.full(soft.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)]
+    scale = np.float32(40.0)  # means of many vectors are small; one scale for all texts
     epochs = max(epochs, -(-STEPS // max(1, -(-len(bags) // step))))
     onehot = np.eye(2, dtype=np.float32)[toxic]
+    filled = np.flatnonzero(np.diff(bags.starts))
     for epoch in range(epochs):
-        order = rng.permutation(len(bags))
-        lr = rate * (1 - epoch / epochs)
+        order = rng.permutation(filled)
+        lr = np.float32(rate * (1 - epoch / epochs))
         for at in range(0, len(order), step):
-            own = [i for i in order[at : at + step].tolist() if len(bags[i][0])]
-            if not own:
-                continue
-            ids = np.concatenate([bags[i][0] for i in own])
-            w = np.concatenate([bags[i][1] for i in own]) * scale
-            first = np.cumsum([0, *[len(bags[i][0]) for i in own[:-1]]])
-            seen, place = np.unique(ids, return_inverse=True)
-            vectors = embed[seen]
-            mean = np.add.reduceat(vectors[place] * w[:, None], first, axis=0)
-            z = mean @ soft + bias
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            g = (p - onehot[own]) / len(own)
-            back = g @ soft.T
-            rows = np.repeat(np.arange(len(own)), np.diff([*first, len(ids)]))
-            grad = np.stack([np.bincount(place, w * back[rows, d], len(seen)) for d in range(dim)], axis=1).astype(np.float32)
-            for value, gradient, kept, where in ((embed, grad, memory[0], seen), (soft, mean.T @ g, memory[1], ...), (bias, g.sum(axis=0), memory[2], ...)):
-                square = (gradient**2).mean(axis=1) if value is embed else gradient**2
-                kept[where] += square
-                move = lr * gradient / (np.sqrt(kept[where])[:, None] if value is embed else np.sqrt(kept[where]))
-                value[where] -= move
-    odds = soft[:, 1] - soft[:, 0]
-    return np.where(common, embed @ odds * scale, 0).astype(np.float32), float(bias[1] - bias[0])
+            own = order[at : at + step]
+            ids, weights, first = bags.of(own)
+            _, by_embed, by_soft, by_bias = gradients(embed, soft, bias, ids, weights * scale, first, onehot[own])
+            memory[0] += (by_embed**2).mean(axis=1)
+            memory[1] += by_soft**2
+            memory[2] += by_bias**2
+            embed -= lr * (by_embed / np.sqrt(memory[0])[:, None]).astype(np.float32)
+            soft -= lr * by_soft / np.sqrt(memory[1])
+            bias -= lr * by_bias / np.sqrt(memory[2])
+    return embed @ (soft[:, 1] - soft[:, 0]) * scale, float(bias[1] - bias[0])
+
+
+def sampled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
+    """h (a hash of the row), y, text: at most ``bound`` labelled ids, those of the least hash, and as many of their rows."""
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("_y")).filter("y = _y")
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("y") > 0).cast("int").alias("y"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = written(rows.select(F.xxhash64("doc_id", "text").alias("h"), "y", "text"), "toxicity-sample")
+    last = rows.select("h").orderBy("h").limit(bound).agg(F.max("h")).first()[0]  # ids that repeat may have more rows
+    return rows.filter(F.col("h") <= F.lit(last))
+
+
+COUNTS = pa.schema([("bucket", pa.int32()), ("toxic", pa.int64()), ("clean", pa.int64())])
+BAGS = pa.schema([("h", pa.int64()), ("y", pa.int32()), ("ids", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, float] | None:
-    """Trains on at most ``bound`` labelled rows, those with the least hash of doc_id; None if a label is missing."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("_y")).filter("y = _y")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked.select("doc_id", "y")), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(bound)
-    got = rows.select("text", F.col("y").cast("int").alias("y")).toArrow()
-    toxic = (got.column("y").to_numpy() > 0).astype(np.int64)
-    if len(set(toxic.tolist())) < 2:
+    """Trains on four fifths of a sample and calibrates on the rest: the number of each bucket, and the bias; None if
+    one of the labels is missing."""
+    rows = sampled(docs, labels, bound)
+    kept = lambda h: h % 5 == 0
+
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, BUCKETS), np.int64)
+        for b in it:
+            for h, y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if not kept(h):
+                    total[y, counts(codes(text.as_py()))[0]] += 1
+        at = np.flatnonzero(total.any(axis=0))
+        yield batch(COUNTS, bucket=at.astype(np.int32), toxic=total[1, at], clean=total[0, at])
+
+    columns = [F.col("h"), F.col("y"), F.col("text")]
+    sizes = {(r.kept, r.y): r.n for r in rows.groupBy((F.pmod("h", F.lit(5)) == 0).alias("kept"), "y").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows at most
+    if not sizes.get((False, 0)) or not sizes.get((False, 1)):
         return None
-    return fitted(got.column("text").to_pylist(), toxic)
+    got = text_pass(rows, columns, spread, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    total = np.zeros((2, BUCKETS), np.int64)
+    for i, name in enumerate(("clean", "toxic")):
+        total[i, got.column("bucket").to_numpy()] = got.column(name).to_numpy()
+    picked = chosen(total[1], total[0], sizes[False, 1], sizes[False, 0])
+
+    def bags(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, weights = [], []
+            for text in b.column(2):
+                all_, w = bag(text.as_py())
+                at = np.searchsorted(picked, all_)
+                own = (at < len(picked)) & (picked[np.minimum(at, len(picked) - 1)] == all_) if len(picked) else np.zeros(len(at), bool)
+                ids.append(at[own].astype(np.int32))
+                weights.append(w[own])
+            yield batch(BAGS, h=b.column(0), y=b.column(1), ids=ids, weights=weights)
+
+    t = text_pass(rows, columns, bags, "h long, y int, ids array<int>, weights array<float>").toArrow().combine_chunks()
+    t = t.take(np.argsort(t.column("h").to_numpy(), kind="stable")).combine_chunks()  # the same order in each run
+    flat = lambda name: t.column(name).combine_chunks().flatten().to_numpy()
+    starts = np.append(0, np.cumsum([len(x) for x in t.column("ids")])).astype(np.int64)
+    held, y = t.column("h").to_numpy() % 5 == 0, t.column("y").to_numpy().astype(np.int64)
+    whole = Bags(flat("ids"), flat("weights"), starts)
+
+    def part(rows: np.ndarray) -> Bags:
+        ids, weights, first = whole.of(rows)
+        return Bags(ids, weights, np.append(first, len(ids)) if len(rows) else np.zeros(1, np.int64))
+
+    numbers, bias = train(part(np.flatnonzero(~held)), y[~held], len(picked))
+    z = np.array([float((numbers[whole.ids[a:b]] * whole.weights[a:b]).sum(dtype=np.float64)) + bias for a, b, h in zip(starts, starts[1:], held) if h])
+    slope, shift = calibrated(z, y[held])
+    out = np.zeros(BUCKETS, np.float32)
+    out[picked] = numbers * slope
+    return out, float(bias * slope + shift)
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float] | None, columns: list[str]) -> DataFrame:

@@ -72,3 +72,74 @@ def test_odd_tables(spark):
     assert [r.score for r in T.scores(docs, None, ["doc_id"]).collect()] == [0.0] * 3
     assert T.scores(docs.limit(0), None, ["doc_id"]).collect() == []
     assert T.keep_clean(docs, none).count() == 3
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(5)
+    embed, soft, bias = rng.normal(size=(6, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    bags = [([0, 2, 5], [0.2, 0.5, 0.3]), ([2], [1.0]), ([1, 2, 3, 4], [0.1, 0.2, 0.3, 0.4])]
+    ids, weights = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    first, onehot = np.array([0, 3, 4]), np.eye(2)[[1, 0, 1]]
+
+    def loss(e, s, b):
+        total = 0.0
+        for (at, w), y in zip(bags, (1, 0, 1)):
+            z = sum(e[i] * x for i, x in zip(at, w)) @ s + b
+            total -= z[y] - np.log(np.exp(z).sum())
+        return total / 3
+
+    value, *grads = T.gradients(embed, soft, bias, ids, weights, first, onehot)
+    assert value == pytest.approx(loss(embed, soft, bias))
+    for k, g in enumerate(grads):
+        for at in np.ndindex(g.shape):
+            up, down = [x.copy() for x in (embed, soft, bias)], [x.copy() for x in (embed, soft, bias)]
+            up[k][at] += 1e-6
+            down[k][at] -= 1e-6
+            assert g[at] == pytest.approx((loss(*up) - loss(*down)) / 2e-6, abs=1e-6)
+
+
+def test_scores_against_plain_loops(spark):
+    rng = np.random.default_rng(2)
+    numbers = rng.normal(size=T.BUCKETS).astype(np.float32)
+
+    def bucket(gram):
+        h = ord(gram[0]) * 2654435761 % 2**32
+        for c in gram[1:]:
+            h = (h ^ ord(c)) * 16777619 % 2**32
+            h ^= h >> 15
+        return h % T.BUCKETS
+
+    def plain(text):
+        n = {}
+        for word in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split():
+            fenced = f" {word} "
+            for size in T.GRAMS:
+                for i in range(len(fenced) - size + 1):
+                    b = bucket(fenced[i : i + size])
+                    n[b] = n.get(b, 0) + 1
+        whole = sum(x**0.5 for x in n.values())
+        return sum(numbers[b] * x**0.5 for b, x in n.items()) / whole if n else 0.0
+
+    texts = ["Some words, some other words", "élan vital 12", "", None, "a b", "one " * 50]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.score for r in T.scores(docs, (numbers, -0.5), ["doc_id"]).collect()}
+    assert got == {i: pytest.approx(1 / (1 + np.exp(0.5 - plain(t))), rel=1e-4) for i, t in enumerate(texts)}
+
+
+def test_chosen_grams():
+    toxic, clean = np.array([0, 40, 30, 2, 5]), np.array([0, 1, 60, 0, 10])
+    z = lambda a, b: abs(a / 50 - b / 100) / np.sqrt((a + b) / 150 * (1 - (a + b) / 150) * (1 / 50 + 1 / 100))
+    assert z(40, 1) > T.LEAST_Z > max(z(30, 60), z(5, 10))
+    T.LEAST_GRAMS, kept = 0, T.LEAST_GRAMS
+    try:
+        assert T.chosen(toxic, clean, 50, 100).tolist() == [1]
+    finally:
+        T.LEAST_GRAMS = kept
+
+
+def test_rows_of_repeated_ids_stay_within_the_bound(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}", "c", 1.0, "en") for i in range(300)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(3)], LABELS)
+    rows = T.sampled(docs, labels, 50)
+    assert rows.count() == 50 and T.sampled(docs.limit(0), labels, 50).count() == 0
+    assert T.fit(docs, labels, 50) is not None
