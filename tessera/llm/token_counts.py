@@ -1,8 +1,11 @@
-"""Token counts that follow edits: a segment tree over the pre-tokens of each document.
+"""Token counts that follow edits: a segment tree over the pre-tokens of each document, kept as a table.
 
-Leaves hold runs of pre-tokens with their characters and token counts; inner nodes hold sums. An edit finds its leaf by
-descending over character sums, re-encodes from a boundary that the edit can't move to the first old leaf boundary
-behind it at which the pre-tokens fall in step again, and updates the sums above the leaves that changed.
+Leaves hold runs of pre-tokens with their characters and token counts; inner nodes hold sums. ``token_trees`` tokenises
+each document once and gives a table of texts and leaves. ``revised`` takes that table and edits, re-encodes only what the
+edits touch, and gives the table anew, so that a chain of revisions never tokenises a document again. An edit finds its
+leaf by descending over character sums, re-encodes from a boundary that the edit can't move to the first old leaf boundary
+behind it at which the pre-tokens fall in step again, and updates the sums above the leaves that changed; a leaf that grows
+beyond two leaves' pre-tokens is split.
 
 Defined results: null text counts as empty, with 0 tokens. Positions are code points; edits outside of the text are
 clipped to it; edits of null do nothing. Strings of special tokens count as ordinary text. Rows are counted one by one,
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, text_pass, worker_cache
+from .common import batch, text_pass, worker_cache, written
 from .tokens import byte_level, load, pre_tokens
 
 #: Pre-tokens of a leaf.
@@ -59,23 +62,40 @@ class Counter:
 class TokenTree:
     """A document as leaves of pre-tokens under a binary tree of character and token sums."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, chars: np.ndarray | None = None, tokens: np.ndarray | None = None):
+        """Of a text alone, which is tokenised, or with the characters and tokens of its leaves as kept before."""
         self.counter, self.reencoded = counter, 0
-        tokens = pre_tokens().findall(text)
-        starts = list(range(0, len(tokens), LEAF)) or [0]
-        self.texts = ["".join(tokens[a : a + LEAF]) for a in starts]
-        self.size = 1 << max(0, len(starts) - 1).bit_length()
-        self.chars = np.zeros(2 * self.size, np.int64)
-        self.tokens = np.zeros(2 * self.size, np.int64)
-        self.chars[self.size : self.size + len(starts)] = [len(t) for t in self.texts]
-        if tokens:
-            self.tokens[self.size : self.size + len(starts)] = np.add.reduceat(np.array(counter.counts(tokens), np.int64), starts)
+        if chars is None:
+            found = pre_tokens().findall(text)
+            self._build(*self._leaves(found))
+        else:
+            ends = np.cumsum(chars).tolist()
+            self._build([text[a:b] for a, b in zip([0, *ends], ends)], list(tokens))
+
+    def _leaves(self, found: list[str]) -> tuple[list[str], list[int]]:
+        """Texts and token counts of the leaves of these pre-tokens; one empty leaf of none."""
+        starts = list(range(0, len(found), LEAF)) or [0]
+        tokens = np.add.reduceat(np.array(self.counter.counts(found), np.int64), starts).tolist() if found else [0]
+        return ["".join(found[a : a + LEAF]) for a in starts], tokens
+
+    def _build(self, texts: list[str], tokens: list[int]) -> None:
+        self.texts = texts or [""]
+        self.size = 1 << max(0, len(self.texts) - 1).bit_length()
+        self.chars, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
+        self.chars[self.size : self.size + len(self.texts)] = [len(t) for t in self.texts]
+        self.tokens[self.size : self.size + len(tokens)] = tokens
         for tree in (self.chars, self.tokens):
             at = self.size
             while at > 1:  # a level from the one below
                 tree[at // 2 : at] = tree[at : 2 * at : 2] + tree[at + 1 : 2 * at : 2]
                 at //= 2
 
+    @property
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of the leaves that aren't empty."""
+        chars, tokens = (t[self.size : self.size + len(self.texts)] for t in (self.chars, self.tokens))
+        return chars[chars > 0], tokens[chars > 0]
+
     @property
     def n_tokens(self) -> int:
         return int(self.tokens[1])
@@ -135,41 +155,82 @@ class TokenTree:
             last += 1
             new += self.texts[last]
         self.reencoded += len(new)
-        self._put(first, new, sum(self.counter.counts(found)))
-        for leaf in range(first + 1, last + 1):
-            self._put(leaf, "", 0)
+        texts, counts = self._leaves(found) if len(found) > 2 * LEAF else ([new], [sum(self.counter.counts(found))])
+        if len(texts) > last + 1 - first:  # more leaves than there were: the tree over the leaves is laid out anew
+            kept = self.tokens[self.size : self.size + len(self.texts)].tolist()
+            self._build(self.texts[:first] + texts + self.texts[last + 1 :], kept[:first] + counts + kept[last + 1 :])
+        else:
+            for leaf in range(first, last + 1):
+                n = leaf - first
+                self._put(leaf, *((texts[n], counts[n]) if n < len(texts) else ("", 0)))
         return self.n_tokens
 
 
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int32()), ("chars_after", pa.int64()), ("tokens_after", pa.int64()), ("chars_reencoded", pa.int64())])
+TREES = "doc_id long, text string, n_chars long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
+TREE = [("doc_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("leaf_chars", pa.list_(pa.int32())), ("leaf_tokens", pa.list_(pa.int32()))]
+ARROW = pa.schema(TREE)
+REVISED = pa.schema([*TREE, ("n_edits", pa.int32()), ("chars_reencoded", pa.int64()), ("chars_before", pa.int64()), ("tokens_before", pa.int64())])
 
 
-def edited_counts(docs: DataFrame, edits: Column, vocabulary: str | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, n_chars, n_tokens, n_edits, chars_after, tokens_after, chars_reencoded.
+def _row(doc: int | None, tree: TokenTree) -> tuple:
+    chars, tokens = tree.leaves
+    return doc, tree.text, int(tree.chars[1]), tree.n_tokens, chars.astype(np.int32), tokens.astype(np.int32)
+
+
+def _batches(schema: pa.Schema, b: pa.RecordBatch, row_of) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(b), 256):
+        rows = [row_of(*x) for x in zip(*b.slice(at, 256).columns)]
+        yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
+
+
+def token_trees(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, text, n_chars, n_tokens, and characters and tokens of the tree's leaves."""
+    path = vocabulary or default_vocabulary()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = worker_cache(f"counter {path}", lambda: Counter(path))
+        for b in it:
+            yield from _batches(ARROW, b, lambda doc, text: _row(doc.as_py(), TokenTree(text.as_py() or "", counter)))
+
+    return text_pass(docs, [F.col("doc_id").cast("long"), F.col("text").cast("string")], run, TREES, keeps_cache=True)
+
 
-    edits: array of (position long, delete long, insert string), applied in order, each to the text as it then is.
+def revised(trees: DataFrame, edits: Column, vocabulary: str | None = None) -> DataFrame:
+    """The trees of the edited texts; and n_edits, chars_reencoded, chars_before, tokens_before.
+
+    trees: a table of token_trees() or revised(). edits: array of (position long, delete long, insert string), applied in
+    order, each to the text as it then is. A document without edits is not tokenised at all.
     """
     path = vocabulary or default_vocabulary()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_cache(f"counter {path}", lambda: Counter(path))
+
+        def row_of(doc, text, chars, tokens, changes) -> tuple:
+            tree = TokenTree(text.as_py() or "", counter, chars.values.to_numpy(), tokens.values.to_numpy())
+            before, n = (int(tree.chars[1]), tree.n_tokens), 0
+            for c in changes.as_py() or ():
+                if c is not None and c["position"] is not None:
+                    tree.edit(c["position"], c["delete"] or 0, c["insert"] or "")
+                    n += 1
+            return (*_row(doc.as_py(), tree), n, tree.reencoded, *before)
+
         for b in it:
-            for at in range(0, len(b), 512):
-                out: dict[str, list] = {n: [] for n in ARROW.names}
-                part = b.slice(at, 512)
-                for doc, text, changes in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
-                    tree = TokenTree(text.as_py() or "", counter)
-                    row = [doc, int(tree.chars[1]), tree.n_tokens, 0]
-                    for c in changes or ():
-                        if c is not None and c["position"] is not None:
-                            tree.edit(c["position"], c["delete"] or 0, c["insert"] or "")
-                            row[3] += 1
-                    for k, v in zip(ARROW.names, (*row, int(tree.chars[1]), tree.n_tokens, tree.reencoded)):
-                        out[k].append(v)
-                yield batch(ARROW, **out)
+            yield from _batches(REVISED, b, row_of)
 
     kind = "array<struct<position:long,delete:long,insert:string>>"
-    return text_pass(docs, [F.col("doc_id").cast("long"), F.col("text").cast("string"), edits.cast(kind).alias("edits")], run, "doc_id long, n_chars long, n_tokens long, n_edits int, chars_after long, tokens_after long, chars_reencoded long", keeps_cache=True)
+    columns = [F.col("doc_id"), F.col("text"), F.col("leaf_chars"), F.col("leaf_tokens"), edits.cast(kind).alias("edits")]
+    return text_pass(trees, columns, run, f"{TREES}, n_edits int, chars_reencoded long, chars_before long, tokens_before long", keeps_cache=True)
+
+
+def edited_counts(docs: DataFrame, edits: Column, vocabulary: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_chars, n_tokens, n_edits, chars_after, tokens_after, chars_reencoded.
+
+    The trees are a written table; the edits (an expression of the text) work on that table alone.
+    """
+    trees = written(token_trees(docs, vocabulary), "token-trees")
+    out = revised(trees, edits, vocabulary)
+    return out.select("doc_id", F.col("chars_before").alias("n_chars"), F.col("tokens_before").alias("n_tokens"), "n_edits", F.col("n_chars").alias("chars_after"), F.col("n_tokens").alias("tokens_after"), "chars_reencoded")
 
 
 def revision(text: Column) -> Column:
