@@ -6,7 +6,9 @@ languages with the largest proportions are refitted, and the set with the best l
 half a logarithm of the trigrams for each proportion is chosen (BIC). The language of the largest proportion is the prediction.
 
 Defined results: null texts, texts without a letter, and all texts where nothing was learned are ``und`` with score 0.
-Ties go to the first language in order. Rows are judged one by one; extra columns are not read.
+Ties go to the first language in order. Rows are judged one by one; extra columns are not read. Texts are worked on so many
+at a time that a matrix of trigrams by languages has CELLS cells at most, or is one text's; more than LANGS languages are
+refused, as the model is held whole.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ ROUNDS, REFIT = 8, 6
 #: Characters that a pass holds at a time; texts are counted in pieces of this length with an overlap of two.
 SPAN = 1 << 17
 
+#: Cells of a matrix of trigrams by languages; and languages that a model may have.
+CELLS, LANGS = 1 << 21, 256
+
 _kind: np.ndarray | None = None
 
 
@@ -84,6 +89,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield batch(COUNTS, lang=[lang] * len(at), bucket=at.astype(np.int32), n=counts[at])
 
     seen = docs.filter("lang is not null and text is not null")
+    if seen.select("lang").distinct().limit(LANGS + 1).count() > LANGS:
+        raise ValueError(f"more than {LANGS} languages")
     got = text_pass(seen, [F.col("lang").cast("string"), F.col("text").cast("string")], run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((len(langs), BUCKETS))
@@ -104,8 +111,14 @@ def _em(like: np.ndarray, n: np.ndarray, first: np.ndarray, owner: np.ndarray, s
     return share, np.add.reduceat(fit, first)
 
 
-def mixtures(bags: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray) -> np.ndarray:
+def mixtures(bags: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray, cells: int = CELLS) -> np.ndarray:
     """Proportions (texts x languages) under the chosen language set of each text; every bag holds something."""
+    ends = np.cumsum([len(b[0]) for b in bags]) * len(logs) // cells  # texts whose trigrams end in the same stretch go together
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(bags)]
+    return np.concatenate([_mixtures(bags[a:b], logs) for a, b in zip(cuts, cuts[1:])])
+
+
+def _mixtures(bags: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray) -> np.ndarray:
     langs = len(logs)
     out = np.zeros((len(bags), langs))
     ids = np.concatenate([b[0] for b in bags])

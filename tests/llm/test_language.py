@@ -85,3 +85,17 @@ def test_odd_texts(spark, model):
     long = "schver " * 50_000
     a, n = L.trigrams(long)
     assert n.sum() == 6 * 50_000
+
+
+def test_small_matrices_give_the_same(model):
+    langs, logs = model
+    bags = [L.trigrams(t) for t in ("some words of one kind", "andere Wörter einer Art", "a", "more words " * 50, "noch mehr Wörter")]
+    whole = L.mixtures(bags, logs)
+    for cells in (1, 40, 200):
+        assert np.allclose(L.mixtures(bags, logs, cells), whole)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGS", 2)
+    with pytest.raises(ValueError):
+        L.learn(spark.createDataFrame([("text", x) for x in "abc"], "text string, lang string"))
