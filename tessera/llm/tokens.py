@@ -48,9 +48,13 @@ class PieceCache:
         got = self.old.get(piece)
         if got is None:
             got = self.split(piece)
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, _Young(self)
+        return self.keep(piece, got)
+
+    def keep(self, piece: str, got: bytes) -> bytes:
+        """Remembers the ids of a piece of 64 characters at most."""
         if len(piece) <= 64:
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, _Young(self)
             self.young[piece] = got
         return got
 
@@ -84,8 +88,7 @@ class WordEnds(PieceCache):
     def ids_of_word(self, low: str) -> bytes:
         got = dict.get(self.young, low) or dict.get(self.old, low)
         if got is None:
-            got = array("I", [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else byte_level(low))]).tobytes()
-            self.young[low] = got
+            got = self.keep(low, array("I", [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else byte_level(low))]).tobytes())
         return got
 
     def split(self, piece: str) -> bytes:
