@@ -28,8 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .common import batch, new_path, text_pass
 
 WIDTH = 64
-#: Bytes of an archive file, of a planned range, and of a batch.
-FILE, RANGE, BATCH = 256 << 20, 8 << 20, 4 << 20
+#: Bytes and members of an archive file; least and most bytes of a planned range; bytes of a batch.
+FILE, MEMBERS_MOST, RANGES, BATCH = 1 << 30, 1 << 18, (8 << 20, 1 << 30), 4 << 20
 TRIES = 3
 MAGIC = b"TESSERA1"
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -131,7 +131,12 @@ class Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
-def planned(listed: pa.Table, size: int = RANGE) -> list[Range]:
+def range_size(total: int, tasks: int) -> int:
+    """Bytes of a range: some for each of ``tasks``, between the bounds of RANGES, so that the driver plans few of them."""
+    return min(max(total // max(1, tasks), RANGES[0]), RANGES[1])
+
+
+def planned(listed: pa.Table, size: int = RANGES[0]) -> list[Range]:
     """Byte ranges over the archives of a manifest; together they hold each member's first byte once."""
     out = []
     for path, n in zip(listed.column("path").to_pylist(), listed.column("members_bytes").to_pylist()):
@@ -192,7 +197,9 @@ class MediaReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, at = pa.fs.FileSystem.from_uri(self.options["manifest"])
         listed = pa.parquet.read_table(at, filesystem=fs, schema=ARCHIVES)
-        return planned(listed, int(self.options.get("range_bytes", RANGE))) or [Range("", 0, 0)]
+        total = sum(listed.column("members_bytes").to_pylist())
+        size = int(self.options.get("range_bytes", 0)) or range_size(total, int(self.options.get("tasks", 64)))
+        return planned(listed, size) or [Range("", 0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.path:
@@ -236,7 +243,7 @@ def write_archives(docs: DataFrame, folder: str) -> str:
                 text = text.as_py()
                 payload = payload_of(text)
                 out.add(doc_id, len(text.encode("utf-8", "surrogatepass")) if text else 0, encode_png(payload))
-                if out.at >= FILE:
+                if out.at >= FILE or len(out.rows["offset"]) >= MEMBERS_MOST:
                     close()
         close()
         yield batch(ARCHIVES, **(dict(zip(ARCHIVES.names, map(list, zip(*done)))) if done else {n: [] for n in ARCHIVES.names}))
@@ -246,9 +253,10 @@ def write_archives(docs: DataFrame, folder: str) -> str:
     return manifest
 
 
-def read_archives(spark: SparkSession, manifest: str, range_bytes: int = RANGE) -> DataFrame:
+def read_archives(spark: SparkSession, manifest: str, range_bytes: int = 0) -> DataFrame:
+    """The members of all archives of a manifest; without range_bytes, ranges are sized by the archives and the cores."""
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").option("manifest", manifest).option("range_bytes", str(range_bytes)).load()
+    return spark.read.format("media_archives").option("manifest", manifest).option("range_bytes", str(range_bytes)).option("tasks", str(4 * spark.sparkContext.defaultParallelism)).load()
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])

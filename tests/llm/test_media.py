@@ -101,3 +101,18 @@ def test_lasting_damage_is_an_error(spark, tmp_path):
     path.write_bytes(bytes(data))
     with pytest.raises(ValueError, match="checksum"):
         list(M.read_range(M.planned(listed)[0]))
+
+
+def test_ranges_follow_bytes_and_cores(spark, tmp_path, monkeypatch):
+    assert [M.range_size(n, 24) for n in (0, 100 << 20, 24 << 27, 100 << 40)] == [8 << 20, 8 << 20, 1 << 27, 1 << 30]
+    monkeypatch.setattr(M, "MEMBERS_MOST", 7)  # archives are closed at so many members, however small
+    folder = tmp_path / "store"
+    text = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    writer = M.ArchiveWriter(pa.fs.LocalFileSystem(), str(tmp_path / "one"))
+    for i in range(3):
+        writer.add(i, 1, b"x")
+    writer.close()
+    with open(tmp_path / "one", "rb") as f:
+        assert M.read_directory(f, (tmp_path / "one").stat().st_size).num_rows == 3
+    manifest = M.write_archives(text, f"file://{folder}")
+    assert sorted(r.doc_id for r in M.read_archives(spark, manifest).collect()) == list(range(20))
