@@ -1,8 +1,9 @@
-"""WARC archives, read as a chunked record table.
+"""WARC archives as a chunked record table, written and read chunk by chunk.
 
-On reading, payloads travel as rows of a record's identifier and a chunk number, each with the digest and length of the payload so
-far, so that the last row of a record carries the digest of the whole and no record has to be in memory at once. Writing
-is not chunked: digests and archives are made of whole html values, so that oversized payloads take memory there.
+Payloads travel as rows of a record's identifier and a chunk number. On writing, a record's chunks go one after another
+into its gzip member, and the digest carried along must be the one in its header when the last has passed. On reading,
+each row has the digest and length of the payload so far, so that the last row of a record carries the digest of the
+whole. No Python worker and no Arrow batch holds a whole record; the JVM does, once, as html is one cell of its table.
 Records of equal payloads are written once; the others are revisits that refer to it. Archives hold a gzip member for
 each record; tasks write them to the shared folder, and a table of block ranges, committed by Spark, says what counts, so that
 files of failed or doubled tasks are never read.
@@ -23,13 +24,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, maybe_broadcast, new_path, skew_join, text_pass, written
+from .common import batch, maybe_broadcast, new_path, numbered, skew_join, text_pass, written
 
-#: Bytes of a chunk; compressed bytes of a block, which one task reads; and of an archive file.
-CHUNK, BLOCK, FILE = 1 << 18, 8 << 20, 256 << 20
+#: Bytes of a chunk; compressed bytes of a block, and of an archive file; most bytes of the blocks that one task reads.
+CHUNK, BLOCK, FILE, TASK = 1 << 18, 8 << 20, 256 << 20, 256 << 20
 KEY = ["payload_sha256", "payload_bytes"]
 
 
@@ -55,11 +56,17 @@ def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     found = written(skew_join(once, groups, KEY, "n", total, F.col("page_id"), "inner"), "warc-revisits")
     n = found.count()
     back = maybe_broadcast(found.select(F.coalesce("page_id", F.lit(-1)).alias("_id"), F.col("page_id").isNull().alias("_null"), *KEY, "response_id", "m"), n, 120)
+    repeated = not found.filter(first_of(found) & (F.col("m") > 1)).isEmpty()
+    row = "_row"
+    if repeated:  # rows that share page_id and payload: one of them is the response
+        rows, row = numbered(rows, "warc-numbered")
     out = rows.withColumns({"_id": F.coalesce("page_id", F.lit(-1)), "_null": F.col("page_id").isNull()}).join(back, ["_id", "_null", *KEY], "left")
     first = F.col("page_id").eqNullSafe(F.col("response_id"))
-    if not found.filter(first_of(found) & (F.col("m") > 1)).isEmpty():  # rows that share page_id and payload: one is the response
-        place = F.row_number().over(Window.partitionBy("_id", "_null", *KEY).orderBy("url"))
-        first = first & (place == 1)
+    if repeated:
+        ones = out.filter(first & (F.col("m") > 1)).groupBy("_id", "_null", *KEY).agg(F.min(row).alias(row))
+        ones = written(ones.select(row, F.lit(True).alias("_one")), "warc-ones")
+        out = out.join(maybe_broadcast(ones, ones.count(), 16), row, "left")
+        first = first & ((F.col("m") == 1) | F.coalesce("_one", F.lit(False)))
     revisit = F.col("m").isNotNull() & ~first
     return out.select("page_id", "url", "html", *KEY, "payload_sha1", revisit.alias("revisit"), F.when(revisit, F.col("response_id")).alias("refers_to_id"))
 
@@ -68,11 +75,15 @@ def first_of(found: DataFrame):
     return found["page_id"].eqNullSafe(found["response_id"])
 
 
-def chunks(payload: pa.Scalar, size: int = CHUNK) -> Iterator[memoryview]:
-    """The payload's UTF-8 bytes in pieces that share Arrow's memory."""
-    data = memoryview(payload.as_buffer()) if payload.is_valid else memoryview(b"")
-    for at in range(0, max(1, len(data)), size):
-        yield data[at : at + size]
+def chunk_rows(planned_rows: DataFrame, size: int = CHUNK) -> DataFrame:
+    """page_id, url, payload_bytes, payload_sha1, revisit, refers_to_id, chunk_no, last, chunk: a row for each ``size`` bytes of
+    each payload, in order within a task; one empty chunk for revisits and empty payloads."""
+    body = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("html").cast("binary"))
+    n = lambda b: F.greatest(F.lit(1), F.ceil(F.octet_length(b) / size)).cast("int")
+    cut = lambda b: F.transform(F.sequence(F.lit(0), n(b) - 1), lambda i: F.struct((i == n(b) - 1).alias("last"), F.substring(b, i * size + 1, F.lit(size)).alias("chunk")))
+    pieces = F.get(F.transform(F.array(body), cut), 0)  # the payload's bytes are made once
+    rows = planned_rows.select("page_id", "url", "payload_bytes", "payload_sha1", "revisit", "refers_to_id", F.posexplode(pieces).alias("chunk_no", "x"))
+    return rows.select("page_id", "url", "payload_bytes", "payload_sha1", "revisit", "refers_to_id", "chunk_no", "x.last", "x.chunk")
 
 
 def _uri(page_id: int | None) -> str:
@@ -102,7 +113,7 @@ def write_archives(planned_rows: DataFrame, folder: str, level: int = 1) -> Data
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        out, path, at, done, start, records = None, "", 0, [], 0, 0
+        out, path, at, done, start, records, z, digest = None, "", 0, [], 0, 0, None, None
 
         def close() -> None:
             nonlocal out, start, records
@@ -112,17 +123,28 @@ def write_archives(planned_rows: DataFrame, folder: str, level: int = 1) -> Data
                 out.close()
                 out, start, records = None, 0, 0
 
+        def put(part: bytes | memoryview) -> None:
+            nonlocal at
+            got = z.compress(part)
+            at += len(got)
+            out.write(got)
+
         for b in it:
-            for page, url, n, sha1, revisit, refers, payload in zip(*[c.to_pylist() for c in b.columns[:-1]], b.column(b.num_columns - 1)):
+            for page, url, n, sha1, revisit, refers, number, last, chunk in zip(*[c.to_pylist() for c in b.columns[:-1]], b.column(b.num_columns - 1)):
                 if out is None:
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     path, out = f"{folder}/{name}", fs.open_output_stream(f"{base}/{name}", compression=None)
-                z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                parts = [record_head(page, url, n, base32(sha1), revisit, refers)]
-                for part in (*parts, *(() if revisit else chunks(payload)), b"\r\n\r\n"):
-                    got = z.compress(part)
-                    at += len(got)
-                    out.write(got)
+                if number == 0:
+                    z, digest = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1()
+                    put(record_head(page, url, n, base32(sha1), revisit, refers))
+                data = memoryview(chunk.as_buffer())
+                digest.update(data)
+                put(data)
+                if not last:
+                    continue
+                if not revisit and digest.hexdigest() != sha1:
+                    raise ValueError(f"page {page}: the chunks' digest is {digest.hexdigest()}, not {sha1}")
+                put(b"\r\n\r\n")
                 got = z.flush()
                 at += len(got)
                 out.write(got)
@@ -135,7 +157,7 @@ def write_archives(planned_rows: DataFrame, folder: str, level: int = 1) -> Data
         close()
         yield batch(BLOCKS, **dict(zip(BLOCKS.names, map(list, zip(*done)))) if done else {n: [] for n in BLOCKS.names})
 
-    rows = text_pass(planned_rows, ["page_id", "url", "payload_bytes", "payload_sha1", "revisit", "refers_to_id", "html"], run, "path string, start long, length long, records long")
+    rows = text_pass(chunk_rows(planned_rows), ["*"], run, "path string, start long, length long, records long")
     return written(rows, "warc-blocks")
 
 
@@ -250,7 +272,9 @@ def read_archives(blocks: DataFrame, tries: int = 3) -> DataFrame:
                         if attempt == tries - 1:
                             raise
 
-    n = max(1, blocks.count())
+    n, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(n, max(4 * cores, -(-total // TASK))))  # blocks of TASK bytes at most to a task, but some tasks for each core
     schema = "page_id long, record_type string, refers_to long, chunk_no long, last boolean, chunk binary, bytes_so_far long, sha1_so_far string"
     return blocks.select("path", "start", "length").repartition(n).mapInArrow(run, schema)
 

@@ -83,3 +83,27 @@ def test_blocks_and_damage(spark, monkeypatch, tmp_path):
     path.write_bytes(raw[: len(raw) // 2])
     with pytest.raises(Exception):
         W.read_archives(blocks).collect()
+
+
+def test_payloads_travel_in_chunks(spark):
+    rows = [(1, "http://a/1", "é" * 700), (2, "http://a/2", None), (3, "http://a/3", "x" * 64), (4, "http://a/4", "é" * 700)]
+    got = W.chunk_rows(W.planned(table(spark, rows)), size=64).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.page_id, []).append(r)
+    assert {i: b"".join(bytes(r.chunk) for r in sorted(x, key=lambda r: r.chunk_no)) for i, x in by.items()} == {1: b"", 2: b"", 3: b"x" * 64, 4: ("é" * 700).encode()}
+    assert max(len(r.chunk) for r in got) == 64 and [r.last for r in by[4]] == [False] * 21 + [True] and [r.revisit for r in by[1]] == [True]
+
+
+def test_a_wrong_digest_is_not_written(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    wrong = W.planned(table(spark, [(1, "http://a/1", "text")])).withColumn("payload_sha1", F.lit("0" * 40))
+    with pytest.raises(Exception, match="digest"):
+        W.write_archives(wrong, f"file://{tmp_path}/archive")
+
+
+def test_many_rows_of_one_page(spark):
+    rows = [(1, f"http://a/{i}", "same") for i in range(300)] + [(0, "http://b", "same")]
+    got = [tuple(r) for r in W.records(table(spark, rows)).collect()]
+    assert sorted(x[3] for x in got).count("response") == 1 and len(got) == 301 and {x[4] for x in got if x[3] == "revisit"} == {1}
