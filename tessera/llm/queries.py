@@ -60,6 +60,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
 
 
+def alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's operator where components decide: each page whose page_id is a multiple of 3 redirects to the page of a third of it."""
+    pages = table(spark, sf_dir, "pages")
+    to = pages.select((F.col("page_id") * 3).alias("page_id"), F.col("url").alias("to_url"))
+    links = pages.select("page_id", F.col("url").alias("from_url")).join(to, "page_id")
+    return url_filter.verdicts(pages, url_filter.rule_table(spark, ALIAS_RULES), links)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -69,6 +77,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(table(spark, sf_dir, "pages"))
 
 
+#: Rules of alias_verdicts.
+ALIAS_RULES = [("com/en/", "block"), ("net/", "allow"), ("org/es/", "block")]
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_mixture": op2_language_mixture,
@@ -78,28 +89,51 @@ QUERIES: dict[str, Query] = {
     "op6_media_columns": op6_media_columns,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
+    "alias_verdicts": alias_verdicts,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Targets of canonical links and refreshes of pages; relative ones by the page's folder (dot segments stay as they are).
+_PAGE_LINKS = """SELECT src, CASE WHEN regexp_matches(x, '(?i)^[a-z][a-z0-9+.-]*://') THEN x WHEN starts_with(x, '//') THEN scheme || ':' || x WHEN regexp_matches(x, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL
+            WHEN starts_with(x, '/') THEN scheme || '://' || h || x WHEN regexp_matches(x, '^[?#]') THEN scheme || '://' || h || p || x ELSE scheme || '://' || h || '/' || coalesce(regexp_extract(p, '(?s)^/(.*/)?', 1), '') || x END
+        FROM (SELECT src, regexp_extract(src, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(src, '(?s)^.*?://([^/?#]*)', 1) AS h, regexp_extract(src, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p, replace(CASE
+            WHEN regexp_matches(tag, '(?i)^<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1)
+            WHEN regexp_matches(tag, '(?i)^<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) END, '&amp;', '&') AS x
+        FROM (SELECT url AS src, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*(?:canonical|refresh)[^>]*>')) AS tag FROM pages)) WHERE x <> ''"""
+
+
+def _verdict_sql(rules: list[tuple[str, str]], links: str) -> str:
+    """Rules by host and path, then aliases: what a blocked url reaches over links is blocked unless its own rule allows it."""
+    host = lambda u: f"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
+    path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    rest = lambda u: f"regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    node = lambda u: f"CASE WHEN {host(u)} <> '' THEN translate(regexp_extract({u}, '(?s)^(.*?)://', 1), '{UPPER}', '{LOWER}') || '://' || {host(u)} || CASE WHEN starts_with({rest(u)}, '/') THEN '' ELSE '/' END || {rest(u)} END"
+    return f"""
+        WITH RECURSIVE rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in rules)}),
+        cut AS (SELECT rule, verdict, substr(rule, 1, strpos(rule, '/') - 1) AS h, substr(rule, strpos(rule, '/')) AS p FROM rules),
+        links(f, t) AS ({links}),
+        edges AS (SELECT DISTINCT a, b FROM (SELECT {node('f')} AS a, {node('t')} AS b FROM links) WHERE a <> b),
+        both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+        urls AS (SELECT a AS url FROM both_ways UNION SELECT url FROM pages),
+        parts AS (SELECT url, {host('url')} AS host, {path('url')} AS path, {node('url')} AS node FROM urls),
+        best AS (SELECT url, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+                 FROM parts JOIN cut ON ('.' || host) LIKE ('%.' || h) AND starts_with(path, p) GROUP BY url),
+        bad(node) AS (SELECT node FROM parts JOIN best USING (url) WHERE verdict = 'block' AND node IN (SELECT a FROM both_ways) UNION SELECT b FROM bad JOIN both_ways ON a = bad.node)
+        SELECT page_id, host, path, rule, CASE WHEN best.verdict IS NOT NULL THEN best.verdict WHEN node IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END AS verdict
+        FROM pages LEFT JOIN parts ON pages.url IS NOT DISTINCT FROM parts.url LEFT JOIN best ON best.url = pages.url"""
+
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY norm)""",
-    # pages here have no alias edges between ruled hosts, so that the rules decide; where a component matters, tests do
-    "op8_url_filter": f"""
-        WITH RECURSIVE rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in url_filter.RULES)}),
-        parts AS (SELECT page_id, url, html,
-                         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
-                         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-        cut AS (SELECT rule, verdict, substr(rule, 1, strpos(rule, '/') - 1) AS h, substr(rule, strpos(rule, '/')) AS p FROM rules),
-        best AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
-                 FROM parts JOIN cut ON ('.' || host) LIKE ('%.' || h) AND starts_with(path, p) GROUP BY page_id)
-        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)""",
+    "op8_url_filter": _verdict_sql(url_filter.RULES, _PAGE_LINKS),
+    "alias_verdicts": _verdict_sql(ALIAS_RULES, f"{_PAGE_LINKS} UNION ALL SELECT p.url, q.url FROM pages p JOIN pages q ON p.page_id = 3 * q.page_id"),
     # base 32 of the digest: each 5 hex digits are 4 letters
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC) AS place,

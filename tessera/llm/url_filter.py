@@ -1,13 +1,15 @@
 """URL verdicts by host and path rules, spread over redirect equivalence.
 
 A rule fits its host and all subdomains if the path starts with the rule's; the longest rule decides. Urls that no rule
-fits take the verdict of their aliases: redirect and canonical-link edges between pages are joined to components, and a
-component with a blocked url is blocked. An allow rule of a url's own always stands, and shields the url from its
-aliases. Everything is DataFrame and SQL functions.
-
-Defined results: null urls, and urls without ``://``, have an empty host and path, fit no rule and are allowed. Rows are
-judged one by one; repeated page_ids and urls keep their rows. Null or empty html has no edges. An empty table gives an
-empty result; without rules all is allowed. Extra columns are not read.
+fits take the verdict of their aliases: redirect and canonical-link edges between whole urls (scheme and host in lower
+case, without fragment, a bare host with the path ``/``) are joined to components, and a component with a blocked url is
+blocked. An allow rule of a url's own always stands, and shields the url from its aliases. Everything is DataFrame and
+SQL functions.
+
+Defined results: null urls, and urls without ``://``, have an empty host and path, fit no rule, have no aliases and are
+allowed. Rows are judged one by one; repeated page_ids and urls keep their rows. Null or empty html has no edges. Targets
+are resolved against the page's own url (``<base>`` is not read). An empty table gives an empty result; without rules all
+is allowed. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, skew_join, written
+from .common import BROADCAST_BYTES, skew_join, written
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,7 +60,7 @@ def _suffixes(host: Column) -> Column:
 
 
 def matched(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """nodes (host, path distinct) with rule and own verdict, null where no rule fits. Longest first, then by text."""
+    """nodes (host, path and others; distinct above INLINE rules) with rule and own verdict, null where no rule fits. Longest first, then by text."""
     n = rules.count()
     best = F.struct(F.length("rule"), "rule", F.col("verdict"))
     if n <= INLINE:  # bounded: the rules are literals of a filter on each row
@@ -69,10 +71,19 @@ def matched(nodes: DataFrame, rules: DataFrame) -> DataFrame:
         dotted = F.concat(F.lit("."), F.col("host"))
         fits = F.filter(literal, lambda r: F.endswith(dotted, F.concat(F.lit("."), r["h"])) & F.startswith(F.col("path"), r["p"]))
         return nodes.withColumn("_best", F.array_max(fits)).withColumns({"rule": F.col("_best.rule"), "own": F.col("_best.verdict")}).drop("_best")
-    wide = nodes.select("host", "path", F.explode(F.array_distinct(_suffixes(F.col("host")))).alias("rule_host"))
-    per_host = rules.groupBy("rule_host").agg(F.collect_list(F.struct(F.length("rule").alias("n"), "rule", "verdict", "rule_path")).alias("_rules"))
-    hits = wide.join(maybe_broadcast(per_host, n, 200), "rule_host").withColumn("_best", F.array_max(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["rule_path"]))))
-    found = hits.filter("_best is not null").groupBy("host", "path").agg(F.max("_best").alias("_best"))
+    # the prefixes of a url that may be a rule: each of its domains with each length that rule paths have (some hundred
+    # at most); a key has one rule, and keys of many urls are dealt over many tasks
+    lengths = F.array(*[F.lit(r.n) for r in rules.select(F.char_length("rule_path").alias("n")).distinct().collect()])
+    per_key = rules.groupBy("rule_host", "rule_path").agg(F.max(best).alias("_best"))
+    heads = F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    wide = nodes.select("host", "path", F.explode(F.array_distinct(_suffixes(F.col("host")))).alias("rule_host")).select("*", F.explode(heads).alias("rule_path"))
+    if n * 200 <= BROADCAST_BYTES:
+        hits = wide.join(F.broadcast(per_key), ["rule_host", "rule_path"])
+    else:
+        wide = written(wide.join(per_key.select("rule_host", "rule_path"), ["rule_host", "rule_path"], "left_semi"), "url-hits")
+        sizes = wide.groupBy("rule_host", "rule_path").agg(F.count(F.lit(1)).alias("_m"))
+        hits = skew_join(wide, per_key.join(sizes, ["rule_host", "rule_path"]), ["rule_host", "rule_path"], "_m", wide.count(), F.struct("host", "path"), "inner")
+    found = hits.groupBy("host", "path").agg(F.max("_best").alias("_best"))
     return nodes.join(found, ["host", "path"], "left").withColumns({"rule": F.col("_best.rule"), "own": F.col("_best.verdict")}).drop("_best")
 
 
@@ -88,9 +99,9 @@ def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     """from_url, to_url: canonical links and meta refresh redirects in a page's html; relative links are resolved against the page's url."""
     tag = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>"), F.lit(0)))
     tags = pages.filter(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("from_url"), tag.alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    target = F.coalesce(canonical, refresh)
+    canonical = F.when(F.col("tag").rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
+    refresh = F.when(F.col("tag").rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
+    target = F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&"))
     scheme, host = F.regexp_extract("from_url", r"(?s)^(.*?)://", 1), host_of(F.col("from_url"))
     path = path_of(F.col("from_url"))
     folder = F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/(.*/)?", 1))
@@ -100,30 +111,51 @@ def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     return tags.select("from_url", whole.alias("to_url")).filter("to_url is not null and from_url is not null")
 
 
+def node_of(url: Column) -> Column:
+    """The whole url as a node: scheme and host in lower case, no fragment, at least the path /; null without a host."""
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    whole = F.concat(lowered(F.regexp_extract(url, r"(?s)^(.*?)://", 1)), F.lit("://"), host_of(url), F.when(F.startswith(rest, F.lit("/")), F.lit("")).otherwise(F.lit("/")), rest)
+    return F.when(host_of(url) != "", whole)
+
+
+def blocked_aliases(links: DataFrame, rules: DataFrame) -> DataFrame:
+    """node: the urls of links (from_url, to_url) that are in a component with a blocked one; null if there are no links."""
+    edges = links.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")).filter("a != b").distinct()
+    edges = written(edges, "url-edges")
+    if edges.isEmpty():
+        return None
+    # urls of edges only: pages without aliases need no component
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
+    own = matched(nodes, rules) if rules.count() <= INLINE else nodes.join(matched(nodes.select("host", "path").distinct(), rules), ["host", "path"])
+    own = written(own.filter("own = 'block'").select("node"), "url-own")
+    joined = written(components(edges, "a", "b"), "url-components")
+    blocked = joined.join(own, "node", "left_semi").select("component").distinct()
+    groups = joined.groupBy("component").agg(F.count(F.lit(1)).alias("m")).join(blocked, "component")
+    return written(skew_join(joined, groups, ["component"], "m", joined.count(), F.col("node"), "inner").select("node"), "url-blocked")
+
+
 def verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages; redirects adds from_url, to_url edges from elsewhere."""
     links = alias_links(pages, url, html)
     if redirects is not None:
         links = links.unionByName(redirects.select("from_url", "to_url"))
-    parts = lambda c: F.struct(host_of(F.col(c)).alias("host"), path_of(F.col(c)).alias("path"))
-    edges = links.select(parts("from_url").alias("a"), parts("to_url").alias("b")).filter("a != b and a.host != '' and b.host != ''").distinct()
-    edges = written(edges, "url-edges")
-    rows = pages.select("page_id", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    n = edges.count()
-    out = matched(rows, rules) if rules.count() <= INLINE else rows.join(matched(rows.select("host", "path").distinct(), rules), ["host", "path"])
-    if n:
-        # urls of edges only: pages without aliases need no component
-        nodes = edges.select(F.explode(F.array("a", "b")).alias("u")).distinct().select("u.host", "u.path")
-        nodes = written(matched(nodes, rules), "url-nodes")
-        joined = written(components(edges, "a", "b").select(F.col("node.host").alias("host"), F.col("node.path").alias("path"), "component"), "url-components")
-        blocked = joined.join(nodes.filter("own = 'block'").select("host", "path"), ["host", "path"], "left_semi").select("component").distinct()
-        total = joined.count()
-        groups = joined.groupBy("component").agg(F.count(F.lit(1)).alias("m")).join(blocked, "component")
-        bad = skew_join(joined, groups, ["component"], "m", total, F.struct("host", "path"), "inner").select("host", "path", F.lit(True).alias("_bad"))
-        bad = written(bad, "url-blocked")
-        sizes = written(rows.join(bad.select("host", "path"), ["host", "path"], "left_semi").groupBy("host", "path").agg(F.count(F.lit(1)).alias("m")), "url-sizes")
-        out = skew_join(out, sizes.withColumn("_bad", F.lit(True)), ["host", "path"], "m", pages.count(), F.col("page_id"))
+    # rows without a host go by themselves, so that they don't meet in one task
+    node = F.coalesce(node_of(F.col(url)), F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
+    rows = pages.select("page_id", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node.alias("node"))
+    n = rules.count()
+    if n <= INLINE:
+        out = matched(rows, rules)
     else:
+        rows = written(rows, "url-rows")
+        sizes = rows.filter("host != ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("m"))
+        known = matched(written(sizes, "url-sizes"), rules)
+        named = skew_join(rows.filter("host != ''"), known, ["host", "path"], "m", rows.count(), F.struct("page_id", "node"), "inner").drop("m")
+        out = named.unionByName(rows.filter("host = ''").withColumns({"rule": F.lit(None).cast("string"), "own": F.lit(None).cast("string")}))
+    bad = blocked_aliases(links, rules)
+    if bad is None:
         out = out.withColumn("_bad", F.lit(None).cast("boolean"))
+    else:
+        sizes = written(rows.join(bad, "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("m")), "url-sizes")
+        out = skew_join(out, sizes.withColumn("_bad", F.lit(True)), ["node"], "m", pages.count(), F.col("page_id"))
     verdict = F.coalesce("own", F.when(F.col("_bad"), F.lit("block")), F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
