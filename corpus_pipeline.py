@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, near_copies, packing, simhash, toxicity
+from tessera.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from tessera.llm.common import written
 from tessera.llm.queries import table
 
@@ -24,11 +24,6 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints within op9's few bits, the row with the least doc_id: only the closest copies."""
-    return simhash.keep_one(docs)
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts whose five-word shingles have a Jaccard similarity >= 0.8, the row with the least doc_id."""
     return near_copies.keep_one(docs)
 
@@ -47,7 +42,6 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
     ("simhash_near_dedup", drop_near_copies),
-    ("jaccard_near_dedup", drop_similar),
     ("mix_sources", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]
