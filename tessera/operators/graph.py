@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed, ids, verdicts
+from .components import components as connected
+from .plumbing import own_folder, written
+
 
 def baskets(bridge: DataFrame, doc: str, item: str) -> DataFrame:
     """The distinct bridge, dealt by document: one shuffle serves the distinct, the self-join and counts by document."""
@@ -63,6 +65,31 @@ def densest(edges: DataFrame, nodes: int, a: str = "src", b: str = "dst") -> Dat
     return edges.join(top.withColumnRenamed("node", a), a, "left_semi").join(top.withColumnRenamed("node", b), b, "left_semi")
 
 
+def by_role(related_: DataFrame, source: str, key: str, title: str, confidence: str) -> DataFrame:
+    """One row for each source: groups (role, n, members by confidence) in the order of roles, total, and the few members that
+    are likely normative, most confident first."""
+    place = F.create_map(*[F.lit(x) for i, (k, _, _) in enumerate(fixed.ROLES) for x in (k, i)])
+    r = related_.select(source, F.col(key).alias("key"), F.col(confidence).alias("confidence"), verdicts.role(F.col(title)).alias("role"))
+    r = r.withColumn("place", F.coalesce(F.element_at(place, F.col("role")), F.lit(len(fixed.ROLES))))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "key", "confidence", (F.col("confidence") >= fixed.NORMATIVE).alias("likely"))))
+    groups = r.groupBy(source, "place", "role").agg(ordered.alias("members"))
+    out = groups.groupBy(source).agg(F.array_sort(F.collect_list(F.struct("place", "role", F.size("members").alias("n"), "members"))).alias("groups"))
+    all_ = F.array_sort(F.flatten(F.transform("groups", lambda g: F.filter(g["members"], lambda m: m["likely"]))))
+    return out.select(source, "groups", F.aggregate("groups", F.lit(0), lambda n, g: n + g["n"]).alias("total"), F.slice(all_, 1, fixed.NORMATIVE_MOST).alias("likely"))
+
+
+def related_or_by_digits(sources: DataFrame, number: str, edges: DataFrame, k: int) -> DataFrame:
+    """source, dst, confidence, rank: neighbours by designation or its base; where there are none, by the digits of both."""
+    s = sources.select(F.col(number).alias("source"))
+    keys = s.select("source", F.explode(F.array_distinct(F.array(F.col("source"), ids.base_with_year(F.col("source"))))).alias("src"))
+    near = keys.join(edges, "src").groupBy("source", "dst").agg(F.max("confidence").alias("confidence"))
+    rest = s.join(near.select("source"), "source", "left_anti").withColumn("_d", ids.number(F.col("source"))).filter("_d != ''")
+    wide = edges.withColumn("_d", F.regexp_replace(F.regexp_replace(ids.base_with_year(F.col("src")), "IS ", ""), " ", ""))
+    far = rest.join(wide, "_d").groupBy("source", "dst").agg(F.max("confidence").alias("confidence"))
+    w = Window.partitionBy("source").orderBy(F.desc("confidence"), "dst")
+    return near.unionByName(far).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def related(sources: DataFrame, key: Column, exact_edges: DataFrame, broad: Column, k: int) -> DataFrame:
     """Neighbours of each source by exact or broad key, as a union of two equi-joins; the k most confident of each."""
     s = sources.select(F.col(sources.columns[0]).alias("source"), key.alias("_exact"), broad.alias("_broad"))
@@ -83,66 +110,44 @@ def neighbourhood(edges: DataFrame, root: object, hops: int = 2, each: int = 40)
     return seen
 
 
-def shortest_path(pairs: DataFrame, start: object, end: object, most: int = 8, a: str = "a", b: str = "b") -> DataFrame:
-    """One row: hops and the path of least text among the shortest; hops is null if there is none within ``most``.
+def shortest_path(pairs: DataFrame, start: object, end: object, a: str = "a", b: str = "b") -> DataFrame:
+    """One row: hops and the path of least text among the shortest, however long; hops is null if there is none.
 
-    Each round moves a frontier of nodes with their best path by one equi-join and drops nodes already reached.
+    Each round moves a frontier of nodes with their best path by one equi-join and drops nodes already reached, until the
+    end is reached or the frontier is empty.
     """
     spark = pairs.sparkSession
-    steps = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(pairs.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
+    steps = settled(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(pairs.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
     kind = pairs.schema[a].dataType.simpleString()
     frontier = spark.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>")
-    seen = frontier.select("node")
-    found = spark.createDataFrame([(0, [start])] if start == end else [], f"hops int, path array<{kind}>")
-    if start != end:
-        for hop in range(1, most + 1):
-            ahead = frontier.join(steps, F.col("node") == F.col("u")).select(F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"))
-            frontier = settled(ahead.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
-            hit = frontier.filter(F.col("node") == F.lit(end)).limit(1).collect()  # one row at most
-            if hit or frontier.isEmpty():
-                found = spark.createDataFrame([(hop, hit[0].path)] if hit else [], found.schema)
-                break
-            seen = seen.unionByName(frontier.select("node"))
-    none = spark.createDataFrame([(None, None)], found.schema)
-    return found.unionByName(none).orderBy(F.col("hops").asc_nulls_last()).limit(1)
+    seen, hops, found = frontier.select("node"), 0, [start] if start == end else None
+    while found is None:
+        hops += 1
+        ahead = frontier.join(steps, F.col("node") == F.col("u")).select(F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"))
+        frontier = settled(ahead.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
+        hit = frontier.filter(F.col("node") == F.lit(end)).limit(1).collect()  # one row at most
+        if hit:
+            found = hit[0].path
+        elif frontier.isEmpty():
+            hops = None
+            break
+        seen = settled(seen.unionByName(frontier.select("node")))
+    return spark.createDataFrame([(hops, found)], f"hops int, path array<{kind}>")
 
 
 def settled_folder(spark) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    """The application's folder in the store that driver and executors share."""
+    return own_folder(spark)
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iterative plan through the folder that all executors share."""
-    spark = df.sparkSession
-    path = f"{settled_folder(spark)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """node, component (least node) by label propagation with shortcuts; each round is written to the shared folder."""
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v")
-    both = settled(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = settled(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "node"))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = moved.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"))
-        moved = settled(moved)
-        changed = moved.join(labels.withColumnRenamed("label", "was"), "node").filter("label != was")
-        done = changed.isEmpty()
-        labels = moved
-        if done:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle")
+    return written(df, "graph")
+
+
+def components(links: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
+    """node, component (least node) of the nodes of links; see ``components`` for the method."""
+    return connected(links.select(F.col(a).alias("a"), F.col(b).alias("b")), "a", "b", rounds)
 
 
 def ego(pairs: DataFrame, node: object) -> DataFrame:
@@ -158,35 +163,54 @@ def family_shares(nodes: DataFrame, family: str, degree: str, key: str) -> DataF
     return nodes.withColumn("place", place).join(grouped, nodes[family].eqNullSafe(grouped["family"])).drop(grouped["family"]).orderBy(F.col(family).asc_nulls_last(), "place")
 
 
-def layout(pairs: DataFrame, width: float = 1040.0, height: float = 660.0, pad: float = 26.0, passes: int = 60) -> DataFrame:
-    """node, x, y of a graph of a few thousand nodes: spectral axes spread by rank, then pushed apart, in one group."""
+def layout(pairs: DataFrame, width: float = 1040.0, height: float = 660.0, pad: float = 26.0, weight: str = "confidence", most: int = 5000, seed: int = 7) -> DataFrame:
+    """node, x, y of a graph to be drawn: two eigenvectors of the normalised Laplacian, spread by rank, then pushed apart.
+
+    A picture holds a few thousand nodes; above ``most`` the graph is refused (cut it with ``densest`` first), as one task
+    holds a matrix of nodes by nodes. Nodes closer than a share of their ideal spacing are pushed apart in each pass.
+    """
     import numpy as np
     import pandas as pd
 
+    n_nodes = degrees(pairs, "a", "b").count()
+    if n_nodes > most:
+        raise ValueError(f"a layout of {n_nodes} nodes; {most} at most")
+
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["a"]) | set(pdf["b"]))
         at = {n: i for i, n in enumerate(names)}
         n = len(names)
+        if n < 3:
+            return pd.DataFrame({"node": names, "x": width / 2, "y": height / 2})
         w = np.zeros((n, n))
         i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
-        np.add.at(w, (i, j), pdf["co"].to_numpy(float))
-        w = w + w.T
+        np.maximum.at(w, (i, j), pdf[weight].to_numpy(float))
+        w = np.maximum(w, w.T)
         d = 1 / np.sqrt(np.maximum(w.sum(axis=1), 1e-9))
         _, vectors = np.linalg.eigh(np.eye(n) - d[:, None] * w * d[None, :])
-        axes = vectors[:, 1:3] if n > 2 else np.zeros((n, 2))
-        spread = np.argsort(np.argsort(axes, axis=0, kind="stable"), axis=0, kind="stable") / max(1, n - 1) - 0.5
-        xy = spread + np.random.default_rng(7).normal(0, 0.01, spread.shape)
-        for _ in range(passes):
+        axes = vectors[:, 1:3] * d[:, None]
+        spread = np.argsort(np.argsort(axes, axis=0, kind="stable"), axis=0, kind="stable") / (n - 1) - 0.5
+        frame = np.array([width - 2 * pad, height - 2 * pad])
+        xy = (spread + np.random.default_rng(seed).normal(0, fixed.TIE_NOISE, spread.shape)) * frame
+        ideal = np.sqrt(width * height / n)
+        for _ in range(fixed.SEPARATION_STEPS):
+            push, near = np.zeros_like(xy), False
             for s in range(0, n, 512):  # rows in blocks: memory stays n x 512
                 gap = xy[s : s + 512, None, :] - xy[None, :, :]
-                near = np.maximum((gap**2).sum(axis=2), 1e-6)
-                xy[s : s + 512] += 1e-5 * (gap / near[:, :, None]).clip(-50, 50).sum(axis=1)
+                length = np.sqrt((gap**2).sum(axis=2))
+                length[np.arange(len(gap)), s + np.arange(len(gap))] = np.inf
+                close = length < ideal * fixed.SEPARATION_RADIUS
+                near |= bool(close.any())
+                push[s : s + 512] = np.where(close[:, :, None], gap / np.maximum(length, 1e-6)[:, :, None], 0.0).sum(axis=1)
+            if not near:
+                break
+            xy += push * ideal * fixed.SEPARATION_PUSH
         low, high = xy.min(axis=0), xy.max(axis=0)
-        unit = (xy - low) / np.maximum(high - low, 1e-9)
-        return pd.DataFrame({"node": names, "x": pad + unit[:, 0] * (width - 2 * pad), "y": pad + unit[:, 1] * (height - 2 * pad)})
+        unit = (xy - low) / np.maximum(high - low, 1e-6)
+        return pd.DataFrame({"node": names, "x": pad + unit[:, 0] * frame[0], "y": pad + unit[:, 1] * frame[1]})
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "co").groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: place(pdf), f"node {kind}, x double, y double")
+    return pairs.select("a", "b", weight).groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: place(pdf), f"node {kind}, x double, y double")
 
 
 def layout_quality(places: DataFrame) -> DataFrame:
