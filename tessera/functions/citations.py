@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -68,6 +68,22 @@ def occurrences(text: Column, citation: Column) -> Column:
     return F.regexp_count(text, F.concat(F.lit(r"(?i)(?<![A-Za-z])IS[:\s]*\Q"), tail, F.lit(r"\E(?!\d)")))
 
 
+def marked(texts: DataFrame, key: str, text: str, cites: DataFrame) -> DataFrame:
+    """One row for each text: its citations found in it by their status (withdrawn, superseded, current, unresolved), and
+    those that do not occur in it. cites: key, cite, status."""
+    hit = occurrences(F.col(text), F.col("cite")) > 0
+    c = texts.select(key, text).join(cites, key).select(key, "cite", F.coalesce("status", F.lit("unresolved")).alias("status"), hit.alias("hit"))
+    n = lambda s: F.count_if(F.col("hit") & (F.lower("status") == s)).alias(s)
+    return c.groupBy(key).agg(*[n(s) for s in ("withdrawn", "superseded", "current", "unresolved")], F.array_sort(F.collect_set(F.when(~F.col("hit"), F.col("cite")))).alias("missing"))
+
+
+def cut_short(shown: Column, reference: Column) -> Column:
+    """Whether a trimmed notification stops inside a word of its reference: what it forbids is the silent cut."""
+    raw = F.trim(F.regexp_replace(F.coalesce(reference, F.lit("")), r"\s+", " "))
+    after = F.substring(raw, F.position(shown, raw) + F.char_length(shown), F.lit(1))
+    return (shown != "") & ~F.endswith(shown, F.lit("…")) & (F.position(shown, raw) > 0) & F.coalesce(after.rlike("[A-Za-z0-9/-]"), F.lit(False))
+
+
 def notification(reference: Column) -> Column:
     """The first order of a running history: list number off, amendments cut, ended at its own date, bounded in length."""
     trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[ ,;]+", ""), r"[ ,;]+$", "")

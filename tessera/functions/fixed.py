@@ -38,6 +38,11 @@ SUCCESSOR_SCORE = 0.45
 BUYER_FLOOR = 10
 PEER_DEPTH, PEER_SHARE, PEER_LEAST = 30, 0.35, 3
 SHINGLE, PERMUTATIONS, BANDS, LEAST_SHINGLES, JACCARD, SEED = 5, 128, 32, 40, 0.80, 17
+SWEEP = [0.8, 0.65, 0.5, 0.35]
+SEPARATION_STEPS, SEPARATION_RADIUS, SEPARATION_PUSH, TIE_NOISE = 120, 0.90, 0.08, 0.006
+LEAST_LENGTH = 0.55
+MATCHES = 5
+NORMATIVE_MOST = 6
 QUERY_CHARS = 2000
 NOTIFICATION_CHARS = 180
 SHRINK = 0.20
@@ -138,6 +143,8 @@ SCRIPTS = {
 # --- Fixed values: notifications, bids and service work ------------------------------------------------------------
 ORDER_TAIL = r"(?i)\s*(?:Superseded by|Extension in |Order of extension|Extension Order|Order of enforcement|Extension in the date|Subsequent Amendment|Amendment in|Amendments\s*:|Amended by|as amended by|read with)"
 MONTH = r"Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t)?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+#: Cells that name an order; rows below without one are under the same.
+NOTICE = r"(?i)quality control|order|s\.?o\.?\s*\d|gazette"
 SERVICE = r"(?i)\b(service|services|hiring|manpower|consultanc|outsourc|AMC|annual maintenance|repair|housekeeping|security guard|catering|transport|custom bid for services|leasing|rental|printing|training|survey|audit)\b"
 PROTECTED = r"(?i)\bIS[:\s/]*\d{2,6}(?:\s*\([^)]{0,40}\))?|\bIS/IEC\s*\d{2,6}|\b(?:\d{1,3}(?:[ ,]\d{3})+|\d+)(?:\.\d+)?\s*(?:kV|V|kW|W|mm|mm2|sqmm|A|Hz|K)\b|\bIP\s?\d{2}\b"
 SENTENCE_END = r"(?<=[.;?!])\s+(?=[A-Z{(\"'])"
@@ -178,6 +185,12 @@ ABBREVIATIONS = {
     "corrigendum": "Corrigendum",
 }
 ALWAYS_UPPER = "LT HT PVC GI LED RCC HDPE XLPE IS BIS II III IV VI VII VIII IX".split()
+#: Words of tenders that no title of the register needs to have.
+PROCUREMENT_WORDS = (
+    "tender tenders document documents notice inviting quotation bid bids bidding enquiry volume part section annexure schedule compliance technical specification specifications "
+    "execution works work supply supplies revised revision addendum corrigendum amendment draft final general conditions contract scope estimate quantities civil "
+    "electrical mechanical ground floor package division department board corporation council municipal authority project phase zone circle unit open limited global"
+).split()
 SMALL_WORDS = "and for of the to in with under on at".split()
 ORDINAL_OWNERS = ["volume", "part", "section", "vol", "sec", "no"]
 GENERIC_TITLES = ["tender document", "document", "tender", "volume", "addendum", "corrigendum", "technical specification", "notice inviting tender", "specification"]

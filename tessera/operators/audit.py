@@ -53,6 +53,18 @@ def not_in_register(unresolved: DataFrame, suggestions: DataFrame | None = None)
     return _finding(unresolved.join(suggestions, unresolved["item"] == suggestions["unknown"], "left"), "not_in_register", "low", subject=F.col("suggestion"))
 
 
+def number_checks(numbers: DataFrame, register: DataFrame, rules: DataFrame, related: DataFrame) -> DataFrame:
+    """One row for each cited number (item): whether it is held, dead, what replaces it, its certification, and what goes with it.
+
+    register: item, status, replaced_by. rules: item, scheme. related: item, dst, rank.
+    """
+    near = related.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dst"))), lambda x: x["dst"]).alias("related"))
+    scheme = rules.groupBy("item").agg(F.min("scheme").alias("scheme"))
+    out = numbers.select("item").distinct().join(register, "item", "left").join(scheme, "item", "left").join(near, "item", "left")
+    dead = is_dead(F.col("status"))
+    return out.select("item", F.col("status").isNotNull().alias("held"), dead.alias("dead"), F.when(dead, F.coalesce("replaced_by", F.lit("UNKNOWN"))).alias("replaced_by"), F.col("scheme").isNotNull().alias("certified"), "scheme", "related")
+
+
 def severity_rank(c: Column) -> Column:
     return F.when(c == "high", 0).when(c == "medium", 1).otherwise(2)
 

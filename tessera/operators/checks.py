@@ -85,6 +85,25 @@ def answerable(golden: DataFrame, register: DataFrame, expected: str, key: str)
     return golden.join(register.select(F.col(key).alias(expected)), expected, "left_anti")
 
 
+@check("complete_notifications")
+def complete_notifications(rules: DataFrame, reference: str) -> DataFrame:
+    """Notifications that, as shown, stop inside a word of their reference."""
+    from ..functions.citations import cut_short, notification
+
+    return rules.withColumn("_shown", notification(F.col(reference))).filter(cut_short(F.col("_shown"), F.col(reference)))
+
+
+@check("screens_agree")
+def screens_agree(counts: dict[str, DataFrame]) -> DataFrame:
+    """One-row counts that should be one number: the screens whose number isn't that of the first."""
+    out = None
+    for name, df in counts.items():
+        one = df.select(F.lit(name).alias("screen"), F.col(df.columns[0]).cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    first = out.filter(F.col("screen") == next(iter(counts))).select(F.col("n").alias("_n"))
+    return out.crossJoin(F.broadcast(first)).filter(~F.col("n").eqNullSafe(F.col("_n"))).select("screen", "n")  # first is one row
+
+
 def report(results: dict[str, DataFrame]) -> DataFrame:
     """A row for each check: violations, and whether it passed."""
     out = None

@@ -16,6 +16,22 @@ def ranking(judged: DataFrame, k: int = 10, precision_at: int = 5) -> DataFrame:
     return q.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("r1"), 4).alias("recall_1"), F.round(F.avg("rk"), 4).alias("recall_k"), F.round(F.avg("p"), 4).alias("precision"))
 
 
+def abstentions(answers: DataFrame) -> DataFrame:
+    """One row from (query, abstained, found: the answer is in the shortlist): abstentions, and those that were correct."""
+    return answers.agg(F.count(F.lit(1)).alias("queries"), F.count_if("abstained").alias("abstained"), F.count_if(F.col("abstained") & ~F.col("found")).alias("correct"))
+
+
+def mismatches(df: DataFrame, key: str, truth: Column, predicted: Column) -> DataFrame:
+    """key, truth, predicted of the rows where they differ, or where one is unknown."""
+    return df.select(key, truth.alias("truth"), predicted.alias("predicted")).filter(~F.col("truth").eqNullSafe(F.col("predicted")))
+
+
+def outside(answers: DataFrame, register: DataFrame, answer: str, key: str) -> DataFrame:
+    """pipeline, outside: answers of each pipeline that the register doesn't hold."""
+    held = register.select(F.col(key).alias(answer)).distinct().withColumn("_held", F.lit(True))
+    return answers.join(held, answer, "left").groupBy("pipeline").agg(F.count_if(F.col(answer).isNotNull() & F.col("_held").isNull()).alias("outside"))
+
+
 def by_family(judged: DataFrame, family: str, least: int = 8) -> DataFrame:
     """Rank-1 accuracy of each family with enough queries."""
     return judged.filter("rank = 1").groupBy(family).agg(F.count(F.lit(1)).alias("queries"), F.count_if("relevant").alias("right")).filter(F.col("queries") >= least).withColumn("accuracy", F.round(F.col("right") / F.col("queries"), 4))

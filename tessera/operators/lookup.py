@@ -77,6 +77,14 @@ def bars(df: DataFrame, n: str, places: int = 1) -> DataFrame:
     return df.withColumn("bar", F.round(100.0 * F.col(n) / F.max(n).over(whole), places)).withColumn("share", F.round(100.0 * F.col(n) / F.sum(n).over(whole), 2))
 
 
+def summary(df: DataFrame, by: str, distinct: list[str] = (), filled: list[str] = ()) -> DataFrame:
+    """measure, value, n: rows for each value of ``by``, distinct values of some columns, and rows in which others are filled."""
+    per = df.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("N/A")).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("measure"), "value", "n")
+    whole = df.agg(*[F.count_distinct(c).alias(f"distinct:{c}") for c in distinct], *[F.count_if(F.coalesce(F.length(F.col(c).cast("string")) > 0, F.lit(False))).alias(f"filled:{c}") for c in filled])
+    rest = whole.select(F.explode(F.array(*[F.struct(F.lit(n.partition(":")[0]).alias("measure"), F.lit(n.partition(":")[2]).alias("value"), F.col(f"`{n}`").alias("n")) for n in whole.columns])).alias("x")).select("x.*")
+    return per.unionByName(rest)
+
+
 def top_per(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group in a total order; partial top-k runs before the shuffle."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
@@ -87,5 +95,5 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows in the order of a hash: the same rows on each run, and no sort of the whole table."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    """n rows in the order of a digest: the same rows on each run, and no sort of the whole table."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)).limit(n)

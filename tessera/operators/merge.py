@@ -53,6 +53,12 @@ def detected(held: DataFrame, portal: DataFrame, key: str, status: str, year: st
     return h.join(p, "_d").withColumn("c", c).filter("c is not null").select("id", "c.field", "c.held", "c.portal")
 
 
+def amendment_summary(amendments: DataFrame) -> DataFrame:
+    """One row from (id, field, held, portal): all amendments, changes of status, of the year, and current ones now withdrawn."""
+    status = F.col("field") == "status"
+    return amendments.agg(F.count(F.lit(1)).alias("amendments"), F.count_if(status).alias("status_changes"), F.count_if(~status).alias("year_changes"), F.count_if(status & (F.col("held") == "Current") & (F.col("portal") == "Withdrawn")).alias("current_to_withdrawn"))
+
+
 def gap_filled(missing: DataFrame, wanted: str, records: DataFrame, number: str) -> DataFrame:
     """wanted, found: spellings are tried in order, and the first that a record answers to is taken."""
     tries = missing.select(F.col(wanted).alias("wanted"), F.posexplode(ids.variants(F.col(wanted))).alias("priority", "spelling"))

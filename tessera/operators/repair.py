@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import citations
+from ..functions import citations, fixed
 
 
 def plan(dead: DataFrame, missing: DataFrame, keep: DataFrame, duties: DataFrame, demands: DataFrame) -> DataFrame:
@@ -51,6 +51,25 @@ def intruders(fixed: DataFrame, key: str, text: str, allowed: DataFrame) -> Data
     return found.join(allowed.select(key, base(F.col("cite")).alias("_b")).distinct(), [key, "_b"], "left_anti").select(key, "cite")
 
 
+def verified(fixed_docs: DataFrame, key: str, text: str, allowed: DataFrame, high: DataFrame) -> DataFrame:
+    """One row for each corrected document, audited anew: intruders, high findings of the second audit, and whether it is clean.
+
+    allowed: key, cite. high: key, high (findings of that severity in the second audit).
+    """
+    bad = intruders(fixed_docs, key, text, allowed).groupBy(key).agg(F.array_sort(F.collect_set("cite")).alias("intruders"))
+    out = fixed_docs.select(key).join(bad, key, "left").join(high, key, "left")
+    out = out.select(key, F.coalesce("intruders", F.array().cast("array<string>")).alias("intruders"), F.coalesce("high", F.lit(0)).cast("long").alias("high"))
+    return out.withColumn("clean", (F.size("intruders") == 0) & (F.col("high") == 0))
+
+
+def accepted(rewrites: DataFrame, key: str, original: str, rewrite: str, allowed: DataFrame, least: float = fixed.LEAST_LENGTH) -> DataFrame:
+    """key, used, reason: a rewrite that names what it was not given, or lost much of the text, is not used."""
+    bad = intruders(rewrites, key, rewrite, allowed).select(key).distinct().withColumn("_bad", F.lit(True))
+    lost = F.char_length(F.trim(F.col(rewrite))) < F.char_length(F.col(original)) * least
+    reason = F.when(F.col("_bad"), "introduced_a_standard").when(lost, "lost_content")
+    return rewrites.join(bad, key, "left").select(key, reason.isNull().alias("used"), reason.alias("reason"))
+
+
 def clause(family: Column, number: Column, year: Column, title: Column, related: Column, mandatory: Column, scheme: Column, status: Column) -> Column:
     """A clause from facts alone; related: array of designations, of which four are named."""
     from ..functions.text import letter_first_lower

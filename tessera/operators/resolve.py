@@ -79,7 +79,7 @@ def typo_choice(candidates: DataFrame, cited_with: DataFrame, edges: DataFrame)
     both = edges.select("a", "b", "n").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     tied = candidates.join(cited_with.distinct(), "unknown").join(both, (F.col("known") == F.col("a")) & (F.col("beside") == F.col("b")))
     strength = tied.groupBy("unknown", "known").agg(F.sum("n").alias("strength"))
-    return strength.groupBy("unknown").agg(F.max_by(F.struct("known", "strength"), F.struct(F.col("strength"), -F.col("known").try_cast("long"))).alias("s")).select("unknown", F.col("s.known").alias("suggestion"), F.col("s.strength").alias("strength"))
+    return strength.groupBy("unknown").agg(F.min_by(F.struct("known", "strength"), F.struct(-F.col("strength"), F.char_length("known"), F.col("known"))).alias("s")).select("unknown", F.col("s.known").alias("suggestion"), F.col("s.strength").alias("strength"))
 
 
 def successors(dead: DataFrame, register: DataFrame, id_column: str, replaced_by: str, supersedes: str, status: str, closest: DataFrame | None = None, least: float = 0.45) -> DataFrame:

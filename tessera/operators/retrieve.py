@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, verdicts
+from ..functions.values import band
+from .plumbing import maybe_broadcast, written
 
 
 @dataclass(frozen=True)
@@ -33,61 +35,84 @@ PIPELINES = {
 }
 
 
-def postings(docs: DataFrame, key: str, content: str, tokens=text.tokens, terms: DataFrame | None = None) -> DataFrame:
-    """term, doc, tf, length; only of the terms given, which are taken before anything is shuffled."""
-    t = docs.select(F.col(key).alias("doc"), tokens(F.col(content)).alias("t"))
-    words = t.select("doc", F.size("t").alias("length"), F.explode("t").alias("term"))
-    if terms is not None:
-        words = words.join(terms, "term", "left_semi")
-    return words.groupBy("term", "doc", "length").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def term_weights(docs: DataFrame, content: str, tokens=text.tokens) -> DataFrame:
-    """term, idf: the logarithm of odds over documents; negative ones become a share of the mean over all terms.
+def statistics(docs: DataFrame, content: str, tokens=text.tokens) -> DataFrame:
+    """term, n (documents that have it), length: one pass; the row of no term has the number of documents and of all tokens.
 
     Each document counts a term once; the counts combine on the map side to one row for each term and task.
     """
-    seen = docs.select(F.explode(F.array_distinct(tokens(F.col(content)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    raw = seen.crossJoin(F.broadcast(n)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))  # n is one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    t = docs.select(tokens(F.col(content)).alias("t"))
+    each = t.select(F.size("t").alias("length"), F.explode(F.array_append(F.array_distinct("t"), F.lit(None).cast("string"))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length"))
 
 
 def bm25(queries: DataFrame, q_key: str, q_text: str, docs: DataFrame, key: str, content: str, k: int = fixed.FUSE_DEPTH, tokens=text.tokens) -> DataFrame:
     """query, doc, score, rank of the k best documents of each query; a query's repeated terms count each time.
 
-    Only postings of terms that occur in queries are made. Ties go by document.
+    One pass counts terms. Another keeps the tokens that occur in queries, deals them by document, and scores each
+    document where it is, so that neither a common term nor a query meets in one task; each task keeps its own k best of
+    a query. Query terms and weights are broadcast if their counted number is small. A negative weight becomes a share of
+    the mean over all terms. Ties go by document.
     """
-    sizes = docs.select(F.size(tokens(F.col(content))).alias("length")).agg(F.avg("length").alias("mean_length"))
+    stats = written(statistics(docs, content, tokens), "bm25-terms")
+    n, length = stats.filter("term is null").select("n", "length").first() or (0, 0)
+    raw = F.log((F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    known = stats.filter("term is not null").select("term", raw.alias("raw"))
+    mean = known.agg(F.avg("raw")).first()[0] or 0.0
     q = queries.select(F.col(q_key).alias("query"), F.explode(tokens(F.col(q_text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qf"))
-    terms = q.select("term").distinct()
-    used = postings(docs, key, content, tokens, terms)
-    weights = term_weights(docs, content, tokens)
+    idf = F.when(F.col("raw") < 0, fixed.BM25_EPSILON * mean).otherwise(F.col("raw"))
+    q = written(q.join(known, "term").select("query", "term", "qf", idf.alias("idf")), "bm25-queries")
+    small = lambda df: maybe_broadcast(df, q.count(), 64)
+    words = docs.select(F.col(key).alias("doc"), tokens(F.col(content)).alias("t")).select("doc", F.size("t").alias("length"), F.explode("t").alias("term"))
+    used = words.join(small(q.select("term").distinct()), "term", "left_semi").repartition("doc").groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     k1, b = fixed.BM25_K1, fixed.BM25_B
-    norm = k1 * (1 - b + b * F.col("length") / F.col("mean_length"))
+    norm = k1 * (1 - b + b * F.col("length") / F.lit(length / n if n else 1.0))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scored = q.join(weights, "term").join(used, "term").crossJoin(F.broadcast(sizes)).groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = used.join(small(q), "term").groupBy("doc", "query").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "doc", "score", "rank")
 
 
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, q_key: str, vectors: DataFrame, key: str, vector: str, k: int = fixed.FUSE_DEPTH, query_rows: int | None = None) -> DataFrame:
-    """query, doc, score, rank by the dot product of unit vectors, without the query itself.
+#: Bytes of query vectors that are broadcast at a time.
+VECTOR_BYTES = 32 << 20
 
-    A stated set of queries runs in one scan against all rows: the queries are the small side and are broadcast if their
-    number is known to be small. Each task keeps its own k best before the shuffle.
-    """
+
+def compared(queries: DataFrame, q_key: str, vectors: DataFrame, key: str, vector: str, query_rows: int | None = None, dims: int = 1024) -> list[DataFrame]:
+    """query, doc, score of a stated set of queries against all rows but themselves: a frame for each block of queries, whose
+    vectors (of ``dims`` numbers at most) fit a broadcast. Each block is one scan of the rows."""
     q = queries.select(F.col(q_key).alias("query"), F.col(vector).alias("_q"))
-    side = F.broadcast(q) if query_rows is not None and query_rows <= 100_000 else q
-    pairs = vectors.select(F.col(key).alias("doc"), F.col(vector).alias("_v")).join(side, F.col("query") != F.col("doc"))
-    scored = pairs.select("query", "doc", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    n = q.count() if query_rows is None else query_rows
+    blocks = max(1, -(-n * dims * 4 // VECTOR_BYTES))
+    out = []
+    for i in range(blocks):
+        side = F.broadcast(q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))
+        pairs = vectors.select(F.col(key).alias("doc"), F.col(vector).alias("_v")).join(side, F.col("query") != F.col("doc"))
+        out.append(pairs.select("query", "doc", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score")))
+    return out
+
+
+def best(scored: list[DataFrame], order: list, k: int) -> DataFrame:
+    """The k first documents of each query, with their rank; each task keeps its own k best before the shuffle."""
+    tops = [s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k) for s in scored]
+    out = tops[0]
+    for t in tops[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def nearest(queries: DataFrame, q_key: str, vectors: DataFrame, key: str, vector: str, k: int = fixed.FUSE_DEPTH, query_rows: int | None = None) -> DataFrame:
+    """query, doc, score, rank by the dot product of unit vectors, without the query itself."""
+    return best(compared(queries, q_key, vectors, key, vector, query_rows), [F.desc("score"), "doc"], k)
+
+
+def matched(ranked: DataFrame, k: int = fixed.MATCHES) -> DataFrame:
+    """query, matches (doc and score of the k best, in order), confidence (the band of the best) and whether to route the query on."""
+    top = ranked.filter(F.col("rank") <= k).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "doc", F.round("score", 4).alias("score")))).alias("matches"))
+    confidence = band(F.get("matches", 0)["score"])
+    return top.select("query", "matches", confidence.alias("confidence"), (confidence == "Low").alias("routed"))
 
 
 def fuse(rankings: list[DataFrame], depth: int = fixed.FUSE_DEPTH, k: int = fixed.SHORTLIST) -> DataFrame:
@@ -126,12 +151,13 @@ def peers(ranked: DataFrame, depth: int = fixed.PEER_DEPTH, part: float = fixed.
     return near.withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.col("_n") >= least).drop("_best", "_n")
 
 
-def search(queries: DataFrame, q_key: str, q_text: str, docs: DataFrame, key: str, content: str, pipeline: str = "bm25", dense: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """query, doc, rank, rrf, score for a registered pipeline. dense: a ranking made by ``nearest``, where there are vectors."""
+def search(queries: DataFrame, q_key: str, q_text: str, docs: DataFrame, key: str, content: str, pipeline: str = "bm25", dense: DataFrame | None = None, edges: DataFrame | None = None, more: list[DataFrame] = ()) -> DataFrame:
+    """query, doc, rank, rrf, score for a registered pipeline. dense: a ranking made by ``nearest``, where there are vectors;
+    more: further rankings (query, doc, rank) to fuse."""
     cfg = PIPELINES[pipeline]
     if not cfg.retrieval:
         raise ValueError(f"{pipeline} retrieves nothing")
-    rankings = [r for r in (dense if cfg.dense else None, bm25(queries, q_key, q_text, docs, key, content) if cfg.bm25 else None) if r is not None]
+    rankings = [r for r in (dense if cfg.dense else None, bm25(queries, q_key, q_text, docs, key, content) if cfg.bm25 else None, *more) if r is not None]
     out = fuse(rankings)
     if cfg.graph and edges is not None:
         out = expanded(out, edges)

@@ -41,7 +41,7 @@ def buyers(bridge: DataFrame, buyer: list[str], doc: str, item: str, floor: int,
     once = bridge.select(*buyer, doc, item, "dead").distinct()
     docs = once.groupBy(*buyer, doc).agg(F.max("dead").alias("has_dead")).groupBy(*buyer).agg(F.count(F.lit(1)).alias("docs"), F.count_if("has_dead").alias("docs_with_dead")).filter(F.col("docs") >= floor)
     items = once.filter("dead").groupBy(*buyer, item).agg(F.count(F.lit(1)).alias("n"))
-    worst = items.groupBy(*buyer).agg(F.max_by(F.struct(F.col(item).alias("top_dead"), F.col("n").alias("top_dead_docs")), F.struct(F.col("n"), -F.col(item))).alias("w"))
+    worst = items.groupBy(*buyer).agg(F.min_by(F.struct(F.col(item).alias("top_dead"), F.col("n").alias("top_dead_docs")), F.struct(-F.col("n"), F.col(item))).alias("w"))
     return docs.join(worst, buyer, "left").select(*buyer, "docs", "docs_with_dead", share(F.col("docs_with_dead"), F.col("docs")).alias("pct"), "w.top_dead", "w.top_dead_docs").orderBy(F.desc("docs_with_dead"), F.desc("docs"), *buyer).limit(top)
 
 
@@ -52,6 +52,26 @@ def certification_gap(bridge: DataFrame, doc: str, item: str, mandatory: DataFra
     return cited.agg(F.count(F.lit(1)).alias("cited"), F.count_if(known).alias("scanned"), F.count_if(F.col("d") == "No").alias("no_clause"), F.count_if(~known | F.col("d").isNull()).alias("unknown"))
 
 
+def gap_families(bridge: DataFrame, doc: str, item: str, rules: DataFrame, family: str, demands: Column, k: int) -> DataFrame:
+    """family, n: the k families whose mandatory items most documents cite without asking for the mark. rules: item, family."""
+    hits = bridge.filter(demands == "No").join(rules.select(item, family).distinct(), item).select(doc, family).distinct()
+    return hits.groupBy(family).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), family).limit(k)
+
+
+def peer_repeats(peers: DataFrame, dead: DataFrame, about: DataFrame, most: int = 8, examples: int = 4, buyers: int = 6, each: int = 6) -> DataFrame:
+    """One row for each query with peers: how many repeat a dead item, the ``most`` worst with their dead items, examples and buyers.
+
+    peers: query, doc, rank. dead: doc, item, one row each. about: doc, category, buyer.
+    """
+    p = peers.select("query", "doc", "rank").join(about, "doc", "left")
+    bad = dead.groupBy("doc").agg(F.slice(F.array_sort(F.collect_set("item")), 1, each).alias("dead"))
+    p = p.join(bad, "doc", "left")
+    worst = F.array_sort(F.collect_list(F.when(F.col("dead").isNotNull(), F.struct((-F.size("dead")).alias("o"), "rank", "doc", "buyer", "dead"))))
+    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "doc", "category"))), 1, examples), lambda x: x["category"])
+    g = p.groupBy("query").agg(F.count(F.lit(1)).alias("peers"), F.count("dead").alias("repeating"), F.slice(worst, 1, most).alias("repeats"), first.alias("examples"), F.slice(F.array_sort(F.collect_set("buyer")), 1, buyers).alias("buyers"))
+    return g
+
+
 def peer_tally(bridge: DataFrame, doc: str, item: str) -> DataFrame:
     """Documents for each item, dead ones first: item, dead, n_docs, of_docs."""
     once = bridge.select(doc, item, "dead").distinct()

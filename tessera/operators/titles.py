@@ -10,7 +10,8 @@ from ..functions.values import clean_null
 
 
 def vocabulary(texts: list[tuple[DataFrame, str]], extra: list[str] = ()) -> DataFrame:
-    """Distinct words of three letters at least in the columns named, and the extra ones."""
+    """Distinct words of three letters at least in the columns named, words of procurement, and the extra ones."""
+    extra = [*fixed.PROCUREMENT_WORDS, *extra]
     out = None
     for df, column in texts:
         words = df.select(F.explode(F.regexp_extract_all(F.lower(F.col(column)), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
@@ -50,7 +51,8 @@ def titled(docs: DataFrame, key: str, name: str, family: str, words: DataFrame)
     cased = F.array_join(F.transform(F.split(trimmed, " "), lambda w, i: F.when(F.upper(w).isin(fixed.ALWAYS_UPPER), F.upper(w)).when((i > 0) & F.lower(w).isin(fixed.SMALL_WORDS), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.char_length(w)))))), " ")
     fam = F.when(F.lower(clean_null(F.col(family))) != "unclassified", clean_null(F.col(family)))
     out = docs.select(key, fam.alias("_f")).join(lists.withColumn("_t", cased).select(key, "_t"), key, "left")
-    has = F.coalesce(F.col("_t").rlike("[A-Za-z]{3,}"), F.lit(False))
+    has = F.coalesce(F.col("_t").rlike("[A-Za-z]{3,}"), F.lit(False))  # ends are bare of marks
+    out = out.withColumn("_t", F.regexp_replace("_t", "^[ –—,-]+|[ –—,-]+$", ""))
     named = F.when(F.lower("_t").isin(fixed.GENERIC_TITLES) & F.col("_f").isNotNull(), F.concat("_t", F.lit(" — "), "_f")).otherwise(F.col("_t"))
     bare = F.when(F.col("_f").isNotNull(), F.concat(F.lit("Untitled "), F.lower(F.substring("_f", 1, 1)), F.substring(F.col("_f"), F.lit(2), F.char_length("_f")), F.lit(" tender"))).otherwise("Untitled tender")
     return out.select(key, F.when(has, F.substring(named, 1, 90)).otherwise(bare).alias("title"), has.alias("derived"))

@@ -28,9 +28,10 @@ def grouped_rows(rows: DataFrame, key: str, is_key: str) -> DataFrame:
     """Data rows of tables: a row of one cell is a heading for those below it; the first cell that looks like a key names a row."""
     cells = F.filter("cells", lambda c: c != "")
     heading = F.when(F.size(cells) == 1, cells[0])
+    notice = F.when(F.size(cells) > 1, F.get(F.filter(cells, lambda c: c.rlike(fixed.NOTICE)), 0))
     named = F.filter("cells", lambda c: c.rlike(is_key))
-    r = filled_down(rows.withColumns({"heading": heading, "entry": F.get(named, 0)}), [key, "table_no"], ["row_no"], ["heading"])
-    return r.filter((F.size(cells) > 1) & F.col("entry").isNotNull()).select(key, "table_no", "row_no", "heading", "entry", "cells")
+    r = filled_down(rows.withColumns({"heading": heading, "entry": F.get(named, 0), "notification": notice}), [key, "table_no"], ["row_no"], ["heading", "notification"])
+    return r.filter((F.size(cells) > 1) & F.col("entry").isNotNull()).select(key, "table_no", "row_no", "heading", "entry", "notification", "cells")
 
 
 def around(texts: DataFrame, key: str, text: str, pattern: str, words: list[str], width: int = 120) -> DataFrame:

@@ -14,6 +14,16 @@ def table(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
+def loaded(df: DataFrame, path: str, state: str, name: str, allow_shrink: bool = False) -> int:
+    """A guarded load: refused if empty or shrunk since the last one; else the table is replaced and its count is kept."""
+    from .tables import guarded, previous
+
+    spark = df.sparkSession
+    n = table(guarded(df, previous(spark, state, name), allow_shrink), path)
+    spark.createDataFrame([(name, n)], "name string, rows long").withColumn("at", F.current_timestamp()).write.mode("append").json(state)
+    return n
+
+
 def export_csv(df: DataFrame, path: str, name: str, allowed: list[str], quote_all: bool = False) -> None:
     """A whole table as CSV with a header, if its name is on the list."""
     if name not in allowed:

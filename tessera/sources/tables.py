@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +20,9 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines that parse; others are dropped, not fatal."""
-    lines = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
-    first = schema.split()[0].strip("`")
-    return lines.select("r.*").filter(F.col(first).isNotNull())
+    """Lines that hold a JSON object, nulls or not in its fields; others are dropped, not fatal."""
+    lines = spark.read.text(path).filter(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
 def guarded(new: DataFrame, before: int | None, allow_shrink: bool = False, shrink: float = fixed.SHRINK) -> DataFrame:
@@ -35,6 +35,16 @@ def guarded(new: DataFrame, before: int | None, allow_shrink: bool = False, shri
     return new
 
 
+def previous(spark: SparkSession, state: str, name: str) -> int | None:
+    """Rows of the table at its last load, from the state that sinks.loaded() keeps; None before the first."""
+    try:
+        rows = spark.read.schema("name string, rows long, at timestamp").json(state)
+    except AnalysisException:  # nothing was loaded so far
+        return None
+    last = rows.filter(F.col("name") == name).agg(F.max_by("rows", "at")).first()[0]
+    return last
+
+
 def with_digits(register: DataFrame, number: str = "number") -> DataFrame:
     """The load-time key: digits of the base, zeros kept."""
     return register.withColumn("digits", ids.digits(F.col(number)))
@@ -56,6 +66,16 @@ def vector_text(title: Column, family: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(family, F.lit("")))
 
 
+def document_text(paragraphs: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """key, text: a document's paragraphs (key, place, text) that aren't blank, then its table rows (key, row, cell, text)
+    that aren't empty, their trimmed cells joined by bars."""
+    p = paragraphs.filter(F.trim("text") != "").select(key, F.struct(F.lit(0).alias("kind"), F.col("place").alias("at"), F.col("text").alias("line")).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.trim(F.coalesce("text", F.lit(""))).alias("t")))), lambda c: c["t"]), " | ")
+    rows = cells.groupBy(key, "row").agg(joined.alias("line"), F.max((F.trim(F.coalesce("text", F.lit(""))) != "").cast("int")).alias("_any")).filter("_any = 1")
+    r = rows.select(key, F.struct(F.lit(1).alias("kind"), F.col("row").alias("at"), F.col("line")).alias("x"))
+    return p.unionByName(r).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+
+
 def container(content: Column) -> Column:
     """What a binary document is, by its first bytes; null for what can't be read."""
     head = F.substring(content.cast("binary"), 1, 4)
@@ -81,6 +101,20 @@ def catalogue(records: DataFrame, status_id: str, withdrawn: str) -> DataFrame:
     return records.withColumn("status", F.when(F.coalesce(F.col(withdrawn), F.lit(False)), "Withdrawn").otherwise(F.element_at(names, F.col(status_id))))
 
 
+def catalogue_rows(records: DataFrame, families: DataFrame) -> DataFrame:
+    """Portal records (standardNumber, standardName, publishedOn, validUpto, isStatus, withdrawStatus, departmentId) in the
+    register's shape; families: departmentId, family. Nothing is inferred: an unknown status counts as current."""
+    r = catalogue(records, "isStatus", "withdrawStatus").join(families, "departmentId", "left")
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    number = blank("standardNumber")
+    return r.select(number.alias("number"), blank("standardName").alias("title"), F.substring(blank("publishedOn"), 1, 4).alias("year"), F.coalesce("status", F.lit("Current")).alias("status"), F.coalesce("family", F.lit("Unassigned department")).alias("family"), ids.base(number).alias("base"), F.substring(blank("validUpto"), 1, 10).alias("review_due"))
+
+
+def not_from(register: DataFrame, provenance: str, prefix: str) -> DataFrame:
+    """Rows that the register held on its own: no provenance, or one that doesn't start with the prefix."""
+    return register.filter(F.col(provenance).isNull() | ~F.startswith(F.col(provenance), F.lit(prefix)))
+
+
 def search_words(register: DataFrame, title: str, family: str, number: str, least: int = 4) -> DataFrame:
     """Words to ask a portal with: title words by count, then family pieces, then designations; each once, blind to case."""
     words = register.select(F.explode(F.regexp_extract_all(F.lower(F.col(title)), F.lit(f"[a-z]{{{least},}}"), F.lit(0))).alias("word")).filter(~F.col("word").isin(fixed.VOCABULARY_STOPS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -97,8 +131,8 @@ def unseen(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def sampled_ids(spark: SparkSession, low: int, high: int, n: int, seed: int, done: DataFrame) -> DataFrame:
-    """n ids of a range in the order of a hash, without those done."""
-    return spark.range(low, high).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n).join(done, "id", "left_anti")
+    """n ids of a range in the order of a digest, without those done."""
+    return spark.range(low, high).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(n).join(done, "id", "left_anti")
 
 
 def inventory(files: DataFrame, path: str, prefix: str, skip: str) -> DataFrame:

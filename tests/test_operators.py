@@ -51,7 +51,7 @@ def test_paths_and_neighbourhoods(spark):
 
 
 def test_layout_stays_in_its_frame(spark):
-    pairs = spark.createDataFrame([(i, j, 1) for i in range(12) for j in range(i + 1, 12) if (i * j) % 3 == 0], "a long, b long, co long")
+    pairs = spark.createDataFrame([(i, j, 1.0) for i in range(12) for j in range(i + 1, 12) if (i * j) % 3 == 0], "a long, b long, confidence double")
     got = graph.layout(pairs).collect()
     assert len(got) == 12 and all(26 <= r.x <= 1014 and 26 <= r.y <= 634 for r in got)
     q = graph.layout_quality(spark.createDataFrame([(r.node, r.x, r.y) for r in got], "node long, x double, y double")).first()
