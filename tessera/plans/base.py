@@ -61,6 +61,19 @@ class Tables:
         return self.orders.join(who, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("doc"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("usability"), F.col("o_orderpriority").alias("source"), F.col("c_custkey").alias("buyer"), "c_mktsegment", F.col("n_name").alias("department"), F.col("r_name").alias("ministry"))
 
 
+def inside(said, text: str = "text", key: str = "doc_id"):
+    """A whole text with a phrase at a place of its own: documents by themselves name no entries."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    at = F.pmod(F.col(key) * 7919, F.char_length(t) + 1).cast("int")
+    return F.concat(F.substring(t, F.lit(1), at), F.lit(" "), F.coalesce(said, F.lit("")) if not isinstance(said, str) else F.lit(said), F.lit(" "), F.substring(t, at + 1, F.char_length(t)))
+
+
+def inside_sql(said: str) -> str:
+    """The same in SQL: doc_id, t."""
+    at = "((doc_id * 7919) % (length(coalesce(text, '')) + 1))"
+    return f"SELECT doc_id, left(coalesce(text, ''), {at}) || ' ' || coalesce({said}, '') || ' ' || substr(coalesce(text, ''), {at} + 1) AS t FROM documents"
+
+
 #: The same in SQL, as named table expressions.
 REG = """reg AS (SELECT p_partkey AS pk, 'IS ' || p_partkey || ' (Part ' || p_size || ') : ' || (1950 + p_size) AS number,
     p_type || ' ' || p_name AS title, p_brand AS family, 1950 + p_size AS year,

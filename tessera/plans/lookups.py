@@ -53,10 +53,10 @@ def evidence_breakdown(t: Tables):
     return docs.groupBy(F.when(F.col("usability") == "F", "text layer").otherwise("read by OCR").alias("population")).agg(F.count(F.lit(1)).alias("docs"), F.count_if("has_dead").alias("docs_with_dead"))
 
 
-@query(f"""WITH {REG}, {BRIDGE}, {DEAD_BASES}, {FLAGGED}, once AS (SELECT DISTINCT doc, item, dead FROM flagged WHERE item < 50)
+@query(f"""WITH {REG}, {BRIDGE}, {DEAD_BASES}, {FLAGGED}, once AS (SELECT DISTINCT doc, item, dead FROM flagged)
     SELECT item, dead, count(*) AS n_docs, (SELECT count(DISTINCT doc) FROM once) AS of_docs FROM once GROUP BY ALL""")
 def peer_tally(t: Tables):
-    return rollup.peer_tally(flagged(t).filter("item < 50"), "doc", "item")
+    return rollup.peer_tally(flagged(t), "doc", "item")
 
 
 CITED = """cited AS (SELECT DISTINCT 'IS ' || CASE l_suppkey % 4 WHEN 0 THEN l_partkey || ' (Part ' || (l_linenumber) || ') : ' || (1950 + l_linenumber) WHEN 1 THEN l_partkey || ' : 1999'
@@ -231,11 +231,11 @@ def successor_ladder(t: Tables):
     return resolve.successors(reg.filter("status = 'Withdrawn'"), reg, "number", "replaced_by", "supersedes", "status", near)
 
 
-@query("""WITH k AS (SELECT DISTINCT p_partkey::VARCHAR AS s FROM part WHERE p_partkey >= 100 AND p_partkey % 10 = 0), u AS (SELECT DISTINCT (p_partkey * 10 + 1)::VARCHAR AS s FROM part WHERE p_partkey >= 10 AND p_partkey % 20 = 3)
-    SELECT u.s AS unknown, k.s AS known FROM u JOIN k ON damerau_levenshtein(u.s, k.s) = 1""")
+@query("""WITH k AS (SELECT DISTINCT p_partkey::VARCHAR AS s FROM part WHERE p_partkey >= 100), u AS (SELECT DISTINCT (p_partkey * 10 + 1)::VARCHAR AS s FROM part WHERE p_partkey >= 10)
+    SELECT u.s AS unknown, k.s AS known FROM u JOIN k ON abs(length(u.s) - length(k.s)) <= 1 AND damerau_levenshtein(u.s, k.s) = 1""")
 def typo_candidates(t: Tables):
-    known = t.part.filter("p_partkey >= 100 and p_partkey % 10 = 0").select(F.col("p_partkey").cast("string").alias("s"))
-    unknown = t.part.filter("p_partkey >= 10 and p_partkey % 20 = 3").select((F.col("p_partkey") * 10 + 1).cast("string").alias("s"))
+    known = t.part.select(F.col("p_partkey").cast("string").alias("s"))
+    unknown = t.part.select((F.col("p_partkey") * 10 + 1).cast("string").alias("s"))
     return resolve.typo_candidates(unknown, "s", known, "s")
 
 

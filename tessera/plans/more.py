@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import citations, ids, text, values, verdicts
 from ..operators import audit, graph, lookup, merge, repair, resolve, rollup, titles
 from ..sources import html, sinks, tables
-from .base import BRIDGE, BUYERS, REG, Tables, query
+from .base import BRIDGE, BUYERS, REG, Tables, inside, inside_sql, query
 from .graphs import PARTS, UNDIRECTED, part_edges
 
 
@@ -59,11 +59,13 @@ def page_texts(t: Tables):
     return tables.extracted(t.conversations, "conv_id", "turn", "text").select("conv_id", "n_pages", "scanned", F.char_length("text").alias("chars"))
 
 
-@query("SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' END AS kind FROM part")
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '%PDF-1.7 ' WHEN 1 THEN 'PK' || chr(3) || chr(4) WHEN 2 THEN ' %PDF' ELSE '' END || text AS c FROM documents)
+    SELECT doc_id, CASE WHEN starts_with(c, '%PDF') THEN 'pdf' WHEN starts_with(c, 'PK' || chr(3) || chr(4)) THEN 'docx' END AS kind FROM c""")
 def container_sniffing(t: Tables):
-    k = F.col("p_partkey")
-    content = F.when(k % 3 == 0, F.lit(b"%PDF-1.7")).when(k % 3 == 1, F.lit(b"PK\x03\x04rest")).otherwise(F.lit(b"other"))
-    return t.part.select(k.alias("k"), tables.container(content).alias("kind"))
+    """Whole texts as binary documents, some with a head of their own."""
+    k = F.col("doc_id")
+    head = F.when(k % 4 == 0, "%PDF-1.7 ").when(k % 4 == 1, "PK\x03\x04").when(k % 4 == 2, " %PDF").otherwise("")
+    return t.documents.select("doc_id", tables.container(F.concat(head, "text").cast("binary")).alias("kind"))
 
 
 @query("SELECT p_partkey AS k, CASE WHEN p_size % 7 = 0 THEN 'Withdrawn' WHEN p_size % 5 IN (1, 2) THEN 'Current' WHEN p_size % 5 = 3 THEN 'Superseded' WHEN p_size % 5 = 4 THEN 'Withdrawn' END AS status FROM part")
@@ -85,23 +87,24 @@ def resumed_scan(t: Tables):
     return tables.unseen(t.orders.select(F.col("o_orderkey").alias("k")), done, "k")
 
 
-@query()
+@query("SELECT id FROM (SELECT range AS id FROM range(0, 100000) ORDER BY md5('7:' || range), range LIMIT 500) WHERE id NOT IN (SELECT o_orderkey FROM orders)")
 def sampled_ids(t: Tables):
     return tables.sampled_ids(t.spark, 0, 100_000, 500, 7, t.orders.select(F.col("o_orderkey").alias("id")))
 
 
-@query("SELECT p_partkey::VARCHAR AS id, 'a-' || p_partkey || '-1.pdf b-' || p_partkey || '-2.pdf' AS files FROM part WHERE p_partkey < 500")
+@query("SELECT p_partkey::VARCHAR AS id, 'a-' || p_partkey || '-1.pdf b-' || p_partkey || '-2.pdf' AS files FROM part")
 def file_inventory(t: Tables):
     k = F.col("p_partkey").cast("string")
     names = F.array(F.concat(F.lit("/d/a-"), k, F.lit("-1.pdf")), F.concat(F.lit("/d/b-"), k, F.lit("-2.pdf")), F.concat(F.lit("/d/c-"), k, F.lit("-bid.pdf")))
-    files = t.part.filter("p_partkey < 500").select(F.explode(names).alias("path"))
+    files = t.part.select(F.explode(names).alias("path"))
     return tables.inventory(files, "path", r"^[a-z]-(\d+)-", "-bid.pdf").select("id", F.array_join("files", " ").alias("files"))
 
 
-@query("SELECT count(*) AS documents, count(*) FILTER (doc_id % 4 = 0) AS scanned, 3 AS citations FROM documents")
+@query(rf"""WITH t AS ({inside_sql("'see IS ' || (10 + doc_id % 37)")}), c AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?:^|[^A-Za-z])IS (\d+)', 1)) AS n FROM t)
+    SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FILTER (doc_id % 4 = 0) FROM documents) AS scanned, count(DISTINCT n) AS citations FROM c""")
 def reread_report(t: Tables):
-    c = F.array(F.concat(F.lit("IS "), (F.col("doc_id") % 3).cast("string")))
-    return tables.reread(t.documents, F.col("doc_id") % 4 == 0, c).withColumn("citations", F.col("citations").cast("int"))
+    docs = t.documents.select("doc_id", inside(F.concat(F.lit("see IS "), (F.col("doc_id") % 37 + 10).cast("string"))).alias("text"))
+    return tables.reread(docs, F.col("doc_id") % 4 == 0, citations.extract(F.col("text")))
 
 
 @query(f"WITH {REG} SELECT pk, pk % 2 = 0 AS kept FROM reg")
@@ -119,11 +122,14 @@ def html_table_rows(t: Tables):
     return html.grouped_rows(html.table_rows(pages, "brand", "h"), "brand", r"^IS \d+$").select("brand", "heading", "entry", F.col("cells")[1].alias("product"))
 
 
-@query("SELECT 'IS ' || p_partkey AS entry, p_partkey AS k FROM part WHERE p_partkey % 2 = 0")
+@query(rf"""WITH t AS ({inside_sql("CASE WHEN doc_id % 3 = 2 THEN 'we name IS ' || (100 + doc_id) ELSE 'pipes shall conform to IS ' || (100 + doc_id % 50) END")}),
+    h AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?s).{{0,120}}?IS \d+.{{0,120}}')) AS passage, generate_subscripts(regexp_extract_all(t, '(?s).{{0,120}}?IS \d+.{{0,120}}'), 1) AS n FROM t)
+    SELECT entry, k FROM (SELECT regexp_extract(passage, 'IS \d+') AS entry, doc_id AS k, row_number() OVER (PARTITION BY regexp_extract(passage, 'IS \d+') ORDER BY doc_id, n) AS r FROM h WHERE regexp_matches(passage, '(?i)\bshall\b')) WHERE r = 1""")
 def prose_source(t: Tables):
-    k = F.col("p_partkey")
-    said = F.concat(F.lit("Here "), F.when(k % 2 == 0, "pipes shall conform to IS ").otherwise("we name IS "), k.cast("string"), F.lit(" only."))
-    return html.around(t.part.select(k.alias("k"), said.alias("s")), "k", "s", r"IS \d+", [r"\bshall\b"]).select("entry", "k")
+    """Designations at varied places of whole texts; those with an order around them."""
+    k = F.col("doc_id")
+    said = F.when(k % 3 == 2, F.concat(F.lit("we name IS "), (k + 100).cast("string"))).otherwise(F.concat(F.lit("pipes shall conform to IS "), (k % 50 + 100).cast("string")))
+    return html.around(t.documents.select(k.alias("k"), inside(said).alias("s")), "k", "s", r"IS \d+", [r"\bshall\b"]).select("entry", "k")
 
 
 @query("""SELECT c_custkey, c_name AS department, c_mktsegment AS ministry, '' AS office, 'PVC cable ' || c_custkey || ' up to 33 kV' AS category, c_custkey % 3 = 0 AS service FROM customer""")
@@ -168,11 +174,10 @@ def two_level_join(t: Tables):
     return resolve.two_step(left, "n", rules, "n", columns=["rule"]).select("k", "rule", "found_by")
 
 
-@query(f"""WITH {PARTS}, s AS (SELECT p_partkey AS source FROM part WHERE p_partkey % 40 = 0), h AS (SELECT source, dst, confidence, co FROM s JOIN edges ON src = source OR src = source + 1),
+@query(f"""WITH {PARTS}, s AS (SELECT p_partkey AS source FROM part), h AS (SELECT source, dst, confidence, co FROM s JOIN edges ON src = source OR src = source + 1),
     b AS (SELECT source, dst, max(confidence) AS confidence, max(co) AS co FROM h GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, co DESC, dst) AS rank FROM b) WHERE rank <= 5""")
 def related_by_two_keys(t: Tables):
-    s = t.part.filter("p_partkey % 40 = 0").select("p_partkey")
-    return graph.related(s, F.col("p_partkey"), part_edges(t), F.col("p_partkey") + 1, 5)
+    return graph.related(t.part.select("p_partkey"), F.col("p_partkey"), part_edges(t), F.col("p_partkey") + 1, 5)
 
 
 @query("""WITH c AS (SELECT o_orderkey AS link, o_custkey AS id FROM orders), new AS (SELECT * FROM c WHERE link % 5 <> 0 AND id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)) SELECT max(link) IS NOT NULL AS any_new, id FROM new GROUP BY id""")
@@ -199,13 +204,12 @@ def orphan_rules(t: Tables):
     return resolve.unmatched(rules, "n", reg, "number").select("k")
 
 
-@query(f"""WITH {BRIDGE}, {BUYERS}, n AS (SELECT count(DISTINCT doc) AS all_docs FROM bridge), t AS (SELECT p_partkey FROM part WHERE p_partkey % 100 = 1),
+@query(f"""WITH {BRIDGE}, {BUYERS}, n AS (SELECT count(DISTINCT doc) AS all_docs FROM bridge), t AS (SELECT p_partkey FROM part),
     h AS (SELECT DISTINCT item, doc, department FROM bridge JOIN buyers USING (doc) WHERE item IN (SELECT p_partkey FROM t)), r AS (SELECT item, doc, row_number() OVER (PARTITION BY item ORDER BY doc) AS r FROM (SELECT DISTINCT item, doc FROM h))
     SELECT item AS target, count(DISTINCT doc) AS docs, round(100.0 * count(DISTINCT doc) / (SELECT all_docs FROM n), 1) AS share, count(DISTINCT department) AS buyers, (SELECT string_agg(doc::VARCHAR, ' ' ORDER BY doc) FROM r WHERE r.item = h.item AND r.r <= 25) AS first_docs FROM h GROUP BY item""")
 def citing_documents(t: Tables):
     b = t.bridge.join(t.buyers.select("doc", "department"), "doc")
-    targets = t.part.filter("p_partkey % 100 = 1").select("p_partkey")
-    return graph.citing(b, "doc", F.col("item").cast("string"), targets, F.col("p_partkey").cast("string"), "department")
+    return graph.citing(b, "doc", F.col("item").cast("string"), t.part.select("p_partkey"), F.col("p_partkey").cast("string"), "department")
 
 
 @query("SELECT 'IS ' || (p_partkey + 100) || ' (Part II)' AS wanted, CASE WHEN p_partkey % 2 = 0 THEN 'IS ' || (p_partkey + 100) || ' (Part 2)' END AS found FROM part")
@@ -215,15 +219,17 @@ def gap_fill_spellings(t: Tables):
     return merge.gap_filled(t.part.select(F.concat(n, F.lit(" (Part II)")).alias("w")), "w", records, "number")
 
 
-@query(f"""WITH {PARTS}, {UNDIRECTED}, c AS (SELECT DISTINCT (k.p_partkey * 10)::VARCHAR AS unknown, k.p_partkey::VARCHAR AS known FROM part k WHERE k.p_partkey BETWEEN 100 AND 180),
-    s AS (SELECT unknown, known, sum(co) AS strength FROM c JOIN und ON a::VARCHAR = known OR b::VARCHAR = known GROUP BY ALL) SELECT unknown, known AS suggestion, CAST(strength AS BIGINT) AS strength FROM s""")
+@query(f"""WITH {PARTS}, {UNDIRECTED}, k AS (SELECT p_partkey::VARCHAR AS s FROM part WHERE p_partkey >= 100), u AS (SELECT (p_partkey * 10)::VARCHAR AS s FROM part WHERE p_partkey >= 10),
+    c AS (SELECT u.s AS unknown, k.s AS known FROM u JOIN k ON abs(length(u.s) - length(k.s)) <= 1 AND damerau_levenshtein(u.s, k.s) = 1),
+    tie AS (SELECT e::VARCHAR AS known, CAST(sum(co) AS BIGINT) AS strength FROM (SELECT a AS e, co FROM und UNION ALL SELECT b, co FROM und) GROUP BY 1)
+    SELECT unknown, known AS suggestion, strength FROM (SELECT *, row_number() OVER (PARTITION BY unknown ORDER BY strength DESC, known::BIGINT) AS r FROM c JOIN tie USING (known)) WHERE r = 1""")
 def typo_suggestion(t: Tables):
-    pairs = graph.undirected(part_edges(t)).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("co").alias("n"))
-    some = t.part.filter("p_partkey between 100 and 180")
-    unknown, known = some.select((F.col("p_partkey") * 10).cast("string").alias("s")), some.select(F.col("p_partkey").cast("string").alias("s"))
-    c = resolve.typo_candidates(unknown, "s", known, "s").filter(F.col("unknown") == F.concat("known", F.lit("0")))
-    beside = c.select("unknown").crossJoin(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "beside"))  # a few dozen unknown ones
-    return resolve.typo_choice(c, beside, pairs)
+    """Every part as known, ten times every part as unknown; beside an unknown stands whatever is cited with a candidate."""
+    pairs = graph.settled(graph.undirected(part_edges(t)).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("co").alias("n")))
+    unknown, known = t.part.select((F.col("p_partkey") * 10).cast("string").alias("s")), t.part.select(F.col("p_partkey").cast("string").alias("s"))
+    c = graph.settled(resolve.typo_candidates(unknown, "s", known, "s"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("known", "beside")
+    return resolve.typo_choice(c, c.join(both, "known").select("unknown", "beside"), pairs)
 
 
 # --- windows, bars, edges ------------------------------------------------------------------------------------------
@@ -242,12 +248,11 @@ def edge_visibility(t: Tables):
     return e.agg(F.count(F.lit(1)).alias("edges")).crossJoin(n.agg(F.count(F.lit(1)).alias("nodes")))  # two single rows
 
 
-@query("SELECT k, place FROM (SELECT p_partkey AS k, row_number() OVER (ORDER BY CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END, CASE WHEN p_partkey % 4 <> 0 THEN p_size END, CASE WHEN p_partkey % 4 = 0 THEN p_brand END, p_partkey) AS place FROM part) WHERE place <= 100 OR place > 9 * (SELECT count(*) FROM part) / 10")
+@query("SELECT p_partkey AS k, row_number() OVER (ORDER BY CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END, CASE WHEN p_partkey % 4 <> 0 THEN p_size END, CASE WHEN p_partkey % 4 = 0 THEN p_brand END, p_partkey) AS place FROM part")
 def typed_sort(t: Tables):
     v = F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string"))
-    order = [lookup.typed_order(v)[0], F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).asc(), F.col("p_partkey").asc()]
-    n = t.part.count()
-    return t.part.select(F.col("p_partkey").alias("k"), F.row_number().over(Window.orderBy(*order)).alias("place")).filter((F.col("place") <= 100) | (F.col("place") > 9 * n / 10))
+    rows = t.part.select(F.col("p_partkey").alias("k"), v.alias("v"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).alias("brand"))
+    return lookup.places(rows, [lookup.typed_order(F.col("v"))[0], F.col("brand").asc(), F.col("k").asc()]).select("k", "place")
 
 
 @query(f"""WITH {PARTS}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1), f AS (SELECT node, degree, p_brand AS family FROM d JOIN part ON p_partkey = node)
@@ -280,12 +285,14 @@ def dates_and_editions(t: Tables):
 # --- text and verdicts ---------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'audit' WHEN 1 THEN 'draft' WHEN 2 THEN 'draft' ELSE 'audit' END AS route, CASE doc_id % 4 WHEN 0 THEN 'the text cites entries' WHEN 1 THEN 'the text cites nothing' ELSE 'as asked' END AS why FROM documents""")
+@query(rf"""WITH t AS ({inside_sql("CASE WHEN doc_id % 4 = 0 THEN 'cable to IS ' || (1000 + doc_id) WHEN doc_id % 4 = 1 THEN 'this IS 5 times as long' ELSE '' END")}),
+    c AS (SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN 'draft' WHEN 3 THEN 'audit' END AS asked, regexp_matches(t, '(^|[^A-Za-z])IS[:\s]*\d{{2,}}') AS cites FROM t)
+    SELECT doc_id, coalesce(asked, CASE WHEN cites THEN 'audit' ELSE 'draft' END) AS route, CASE WHEN asked IS NOT NULL THEN 'as asked' WHEN cites THEN 'the text cites entries' ELSE 'the text cites nothing' END AS why FROM c""")
 def query_router(t: Tables):
     k = F.col("doc_id")
-    said = F.when(k % 4 == 0, "cable to IS 1554").otherwise("")
+    said = F.when(k % 4 == 0, F.concat(F.lit("cable to IS "), (k + 1000).cast("string"))).when(k % 4 == 1, "this IS 5 times as long").otherwise("")
     asked = F.when(k % 4 == 2, "draft").when(k % 4 == 3, "audit")
-    r = verdicts.route(F.size(citations.extract(F.concat_ws("\n", "text", said))), asked)
+    r = verdicts.route(F.size(citations.extract(inside(said))), asked)
     return t.documents.select("doc_id", r["route"].alias("route"), r["why"].alias("why"))
 
 
@@ -316,19 +323,28 @@ def headings_and_tidy(t: Tables):
     return t.part.select(k.alias("k"), text.is_heading(line).alias("heading"), text.tidy(F.lit("Cables  –Part 1 ")).alias("tidy"))
 
 
-@query("""SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS times, p_partkey % 3 <> 2 AS demanded, CASE p_partkey % 3 WHEN 2 THEN 'ISO 9001; EN 10025-2' ELSE '' END AS foreign_cited FROM part""")
+@query(rf"""WITH t AS ({inside_sql("CASE doc_id % 3 WHEN 0 THEN 'IS 303 with ISI mark, IS:303 : 1989, IS 3031' WHEN 1 THEN 'is 303 shall be certified' ELSE 'to ISO 9001, EN 10025-2 and ISO 9001' END")})
+    SELECT doc_id, len(regexp_extract_all(t, '(?i)(?:^|[^A-Za-z])IS[:\s]*303(?:[^\d]|$)'))::INT AS times, regexp_matches(t, '(?i)\bISI\s*mark|shall\s+be\s+certified|standard\s*mark|certification\s+mark|\bQCO\b|quality\s+control\s+order|licen[cs]e\s+(no|number)') AS demanded,
+        array_to_string(list_filter(regexp_extract_all(t, '\b(?:IEC|ISO|ASTM|BS\s?EN|BS|DIN|EN|IEEE|ANSI)\s*[:\-]?\s*\d{{2,6}}(?:[-\s]?\d+)?\b'), lambda x, i: list_position(regexp_extract_all(t, '\b(?:IEC|ISO|ASTM|BS\s?EN|BS|DIN|EN|IEEE|ANSI)\s*[:\-]?\s*\d{{2,6}}(?:[-\s]?\d+)?\b'), x) = i), '; ') AS foreign_cited FROM t""")
 def occurrences_marks_foreign(t: Tables):
-    k = F.col("p_partkey")
-    said = F.when(k % 3 == 0, "IS 303 with ISI mark, IS:303 : 1989, IS 3031").when(k % 3 == 1, "is 303 shall be certified").otherwise("to ISO 9001, EN 10025-2 and ISO 9001")
-    return t.part.select(k.alias("k"), citations.occurrences(said, F.lit("IS 303")).alias("times"), citations.demands_mark(said).alias("demanded"), F.array_join(citations.foreign(said), "; ").alias("foreign_cited"))
+    k = F.col("doc_id")
+    case = F.when(k % 3 == 0, "IS 303 with ISI mark, IS:303 : 1989, IS 3031").when(k % 3 == 1, "is 303 shall be certified").otherwise("to ISO 9001, EN 10025-2 and ISO 9001")
+    said = inside(case)
+    return t.documents.select("doc_id", citations.occurrences(said, F.lit("IS 303")).alias("times"), citations.demands_mark(said).alias("demanded"), F.array_join(citations.foreign(said), "; ").alias("foreign_cited"))
 
 
-@query(f"""WITH {REG}, r AS (SELECT pk, CASE pk % 4 WHEN 0 THEN 'terminology' WHEN 1 THEN 'safety' ELSE 'product' END AS role, 0.5 + (pk % 50) / 100.0 AS c FROM reg WHERE pk < 400)
-    SELECT role, count(*) AS n, count(*) FILTER (c >= 0.75) AS likely, min(pk) FILTER (c >= 0.75) AS first_likely FROM r GROUP BY 1""")
+@query(f"""WITH {PARTS}, r AS (SELECT src, dst, confidence, CASE dst % 4 WHEN 0 THEN 'terminology' WHEN 1 THEN 'safety' ELSE 'product' END AS role FROM edges),
+    o AS (SELECT *, CASE role WHEN 'terminology' THEN 1 WHEN 'safety' THEN 2 ELSE 3 END AS place FROM r),
+    g AS (SELECT src, role, place, count(*) AS n, string_agg(dst::VARCHAR, ' ' ORDER BY confidence DESC, dst) AS members FROM o GROUP BY ALL),
+    norm AS (SELECT src, string_agg(dst::VARCHAR, ' ' ORDER BY confidence DESC, dst) AS likely FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS k FROM r WHERE confidence >= 0.75) WHERE k <= 6 GROUP BY 1)
+    SELECT src, (SELECT string_agg(role || ':' || n, ' ' ORDER BY place) FROM g x WHERE x.src = g.src) AS roles, string_agg(members, ' | ' ORDER BY place) AS members, coalesce(any_value(likely), '') AS likely FROM g LEFT JOIN norm USING (src) GROUP BY src""")
 def roles_grouped(t: Tables):
+    """Each part's related parts by role, titles by the part's number."""
     title = F.when(F.col("pk") % 4 == 0, "Glossary of terms").when(F.col("pk") % 4 == 1, "Safety of plant").otherwise(F.col("title"))
-    r = t.register.filter("pk < 400").select("pk", verdicts.role(title).alias("role"), (0.5 + (F.col("pk") % 50) / 100.0).alias("c"))
-    return r.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") >= 0.75).alias("likely"), F.min(F.when(F.col("c") >= 0.75, F.col("pk"))).alias("first_likely"))
+    titles_ = t.register.select(F.col("pk").alias("dst"), title.alias("title"))
+    grouped = graph.by_role(part_edges(t).join(titles_, "dst"), "src", "dst", "title", "confidence")
+    said = F.array_join(F.transform("groups", lambda g: F.concat(g["role"], F.lit(":"), g["n"].cast("string"))), " ")
+    return grouped.select("src", said.alias("roles"), F.array_join(F.transform("groups", lambda g: F.array_join(F.transform(g["members"], lambda m: m["key"].cast("string")), " ")), " | ").alias("members"), F.array_join(F.transform("likely", lambda m: m["key"].cast("string")), " ").alias("likely"))
 
 
 @query("""SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Notice Inviting Tender for Red Widget' WHEN 1 THEN 'Untitled brand cable tender' WHEN 2 THEN 'Volume 3' ELSE 'Specification — Brand cable' END AS title, p_partkey % 4 <> 1 AS derived FROM part""")
@@ -385,7 +401,7 @@ def repair_intruders(t: Tables):
     return repair.intruders(docs, "doc_id", "fixed", docs.select("doc_id", F.lit("IS 10").alias("cite")))
 
 
-@query("SELECT item, docs, shared, cluster FROM (SELECT c_mktsegment AS item, count(*) AS docs FROM customer GROUP BY 1) JOIN (SELECT item, n AS shared, cluster FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, cluster) AS r FROM (SELECT c_mktsegment AS item, c_nationkey::BIGINT AS cluster, count(*) AS n FROM customer GROUP BY ALL)) WHERE r = 1 AND n >= 2) USING (item)")
+@query("SELECT item, docs, shared, cluster, (SELECT count(*) FROM customer WHERE c_nationkey = cluster) AS cluster_size FROM (SELECT c_mktsegment AS item, count(*) AS docs FROM customer GROUP BY 1) JOIN (SELECT item, n AS shared, cluster FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, cluster) AS r FROM (SELECT c_mktsegment AS item, c_nationkey::BIGINT AS cluster, count(*) AS n FROM customer GROUP BY ALL)) WHERE r = 1 AND n >= 2) USING (item)")
 def travelling_items(t: Tables):
     from ..operators.lineage import travelling
 
@@ -399,9 +415,9 @@ def first_finding_per_key(t: Tables):
     return first.select("event_id", F.lit(1).alias("r")).orderBy("event_id").limit(12)
 
 
-@query("SELECT user_id, string_agg(event_type, ' ' ORDER BY event_id) AS kinds FROM events WHERE event_id < 500 GROUP BY 1")
+@query("SELECT user_id, string_agg(event_type, ' ' ORDER BY event_id) AS kinds FROM events GROUP BY 1")
 def grouped_by_cause(t: Tables):
-    g = t.events.filter("event_id < 500").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
+    g = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
     return g.select("user_id", F.array_join(F.transform("x", lambda e: e["event_type"]), " ").alias("kinds"))
 
 

@@ -1,4 +1,4 @@
 """All registered queries; importing this module fills the registry."""
 
-from . import graphs, lookups, more, retrieval, streams, texts, whole  # noqa: F401
+from . import further, graphs, lookups, more, retrieval, streams, texts  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import citations, text, values, verdicts
+from ..functions import citations, fixed, text, values, verdicts
 from ..operators import lineage, repair
 from ..sources import html
-from .base import Tables, query
+from .base import Tables, inside, inside_sql, query
 
 TITLES = """titles AS (SELECT p_partkey AS k, CASE p_partkey % 12 WHEN 0 THEN 'Methods of test for ' || p_name WHEN 1 THEN 'Glossary of terms for ' || p_name WHEN 2 THEN 'Code of practice for laying of ' || p_name
     WHEN 3 THEN 'Safety of UPVC ' || p_name WHEN 4 THEN 'Dimensions of cast iron ' || p_name WHEN 5 THEN 'Inspection of mild steel ' || p_name WHEN 6 THEN 'PVC insulated cables for working voltages up to and including ' || (p_size * 100) || ' V'
@@ -46,13 +48,13 @@ def voltage_verdicts(t: Tables):
     return titles(t).select("k", b["low"].alias("low"), b["high"].alias("high"), verdicts.stated_voltage(F.col("q")).alias("stated"), verdicts.voltage_verdict(F.col("q"), F.col("title")).alias("verdict"))
 
 
-@query(f"""WITH {TITLES}, v AS (SELECT k, k % 5 AS qn, k % 12 AS tn, 1.0 / (1 + k % 7) AS score, CASE k % 4 WHEN 0 THEN 'Current' WHEN 1 THEN 'Superseded' WHEN 2 THEN 'Withdrawn' END AS status FROM titles WHERE k < 600),
+@query(f"""WITH {TITLES}, v AS (SELECT k, k % 5 AS qn, k % 12 AS tn, 1.0 / (1 + k % 7) AS score, CASE k % 4 WHEN 0 THEN 'Current' WHEN 1 THEN 'Superseded' WHEN 2 THEN 'Withdrawn' END AS status FROM titles),
     m AS (SELECT *, CASE qn WHEN 0 THEN 'pvc' WHEN 1 THEN 'xlpe' WHEN 2 THEN 'steel' WHEN 3 THEN 'upvc' END AS a, CASE tn WHEN 3 THEN 'upvc' WHEN 4 THEN 'cast_iron' WHEN 5 THEN 'steel' WHEN 6 THEN 'pvc' WHEN 7 THEN 'xlpe' WHEN 8 THEN 'hdpe' WHEN 9 THEN 'upvc' WHEN 10 THEN 'ductile_iron' END AS b,
         CASE qn WHEN 1 THEN 'test_method' WHEN 2 THEN 'installation' ELSE 'product' END AS w, CASE tn WHEN 0 THEN 'test_method' WHEN 1 THEN 'terminology' WHEN 2 THEN 'installation' WHEN 3 THEN 'safety' WHEN 4 THEN 'dimensions' WHEN 5 THEN 'quality_system' ELSE 'product' END AS r FROM v)
     SELECT k, row_number() OVER (PARTITION BY qn ORDER BY CASE WHEN a IS NULL OR b IS NULL THEN 1 WHEN a = b OR (a = 'pvc' AND b = 'upvc') OR (a = 'upvc' AND b = 'pvc') THEN 0 ELSE 2 END,
         CASE WHEN (w = 'product' AND r NOT IN ('terminology', 'installation')) OR (w <> 'product' AND w = r) THEN 0 ELSE 1 END, CASE status WHEN 'Current' THEN 0 WHEN 'Superseded' THEN 1 WHEN 'Withdrawn' THEN 2 ELSE 3 END, score DESC, k) AS place FROM m""")
 def final_rank(t: Tables):
-    return ranked(titles(t).filter("k < 600"))
+    return ranked(titles(t))
 
 
 def ranked(of: DataFrame) -> DataFrame:
@@ -63,15 +65,22 @@ def ranked(of: DataFrame) -> DataFrame:
     return c.select("k", F.row_number().over(Window.partitionBy(F.col("k") % 5).orderBy(*order)).alias("place"))
 
 
-CITING = """citing AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'as per relevant IS 10. See IS 694 and IS ' || (1000 + doc_id) WHEN 1 THEN 'THIS 20 and he is 11, IS:20161967' WHEN 2 THEN 'IS/IEC 60947 (Part 1), IS 60947 (part-1)'
-    WHEN 3 THEN 'IS 1554 (Part 2/ Sec 1) then IS 1554 (Part-2/Sec.-1)' WHEN 4 THEN 'IS 99999999 and IS 8' WHEN 5 THEN repeat('IS 456. ', 50) WHEN 6 THEN '' ELSE text END AS t FROM documents)"""
+CASES = """CASE doc_id % 8 WHEN 0 THEN 'as per relevant IS 10. See IS 694 and IS ' || (1000 + doc_id) WHEN 1 THEN 'THIS 20 and he is 11, IS:20161967' WHEN 2 THEN 'IS/IEC 60947 (Part 1), IS 60947 (part-1)'
+    WHEN 3 THEN 'IS 1554 (Part 2/ Sec 1) then IS 1554 (Part-2/Sec.-1)' WHEN 4 THEN 'IS 99999999 and IS 8' WHEN 5 THEN repeat('IS 456. ', 50) WHEN 6 THEN 'to IS ' || (10 + doc_id) || ' (Part ' || (doc_id % 9) || '), IS ' || (10 + doc_id) || ' and IS ' || doc_id || '2001' ELSE '' END"""
 
 
-@query(f"""WITH {CITING} SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'IS 694; IS ' || (1000 + doc_id) WHEN 1 THEN 'IS 2016' WHEN 2 THEN 'IS 60947 (Part 1)' WHEN 3 THEN 'IS 1554 (Part 2/ Sec 1)' WHEN 5 THEN 'IS 456' ELSE '' END AS found FROM citing""")
+@query(rf"""WITH t AS ({inside_sql(CASES)}), c AS (SELECT doc_id, regexp_replace(t, '\b(relevant|applicable|respective|appropriate|any other) IS', '\1 XX', 'g') AS t FROM t),
+    m AS (SELECT doc_id, regexp_extract_all(t, '(?:^|[^A-Za-z])IS(?:/(?:IEC|ISO))?[:\s]*(\d{{2,}})(?:\s*\(([^)]{{0,40}})\))?', 1) AS n, regexp_extract_all(t, '(?:^|[^A-Za-z])IS(?:/(?:IEC|ISO))?[:\s]*(\d{{2,}})(?:\s*\(([^)]{{0,40}})\))?', 2) AS p FROM c),
+    x AS (SELECT doc_id, list_filter(list_transform(list_zip(n, p), lambda z: {{'n': CASE WHEN length(z[1]) <= 6 THEN z[1] ELSE regexp_extract(z[1], '^(\d{{2,6}})((?:19|20)\d{{2}})$', 1) END, 'p': trim(regexp_replace(coalesce(z[2], ''), '\s+', ' ', 'g'))}}), lambda z: z.n <> '') AS x FROM m),
+    k AS (SELECT doc_id, x, list_transform(x, lambda z: z.n || '|' || regexp_replace(lower(z.p), '[^a-z0-9]', '', 'g')) AS k FROM x)
+    SELECT doc_id, array_to_string(list_transform(list_filter(x, lambda z, i: list_position(k, k[i]) = i), lambda z: CASE WHEN z.p = '' THEN 'IS ' || z.n ELSE 'IS ' || z.n || ' (' || z.p || ')' END), '; ') AS found FROM k""")
 def citation_extraction(t: Tables):
+    """Whole texts with designations at varied places."""
     k = F.col("doc_id")
-    case = F.when(k % 8 == 0, F.concat(F.lit("as per relevant IS 10. See IS 694 and IS "), (k + 1000).cast("string"))).when(k % 8 == 1, "THIS 20 and he is 11, IS:20161967").when(k % 8 == 2, "IS/IEC 60947 (Part 1), IS 60947 (part-1)").when(k % 8 == 3, "IS 1554 (Part 2/ Sec 1) then IS 1554 (Part-2/Sec.-1)").when(k % 8 == 4, "IS 99999999 and IS 8").when(k % 8 == 5, "IS 456. " * 50).otherwise("")
-    return t.documents.select("doc_id", F.array_join(citations.extract(F.concat_ws("\n", "text", case)), "; ").alias("found"))
+    number = lambda c: c.cast("string")
+    case = F.when(k % 8 == 0, F.concat(F.lit("as per relevant IS 10. See IS 694 and IS "), number(k + 1000))).when(k % 8 == 1, "THIS 20 and he is 11, IS:20161967").when(k % 8 == 2, "IS/IEC 60947 (Part 1), IS 60947 (part-1)").when(k % 8 == 3, "IS 1554 (Part 2/ Sec 1) then IS 1554 (Part-2/Sec.-1)").when(k % 8 == 4, "IS 99999999 and IS 8").when(k % 8 == 5, "IS 456. " * 50)
+    case = case.when(k % 8 == 6, F.concat(F.lit("to IS "), number(k + 10), F.lit(" (Part "), number(k % 9), F.lit("), IS "), number(k + 10), F.lit(" and IS "), number(k), F.lit("2001"))).otherwise("")
+    return t.documents.select("doc_id", F.array_join(citations.extract(inside(case)), "; ").alias("found"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'IS 77' ELSE 'IS 10:2001' END AS leaks FROM documents""")
@@ -110,12 +119,22 @@ def tokenised(t: Tables):
     return t.documents.select("doc_id", F.size(w).alias("n_tokens"), F.size(F.array_distinct(w)).alias("n_distinct"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'XLPE cable cross-linked polyethylene' WHEN 1 THEN 'MS and ms pipe mild steel' WHEN 2 THEN 'street lighting road and street lighting luminaires' WHEN 3 THEN 'gi GI galvanized iron galvanized steel tubes tubulars wrought steel fittings' ELSE left(text, 20) END AS expanded
-    FROM documents WHERE doc_id % 5 <> 4 OR NOT regexp_matches(left(text, 20), '(?i)(^|[^a-z0-9])(lt|ht|led|gi|frp|rcc)([^a-z0-9]|$)') AND NOT regexp_matches(left(text, 20), '(^|[^A-Za-z0-9])(MS|CI|DI|IP|ABC)([^A-Za-z0-9]|$)')""")
+def _expansion_sql() -> str:
+    """The rules of fixed values as a list of cases, in their order; the words' fences as characters, as look-around is not at hand."""
+    fence = lambda w: f"(^|[^A-Za-z0-9]){re.escape(w)}([^A-Za-z0-9]|$)"
+    rules = [("(?i)" + fence(k), v) for k, v in fixed.EXPANSIONS.items()] + [(fence(k), v) for k, v in fixed.STRICT_EXPANSIONS.items()] + [("(?i)" + k, v) for k, v in fixed.PHRASES.items()]
+    cases = ", ".join(f"CASE WHEN regexp_matches(q, '{p}') THEN '{v}' END" for p, v in rules)
+    return f"""WITH q AS (SELECT doc_id, concat_ws(chr(10), text, CASE doc_id % 5 WHEN 0 THEN 'XLPE cable' WHEN 1 THEN 'MS and ms pipe' WHEN 2 THEN 'street lighting' WHEN 3 THEN 'gi GI galvanized iron' ELSE '' END) AS q FROM documents),
+        e AS (SELECT doc_id, q, list_filter([{cases}], lambda x: x IS NOT NULL) AS l FROM q)
+        SELECT doc_id, CASE WHEN len(l) = 0 THEN q ELSE q || ' ' || array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') END AS expanded FROM e"""
+
+
+@query(_expansion_sql())
 def query_expansion(t: Tables):
+    """Whole texts of all documents, with some cases behind them."""
     k = F.col("doc_id")
-    q = F.when(k % 5 == 0, "XLPE cable").when(k % 5 == 1, "MS and ms pipe").when(k % 5 == 2, "street lighting").when(k % 5 == 3, "gi GI galvanized iron").otherwise(F.substring("text", 1, 20))
-    return t.documents.select("doc_id", q.alias("q"), k.alias("k")).filter((k % 5 != 4) | (F.size(text.expansions(F.col("q"))) == 0)).select("doc_id", text.expand(F.col("q")).alias("expanded"))
+    case = F.when(k % 5 == 0, "XLPE cable").when(k % 5 == 1, "MS and ms pipe").when(k % 5 == 2, "street lighting").when(k % 5 == 3, "gi GI galvanized iron").otherwise("")
+    return t.documents.select("doc_id", text.expand(F.concat_ws("\n", "text", case)).alias("expanded"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, trim(text, ' ') AS t FROM documents), h AS (SELECT doc_id, t, left(t, 500) AS h FROM c), p AS (SELECT *, greatest(CASE WHEN contains(h, '. ') THEN length(h) - strpos(reverse(h), ' .') ELSE 0 END, CASE WHEN contains(h, chr(10)) THEN length(h) - strpos(reverse(h), chr(10)) + 1 ELSE 0 END) AS n FROM h)
@@ -150,14 +169,19 @@ def heading_fill_forward(t: Tables):
     return html.filled_down(c, ["conv_id"], ["turn"], ["asked_at"])
 
 
-@query("""WITH s AS (SELECT conv_id, turn, text, CASE WHEN lag(role) OVER w IS NULL OR lag(role) OVER w = role THEN 1 ELSE 0 END AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-    SELECT conv_id, p AS paragraph, count(*) AS lines FROM (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM s) GROUP BY ALL""")
-def run_grouping(t: Tables):
-    from pyspark.sql import Window
+HEADING = lambda c: rf"(length(trim({c})) <= 92 AND NOT ends_with(trim({c}), '.') AND length(regexp_replace({c}, '[^A-Za-z]', '', 'g')) > 0 AND ((regexp_matches(trim({c}), '^(\d+(\.\d+)*)[.)]?\s+(.{{2,90}})$') AND length(regexp_replace({c}, '[^A-Z]', '', 'g')) / length(regexp_replace({c}, '[^A-Za-z]', '', 'g')) > 0.6) OR (length(regexp_replace({c}, '[^A-Z]', '', 'g')) / length(regexp_replace({c}, '[^A-Za-z]', '', 'g')) > 0.85 AND len(regexp_split_to_array(trim({c}), '\s+')) <= 12)))"
+
 
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    s = (F.lag("role").over(w).isNull() | (F.lag("role").over(w) == F.col("role"))).cast("int")
-    return t.conversations.withColumn("s", s).withColumn("paragraph", F.sum("s").over(w)).groupBy("conv_id", "paragraph").agg(F.count(F.lit(1)).alias("lines"))
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '2.1 SCOPE OF WORK' || chr(10) || 'goes on' ELSE '' END, chr(10))) AS line, generate_subscripts(string_split(text || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '2.1 SCOPE OF WORK' || chr(10) || 'goes on' ELSE '' END, chr(10)), 1) AS i FROM documents),
+    b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l),
+    s AS (SELECT doc_id, i, line, CASE WHEN before IS NULL OR trim(before) = '' OR regexp_matches(trim(before), '[.:;?!]$') OR coalesce({HEADING('line')}, false) OR coalesce({HEADING('before')}, false) THEN 1 ELSE 0 END AS s FROM b),
+    p AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS paragraph FROM s)
+    SELECT doc_id, CAST(paragraph AS BIGINT) AS paragraph, string_agg(trim(line), ' ' ORDER BY i) AS text FROM p WHERE trim(line) <> '' GROUP BY ALL""")
+def run_grouping(t: Tables):
+    """The lines of whole texts as paragraphs."""
+    whole = F.concat("text", F.when(F.col("doc_id") % 5 == 0, "\n2.1 SCOPE OF WORK\ngoes on").otherwise(""))
+    lines = t.documents.select("doc_id", F.posexplode(F.split(whole, "\n")).alias("i", "line"))
+    return html.wrapped(lines, "doc_id", "i", "line")
 
 
 @query("""SELECT doc_id, 'Lay IS 8130 : 2013 as in IS 456 and THIS 303. ' || doc_id AS fixed, CASE WHEN doc_id % 2 = 0 THEN 'Additional entries applicable: IS 99.' ELSE '' END AS tail FROM documents""")
@@ -197,17 +221,17 @@ def near_duplicate_clusters(t: Tables):
     return lineage.clusters(lineage.near_pairs(t.documents, "doc_id", "text"))
 
 
-@query(f"""WITH RECURSIVE {SETS}, th AS (SELECT unnest([0.95, 0.9, 0.8]) AS t), st AS (SELECT t, a AS u, b AS v FROM near, th WHERE jaccard >= t UNION SELECT t, b, a FROM near, th WHERE jaccard >= t),
+@query(f"""WITH RECURSIVE {SETS}, th AS (SELECT unnest([0.8, 0.65, 0.5, 0.35]) AS t), st AS (SELECT t, a AS u, b AS v FROM near, th WHERE jaccard >= t UNION SELECT t, b, a FROM near, th WHERE jaccard >= t),
     reach(t, u, v) AS (SELECT t, u, u FROM st UNION SELECT r.t, r.u, st.v FROM reach r JOIN st ON r.v = st.u AND r.t = st.t), c AS (SELECT t, u, min(v) AS m FROM reach GROUP BY t, u)
     SELECT CAST(t AS DOUBLE) AS threshold, count(DISTINCT m) AS clusters, count(*) AS docs FROM c GROUP BY t""")
 def lineage_sweep(t: Tables):
-    pairs = lineage.settled(lineage.near_pairs(t.documents, "doc_id", "text"))
-    return lineage.sweep(pairs, [0.95, 0.9, 0.8])
+    pairs = lineage.settled(lineage.near_pairs(t.documents, "doc_id", "text", min(fixed.SWEEP)))
+    return lineage.sweep(pairs, fixed.SWEEP)
 
 
 @query("""WITH g AS (SELECT min(doc_id) AS doc_id, text, count(*) AS n FROM documents GROUP BY text) SELECT doc_id, n FROM g""")
 def exact_duplicate_groups(t: Tables):
-    return t.documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("doc_id", "n")
+    return t.documents.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("doc_id", "n")
 
 
 @query("""SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_name END AS clean, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 2 END AS n, CASE WHEN p_size >= 33 THEN 'High' WHEN p_size >= 20 THEN 'Medium' ELSE 'Low' END AS band FROM part""")
