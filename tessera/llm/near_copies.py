@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import FEW, components
 from . import simhash
 from .common import batch, folded, maybe_broadcast, numbered, removed, skew_join, text_pass, written
-from .components import FEW, components
 from .simhash import Forest, majority
 
 WORDS = 5

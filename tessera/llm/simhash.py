@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import FEW, components
 from .common import batch, folded, maybe_broadcast, numbered, skew_join, text_pass, written
-from .components import FEW, components
 
 WORDS = 4
 RADIUS = 4

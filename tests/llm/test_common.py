@@ -5,7 +5,8 @@ import pytest
 import pyspark.sql.functions as F
 
 from tessera.llm import common as K
-from tessera.llm.components import components
+from tessera.operators import plumbing
+from tessera.operators.components import components
 
 
 def test_exploded(spark, monkeypatch):
@@ -82,7 +83,7 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     class Session:
         conf, sparkContext = {}, Context()
 
-    monkeypatch.setattr(K, "ship", lambda _: None)
+    monkeypatch.setattr(plumbing, "ship", lambda _: None)
     with pytest.raises(RuntimeError):
         K.shared_dir(Session())
 
