@@ -15,14 +15,37 @@ def baskets(bridge: DataFrame, doc: str, item: str) -> DataFrame:
     return bridge.select(F.col(doc).alias("doc"), F.col(item).alias("item")).repartition("doc").distinct()
 
 
-def co_citation(bridge: DataFrame, doc: str, item: str, least_co: int = 1, least_confidence: float = 0.0, least_source: int = 1, places: int = 3) -> DataFrame:
+#: Items of a basket whose pairs one task makes; larger baskets are cut into tiles.
+BASKET = 4096
+
+
+def basket_pairs(b: DataFrame, large: int = BASKET) -> DataFrame:
+    """a, b (a < b): the pairs of each basket of b (doc, item; dealt by doc), one row for each basket they are in.
+
+    Baskets up to ``large`` are joined where they lie. Those above are cut into parts by item, and each pair of parts
+    is a tile dealt by itself, so that no task squares a large basket; no pair is left out.
+    """
+    sized = b.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc")))
+    few, many = sized.filter(F.col("n") <= large), sized.filter(F.col("n") > large)
+    parts = F.ceil(F.col("n") / max(large // 2, 1)).cast("int")
+    tiles = many.withColumn("part", F.pmod(F.xxhash64("item"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tiles = tiles.select("doc", "item", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    ordered = F.col("x.item") < F.col("y.item")
+    once = (F.col("x.part") != F.col("y.part")) | (F.col("x.i") == F.col("x.j"))  # pairs within a part meet in its own tile only
+    near = few.alias("x").join(few.alias("y"), (F.col("x.doc") == F.col("y.doc")) & ordered)
+    far = tiles.alias("x").join(tiles.alias("y"), (F.col("x.doc") == F.col("y.doc")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & ordered & once)
+    ends = [F.col("x.item").alias("a"), F.col("y.item").alias("b")]
+    return near.select(*ends).unionByName(far.select(*ends))
+
+
+def co_citation(bridge: DataFrame, doc: str, item: str, least_co: int = 1, least_confidence: float = 0.0, least_source: int = 1, places: int = 3, large: int = BASKET) -> DataFrame:
     """Directed edges: src, dst, n_src, n_dst, co, confidence, lift; thresholds are tested before rounding.
 
     Pairs come from an equi-join of the distinct bridge with itself, one direction only; the other is its mirror, so
     that half the pairs are shuffled. The counts combine on the map side.
     """
     b = baskets(bridge, doc, item)
-    pairs = b.alias("x").join(b.alias("y"), (F.col("x.doc") == F.col("y.doc")) & (F.col("x.item") < F.col("y.item"))).groupBy(F.col("x.item").alias("a"), F.col("y.item").alias("b")).agg(F.count(F.lit(1)).alias("co")).filter(F.col("co") >= least_co)
+    pairs = basket_pairs(b, large).groupBy("a", "b").agg(F.count(F.lit(1)).alias("co")).filter(F.col("co") >= least_co)
     n = b.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     total = b.agg(F.count_distinct("doc").alias("n_docs"))
     both = pairs.withColumn("e", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))).select("e.src", "e.dst", "co")

@@ -2,8 +2,9 @@
 
 import random
 import re
+from collections import Counter
 
-from tessera.operators import lineage
+from tessera.operators import graph, lineage
 from tessera.plans import registry
 
 
@@ -158,3 +159,29 @@ def test_layouts_of_too_many_nodes_are_refused(spark):
         graph.layout(pairs, most=10)
     at = {r.node: (r.x, r.y) for r in graph.layout(pairs).collect()}
     assert len(at) == 31 and at == {r.node: (r.x, r.y) for r in graph.layout(pairs.repartition(3)).collect()}
+
+
+def test_baskets_cut_into_tiles_give_the_same_edges(spark):
+    rng = random.Random(8)
+    rows = [(d, rng.randrange(40)) for d in range(12) for _ in range(3 + 9 * (d % 4))] + [(None, 1), (None, 2), (3, None)]
+    bridge = spark.createDataFrame(rows, "doc int, item int")
+    whole, cut = (sorted(map(tuple, graph.co_citation(bridge, "doc", "item", large=n).collect())) for n in (4096, 5))
+    held = {}
+    for d, i in rows:
+        if d is not None and i is not None:
+            held.setdefault(d, set()).add(i)
+    want = Counter((a, b) for items in held.values() for a in items for b in items if a != b)
+    assert whole == cut and {(r[0], r[1]): r[4] for r in cut} == want
+
+
+def test_shingle_sets_against_plain_sets(spark):
+    rng = random.Random(2)
+    texts = [None, "", "a b c d", "a b c d e", "x " * 300, "Ä a-b C.d e f"] + [" ".join(rng.choice("pqr") for _ in range(rng.randrange(60))) for _ in range(80)]
+    got = {r.doc: r.s for r in lineage.shingled(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t").collect()}
+    plain = {}
+    for k, t in enumerate(texts):
+        w = re.findall("[a-z0-9]+", (t or "").lower())
+        plain[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    assert set(got) == {k for k, s in plain.items() if s}
+    assert all(list(s) == sorted(set(s)) and len(s) == len(plain[k]) for k, s in got.items())
+    assert all(len(set(got[a]) & set(got[b])) == len(plain[a] & plain[b]) for a in got for b in got)
