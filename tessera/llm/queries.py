@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, media, mixing, packing, simhash, token_counts, toxicity, url_filter, warc
+from . import exact_dedup, language, media, mixing, packing, runs, simhash, token_counts, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(table(spark, sf_dir, "pages"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text", runs.with_period("doc_id", "text"))
+    return runs.digests(runs.periodic_runs(docs))
+
+
 #: Rules of alias_verdicts.
 ALIAS_RULES = [("com/en/", "block"), ("net/", "allow"), ("org/es/", "block")]
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "alias_verdicts": alias_verdicts,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -144,4 +150,23 @@ SQL: dict[str, str] = {
                CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN place > 1 THEN top END AS refers_to
         FROM d""",
+    # runs by the definition: each pair of equal words of a text at each distance, in islands
+    "op13_periodic_runs": """
+        WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+        cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                       xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, crc),
+        sized AS (SELECT doc_id, w, h, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM cut),
+        texts AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) AS w FROM sized),
+        words AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM texts WHERE n > 0),
+        pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 3),
+        islands AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs) GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+        runs AS (SELECT * FROM islands x WHERE NOT EXISTS (SELECT 1 FROM islands o WHERE o.doc_id = x.doc_id AND o.q < x.q AND o.s <= x.s AND o.s + o.m >= x.s + x.m)),
+        dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM runs),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id),
+        told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+                        list({'s': s, 'm': m, 'q': q} ORDER BY s, q) AS all_runs FROM runs GROUP BY doc_id),
+        best AS (SELECT doc_id, n_runs, lines, list_reduce(all_runs, lambda b, r: CASE WHEN r.m * b.q > b.m * r.q THEN r ELSE b END) AS r FROM told)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, r.s AS start, r.m AS length, r.q AS period, 1000 * r.m // r.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM sized LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
