@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, media, mixing, packing, runs, simhash, token_counts, toxicity, url_filter, warc
+from . import collocations, exact_dedup, language, media, mixing, packing, runs, simhash, token_counts, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"), longest=5, least=100, covered=100, top=2000)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", runs.with_period("doc_id", "text"))
     return runs.digests(runs.periodic_runs(docs))
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "alias_verdicts": alias_verdicts,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -150,6 +155,20 @@ SQL: dict[str, str] = {
                CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN place > 1 THEN top END AS refers_to
         FROM d""",
+    "op11_collocations": f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM words, range(1, 6) sizes(m)),
+        counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+        totals AS (SELECT lang, sum(f) AS n FROM counts WHERE m = 1 GROUP BY lang),
+        candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND f >= 100),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM candidates, range(1, 5) ks(k) WHERE k < m),
+        scores AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, n, (1000 * a::HUGEINT * n) // (x.f::HUGEINT * y.f) AS score
+                   FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head JOIN counts y ON y.lang = c.lang AND y.phrase = tail JOIN totals t ON t.lang = c.lang),
+        lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, a AS f, array_to_string(w[i:j], ' ') AS phrase FROM candidates, range(1, 6) starts(i), range(1, 6) ends(j) WHERE i < j AND j <= m AND j - i + 1 < m) GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE inside.f IS NULL OR 100 * inside.f < 100 * a QUALIFY rank <= 2000""",
     # runs by the definition: each pair of equal words of a text at each distance, in islands
     "op13_periodic_runs": """
         WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
