@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, language, media, mixing, packing, runs, simhash, token_counts, toxicity, url_filter, warc
+from . import collocations, exact_dedup, language, media, mixing, packing, quality, runs, simhash, token_counts, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +81,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mined(table(spark, sf_dir, "documents"), longest=5, least=100, covered=100, top=2000)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", runs.with_period("doc_id", "text"))
     return runs.digests(runs.periodic_runs(docs))
@@ -102,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
     "op11_collocations": op11_collocations,
+    "op12_quality_rules": op12_quality_rules,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -137,6 +142,48 @@ def _verdict_sql(rules: list[tuple[str, str]], links: str) -> str:
         FROM pages LEFT JOIN parts ON pages.url IS NOT DISTINCT FROM parts.url LEFT JOIN best ON best.url = pages.url"""
 
 
+def _quality_sql() -> str:
+    """Counts by the definition, then the concentration steps one after another."""
+    axes = range(len(quality.X))
+    cells = [(i, j) for i in axes for j in range(i + 1)]
+    word = "[^\\x20\\x09-\\x0D]+"
+    y = [f"(x{i}::DOUBLE - m{i}{''.join(f' - l{i}{k} * y{k}' for k in range(i))}) / l{i}{i} AS y{i}" for i in axes]
+    distance = f"{', '.join(y)}, 0.0::DOUBLE + {' + '.join(f'y{i} * y{i}' for i in axes)} AS d"
+    bin_of = f"least(floor(d * {quality.FINE}), {quality.BINS})"
+    means = ", ".join(f"sum(x{i})::DOUBLE / count(*)::DOUBLE AS m{i}" for i in axes)
+    sums = ", ".join(f"sum(x{j} * x{i})::DOUBLE / count(*)::DOUBLE AS c{i}{j}" for i, j in cells)
+    under = lambda i, j: f"c{i}{j} - m{i} * m{j}{f' + {quality.FLOOR**2}.0::DOUBLE' if i == j else ''}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(j))}"
+    lower = ", ".join(f"sqrt(greatest({under(i, i)}, 1.0)) AS l{i}{i}" if i == j else f"({under(i, j)}) / l{j}{j} AS l{i}{j}" for i, j in cells)
+    names = ", ".join([*(f"m{i}" for i in axes), *(f"l{i}{j}" for i, j in cells)])
+    det = " * ".join(f"l{i}{i}" for i in axes)
+    estimate = lambda near: f"SELECT g, n, start, {names}, {det} AS det FROM (SELECT *, {lower} FROM (SELECT g, n, start, {means}, {sums} FROM {near} GROUP BY g, n, start))"
+    quartile = lambda i, q: f"min(CASE WHEN 4 * up{i} >= {q} * n THEN x{i} END)::DOUBLE"
+    middle = ", ".join([*(f"{quartile(i, 2)} AS m{i}" for i in axes), *(f"greatest(({quartile(i, 3)} - {quartile(i, 1)}) / 1.349::DOUBLE, {quality.FLOOR}.0::DOUBLE) AS l{i}{j}" if i == j else f"0.0::DOUBLE AS l{i}{j}" for i, j in cells)])
+    steps = ""
+    for k in range(quality.STEPS):
+        steps += f"""
+        placed{k} AS (SELECT *, {bin_of} AS bin FROM (SELECT *, {distance} FROM grouped JOIN e{k} USING (g, n))),
+        radius{k} AS (SELECT g, start, min(bin) AS radius FROM (SELECT g, n, start, bin, sum(count(*)) OVER (PARTITION BY g, start ORDER BY bin) AS upto FROM placed{k} GROUP BY g, n, start, bin) WHERE upto >= n * {quality.QUARTERS} // 4 + 1 GROUP BY g, start),
+        e{k + 1} AS ({estimate(f"(SELECT p.g, p.n, p.start, {', '.join(quality.X)} FROM placed{k} p JOIN radius{k} USING (g, start) WHERE bin <= radius)")}),"""
+    return f"""
+        WITH t AS (SELECT rowid AS row, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
+        windows AS (SELECT row, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'i': i, 'a': w[i], 'b': w[i + 1], 'c': w[i + 2]}}), recursive := true) FROM t WHERE len(w) > 2),
+        again AS (SELECT row, unnest([i, i + 1, i + 2]) AS place FROM (SELECT *, count(*) OVER (PARTITION BY row, a, b, c) AS times FROM windows) WHERE times > 1),
+        repeats AS (SELECT row, count(DISTINCT place) AS n_repeat_words FROM again GROUP BY row),
+        base AS (SELECT row, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+                        len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')))) AS n_dup_lines,
+                        coalesce(n_repeat_words, 0) AS n_repeat_words FROM t LEFT JOIN repeats USING (row)),
+        failing AS (SELECT *, n_words < {quality.WORDS} OR 100 * n_repeat_words > {quality.REPEATED} * n_words AS base_failed FROM base),
+        passed AS (SELECT row, lang, source, floor({quality.UNIT} * ln(word_chars / n_words))::BIGINT AS x0, floor({quality.UNIT} * sqrt(n_symbols / word_chars))::BIGINT AS x1, floor({quality.UNIT} * sqrt(n_repeat_words / n_words))::BIGINT AS x2,
+                          floor({quality.UNIT} * sqrt(n_dup_lines / n_words))::BIGINT AS x3, count(*) OVER (PARTITION BY lang, source) < {quality.LEAST} AS few FROM failing WHERE NOT base_failed),
+        named AS (SELECT *, {{'lang': lang, 'source': CASE WHEN few THEN NULL ELSE source END, 'few': few}} AS g FROM passed),
+        grouped AS (SELECT *, {', '.join(f'count(*) OVER (PARTITION BY g ORDER BY x{i}) AS up{i}' for i in axes)} FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM named) WHERE n >= {quality.LEAST}),
+        e0 AS ({estimate('(SELECT *, 0 AS start FROM grouped)')} UNION ALL SELECT g, n, 1, {middle}, 0.0 FROM grouped GROUP BY g, n),{steps}
+        best AS (SELECT * FROM e{quality.STEPS} QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, start) = 1),
+        far AS (SELECT row, d / {quality.consistency(quality.QUARTERS / 4)!r}::DOUBLE >= {quality.CUTOFF} AS outlier FROM (SELECT *, {distance} FROM grouped JOIN best USING (g, n)))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(outlier, false) AS kept FROM failing LEFT JOIN far USING (row)"""
+
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
@@ -169,6 +216,7 @@ SQL: dict[str, str] = {
         inside AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, a AS f, array_to_string(w[i:j], ' ') AS phrase FROM candidates, range(1, 6) starts(i), range(1, 6) ends(j) WHERE i < j AND j <= m AND j - i + 1 < m) GROUP BY ALL)
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
         FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE inside.f IS NULL OR 100 * inside.f < 100 * a QUALIFY rank <= 2000""",
+    "op12_quality_rules": _quality_sql(),
     # runs by the definition: each pair of equal words of a text at each distance, in islands
     "op13_periodic_runs": """
         WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
