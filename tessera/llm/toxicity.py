@@ -196,10 +196,14 @@ def train(bags: Bags, toxic: np.ndarray, grams: int, dim: int = DIM, epochs: int
 
 
 def sampled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """h (a hash of the row), y, text: at most ``bound`` labelled ids, those of the least hash, and as many of their rows."""
+    """h (a hash of the row), y, text: at most ``bound`` labelled ids, those of the least hash, and as many of their rows.
+
+    Rows that agree in id and text count once, so that no number of them passes the bound.
+    """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("_y")).filter("y = _y")
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("y") > 0).cast("int").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.dropDuplicates(["doc_id", "text"])
     rows = written(rows.select(F.xxhash64("doc_id", "text").alias("h"), "y", "text"), "toxicity-sample")
     last = rows.select("h").orderBy("h").limit(bound).agg(F.max("h")).first()[0]  # ids that repeat may have more rows
     return rows.filter(F.col("h") <= F.lit(last))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import toxicity as T
 
@@ -143,3 +144,9 @@ def test_rows_of_repeated_ids_stay_within_the_bound(spark):
     rows = T.sampled(docs, labels, 50)
     assert rows.count() == 50 and T.sampled(docs.limit(0), labels, 50).count() == 0
     assert T.fit(docs, labels, 50) is not None
+
+
+def test_equal_rows_count_once(spark):
+    docs = spark.range(100_000).select((F.col("id") % 20).alias("doc_id"), F.concat(F.lit("text of "), F.col("id") % 20).alias("text"))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], LABELS)
+    assert T.sampled(docs, labels, 100).count() == 20 and T.sampled(docs, labels, 7).count() == 7
