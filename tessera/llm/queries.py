@@ -115,10 +115,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Targets of canonical links and refreshes of pages; relative ones by the page's folder (dot segments stay as they are).
 _PAGE_LINKS = """SELECT src, CASE WHEN regexp_matches(x, '(?i)^[a-z][a-z0-9+.-]*://') THEN x WHEN starts_with(x, '//') THEN scheme || ':' || x WHEN regexp_matches(x, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL
             WHEN starts_with(x, '/') THEN scheme || '://' || h || x WHEN regexp_matches(x, '^[?#]') THEN scheme || '://' || h || p || x ELSE scheme || '://' || h || '/' || coalesce(regexp_extract(p, '(?s)^/(.*/)?', 1), '') || x END
-        FROM (SELECT src, regexp_extract(src, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(src, '(?s)^.*?://([^/?#]*)', 1) AS h, regexp_extract(src, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p, replace(CASE
-            WHEN regexp_matches(tag, '(?i)^<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1)
-            WHEN regexp_matches(tag, '(?i)^<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) END, '&amp;', '&') AS x
-        FROM (SELECT url AS src, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*(?:canonical|refresh)[^>]*>')) AS tag FROM pages)) WHERE x <> ''"""
+        FROM (SELECT src, regexp_extract(src, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(src, '(?s)^.*?://([^/?#]*)', 1) AS h, regexp_extract(src, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p, regexp_replace(trim(CASE
+            WHEN starts_with(lower(tag), '<link') AND list_contains(string_split_regex(lower(coalesce(rel.a, '') || coalesce(rel.b, '') || coalesce(rel.c, '')), '\\s+'), 'canonical') THEN coalesce(href.a, '') || coalesce(href.b, '') || coalesce(href.c, '')
+            WHEN starts_with(lower(tag), '<meta') AND trim(lower(coalesce(equiv.a, '') || coalesce(equiv.b, '') || coalesce(equiv.c, ''))) = 'refresh' THEN regexp_extract(coalesce(content.a, '') || coalesce(content.b, '') || coalesce(content.c, ''), '(?i)\\burl\\s*=\\s*["'']?([^"'']+)', 1) END), '(?i)&(amp|#38|#x26);', '&', 'g') AS x
+        FROM (SELECT src, tag, regexp_extract(tag, $p$(?is)[\\s"'/]rel\\s*=\\s*(?:"([^">]*)"|'([^'>]*)'|([^\\s"'>]+))$p$, ['a', 'b', 'c']) AS rel, regexp_extract(tag, $p$(?is)[\\s"'/]href\\s*=\\s*(?:"([^">]*)"|'([^'>]*)'|([^\\s"'>]+))$p$, ['a', 'b', 'c']) AS href,
+            regexp_extract(tag, $p$(?is)[\\s"'/]http-equiv\\s*=\\s*(?:"([^">]*)"|'([^'>]*)'|([^\\s"'>]+))$p$, ['a', 'b', 'c']) AS equiv, regexp_extract(tag, $p$(?is)[\\s"'/]content\\s*=\\s*(?:"([^">]*)"|'([^'>]*)'|([^\\s"'>]+))$p$, ['a', 'b', 'c']) AS content
+        FROM (SELECT url AS src, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(-->|$)', ' ', 'g'), '(?i)<(?:link|meta)\\b[^>]*(?:canonical|refresh)[^>]*>')) AS tag FROM pages))) WHERE x <> ''"""
 
 
 def _verdict_sql(rules: list[tuple[str, str]], links: str) -> str:

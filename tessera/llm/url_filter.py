@@ -95,13 +95,25 @@ def undotted(path: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of this very name, empty if there is none."""
+    value = lambda k: F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\">]*)\"|'([^'>]*)'|([^\s\"'>]+))", k)
+    return F.concat(value(1), value(2), value(3))
+
+
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """from_url, to_url: canonical links and meta refresh redirects in a page's html; relative links are resolved against the page's url."""
-    tag = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>"), F.lit(0)))
+    """from_url, to_url: canonical links and meta refresh redirects in a page's html; relative links are resolved against the page's url.
+
+    rel is a list of words, any of which may be canonical; what stands in comments doesn't count, and a tag ends at its first >.
+    """
+    bare = F.regexp_replace(F.col(html), "(?s)<!--.*?(?:-->|$)", " ")
+    tag = F.explode(F.regexp_extract_all(bare, F.lit(r"(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>"), F.lit(0)))
     tags = pages.filter(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("from_url"), tag.alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    target = F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&"))
+    kinds = F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+")
+    canonical = F.when(F.col("tag").rlike("(?i)^<link") & F.array_contains(kinds, "canonical"), _attribute(F.col("tag"), "href"))
+    content = F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?i)\burl\s*=\s*[\"']?([^\"']+)", 1)
+    refresh = F.when(F.col("tag").rlike("(?i)^<meta") & (F.lower(F.trim(_attribute(F.col("tag"), "http-equiv"))) == "refresh"), content)
+    target = F.regexp_replace(F.trim(F.coalesce(canonical, refresh)), "(?i)&(?:amp|#38|#x26);", "&")
     scheme, host = F.regexp_extract("from_url", r"(?s)^(.*?)://", 1), host_of(F.col("from_url"))
     path = path_of(F.col("from_url"))
     folder = F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/(.*/)?", 1))

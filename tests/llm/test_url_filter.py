@@ -1,6 +1,9 @@
 import random
 import re
 
+import duckdb
+
+from tessera.llm import queries as Q
 from tessera.llm import url_filter as U
 
 PAGES = "page_id long, url string, html string, host string, rule int"
@@ -140,3 +143,20 @@ def test_components_decide_on_many_pages(spark):
     assert {r.page_id for r in out.filter("verdict = 'block'").select("page_id").collect()} == {i for i in range(n) if (own(i) or ("block" if root(i) in bad else "allow")) == "block"}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_words_of_rel_and_names_of_attributes(spark):
+    forms = ['<link rel="alternate canonical" href="{}">', "<link href='{}' rel='x\n Canonical y'>", '<LINK REL=canonical data-href="http://no.org/" HREF={}>', '<link data-rel="canonical" href="{}">', '<!-- <link rel=canonical href="{}"> -->', '<link rel="noncanonical" href="{}">']
+    forms += ['<meta http-equiv=" Refresh " content="3 ; URL = \'{}\'">', '<meta name="x" content="0;url={}" http-equiv="refreshing">', '<link rel=canonical data-href="{}">', '<!-- open <link rel=canonical href="{}">']
+    pages = spark.createDataFrame([(i, f"http://p{i}.net/", f.format("http://bad.com/a?b&#38;c&AMP;d")) for i, f in enumerate(forms)], "page_id long, url string, html string")
+    got = {r.from_url: r.to_url for r in U.alias_links(pages).collect()}
+    assert got == {f"http://p{i}.net/": "http://bad.com/a?b&c&d" for i in (0, 1, 2, 6)}
+    sql = [tuple(r) for r in duckdb.sql(Q._PAGE_LINKS.replace("FROM pages", "FROM (SELECT * FROM given)"), connection=_given(pages)).fetchall()]
+    assert {a: b for a, b in sql if b} == got
+
+
+def _given(pages):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?)", [tuple(r) for r in pages.collect()])
+    return con
