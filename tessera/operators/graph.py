@@ -47,7 +47,11 @@ def co_citation(bridge: DataFrame, doc: str, item: str, least_co: int = 1, least
     b = baskets(bridge, doc, item)
     pairs = basket_pairs(b, large).groupBy("a", "b").agg(F.count(F.lit(1)).alias("co")).filter(F.col("co") >= least_co)
     n = b.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    total = b.agg(F.count_distinct("doc").alias("n_docs"))
+    return directed(pairs, n, b.agg(F.count_distinct("doc").alias("n_docs")), least_confidence, least_source, places)
+
+
+def directed(pairs: DataFrame, n: DataFrame, total: DataFrame, least_confidence: float, least_source: int, places: int) -> DataFrame:
+    """Both directions of pairs (a, b, co) with the counts of their ends (item, n) and of documents (n_docs, one row)."""
     both = pairs.withColumn("e", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))).select("e.src", "e.dst", "co")
     e = both.join(n.select(F.col("item").alias("src"), F.col("n").alias("n_src")), "src").join(n.select(F.col("item").alias("dst"), F.col("n").alias("n_dst")), "dst").crossJoin(F.broadcast(total))  # total is one row
     conf = F.col("co") / F.col("n_src")

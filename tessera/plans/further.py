@@ -267,7 +267,7 @@ def html_notifications(t: Tables):
 def guarded_load_state(t: Tables):
     """Two loads that count, and one that shrinks too far and leaves the state as it was."""
     folder = _folder(t, "load")
-    load = lambda df: sinks.loaded(df, f"{folder}/part", f"{folder}/state", "part")
+    load = lambda df: sinks.loaded(df, folder, "part")
     first = load(t.part)
     load(t.part.filter("p_partkey % 10 != 0"))
     try:
@@ -275,7 +275,7 @@ def guarded_load_state(t: Tables):
         refused = False
     except ValueError:
         refused = True
-    return t.spark.createDataFrame([("part", first, tables.previous(t.spark, f"{folder}/state", "part"), refused)], "name string, first long, last long, refused boolean")
+    return t.spark.createDataFrame([("part", first, tables.previous(t.spark, folder, "part"), refused)], "name string, first long, last long, refused boolean")
 
 
 @query("""SELECT 'artefact' AS record, count(*) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) UNION ALL SELECT 'runs', 2 UNION ALL SELECT 'runs applied', 1 UNION ALL SELECT 'decisions', 3 UNION ALL SELECT 'unattributed', 1""")

@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources.storage import Store
+from ..streaming import graph as citations
 from ..streaming import streams
 from .base import Tables, query
+from .graphs import PARTS
 
 
 def _folder(t: Tables, label: str) -> str:
@@ -66,5 +69,19 @@ def stream_upsert(t: Tables):
     folder = _folder(t, "upsert")
     each = streams.upsert_into(f"{folder}/table", "user_id", "event_id")
     streams.drained_batches(_events(t).select("user_id", "event_id"), f"{folder}/checkpoint", each, mode="append")
-    rows = t.spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/table")
-    return rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    return Store(t.spark, f"{folder}/table").read("rows")
+
+
+@query(f"WITH {PARTS} SELECT * FROM edges")
+def stream_co_citation(t: Tables):
+    """The bridge comes in three batches that cut through its baskets; the last is sent once more."""
+    folder = _folder(t, "graph")
+    bridge = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("item"))
+    bridge.repartition(F.xxhash64("doc", "item")).write.parquet(f"{folder}/bridge")
+    files = len(t.spark.read.parquet(f"{folder}/bridge").inputFiles())
+    stream = t.spark.readStream.schema(bridge.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{folder}/bridge")
+    each = citations.co_citations_into(f"{folder}/graph", buckets=t.spark.sparkContext.defaultParallelism)
+    streams.drained_batches(stream, f"{folder}/checkpoint", each, mode="append")
+    store = Store(t.spark, f"{folder}/graph")
+    each(bridge, store.pointer().batch)
+    return citations.edges(store, least_co=2, places=6)

@@ -6,22 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .storage import Store
 
 
-def table(df: DataFrame, path: str) -> int:
-    """Replaces a table and returns its number of rows, counted from what was written."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).count()
+def table(df: DataFrame, path: str, name: str = "table") -> int:
+    """Replaces a table of a store and returns its number of rows, counted from what was written."""
+    return Store(df.sparkSession, path).replace(name, df).rows(name)
 
 
-def loaded(df: DataFrame, path: str, state: str, name: str, allow_shrink: bool = False) -> int:
-    """A guarded load: refused if empty or shrunk since the last one; else the table is replaced and its count is kept."""
+def loaded(df: DataFrame, path: str, name: str, allow_shrink: bool = False) -> int:
+    """A guarded load: refused if empty or shrunk since the last one; else table and count are replaced by one pointer."""
     from .tables import guarded, previous
 
-    spark = df.sparkSession
-    n = table(guarded(df, previous(spark, state, name), allow_shrink), path)
-    spark.createDataFrame([(name, n)], "name string, rows long").withColumn("at", F.current_timestamp()).write.mode("append").json(state)
-    return n
+    return table(guarded(df, previous(df.sparkSession, path, name), allow_shrink), path, name)
 
 
 def export_csv(df: DataFrame, path: str, name: str, allowed: list[str], quote_all: bool = False) -> None:

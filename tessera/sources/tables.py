@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, ids
 from ..functions.values import clean_null
+from .storage import Store
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,14 +35,9 @@ def guarded(new: DataFrame, before: int | None, allow_shrink: bool = False, shri
     return new
 
 
-def previous(spark: SparkSession, state: str, name: str) -> int | None:
-    """Rows of the table at its last load, from the state that sinks.loaded() keeps; None before the first."""
-    try:
-        rows = spark.read.schema("name string, rows long, at timestamp").json(state)
-    except AnalysisException:  # nothing was loaded so far
-        return None
-    last = rows.filter(F.col("name") == name).agg(F.max_by("rows", "at")).first()[0]
-    return last
+def previous(spark: SparkSession, path: str, name: str) -> int | None:
+    """Rows of a store's table at its last load; None before the first."""
+    return Store(spark, path).pointer().rows(name)
 
 
 def with_digits(register: DataFrame, number: str = "number") -> DataFrame:

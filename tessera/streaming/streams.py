@@ -1,4 +1,4 @@
-"""Structured Streaming counterparts: windowed counts, deduplication, sessions, upserts and incremental citations."""
+"""Structured Streaming counterparts: windowed counts, deduplication, sessions and upserts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import Store
+
 
 def events(spark: SparkSession, path: str, schema, time: str = "ts") -> DataFrame:
     """Files as a stream; time zone-less times become instants, as watermarks need."""
@@ -45,18 +47,23 @@ def drained_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFram
     q.awaitTermination()
 
 
-def upsert_into(path: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps the newest row of each key in a versioned Parquet table: batch n writes folder n from n - 1.
+def upsert_into(path: str, key: str, version: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps the newest row of each key in the table ``rows`` of a store.
 
-    Written once for each number, a batch that is repeated after a failure gives the same folder.
+    A batch rewrites the buckets that its keys fall in, and takes effect with a pointer that carries its number: one that is
+    repeated after a failure changes nothing. Files of former versions go.
     """
 
     def each(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if n:
-            rows = spark.read.parquet(f"{path}/{n - 1}").unionByName(batch)
+        store = Store(batch.sparkSession, path, buckets)
+        at = store.pointer()
+        if at.batch >= n:
+            return
+        touched = store.touched(batch, [key])
+        held = store.read("rows", touched, at)
+        rows = batch if held is None else held.unionByName(batch)
         newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(version, F.to_json(F.struct(*rows.columns)))).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/{n}")
+        store.commit({"rows": store.stage("rows", newest, [key], touched)}, batch=n)
+        store.vacuum()
 
     return each
