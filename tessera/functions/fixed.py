@@ -33,6 +33,7 @@ EXPAND_FROM, EXPAND_EACH = 3, 5
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 EDGE_CAP = 12
 MISSING_CONFIDENCE, MISSING_COUNT, MISSING_EACH, MISSING_ALL = 0.55, 8, 3, 8
+MISSING_WIDTH = 4
 NORMATIVE = 0.75
 SUCCESSOR_SCORE = 0.45
 BUYER_FLOOR = 10

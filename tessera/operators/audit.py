@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.values import is_dead
+from .plumbing import skew_join, written
 
 FINDING = ["doc", "kind", "severity", "item", "subject", "n"]
 
@@ -30,20 +31,41 @@ def statutory_omission(resolved: DataFrame, mandatory: DataFrame, marks: DataFra
     return _finding(hit, "statutory_omission", F.when(F.col("has_text"), "high").otherwise("medium"))
 
 
-def missing_connected(resolved: DataFrame, edges: DataFrame, confidence: float = fixed.MISSING_CONFIDENCE, co: int = fixed.MISSING_COUNT, each: int = fixed.MISSING_EACH, most: int = fixed.MISSING_ALL) -> DataFrame:
-    """Live items that usually go with the cited ones: the best source of each, ``each`` per source, ``most`` per document.
+def missing_connected(cited: DataFrame, edges: DataFrame, confidence: float = fixed.MISSING_CONFIDENCE, co: int = fixed.MISSING_COUNT, each: int = fixed.MISSING_EACH, most: int = fixed.MISSING_ALL) -> DataFrame:
+    """Live items that usually go with the cited ones and are missing: ``each`` for a source at most, ``most`` for a document.
 
-    edges: src, dst, confidence, co, dst_status.
+    cited: doc, place (the order of citation), item, base, key. edges: src, dst, dst_key, confidence, co, dst_status.
+    A document's citations are taken in their order, each with the MISSING_WIDTH times ``each`` most confident edges of its
+    item or base. A target is told by its key; one whose key is cited, or dead, is passed over. A key that an earlier source
+    named goes to a later one only if that is more confident, and counts there against the later one's own quota.
+
+    The edges of a source are an array of bounded length; what a task holds of a document grows with its citations alone.
     """
-    strong = edges.filter((F.col("confidence") >= confidence) & (F.col("co") >= co) & ~is_dead(F.col("dst_status")))
-    cited = resolved.select("doc", "item").distinct()
-    hits = cited.join(strong, F.col("item") == F.col("src")).select("doc", "src", "dst", "confidence", "co")
-    fresh = hits.join(cited.withColumnRenamed("item", "dst"), ["doc", "dst"], "left_anti")
-    order = [F.desc("confidence"), F.desc("co")]
-    best = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("doc", "dst").orderBy(*order, "src"))).filter("_r = 1")
-    per = best.withColumn("_r", F.row_number().over(Window.partitionBy("doc", "src").orderBy(*order, "dst"))).filter(F.col("_r") <= each)
-    top = per.withColumn("_r", F.row_number().over(Window.partitionBy("doc").orderBy(*order, "dst"))).filter(F.col("_r") <= most)
-    return _finding(top, "missing_connected", "medium", item="dst", subject=F.col("src"), n=F.col("co"))
+    width = each * fixed.MISSING_WIDTH
+    strong = edges.filter((F.col("confidence") >= confidence) & (F.col("co") >= co))
+    first = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("confidence"), F.desc("co"), "dst"))
+    edge = F.struct((-F.col("confidence")).alias("c"), (-F.col("co")).alias("o"), "dst", "src", F.col("dst_key").alias("key"), is_dead(F.col("dst_status")).alias("dead"))
+    best = strong.withColumn("_r", first).filter(F.col("_r") <= width).groupBy("src").agg(F.collect_list(edge).alias("edges"))
+    rows = cited.groupBy("doc", "item").agg(F.min(F.struct("place", "base", "key")).alias("c")).select("doc", "item", "c.*")
+    ends = rows.select("doc", "item", "place", "key", F.explode(F.array_distinct(F.filter(F.array("item", "base"), lambda x: x.isNotNull()))).alias("src"))
+    ends, best = written(ends, "audit-cited"), written(best, "audit-edges")
+    uses = ends.groupBy("src").agg(F.count(F.lit(1)).alias("_uses"))
+    near = skew_join(ends, best.join(uses, "src"), ["src"], "_uses", ends.count(), F.col("doc"), "inner")
+    near = near.groupBy("doc", "item").agg(F.min("place").alias("place"), F.slice(F.array_sort(F.flatten(F.collect_list("edges"))), 1, width).alias("edges"))
+    keys = rows.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    source = F.struct("place", "item", "edges")
+    docs = near.groupBy("doc").agg(F.array_sort(F.collect_list(source)).alias("sources")).join(keys, "doc")
+    hits = F.flatten(F.transform("sources", lambda s: F.transform(s["edges"], lambda e: F.struct(s["item"].alias("item"), e.alias("e")))))
+    docs = docs.withColumn("hits", F.filter(hits, lambda h: h["e"]["key"].isNotNull() & ~h["e"]["dead"] & ~F.array_contains("keys", h["e"]["key"])))
+    kinds = {f: docs.select(F.col("hits")[0]["e"][f].alias("x")).schema["x"].dataType.simpleString() for f in ("c", "o", "dst", "key")}
+    item = docs.select(F.col("hits")[0]["item"].alias("x")).schema["x"].dataType.simpleString()
+    entry = f"struct<c: {kinds['c']}, o: {kinds['o']}, dst: {kinds['dst']}, item: {item}, key: {kinds['key']}>"
+    fold = f"""aggregate(hits, cast(named_struct('found', array(), 'item', null, 'kept', 0) as struct<found: array<{entry}>, item: {item}, kept: int>), (s, h) ->
+        transform(array(if(s.item <=> h.item, s.kept, 0)), kept -> if(kept < {each} and not exists(s.found, f -> f.key = h.e.key and f.c <= h.e.c),
+            named_struct('found', concat(filter(s.found, f -> f.key != h.e.key), array(cast(named_struct('c', h.e.c, 'o', h.e.o, 'dst', h.e.dst, 'item', h.item, 'key', h.e.key) as {entry}))), 'item', h.item, 'kept', kept + 1),
+            named_struct('found', s.found, 'item', h.item, 'kept', kept)))[0], s -> s.found)"""
+    found = docs.select("doc", F.inline(F.slice(F.array_sort(F.expr(fold)), 1, most)))
+    return _finding(found, "missing_connected", "medium", item="dst", subject=F.col("item"), n=-F.col("o"))
 
 
 def not_in_register(unresolved: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:

@@ -107,16 +107,22 @@ def graph_components(t: Tables):
     return graph.components(graph.co_citation(t.bridge, "doc", "item", 3), "src", "dst")
 
 
-@query(f"""WITH {PARTS}, {REG}, live AS (SELECT src, dst, confidence, co FROM edges JOIN reg ON pk = dst WHERE confidence >= 0.08 AND co >= 2 AND status = 'Current'),
-    h AS (SELECT doc, src, dst, confidence, co FROM bridge JOIN live ON item = src),
-    f AS (SELECT h.* FROM h LEFT JOIN bridge b ON b.doc = h.doc AND b.item = h.dst WHERE b.item IS NULL),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, dst ORDER BY confidence DESC, co DESC, src) AS r FROM f) WHERE r = 1),
-    per AS (SELECT * EXCLUDE (r) FROM (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY doc, src ORDER BY confidence DESC, co DESC, dst) AS r FROM best) WHERE r <= 3),
-    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, co DESC, dst) AS r FROM per) WHERE r <= 8)
-    SELECT doc, 'missing_connected' AS kind, 'medium' AS severity, dst::VARCHAR AS item, src::VARCHAR AS subject, co AS n FROM top""")
+@query(f"""WITH RECURSIVE {PARTS}, {REG}, cited AS (SELECT l_orderkey AS doc, l_partkey AS item, min(l_linenumber) AS place FROM lineitem GROUP BY ALL),
+    strong AS (SELECT src, dst, confidence, co, status <> 'Current' AS dead FROM edges JOIN reg ON pk = dst WHERE confidence >= 0.08 AND co >= 2),
+    near AS (SELECT doc, item, place, dst, confidence, co, dead, row_number() OVER (PARTITION BY doc, item ORDER BY confidence DESC, co DESC, dst, src) AS r FROM cited JOIN strong ON src = item OR src = item - item % 2),
+    fit AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY place, item, r) AS step FROM near WHERE r <= 12 AND NOT dead AND NOT EXISTS (SELECT 1 FROM cited c WHERE c.doc = near.doc AND c.item // 2 = near.dst // 2)),
+    fold AS (SELECT doc, 0::BIGINT AS step, NULL::BIGINT AS item, 0 AS kept, []::STRUCT(key BIGINT, dst BIGINT, item BIGINT, confidence DOUBLE, co BIGINT)[] AS found FROM fit WHERE step = 1
+        UNION ALL SELECT doc, step, item, CASE WHEN take THEN kept + 1 ELSE kept END, CASE WHEN take THEN list_append(list_filter(found, lambda f: f.key <> dst // 2), {{'key': dst // 2, 'dst': dst, 'item': item, 'confidence': confidence, 'co': co}}) ELSE found END
+        FROM (SELECT *, kept < 3 AND len(list_filter(found, lambda f: f.key = dst // 2 AND f.confidence >= confidence)) = 0 AS take
+              FROM (SELECT f.doc, f.step, f.item, f.dst, f.confidence, f.co, CASE WHEN s.item = f.item THEN s.kept ELSE 0 END AS kept, s.found FROM fold s JOIN fit f ON f.doc = s.doc AND f.step = s.step + 1))),
+    last AS (SELECT doc, unnest(found, recursive := true) FROM fold QUALIFY row_number() OVER (PARTITION BY doc ORDER BY step DESC) = 1)
+    SELECT doc, 'missing_connected' AS kind, 'medium' AS severity, dst::VARCHAR AS item, item::VARCHAR AS subject, co AS n FROM last QUALIFY row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, co DESC, dst) <= 8""")
 def missing_connected(t: Tables):
-    edges = part_edges(t).join(t.register.select(F.col("pk").alias("dst"), F.col("status").alias("dst_status")), "dst")
-    return audit.missing_connected(t.bridge, edges, 0.08, 2)
+    """Two parts that follow each other share a key, and the even one is the base of both."""
+    edges = graph.co_citation(t.bridge, "doc", "item", 2, 0.08, places=6).join(t.register.select(F.col("pk").alias("dst"), F.col("status").alias("dst_status")), "dst")
+    cited = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("item"))
+    key = lambda c: F.floor(F.col(c) / 2)
+    return audit.missing_connected(cited.withColumn("base", F.col("item") - F.col("item") % 2).withColumn("key", key("item")), edges.withColumn("dst_key", key("dst")), 0.08, 2)
 
 
 @query(f"""WITH {PARTS}, {UNDIRECTED}, v AS (SELECT 'endpoints' AS check_name, count(*) AS violations FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) WHERE node NOT IN (SELECT p_partkey FROM part WHERE p_size < 50)
