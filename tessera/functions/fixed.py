@@ -46,6 +46,8 @@ MATCHES = 5
 NORMATIVE_MOST = 6
 QUERY_CHARS = 2000
 NOTIFICATION_CHARS = 180
+BAND_FRACTION, BAND_GAP, BAND_LINES = 0.30, 1.6, 8
+BANNER_TOP, BANNER_WIDTH, BANNER_LEAST = 2, 0.8, 8
 SHRINK = 0.20
 
 # --- Fixed values: certification demand ----------------------------------------------------------------------------

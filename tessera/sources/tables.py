@@ -25,6 +25,27 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
+def truthy(value: Column) -> Column:
+    """Whether a JSON value of any kind says yes: not null, false, zero or empty."""
+    kind = F.schema_of_variant(value)
+    as_ = lambda t: F.try_variant_get(value, "$", t)
+    said = F.when(kind == "BOOLEAN", as_("boolean")).when(kind == "STRING", as_("string") != "").when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), ~F.to_json(value).isin("[]", "{}")).otherwise(as_("double") != 0)
+    return F.coalesce(F.when(~F.is_variant_null(value), said), F.lit(False))
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """started, apply, place, stage, changed, facts (all of the stage, a variant) of each stage that a log of JSON lines has.
+
+    Lines may be broken, values of any kind, and stages of any shape: what isn't an object in a list of stages is passed over.
+    """
+    runs = spark.read.text(path).select(F.try_parse_json("value").alias("run")).filter(F.startswith(F.schema_of_variant("run"), F.lit("OBJECT")))
+    got = lambda c, p, t: F.try_variant_get(c, p, t)
+    runs = runs.select(got("run", "$.started", "string").alias("started"), truthy(got("run", "$.apply", "variant")).alias("apply"), got("run", "$.results", "variant").alias("results"))
+    runs = runs.filter(F.startswith(F.schema_of_variant("results"), F.lit("ARRAY")))
+    stages = spark.sql("SELECT started, apply, pos AS place, value AS facts FROM {runs}, LATERAL variant_explode(results)", runs=runs).filter(F.startswith(F.schema_of_variant("facts"), F.lit("OBJECT")))
+    return stages.select("started", "apply", "place", got("facts", "$.stage", "string").alias("stage"), truthy(got("facts", "$.changed", "variant")).alias("changed"), "facts")
+
+
 def guarded(new: DataFrame, before: int | None, allow_shrink: bool = False, shrink: float = fixed.SHRINK) -> DataFrame:
     """The table, unless it is empty or lost more than a share of its rows since the last load."""
     n = new.count()
