@@ -1,11 +1,12 @@
 """Phrases whose words come together more often than their parts explain, mined by count tries.
 
-Each task grows count tries of bounded size over its texts, level by level down to the longest phrase, and writes each as
-rows sorted by path, its words one by one. Ranges of paths are then merged from these sorted runs, while a walk of the
-merged trie gives each phrase the counts of its first words (its ancestors). A suffix link, from a phrase to the same without
-its first word, gives the counts of its last words: links are followed level by level as joins of counted nodes.
+Each task grows count tries of bounded size over its texts, level by level down to the longest phrase, and serialises each in
+the order of its paths, cut into ranges. The runs of a range are merged some at a time, and a walk of the merged trie gives
+each phrase the counts of its first words (its ancestors). A suffix link, from a phrase to the same without its first word,
+gives the counts of its last words: links are followed level by level as joins of counted nodes.
 
-Words are counted first, which is the tries' first level. That pass also adds up a sketch of adjacent words: counters,
+Words are counted first, which is the tries' first level; ranges of paths are cut by these counts, those of a frequent word
+by its second words. That pass also adds up a sketch of adjacent words: counters,
 each of them the sum of the pairs that fall to it, so that a pair in a slot under the least count can't be part of any
 phrase that is counted. Tries grow only along pairs that the sketch leaves. It is of fixed size and never drops a phrase that
 counts; the fuller it is the less it saves.
@@ -13,16 +14,21 @@ counts; the fuller it is the less it saves.
 Defined results: null texts are empty, null languages are ``und``. Each row counts, equal ones too, and whatever its id.
 Words are bytes of UTF-8 between delimiters, with A-Z lower-cased; scores are exact, as decimals of 38 digits. Texts are
 worked on in blocks of some SIZES.block bytes that end at a delimiter; a task holds a block, the words it has met, which are
-let go at SIZES.held, and a trie of SIZES.run words. A longer text without any delimiter is held whole.
+let go at SIZES.held, and a trie of SIZES.run words; a range's
+merged nodes are held by one task. A longer text without any delimiter is held whole.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +48,10 @@ class Sizes(NamedTuple):
     #: Counters of the sketch, and rows that it travels in.
     slots: int = 1 << 23
     parts: int = 64
+    #: Ranges at most, occurrences of words that a range has, and runs that are merged at a time.
+    ranges: int = 1 << 16
+    mass: int = 1 << 21
+    ways: int = 64
 
 
 SIZES = Sizes()
@@ -205,34 +215,78 @@ def trie(ids: np.ndarray, open_pairs: np.ndarray, longest: int) -> list[tuple[np
     return levels
 
 
-RUNS = pa.schema([("lang", pa.string()), ("path", pa.list_(pa.string())), ("n", pa.int64())])
+RUNS = pa.schema([("range", pa.int32()), ("nodes", pa.binary())])
+#: Between the words of a path; words have it, and the byte after it, escaped, so that paths are in order as bytes.
+BETWEEN = b"\x00"
 
 
-def serialised(lang: str, words: list[str], levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, path, n) of a trie's nodes, sorted by path."""
+def escaped(word: bytes) -> bytes:
+    return word.replace(b"\x01", b"\x01\x02").replace(BETWEEN, b"\x01\x01")
+
+
+def words_of(path: bytes) -> list[str]:
+    return [w.replace(b"\x01\x01", BETWEEN).replace(b"\x01\x02", b"\x01").decode("utf-8", "surrogatepass") for w in path.split(BETWEEN)]
+
+
+class Ranges:
+    """Ranges of paths, over all languages: (language, path) is in the range of the last cut that isn't behind it.
+
+    Cuts are paths of one or two words, so that what goes on from two words is never divided.
+    """
+
+    def __init__(self, cuts: list[tuple[str, bytes]]):
+        self.first: dict[str, int] = {}
+        self.cuts: dict[str, list[bytes]] = {}
+        for i, (lang, path) in enumerate(sorted(set(cuts))):
+            self.first.setdefault(lang, i + 1)
+            self.cuts.setdefault(lang, []).append(path)
+
+    def of(self, lang: str, path: bytes) -> int:
+        if lang not in self.cuts:  # languages without a cut
+            return -(zlib.crc32(lang.encode()) % 1024) - 1
+        return self.first[lang] + bisect.bisect_right(self.cuts[lang], path) - 1
+
+    def pieces(self, lang: str, paths: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(range, from, to) of sorted paths."""
+        at = [0, *(bisect.bisect_left(paths, c) for c in self.cuts.get(lang, [])), len(paths)]
+        for a, b in zip(at, at[1:]):
+            if a < b:
+                yield self.of(lang, paths[a]), a, b
+
+
+def packed(range_: int, lang: str, paths: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    """A row of RUNS: sorted nodes of one language in one range."""
+    out = pa.BufferOutputStream()
+    nodes = pa.RecordBatch.from_arrays([paths, n], names=["path", "n"]).replace_schema_metadata({"lang": lang})
+    with pa.ipc.new_stream(out, nodes.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(nodes)
+    return pa.RecordBatch.from_arrays([pa.array([range_], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], schema=RUNS)
+
+
+def unpacked(nodes: bytes) -> tuple[str, list[tuple[bytes, int]]]:
+    with pa.ipc.open_stream(nodes) as r:
+        t = r.read_all()
+    return t.schema.metadata[b"lang"].decode(), list(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))
+
+
+def serialised(words: list[bytes], levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[pa.Array, pa.Array]:
+    """The paths of a trie's nodes, sorted, and their counts; words are escaped and in order."""
     paths: list[np.ndarray] = []  # words of each node, by level
     for parent, word, _ in levels:
         paths.append(np.column_stack([paths[-1][parent] if paths else parent[:, None], word]))
-    if not paths:
-        return
-    deep = len(levels) + 1
-    flat = np.full((sum(map(len, paths)), deep), -1, np.int64)
+    flat = np.full((sum(map(len, paths)), len(levels) + 1), -1, np.int64)
     at = 0
     for p in paths:
         flat[at : at + len(p), : p.shape[1]] = p
         at += len(p)
     order = np.lexsort(flat.T[::-1])
-    flat, n = flat[order], np.concatenate([x[2] for x in levels])[order]
-    names = pa.array(words, pa.string())
-    for at in range(0, len(flat), 1 << 16):
-        part = flat[at : at + (1 << 16)]
-        there = part >= 0
-        offsets = np.append(0, np.cumsum(there.sum(axis=1))).astype(np.int32)
-        values = names.take(pa.array(part[there]))
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(n[at : at + (1 << 16)])], schema=RUNS)
+    flat, n = flat[order], np.concatenate([np.zeros(0, np.int64), *(x[2] for x in levels)])[order]
+    there = flat >= 0
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(there.sum(axis=1))).astype(np.int32)), pa.array(words, pa.binary()).take(pa.array(flat[there])))
+    return pc.binary_join(lists, BETWEEN), pa.array(n, pa.int64())
 
 
-def _second_pass(bits: bytes, longest: int, sizes: Sizes):
+def _second_pass(bits: bytes, longest: int, sizes: Sizes, ranges: Ranges):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leave = np.frombuffer(bits, np.uint8)
         known: dict[str, Words] = {}
@@ -248,11 +302,13 @@ def _second_pass(bits: bytes, longest: int, sizes: Sizes):
             if not len(used):
                 return
             every = list(w.number)
-            names = [every[i] for i in used.tolist()]
+            names = [escaped(every[i]) for i in used.tolist()]
             order = sorted(range(len(names)), key=names.__getitem__)
             rank = np.zeros(len(every), np.int64)
             rank[used[order]] = np.arange(len(names))  # numbers in the order of the words' bytes
-            yield from serialised(lang, [names[i].decode("utf-8", "surrogatepass") for i in order], trie(rank[ids], go, longest))
+            paths, n = serialised([names[i] for i in order], trie(rank[ids], go, longest))
+            for r, a, b in ranges.pieces(lang, paths.to_pylist()):
+                yield packed(r, lang, paths[a:b], n[a:b])
 
         for lang, text in blocks(it, sizes.block):
             w = known.setdefault(lang, Words(lang))
@@ -269,50 +325,103 @@ def _second_pass(bits: bytes, longest: int, sizes: Sizes):
     return run
 
 
+def _first_level(ranges: Ranges):
+    """The counted words (lang, word, n) as tries of one level. A word whose phrases are in several ranges goes to each of
+    them: with its count to the first, and to the others as one below zero, which is an ancestor there and nothing else."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found: dict[tuple[int, str], list[tuple[bytes, int]]] = {}
+            for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
+                path = escaped(word.encode("utf-8", "surrogatepass"))
+                first, last = ranges.of(lang, path), ranges.of(lang, path + BETWEEN + b"\xff")
+                for r in range(first, last + 1):
+                    found.setdefault((r, lang), []).append((path, n if r == first else -n))
+            for (r, lang), rows in found.items():
+                rows.sort()
+                yield packed(r, lang, pa.array([x for x, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64()))
+
+    return run
+
+
+def cuts(words: DataFrame, n_ranges: int) -> list[tuple[str, bytes]]:
+    """Cuts between ranges: where as many ranges of words begin, and within words that have more than a range's share."""
+    total = words.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    at = words.repartitionByRange(n_ranges, "lang", "word").select("lang", "word", F.spark_partition_id().alias("p")).groupBy("p").agg(F.min(F.struct("lang", "word")).alias("w"))
+    found = [(r.w.lang, escaped(r.w.word.encode())) for r in at.collect()]  # a row for each range
+    even: dict[str, list[bytes]] = {}
+    hot = [(r.lang, escaped(r.word.encode()), r.n) for r in words.filter(F.col("n") * n_ranges > total).collect()]  # fewer than ranges
+    for lang, path in sorted(set(found) | {(la, p) for la, p, _ in hot}):
+        even.setdefault(lang, []).append(path)
+    for lang, path, n in hot:
+        parts = -(-n * n_ranges // total)
+        seconds = even[lang]
+        found += [(lang, path), *((lang, path + BETWEEN + seconds[i * len(seconds) // parts]) for i in range(1, parts) if seconds)]
+    return found
+
+
 NODES = pa.schema([("lang", pa.string()), ("path", pa.list_(pa.string())), ("f", pa.int64()), ("lefts", pa.list_(pa.int64()))])
 
 
-def _merged(least: int):
-    """Nodes of a range of paths that comes as sorted rows, equal paths side by side: their sums, and a walk that keeps the
-    counts of ancestors. Those in front of the range are null."""
+def merged(runs: list[list[tuple[bytes, int]]]) -> list[tuple[bytes, int]]:
+    """Sorted nodes of several runs as one, with the counts of equal paths added up."""
+    out: list[tuple[bytes, int]] = []
+    last, total = None, 0
+    for path, n in heapq.merge(*runs):
+        if path == last:
+            total += n
+        else:
+            if last is not None:
+                out.append((last, total))
+            last, total = path, n
+    if last is not None:
+        out.append((last, total))
+    return out
+
+
+def _merged(least: int, ways: int):
+    """Nodes of ``least`` occurrences from RUNS, dealt and sorted by range: runs are merged ``ways`` at a time, then walked."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk: list[tuple[str, int]] = []  # the words of the path at hand and the counts down to there
-        out: list[tuple] = []
-        lang: str | None = None
-        path: list[str] = []
-        total = 0
-
-        def leave() -> None:
-            nonlocal walk
-            if total < least:
-                return
-            keep = 0
-            while keep < min(len(walk), len(path)) and walk[keep][0] == path[keep]:
-                keep += 1
-            walk = walk[:keep] + [(w, None) for w in path[keep:-1]]
-            out.append((lang, path, total, [n for _, n in walk[: len(path) - 1]]))
-            walk = [*walk[: len(path) - 1], (path[-1], total)]
-
-        def rows() -> pa.RecordBatch:
+        def walked(runs: dict[str, list]) -> Iterator[pa.RecordBatch]:
+            out: list[tuple] = []
+            for lang, own in runs.items():
+                while len(own) > 1:
+                    own = [merged(own[i : i + ways]) for i in range(0, len(own), ways)]
+                stack: list[tuple[bytes, int]] = []  # ancestors of the path at hand
+                for path, n in own[0]:
+                    if abs(n) < least:
+                        continue
+                    while stack and not path.startswith(stack[-1][0]):
+                        stack.pop()
+                    if n > 0:
+                        out.append((lang, words_of(path), n, [f for _, f in stack]))
+                    stack.append((path + BETWEEN, abs(n)))
+                    if len(out) >= 1 << 14:
+                        yield rows(out)
+            if out:
+                yield rows(out)
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
             got = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), NODES)], schema=NODES)
             out.clear()
             return got
 
+        at: int | None = None
+        runs: dict[str, list] = {}
         for b in it:
-            for la, p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if p == path and la == lang:
-                    total += n
-                    continue
-                leave()
-                if la != lang:
-                    walk = []
-                lang, path, total = la, p, n
-            if len(out) >= 1 << 14:
-                yield rows()
-        leave()
-        if out:
-            yield rows()
+            for r, nodes in zip(b.column(0).to_pylist(), b.column(1)):
+                if r != at:
+                    yield from walked(runs)
+                    at, runs = r, {}
+                lang, found = unpacked(nodes.as_py())
+                own = runs.setdefault(lang, [])
+                own.append(found)
+                if len(own) >= ways:
+                    runs[lang] = [merged(own)]
+        yield from walked(runs)
 
     return run
 
@@ -324,28 +433,18 @@ def counted_nodes(docs: DataFrame, longest: int, least: int, sizes: Sizes = SIZE
     counted = written(text_pass(docs, cols, _first_pass(least, sizes), "lang string, word string, part int, n long, slots binary"), "colloc-words")
     bits = open_slots(counted, least, sizes).tobytes()
     words = written(counted.filter("part is null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "colloc-counts")
-    runs = written(text_pass(docs, cols, _second_pass(bits, longest, sizes), "lang string, path array<string>, n long"), "colloc-runs")
     removed(counted)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    rows = runs.unionByName(words.filter(F.col("n") >= least).select("lang", F.array("word").alias("path"), "n"))
-    sorted_rows = rows.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
-    nodes = written(sorted_rows.mapInArrow(_merged(least), "lang string, path array<string>, f long, lefts array<long>"), "colloc-nodes")
+    often = words.filter(F.col("n") >= least).select("lang", "word", "n")
+    mass = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = Ranges(cuts(often, min(sizes.ranges, max(docs.sparkSession.sparkContext.defaultParallelism, -(-mass // sizes.mass)))))
+    shape = "range int, nodes binary"
+    levels = text_pass(docs, cols, _second_pass(bits, longest, sizes, ranges), shape).unionByName(text_pass(often, [F.col(c) for c in often.columns], _first_level(ranges), shape))
+    runs = written(levels, "colloc-runs")
+    dealt = runs.repartition("range").sortWithinPartitions("range")
+    nodes = written(dealt.mapInArrow(_merged(least, sizes.ways), "lang string, path array<string>, f long, lefts array<long>"), "colloc-nodes")
     removed(runs)
-    # a range that begins inside a subtree lacks that subtree's root: one path of them for each range
-    lacking = F.exists("lefts", lambda n: n.isNull())
-    at = F.explode(F.sequence(F.lit(1), F.size("path") - 1))
-    spine = nodes.filter(lacking).withColumn("_at", at).filter("lefts[_at - 1] is null").select("lang", F.slice("path", F.lit(1), F.col("_at")).alias("path")).distinct()
-    spine = written(nodes.join(F.broadcast(spine), ["lang", "path"], "left_semi").select("lang", F.col("path").alias("_first"), F.col("f").alias("_f")), "colloc-spine")
-    if spine.isEmpty():
-        return nodes, totals
-    filled = nodes.filter(lacking)
-    for k in range(1, longest):
-        one = F.broadcast(spine.filter(F.size("_first") == k))
-        filled = filled.withColumn("_first", F.when(F.size("path") > k, F.slice("path", 1, k))).join(one, ["lang", "_first"], "left")
-        filled = filled.withColumn("lefts", F.transform("lefts", lambda n, i: F.when(i == k - 1, F.coalesce(n, "_f")).otherwise(n))).select("lang", "path", "f", "lefts")
-    whole = written(nodes.filter(~lacking).unionByName(filled), "colloc-nodes")
-    removed(nodes)
-    return whole, totals
+    return nodes, totals
 
 
 def linked(nodes: DataFrame, longest: int) -> DataFrame:

@@ -62,13 +62,7 @@ def test_against_brute_force(spark):
 def test_small_tries_many_ranges_and_a_full_sketch(spark, options):
     rows = texts(2)
     top = options.setdefault("top", 2000)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "9")  # ranges begin inside subtrees
-    try:
-        got = sorted(tuple(r) for r in C.mined(docs_of(spark, rows).repartition(6), **options, sizes=C.Sizes(block=900, held=35, run=300, slots=64, parts=4)).collect())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(tuple(r) for r in C.mined(docs_of(spark, rows).repartition(6), **options, sizes=C.Sizes(block=900, held=35, run=300, slots=64, parts=4, mass=400, ways=3)).collect())
     assert got == brute(rows, **options) and top
 
 
@@ -89,6 +83,17 @@ def test_products_beyond_64_bits(spark):
 def test_tries_count_each_path():
     ids = np.array([1, 2, 1, 2, 3, 0, 1, 2, 3])
     go = (ids[:-1] > 0) & (ids[1:] > 0)
-    levels = C.trie(ids, go, 4)
-    rows = [r for b in C.serialised("en", list("_abc"), levels) for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-    assert rows == [(["a", "b"], 3), (["a", "b", "a"], 1), (["a", "b", "a", "b"], 1), (["a", "b", "c"], 2), (["b", "a"], 1), (["b", "a", "b"], 1), (["b", "a", "b", "c"], 1), (["b", "c"], 2)]
+    paths, n = C.serialised([b"_", b"a", b"b", b"c"], C.trie(ids, go, 4))
+    assert [(" ".join(C.words_of(p)), k) for p, k in zip(paths.to_pylist(), n.to_pylist())] == [("a b", 3), ("a b a", 1), ("a b a b", 1), ("a b c", 2), ("b a", 1), ("b a b", 1), ("b a b c", 1), ("b c", 2)]
+
+
+def test_paths_in_order_and_in_ranges():
+    words = [b"a", b"a\x00", b"a\x01", b"a\x00b", b"b", b"\x00", b"\x01\x01"]
+    assert all(C.words_of(C.BETWEEN.join(map(C.escaped, p))) == [w.decode() for w in p] for p in [words, words[::-1]])
+    paths = sorted(C.BETWEEN.join(map(C.escaped, p)) for p in [(x,) for x in words] + [(x, y) for x in words for y in words])
+    ranges = C.Ranges([("en", C.escaped(b"a")), ("en", b"b"), ("en", b"b" + C.BETWEEN + b"b"), ("fr", b"a")])
+    for lang in ("en", "fr", "xx"):
+        pieces = list(ranges.pieces(lang, paths))
+        assert [x for _, a, b in pieces for x in paths[a:b]] == paths
+        assert all(ranges.of(lang, x) == r for r, a, b in pieces for x in paths[a:b])
+    assert C.merged([[(b"a", 1), (b"c", 2)], [(b"a", 4)], [], [(b"b", 1), (b"c", 1)]]) == [(b"a", 5), (b"b", 1), (b"c", 3)]
