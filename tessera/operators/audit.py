@@ -114,6 +114,12 @@ def suggestions(findings: DataFrame) -> DataFrame:
     return findings.withColumn("edit", edit)
 
 
+def by_cause(findings: DataFrame) -> DataFrame:
+    """doc, cause, items: what a document lacks, by the citation of its own that brought it up, in the order of the report."""
+    rows = suggestions(findings).filter("edit = 'add'")
+    return rows.groupBy("doc", F.col("subject").alias("cause")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]).alias("items"))
+
+
 def plural(n: Column, one: str, many: str | None = None) -> Column:
     return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many or one + "s"))
 

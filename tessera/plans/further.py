@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import citations, values, verdicts
-from ..operators import audit, checks, evaluate, graph, lookup, merge, repair, resolve, retrieve, rollup
+from ..operators import audit, checks, desk, evaluate, graph, lookup, merge, repair, resolve, retrieve, rollup
 from ..sources import html, sinks, tables
 from .base import BRIDGE, BUYERS, REG, Tables, inside, inside_sql, query
+from .desk import records
 from .graphs import PARTS, UNDIRECTED, part_edges
 from .lookups import DEAD_BASES, FLAGGED, flagged
 from .retrieval import BM25, ranked
@@ -80,11 +81,14 @@ def repair_acceptance(t: Tables):
     return repair.accepted(docs, "doc_id", "t", "r", docs.select("doc_id", F.lit("IS 10").alias("cite")))
 
 
-@query(rf"""WITH {_REWRITE}, f AS (SELECT doc_id, array_to_string(list_distinct(list_transform(list_filter(regexp_extract_all(r, '(?:^|[^A-Za-z])IS[:\s]*(\d{{2,}})', 1), lambda n: n <> '10'), lambda n: 'IS ' || n)), ' ') AS intruders, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS high FROM w)
-    SELECT doc_id, intruders, CAST(high AS BIGINT) AS high, intruders = '' AND high = 0 AS clean FROM f""")
+@query(rf"""WITH {_REWRITE}, {REG}, n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(r, '(?:^|[^A-Za-z])IS[:\s]*(\d{{2,}})', 1), lambda n: n::BIGINT)) AS cites FROM w),
+    each AS (SELECT doc_id, unnest(cites) AS pk FROM n), f AS (SELECT doc_id, string_agg('IS ' || pk, ' ' ORDER BY 'IS ' || pk) FILTER (pk <> 10) AS intruders, count(*) FILTER (status <> 'Current') + count(*) FILTER (family IN ('Brand#1', 'Brand#2')) AS high FROM each LEFT JOIN reg USING (pk) GROUP BY doc_id)
+    SELECT doc_id, coalesce(intruders, '') AS intruders, coalesce(high, 0) AS high, intruders IS NULL AND coalesce(high, 0) = 0 AS clean FROM w LEFT JOIN f USING (doc_id)""")
 def repair_verified(t: Tables):
+    """Rewrites, some of which name what they were not given, audited anew against the register."""
     docs = _rewrites(t)
-    high = t.documents.filter("doc_id % 3 = 0").select("doc_id", F.lit(2).alias("high"))
+    second = desk.audited(docs, "doc_id", "r", records(t)).findings.filter("severity = 'high'")
+    high = second.groupBy(F.col("doc").alias("doc_id")).agg(F.count(F.lit(1)).alias("high"))
     out = repair.verified(docs, "doc_id", "r", docs.select("doc_id", F.lit("IS 10").alias("cite")), high)
     return out.withColumn("intruders", F.array_join("intruders", " "))
 

@@ -366,35 +366,6 @@ def composed_clauses(t: Tables):
 # --- audit and repair ----------------------------------------------------------------------------------------------
 
 
-@query("""WITH f AS (SELECT o_orderkey AS doc, o_orderkey % 3 AS d, o_orderkey % 2 AS m FROM orders) SELECT doc, CASE WHEN d = 0 AND m = 0 THEN '4 citations checked. Nothing flagged.'
-    ELSE (CASE WHEN d > 0 THEN 'Blocking issues found. ' ELSE 'Review recommended. ' END) || '4 citations checked: ' || concat_ws('; ', CASE WHEN d = 1 THEN '1 citation no longer current' WHEN d = 2 THEN '2 citations no longer current' END, CASE WHEN m = 1 THEN '1 entry usually cited with these' END) || '.' END AS summary FROM f""")
-def audit_summaries(t: Tables):
-    k = F.col("o_orderkey")
-    per = t.orders.select(k.alias("doc"), F.lit(4).alias("cited"), (k % 3).alias("dispute"), F.lit(0).alias("omission"), (k % 2).alias("missing"), F.lit(0).alias("unknown"), (k % 3).alias("high"))
-    return audit.summary(per, "cited").select("doc", "summary")
-
-
-@query("""SELECT 'add' AS edit, count(*) FILTER (o_orderkey % 4 = 1) AS n FROM orders UNION ALL SELECT 'add_clause', count(*) FILTER (o_orderkey % 4 = 2) FROM orders UNION ALL SELECT 'replace', count(*) FILTER (o_orderkey % 4 = 0) FROM orders UNION ALL SELECT 'unresolved', count(*) FILTER (o_orderkey % 4 = 3) FROM orders""")
-def audit_suggestions(t: Tables):
-    k = F.col("o_orderkey") % 4
-    f = t.orders.select(F.when(k == 0, "dispute_risk").when(k == 1, "missing_connected").when(k == 2, "statutory_omission").otherwise("not_in_register").alias("kind"))
-    return audit.suggestions(f).groupBy("edit").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH {REG}, {BRIDGE}, d AS (SELECT doc, 'IS ' || item AS cite, CASE WHEN item % 2 = 0 THEN 'IS ' || (item + 1) END AS successor FROM bridge JOIN reg ON pk = item WHERE status <> 'Current'),
-    k AS (SELECT doc, 'IS ' || item AS cite FROM bridge JOIN reg ON pk = item WHERE status = 'Current'), c AS (SELECT doc, CASE WHEN successor IS NULL THEN 'flag' ELSE 'replace' END AS action, cite AS old, successor AS new FROM d),
-    fin AS (SELECT doc, cite FROM k UNION SELECT doc, coalesce(new, old) FROM c), duty AS (SELECT 'IS ' || pk AS cite FROM reg WHERE family = 'Brand#3')
-    SELECT doc, action, old, new FROM c UNION ALL SELECT DISTINCT doc, 'clause', NULL, NULL FROM fin WHERE cite IN (SELECT cite FROM duty) AND doc % 2 = 1""")
-def repair_plan(t: Tables):
-    r = t.bridge.join(t.register.select(F.col("pk").alias("item"), "status"), "item")
-    n = lambda c: F.concat(F.lit("IS "), c.cast("string"))
-    dead = r.filter("status != 'Current'").select("doc", n(F.col("item")).alias("cite"), F.when(F.col("item") % 2 == 0, n(F.col("item") + 1)).alias("successor"))
-    keep = r.filter("status = 'Current'").select("doc", n(F.col("item")).alias("cite"))
-    duties = t.register.filter("family = 'Brand#3'").select(n(F.col("pk")).alias("cite"))
-    demands = t.orders.select(F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") % 2 == 0).alias("demands"))
-    return repair.plan(dead, keep.filter(F.lit(False)), keep, duties, demands)
-
-
 @query("SELECT doc_id, 'IS 77' AS cite FROM documents WHERE doc_id % 2 = 0")
 def repair_intruders(t: Tables):
     docs = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "use IS 10 (Part 1) and IS 77").otherwise("use IS 10").alias("fixed"))
