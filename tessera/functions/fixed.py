@@ -48,6 +48,7 @@ QUERY_CHARS = 2000
 NOTIFICATION_CHARS = 180
 BAND_FRACTION, BAND_GAP, BAND_LINES = 0.30, 1.6, 8
 BANNER_TOP, BANNER_WIDTH, BANNER_LEAST = 2, 0.8, 8
+CACHE_SECONDS, CACHE_ENTRIES = 1800, 24
 SHRINK = 0.20
 
 # --- Fixed values: certification demand ----------------------------------------------------------------------------
