@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources.storage import Store
+from ..streaming import cache
 from ..streaming import graph as citations
 from ..streaming import streams
 from .base import Tables, query
@@ -85,3 +86,15 @@ def stream_co_citation(t: Tables):
     store = Store(t.spark, f"{folder}/graph")
     each(bridge, store.pointer().batch)
     return citations.edges(store, least_co=2, places=6)
+
+
+@query("""WITH RECURSIVE asked AS (SELECT event_id, user_id, user_id % 2 AS shelf, epoch_ms(ts) AS at_ms, row_number() OVER (PARTITION BY user_id % 2 ORDER BY epoch_ms(ts), event_id) AS step FROM events),
+    served AS (SELECT DISTINCT shelf, 0::BIGINT AS step, NULL::BIGINT AS event_id, NULL::BIGINT AS user_id, false AS hit, 0 AS evicted, []::STRUCT(k BIGINT, put BIGINT)[] AS held FROM asked
+        UNION ALL SELECT shelf, step, event_id, user_id, hit, CASE WHEN NOT hit AND len(live) >= 24 THEN 1 ELSE 0 END, CASE WHEN hit THEN live ELSE list_append(CASE WHEN len(live) >= 24 THEN live[2:] ELSE live END, {'k': user_id, 'put': at_ms}) END
+        FROM (SELECT *, len(list_filter(live, lambda h: h.k = user_id)) > 0 AS hit FROM (SELECT a.shelf, a.step, a.event_id, a.user_id, a.at_ms, list_filter(s.held, lambda h: a.at_ms - h.put <= 28800000) AS live FROM served s JOIN asked a ON a.shelf = s.shelf AND a.step = s.step + 1)))
+    SELECT shelf::VARCHAR AS shelf, event_id AS id, user_id::VARCHAR AS key, hit, evicted::BIGINT AS evicted FROM served WHERE step > 0""")
+def stream_cache(t: Tables):
+    """Users asked for in two caches of 24 entries that live for eight hours, as events come rarely."""
+    folder = _folder(t, "cache")
+    asked = _events(t).withColumn("shelf", F.col("user_id") % 2)
+    return streams.drained(cache.cached(asked, "shelf", "user_id", "event_id", "ts", "1 hour", live=28_800), f"{folder}/out", f"{folder}/checkpoint")
