@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import FEW, components
@@ -30,8 +30,10 @@ WORDS = 5
 BANDS, ROWS = 24, 5
 LEAST = 72
 SEED = 42
-#: Members of a bucket, and texts of a group, that one task compares; larger ones are cut into tiles of pairs of parts.
+#: Members of a bucket, and texts of a group, that one task compares; larger buckets are cut into tiles of pairs of parts.
 BUCKET_TILE, GROUP_TILE = 4096, 512
+#: Texts of a larger group that meet all of its texts, and texts that they meet at a time.
+LEADERS, ROOM = 16, 1024
 #: Rows a pass over buckets loads at a time.
 LANES = 1 << 16
 
@@ -151,36 +153,114 @@ def candidates(sigs: DataFrame, tile: int = BUCKET_TILE) -> DataFrame:
     return tiled(found.join(sigs, "id"), ["k"], tile).select("id", "k", "i", "j", "sig").mapInArrow(run, "a long, b long")
 
 
-def verified(groups: DataFrame, tile: int = GROUP_TILE) -> DataFrame:
-    """a, b: links that span the components of the similar pairs within each group (id, text, component, m)."""
+def _joined(ids: list[int], sets: list[np.ndarray], label: np.ndarray, firsts: int | None = None) -> list[tuple[int, int]]:
+    """Links between similar sets of different labels, which they join; with ``firsts``, only between those in front and the rest."""
+    out = []
+    for a in range(len(ids) if firsts is None else firsts):
+        at = a + 1 if firsts is None else firsts
+        for b in (np.flatnonzero(label[at:] != label[a]) + at).tolist():
+            if label[a] != label[b] and similar(sets[a], sets[b]):
+                label[label == label[b]] = label[a]
+                out.append((ids[a], ids[b]))
+    return out
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-            label, out = np.arange(len(ids)), []
-            for a in range(len(ids)):
-                for b in (np.flatnonzero(label[a + 1 :] != label[a]) + a + 1).tolist():
-                    if label[a] != label[b] and similar(sets[a], sets[b]):
-                        label[label == label[b]] = label[a]
-                        out.append((ids[a], ids[b]))
-            return out
 
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return batch(LINKS, a=[x[0] for x in found], b=[x[1] for x in found])
+
+
+def verified(groups: DataFrame) -> DataFrame:
+    """a, b: links that span the components of the similar pairs within each group (id, component, text), one task a group."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, sets = None, [], []
         for rows in it:
             out = []
-            for n, c, i, j, text in zip(*(x.to_pylist() for x in rows.columns)):
-                if (c, i, j) != at:
-                    out += linked(ids, sets)
-                    at, ids, sets = (c, i, j), [], []
+            for n, c, text in zip(*(x.to_pylist() for x in rows.columns)):
+                if c != at:
+                    out += _joined(ids, sets, np.arange(len(ids)))
+                    at, ids, sets = c, [], []
                 ids.append(n)
                 sets.append(shingles(text))
-            yield batch(LINKS, a=[x[0] for x in out], b=[x[1] for x in out])
-        out = linked(ids, sets)
-        yield batch(LINKS, a=[x[0] for x in out], b=[x[1] for x in out])
+            yield _links(out)
+        yield _links(_joined(ids, sets, np.arange(len(ids))))
+
+    return groups.repartition("component").sortWithinPartitions("component").select("id", "component", "text").mapInArrow(run, "a long, b long")
+
+
+SETS = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("m", pa.int64()), ("hashes", pa.binary())])
+
+
+def _sets(groups: DataFrame) -> DataFrame:
+    """id, component, m and the set of shingles of each text."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], schema=SETS)
 
-    return tiled(groups, ["component"], tile).select("id", "component", "i", "j", "text").mapInArrow(run, "a long, b long")
+    return groups.select("id", "component", "m", "text").mapInArrow(run, "id long, component long, m long, hashes binary")
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def _met(rows: DataFrame) -> DataFrame:
+    """a, b: links between the firsts and the others of each room (id, component, room, first, label, hashes) that join labels."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets, labels, firsts = None, [], [], [], 0
+
+        def met() -> list[tuple[int, int]]:
+            return _joined(ids, sets, np.unique(labels, return_inverse=True)[1], firsts) if ids else []
+
+        for b in it:
+            out = []
+            for n, c, r, first, label, hashes in zip(*(x.to_pylist() for x in b.columns)):
+                if (c, r) != at:
+                    out += met()
+                    at, ids, sets, labels, firsts = (c, r), [], [], [], 0
+                if not first and len(ids) >= firsts + ROOM:
+                    out += met()  # the firsts stay, with what was joined
+                    ids, sets, labels = ids[:firsts], sets[:firsts], labels[:firsts]
+                ids.append(n)
+                sets.append(np.frombuffer(hashes, np.uint64))
+                labels.append(label)
+                firsts += first
+            yield _links(out)
+        yield _links(met())
+
+    dealt = rows.repartition("component", "room").sortWithinPartitions("component", "room", F.desc("first"))
+    return dealt.select("id", "component", "room", "first", "label", "hashes").mapInArrow(run, "a long, b long")
+
+
+def settled(groups: DataFrame, tile: int) -> DataFrame:
+    """a, b: the same links of groups (id, component, m, text) of more than ``tile`` texts each.
+
+    LEADERS texts of a group meet all others, which are dealt over rooms. Where that leaves the group in several parts, the
+    texts outside of its largest part are cut into tiles that meet the whole group once more, room by room. So a text is
+    copied for each ``tile`` of the texts left apart, and not for each tile of its group.
+    """
+    sets = written(_sets(groups), "near-sets")
+    order = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("id"), "id"))
+    leaders = sets.select("component", "id").withColumn("_r", order).filter(F.col("_r") <= LEADERS).drop("_r")
+    rooms = F.ceil(F.col("m") / tile).cast("int")
+    room = F.pmod(F.xxhash64("id"), rooms).cast("int")
+    every = F.explode(F.sequence(F.lit(0), rooms - 1))
+    named = sets.withColumn("label", F.col("id"))
+    fore = named.join(written(leaders, "near-leaders"), ["component", "id"], "left_semi").withColumns({"room": every, "first": F.lit(1)})
+    links = written(_met(named.withColumns({"room": room, "first": F.lit(0)}).unionByName(fore)), "near-links")
+    parts = components(links, "a", "b", few=FEW).select(F.col("node").alias("id"), F.col("component").alias("label"))
+    labelled = written(sets.join(parts, "id", "left").withColumn("label", F.coalesce("label", "id")), "near-labelled")
+    sizes = labelled.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.filter(F.col("all") > F.col("most")).select("component", "main", F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("tiles"))
+    rest = written(skew_join(labelled, main.join(labelled.groupBy("component").agg(F.count(F.lit(1)).alias("_n")), "component"), ["component"], "_n", labelled.count(), F.col("id"), "inner"), "near-rest")
+    removed(sets)
+    # tile k of those apart is first in the rooms k * rooms .. k * rooms + rooms - 1, which all others are dealt over
+    mine = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    fore = rest.filter(F.col("label") != F.col("main")).withColumn("_each", every).select("id", "component", (mine * rooms + F.col("_each")).alias("room"), F.lit(1).alias("first"), "label", "hashes")
+    back = rest.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("id", "component", (F.col("_tile") * rooms + room).alias("room"), F.lit(0).alias("first"), "label", "hashes")
+    return links.unionByName(_met(fore.unionByName(back)))
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", tile: int = GROUP_TILE) -> DataFrame:
     """node, component (its least key) of the rows of docs that are similar to another; keys are whole numbers of one row each."""
     sigs = written(signed(docs, key), "near-sigs")
     near = components(candidates(sigs.select("id", "sig")).unionByName(closest(sigs)), "a", "b", few=FEW)
@@ -190,7 +270,11 @@ def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     n = near.count()
     member = written(skew_join(near, sizes, ["component"], "m", n, F.col("id"), "inner"), "near-members")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return components(verified(texts.join(maybe_broadcast(member, n, 32), "id")), "a", "b", few=FEW)
+    found = texts.join(maybe_broadcast(member, n, 32), "id")
+    links = verified(found.filter(F.col("m") <= tile))
+    if not member.filter(F.col("m") > tile).isEmpty():
+        links = links.unionByName(settled(found.filter(F.col("m") > tile), tile))
+    return components(links, "a", "b", few=FEW)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

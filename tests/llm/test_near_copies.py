@@ -1,4 +1,5 @@
 import numpy as np
+import pyspark.sql.functions as F
 
 from tessera.llm import near_copies as N
 
@@ -63,9 +64,27 @@ def test_large_families_in_tiles(spark, monkeypatch):
     rows = list(enumerate(texts(2, 90, seed=4)))
     want = brute(rows)
     assert kept(spark, rows) == want
-    for f in (N.candidates, N.verified):
-        monkeypatch.setattr(f, "__defaults__", (16,))
-    assert kept(spark, rows) == want
+    monkeypatch.setattr(N.candidates, "__defaults__", (16,))
+    monkeypatch.setattr(N.near_copies, "__defaults__", ("doc_id", 16))
+    for leaders in (16, 1, 0):
+        monkeypatch.setattr(N, "LEADERS", leaders)
+        assert kept(spark, rows) == want
+
+
+def test_a_large_family_is_not_multiplied(spark):
+    """20,000 texts of one family: the rows that meet are a small multiple of them."""
+    rows = list(enumerate(texts(1, 200, length=300, seed=6)))
+    docs = spark.createDataFrame(rows, "id long, text string").crossJoin(spark.range(100).withColumnRenamed("id", "k"))
+    docs = docs.select((F.col("id") * 100 + F.col("k")).alias("id"), F.lit(0).cast("long").alias("component"), F.lit(20_000).cast("long").alias("m"), F.concat("text", F.lit(" z"), F.col("k")).alias("text"))
+    seen = []
+    met = N._met
+    N._met = lambda r: (seen.append(r.count()), met(r))[1]
+    try:
+        links = N.settled(docs, N.GROUP_TILE)
+        joined = N.components(links, "a", "b", few=N.FEW).groupBy("component").count().orderBy(F.desc("count")).first()
+    finally:
+        N._met = met
+    assert joined["count"] > 15_000 and sum(seen) < 3 * 20_000 + 20_000
 
 
 def test_odd_tables(spark):
