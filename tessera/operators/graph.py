@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from .components import components as connected
 from .plumbing import own_folder, written
 
 
-def baskets(bridge: DataFrame, doc: str, item: str) -> DataFrame:
-    """The distinct bridge, dealt by document: one shuffle serves the distinct, the self-join and counts by document."""
-    return bridge.select(F.col(doc).alias("doc"), F.col(item).alias("item")).repartition("doc").distinct()
+def baskets(bridge: DataFrame, doc: str, item: str, dealt: bool = False) -> DataFrame:
+    """The distinct bridge, dealt by document: one shuffle serves the distinct, the self-join and counts by document. None
+    is needed for a table that is stored in buckets of the document (dealt)."""
+    b = bridge.select(F.col(doc).alias("doc"), F.col(item).alias("item"))
+    return (b if dealt else b.repartition("doc")).distinct()
 
 
 #: Items of a basket whose pairs one task makes; larger baskets are cut into tiles.
@@ -38,13 +42,13 @@ def basket_pairs(b: DataFrame, large: int = BASKET) -> DataFrame:
     return near.select(*ends).unionByName(far.select(*ends))
 
 
-def co_citation(bridge: DataFrame, doc: str, item: str, least_co: int = 1, least_confidence: float = 0.0, least_source: int = 1, places: int = 3, large: int = BASKET) -> DataFrame:
+def co_citation(bridge: DataFrame, doc: str, item: str, least_co: int = 1, least_confidence: float = 0.0, least_source: int = 1, places: int = 3, large: int = BASKET, dealt: bool = False) -> DataFrame:
     """Directed edges: src, dst, n_src, n_dst, co, confidence, lift; thresholds are tested before rounding.
 
     Pairs come from an equi-join of the distinct bridge with itself, one direction only; the other is its mirror, so
     that half the pairs are shuffled. The counts combine on the map side.
     """
-    b = baskets(bridge, doc, item)
+    b = baskets(bridge, doc, item, dealt)
     pairs = basket_pairs(b, large).groupBy("a", "b").agg(F.count(F.lit(1)).alias("co")).filter(F.col("co") >= least_co)
     n = b.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     return directed(pairs, n, b.agg(F.count_distinct("doc").alias("n_docs")), least_confidence, least_source, places)
@@ -125,14 +129,22 @@ def related(sources: DataFrame, key: Column, exact_edges: DataFrame, broad: Colu
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("confidence"), F.desc("co"), "dst"))).filter(F.col("rank") <= k)
 
 
-def neighbourhood(edges: DataFrame, root: object, hops: int = 2, each: int = 40) -> DataFrame:
-    """node, hop of what lies within one or two hops of the root, by the ``each`` most confident edges of a node."""
+def neighbourhood(edges: DataFrame, root: object, hops: int = 2, each: int = 40, base: Callable[[Column], Column] | None = None) -> DataFrame:
+    """node, hop of what lies within one or two hops of the root, by the ``each`` most confident edges of a node.
+
+    With ``base``, edges that leave a node's base count as its own.
+    """
     hops = min(max(hops, 1), 2)
-    strong = edges.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("confidence"), F.desc("co"), "dst"))).filter(F.col("_r") <= each).select("src", "dst")
+    best = [F.desc("confidence"), F.desc("co"), "dst", "src"]
+    strong = edges.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(*best))).filter(F.col("_r") <= each).drop("_r")
     seen = edges.sparkSession.createDataFrame([(root, 0)], edges.select(F.col("src").alias("node"), F.lit(0).alias("hop")).schema)
     frontier = seen
     for hop in range(1, hops + 1):
-        frontier = frontier.select(F.col("node").alias("src")).join(strong, "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        keys = F.array(F.col("node")) if base is None else F.array_distinct(F.array(F.col("node"), base(F.col("node"))))
+        near = frontier.select("node", F.explode(keys).alias("src")).join(strong, "src")
+        if base is not None:
+            near = near.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(*best))).filter(F.col("_r") <= each)
+        frontier = near.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..functions.values import is_dead, share
 
 
@@ -85,6 +86,21 @@ def majority(df: DataFrame, by: str, value: str) -> DataFrame:
     return n.groupBy(by).agg(F.min_by(F.struct(F.col(value).alias("value"), "n"), F.struct(-F.col("n"), F.col(value))).alias("m")).select(by, F.col("m.value").alias(value), F.col("m.n").alias("n"))
 
 
+def classified(cited: DataFrame, register: DataFrame) -> DataFrame:
+    """doc, family, outdated, unmatched of each document, from its citations (doc, place, cite) and the register (number,
+    status, family): the commonest family of those that resolve by base, the first cited of equal ones (then the least), ``Unclassified`` if
+    there is none; and, in the order of citation, those that are dead with their status, and those that resolve to nothing."""
+    key = lambda c: F.upper(ids.base(c))
+    held = register.groupBy(key(F.col("number")).alias("_b")).agg(F.min_by(F.struct("status", "family"), "number").alias("r"))
+    rows = cited.withColumn("_b", key(F.col("cite"))).join(held, "_b", "left")
+    votes = rows.filter("coalesce(r.family, '') != ''").groupBy("doc", F.col("r.family").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    family = votes.groupBy("doc").agg(F.min_by("family", F.struct(-F.col("n"), "first", "family")).alias("family"))
+    listed = lambda when, said: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("place", said.alias("t"))))), lambda x: x["t"])
+    dead = is_dead(F.col("r.status"))
+    lists = rows.groupBy("doc").agg(listed(dead, F.concat("cite", F.lit(" ("), "r.status", F.lit(")"))).alias("outdated"), listed(F.col("r").isNull(), F.col("cite")).alias("unmatched"))
+    return lists.join(family, "doc", "left").select("doc", F.coalesce("family", F.lit("Unclassified")).alias("family"), "outdated", "unmatched")
+
+
 def most_common(df: DataFrame, item: str, attributes: DataFrame, k: int) -> DataFrame:
     """The k commonest items with their attributes; attributes are joined to k rows only."""
     top = df.groupBy(item).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), item).limit(k)

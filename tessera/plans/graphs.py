@@ -86,12 +86,12 @@ def graph_shortest_path(t: Tables):
     return graph.shortest_path(pairs, 1, 50).select("hops")
 
 
-@query("""WITH RECURSIVE st AS (SELECT p_partkey AS u, p_partkey + 1 AS v FROM part WHERE p_partkey <= 60 UNION ALL SELECT p_partkey + 1, p_partkey FROM part WHERE p_partkey <= 60 UNION ALL
-        SELECT p_partkey, p_partkey + 4 FROM part WHERE p_partkey <= 60 AND p_partkey % 7 = 0 UNION ALL SELECT p_partkey + 4, p_partkey FROM part WHERE p_partkey <= 60 AND p_partkey % 7 = 0),
+@query("""WITH RECURSIVE st AS (SELECT p_partkey AS u, p_partkey + 1 AS v FROM part UNION ALL SELECT p_partkey + 1, p_partkey FROM part UNION ALL
+        SELECT p_partkey, p_partkey + 4 FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey + 4, p_partkey FROM part WHERE p_partkey % 7 = 0),
     bfs(node, hop) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT v, hop + 1 FROM bfs JOIN st ON u = node WHERE hop < 80) SELECT CAST(min(hop) AS INT) AS hops FROM bfs WHERE node = 22""")
 def graph_long_path(t: Tables):
     """A chain of parts with short cuts: the ends are more than eight steps apart."""
-    p = t.part.filter("p_partkey <= 60").select(F.col("p_partkey").alias("a"))
+    p = t.part.select(F.col("p_partkey").alias("a"))
     pairs = p.withColumn("b", F.col("a") + 1).unionByName(p.filter("a % 7 = 0").withColumn("b", F.col("a") + 4))
     return graph.shortest_path(pairs, 1, 22).select("hops")
 

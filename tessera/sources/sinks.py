@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -47,10 +47,14 @@ def decision(spark: SparkSession, path: str, decision_: str, officer: str = "",
     row.select(F.expr("uuid()").alias("id"), F.current_timestamp().alias("created_at"), "*").write.mode("append").parquet(path)
 
 
-def html_report(rows: DataFrame, title: str, columns: list[str]) -> DataFrame:
-    """One row: an HTML report of a bounded, ordered set of rows, escaped."""
+def html_report(rows: DataFrame, section: str, columns: list[str], order: list, most: int = 100) -> DataFrame:
+    """section, html: a table for each section, of its first rows in an order that tells them apart, escaped, and how many
+    more there are. A section holds ``most`` rows, whatever the input."""
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), esc(F.col(c)), F.lit("</td>")) for c in columns], F.lit("</tr>"))
-    body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    sizes = rows.groupBy(section).agg(F.count(F.lit(1)).alias("_n"))
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(section).orderBy(*order))).filter(F.col("_r") <= most)
+    body = first.groupBy(section).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))), lambda x: x["l"]), "\n").alias("_body")).join(sizes, section)
     head = "".join(f"<th>{c}</th>" for c in columns)
-    return rows.agg(F.concat(F.lit(f"<h1>{title}</h1>\n<table><tr>{head}</tr>\n"), body, F.lit("\n</table>")).alias("html"))
+    more = F.when(F.col("_n") > most, F.concat(F.lit("\n<p>and "), F.col("_n") - most, F.lit(" more</p>"))).otherwise("")
+    return body.select(F.col(section).alias("section"), F.concat(F.lit("<h2>"), esc(F.col(section)), F.lit(f"</h2>\n<table><tr>{head}</tr>\n"), "_body", F.lit("\n</table>"), more).alias("html"))
