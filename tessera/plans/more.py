@@ -366,10 +366,15 @@ def composed_clauses(t: Tables):
 # --- audit and repair ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, 'IS 77' AS cite FROM documents WHERE doc_id % 2 = 0")
+_NAMED = inside_sql("'use IS 10 (Part 1) and IS ' || (70 + doc_id % 9) || CASE WHEN doc_id % 2 = 0 THEN ' or IS 10' ELSE '' END")
+
+
+@query(rf"""WITH t AS ({_NAMED}), f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '(?:^|[^A-Za-z])IS[:\s]*(\d{{2,}})', 1))) AS n FROM t) SELECT doc_id, 'IS ' || n AS cite FROM f WHERE n NOT IN ('10', '71', '75')""")
 def repair_intruders(t: Tables):
-    docs = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "use IS 10 (Part 1) and IS 77").otherwise("use IS 10").alias("fixed"))
-    return repair.intruders(docs, "doc_id", "fixed", docs.select("doc_id", F.lit("IS 10").alias("cite")))
+    k = F.col("doc_id")
+    docs = t.documents.select("doc_id", inside(F.concat(F.lit("use IS 10 (Part 1) and IS "), k % 9 + 70, F.when(k % 2 == 0, " or IS 10").otherwise(""))).alias("fixed"))
+    allowed = docs.select("doc_id", F.explode(F.array(*[F.lit(f"IS {n}") for n in (10, 71, 75)])).alias("cite"))
+    return repair.intruders(docs, "doc_id", "fixed", allowed)
 
 
 @query("SELECT item, docs, shared, cluster, (SELECT count(*) FROM customer WHERE c_nationkey = cluster) AS cluster_size FROM (SELECT c_mktsegment AS item, count(*) AS docs FROM customer GROUP BY 1) JOIN (SELECT item, n AS shared, cluster FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, cluster) AS r FROM (SELECT c_mktsegment AS item, c_nationkey::BIGINT AS cluster, count(*) AS n FROM customer GROUP BY ALL)) WHERE r = 1 AND n >= 2) USING (item)")

@@ -83,13 +83,18 @@ def citation_extraction(t: Tables):
     return t.documents.select("doc_id", F.array_join(citations.extract(inside(case)), "; ").alias("found"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'IS 77' ELSE 'IS 10:2001' END AS leaks FROM documents""")
+_GUARDED = inside_sql("'conform to IS ' || (10 + doc_id % 7) || ' : ' || (2005 + doc_id % 9) || ', is ' || (20 + doc_id % 5) || ' and IS:10 (Part 1) - 1999'")
+
+
+@query(rf"""WITH t AS ({_GUARDED}), f AS (SELECT doc_id, regexp_extract_all(t, '(?i)\bIS[:\s]*(\d{{2,6}})(?:\s*\([^)]{{0,40}}\))?(?:\s*[:\-]\s*((?:19|20)\d{{2}}))?', 1) AS n, regexp_extract_all(t, '(?i)\bIS[:\s]*(\d{{2,6}})(?:\s*\([^)]{{0,40}}\))?(?:\s*[:\-]\s*((?:19|20)\d{{2}}))?', 2) AS y FROM t)
+    SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(n, y), lambda x: x[1] NOT IN ('10', '12', '14', '20', '22') OR (x[1] IN ('10', '12') AND coalesce(x[2], '') NOT IN ('', '2010'))), lambda x: 'IS ' || x[1] || CASE WHEN x[1] IN ('10', '12', '14', '20', '22') THEN ':' || x[2] ELSE '' END), '; ') AS leaks FROM f""")
 def subset_guard(t: Tables):
+    """Whole texts with designations that may and may not stand there, and years that are and aren't those on record."""
     k = F.col("doc_id")
-    said = F.when(k % 3 == 0, "conform to IS 10 : 2010 and is 20").when(k % 3 == 1, "IS 10 and IS 77 apply").otherwise("as IS 10:2001 says")
-    allowed = F.array(F.lit("IS 10 (Part 1)"), F.lit("IS 20"))
-    years = F.create_map(F.lit("10"), F.lit("2010"))
-    return t.documents.select("doc_id", F.array_join(citations.leaked(said, allowed, years), "; ").alias("leaks"))
+    said = F.concat(F.lit("conform to IS "), k % 7 + 10, F.lit(" : "), k % 9 + 2005, F.lit(", is "), k % 5 + 20, F.lit(" and IS:10 (Part 1) - 1999"))
+    allowed = F.array(*[F.lit(f"IS {n} (Part 1)") for n in (10, 12, 14, 20, 22)])
+    years = F.create_map(F.lit("10"), F.lit("2010"), F.lit("12"), F.lit("2010"))
+    return t.documents.select("doc_id", F.array_join(citations.leaked(inside(said), allowed, years), "; ").alias("leaks"))
 
 
 @query("""SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Order, S.O. ' || p_partkey || '(E) dated 17-02-2003' WHEN 1 THEN 'Order ' || p_partkey WHEN 2 THEN 'Order (' || p_partkey || ' dated 5 Feb 2001)' ELSE '' END AS notice FROM part""")
@@ -184,9 +189,13 @@ def run_grouping(t: Tables):
     return html.wrapped(lines, "doc_id", "i", "line")
 
 
-@query("""SELECT doc_id, 'Lay IS 8130 : 2013 as in IS 456 and THIS 303. ' || doc_id AS fixed, CASE WHEN doc_id % 2 = 0 THEN 'Additional entries applicable: IS 99.' ELSE '' END AS tail FROM documents""")
+_LAID = inside_sql("'Lay IS:303-1989 : 2013 as in is 456:1978 and THIS 303, then IS ' || (300 + doc_id % 9) || '.'")
+
+
+@query(rf"""WITH t AS ({_LAID}) SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)(^|[^A-Za-z])IS[:\s]*303(?:\s*[:\-]\s*\d{{4}})?', '\1IS 8130', 'g'), '(?i)(^|[^A-Za-z])IS[:\s]*456(?:\s*[:\-]\s*\d{{4}})?', '\1IS 456', 'g') AS fixed,
+    CASE WHEN doc_id % 2 = 0 THEN 'Additional entries applicable: IS 99.' ELSE '' END AS tail FROM t""")
 def repair_substitution(t: Tables):
-    docs = t.documents.select("doc_id", F.concat(F.lit("Lay IS:303-1989 : 2013 as in is 456:1978 and THIS 303. "), F.col("doc_id").cast("string")).alias("text"))
+    docs = t.documents.select("doc_id", inside(F.concat(F.lit("Lay IS:303-1989 : 2013 as in is 456:1978 and THIS 303, then IS "), F.col("doc_id") % 9 + 300, F.lit("."))).alias("text"))
     one = docs.select(F.col("doc_id").alias("doc"), F.lit("replace").alias("action"), F.lit("IS 303").alias("old"), F.lit("IS 8130").alias("new"))
     two = one.withColumns({"old": F.lit("IS 456"), "new": F.lit("IS 456")})
     add = one.filter("doc % 2 = 0").withColumns({"action": F.lit("add"), "old": F.lit(None).cast("string"), "new": F.lit("IS 99")})

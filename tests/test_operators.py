@@ -184,8 +184,8 @@ def test_sources_and_sinks(spark, tmp_path):
     lines = tmp_path / "runs.jsonl"
     lines.write_text('{"started":"a","changed":1}\nnot json\n{"started":"b"}\n')
     assert [r.started for r in tables.json_lines(spark, str(lines), "started string, changed long").orderBy("started").collect()] == ["a", "b"]
-    html = sinks.html_report(spark.createDataFrame([("<b>",)], "c string"), "T", ["c"]).first().html
-    assert "&lt;b&gt;" in html
+    told = sinks.html_report(spark.createDataFrame([("s", "<b>", 2), ("s", "a", 1), ("s", None, 3), ("t", "x", 1)], "s string, c string, n int"), "s", ["c"], ["n"], 2)
+    assert {r.section: r.html for r in told.collect()} == {"s": "<h2>s</h2>\n<table><tr><th>c</th></tr>\n<tr><td>a</td></tr>\n<tr><td>&lt;b&gt;</td></tr>\n</table>\n<p>and 1 more</p>", "t": "<h2>t</h2>\n<table><tr><th>c</th></tr>\n<tr><td>x</td></tr>\n</table>"}
     kinds = spark.createDataFrame([(bytearray(b"%PDF-1"),), (bytearray(b"PK\x03\x04z"),), (bytearray(b"x"),)], "c binary")
     assert [r[0] for r in kinds.select(tables.container(F.col("c"))).collect()] == ["pdf", "docx", None]
 
