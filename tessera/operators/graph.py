@@ -75,15 +75,14 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def edge_cap(pairs: DataFrame, cap: int) -> DataFrame:
-    """Keeps an edge that is among the first ``cap`` of either end, strongest first.
+    """Keeps an edge (one row for each pair) that is among the first ``cap`` of either end, strongest first.
 
     That is what a greedy pass keeps that drops an edge only if both ends are full: the first cap edges at a node are
     always kept, and a node is full from then on.
     """
     rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("co"), "a", "b", "_end"))
     ends = pairs.select("*", F.explode(F.array("a", "b")).alias("_end")).withColumn("_rank", rank("_end"))
-    keep = ends.filter(F.col("_rank") <= cap).select("a", "b").distinct()
-    return pairs.join(keep, ["a", "b"], "left_semi")
+    return ends.filter(F.col("_rank") <= cap).select(pairs.columns).distinct()  # a pair that both ends keep is there twice
 
 
 def degrees(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
