@@ -49,6 +49,10 @@ NOTIFICATION_CHARS = 180
 BAND_FRACTION, BAND_GAP, BAND_LINES = 0.30, 1.6, 8
 BANNER_TOP, BANNER_WIDTH, BANNER_LEAST = 2, 0.8, 8
 CACHE_SECONDS, CACHE_ENTRIES = 1800, 24
+PAGE_CHARS = 300_000
+UNSEEN = ["script", "style", "noscript", "textarea"]
+#: Bytes of an upload, characters of a text, strings of a request, characters of a text to repair.
+UPLOAD_BYTES, TEXT_CHARS, STRINGS, REPAIR_CHARS = 25 * 1024 * 1024, 400_000, 600, 18_000
 SHRINK = 0.20
 
 # --- Fixed values: certification demand ----------------------------------------------------------------------------

@@ -97,6 +97,14 @@ def strip_html(c: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def page_text(html: Column, most: int = fixed.PAGE_CHARS) -> Column:
+    """What a page says, without what scripts, fallbacks and fields that are typed into hold, up to a number of characters."""
+    out = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
+    for tag in fixed.UNSEEN:
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    return F.substring(strip_html(out), 1, most)
+
+
 def links(html: Column, most: int = 8, allowed: str = ".*") -> Column:
     """Link targets that match, in order and once each."""
     found = F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']([^"']*)["']"""), F.lit(1))

@@ -142,6 +142,12 @@ def within(size: Column, most: int) -> Column:
     return F.coalesce(size <= most, F.lit(False))
 
 
+def size_fault(upload: Column, chars: Column, strings: Column, repair: Column) -> Column:
+    """The first bound that a request breaks, of bytes, characters, strings and characters to repair; null if it is taken."""
+    bounds = [(upload, fixed.UPLOAD_BYTES, "upload"), (chars, fixed.TEXT_CHARS, "text"), (strings, fixed.STRINGS, "strings"), (repair, fixed.REPAIR_CHARS, "repair")]
+    return F.coalesce(*[F.when(F.coalesce(c, F.lit(0)) > most, F.lit(name)) for c, most, name in bounds])
+
+
 def tied_on_voltage(number: Column, other: Column, title: Column, other_title: Column, score: Column, other_score: Column) -> Column:
     """Two parts of one base, too close in score, that declare different bands."""
     from .ids import base_with_year

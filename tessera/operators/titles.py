@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +58,13 @@ def titled(docs: DataFrame, key: str, name: str, family: str, words: DataFrame)
     named = F.when(F.lower("_t").isin(fixed.GENERIC_TITLES) & F.col("_f").isNotNull(), F.concat("_t", F.lit(" — "), "_f")).otherwise(F.col("_t"))
     bare = F.when(F.col("_f").isNotNull(), F.concat(F.lit("Untitled "), F.lower(F.substring("_f", 1, 1)), F.substring(F.col("_f"), F.lit(2), F.char_length("_f")), F.lit(" tender"))).otherwise("Untitled tender")
     return out.select(key, F.when(has, F.substring(named, 1, 90)).otherwise(bare).alias("title"), has.alias("derived"))
+
+
+def ungrounded(register: DataFrame, title: str) -> DataFrame:
+    """key, full of the expansions that the register's titles bear out neither whole nor by their first word, in one pass."""
+    rules = [(k, v) for rules in (fixed.EXPANSIONS, fixed.STRICT_EXPANSIONS, fixed.PHRASES) for k, v in rules.items()]
+    said = F.lower(F.col(title))
+    head = lambda v: re.sub("[^a-z ]", "", v.lower()).split()[0]
+    borne = [F.coalesce(F.max((F.contains(said, F.lit(v.lower())) | F.contains(said, F.lit(head(v)))).cast("int")), F.lit(0)).alias("b") for _, v in rules]
+    one = register.agg(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("full"), b) for (k, v), b in zip(rules, borne)]).alias("r"))
+    return one.select(F.inline("r")).filter("b = 0").select("key", "full")

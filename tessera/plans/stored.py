@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, rollup
+from ..functions import fixed, text, verdicts
+from ..operators import graph, rollup, titles
 from ..sources import sinks, storage, tables
 from .base import REG, Tables, query
 from .graphs import PARTS, STRONG, supplier_edges
@@ -60,3 +61,33 @@ def report_sections(t: Tables):
 def picture_quality(t: Tables):
     places = t.customer.select(F.col("c_custkey").alias("node"), ((F.col("c_custkey") * 7919) % 1009).cast("double").alias("x"), ((F.col("c_custkey") * 104729) % 641).cast("double").alias("y"))
     return graph.layout_quality(places)
+
+
+_RULES = [(k, v) for rules in (fixed.EXPANSIONS, fixed.STRICT_EXPANSIONS, fixed.PHRASES) for k, v in rules.items()]
+_VALUES = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in _RULES)
+
+
+@query(f"""WITH rules(key, "full") AS (VALUES {_VALUES}), said AS (SELECT lower(p_type || ' ' || p_name) || CASE WHEN p_partkey % 5 = 0 THEN ' of steel, insulated' ELSE '' END AS t FROM part)
+    SELECT key, "full" FROM rules WHERE NOT EXISTS (SELECT 1 FROM said WHERE contains(t, lower("full")) OR contains(t, string_split_regex(trim(regexp_replace(lower("full"), '[^a-z ]', '', 'g')), ' +')[1]))""")
+def ungrounded_expansions(t: Tables):
+    """Expansions that no title bears out; some titles speak of steel and of what is insulated."""
+    said = F.concat("p_type", F.lit(" "), "p_name", F.when(F.col("p_partkey") % 5 == 0, " of steel, insulated").otherwise(""))
+    return titles.ungrounded(t.part.select(said.alias("title")), "title")
+
+
+@query(r"""SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) * 4000 > 26214400 THEN 'upload' WHEN length(coalesce(text, '')) * 80 > 400000 THEN 'text' WHEN len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) > 600 THEN 'strings' WHEN length(coalesce(text, '')) * 6 > 18000 THEN 'repair' END AS fault FROM documents""")
+def size_faults(t: Tables):
+    """Bounds of requests over whole texts, with factors that let each bound be met."""
+    body = F.coalesce("text", F.lit(""))
+    words = F.size(F.regexp_extract_all(body, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    return t.documents.select("doc_id", verdicts.size_fault(F.octet_length(body) * 4000, F.char_length(body) * 80, words, F.char_length(body) * 6).alias("fault"))
+
+
+@query(r"""WITH p AS (SELECT page_id, coalesce(html, '') || CASE page_id % 3 WHEN 0 THEN '<form><textarea>two</textarea><input value="three">four</form>' WHEN 1 THEN '<noscript>five</noscript> six' ELSE '' END AS h FROM pages), a AS (SELECT page_id, regexp_replace(h, '(?s)<!--.*?-->', ' ', 'g') AS h FROM p),
+    b AS (SELECT page_id, regexp_replace(h, '(?is)<(?:script\b[^>]*>.*?</script|style\b[^>]*>.*?</style|noscript\b[^>]*>.*?</noscript|textarea\b[^>]*>.*?</textarea)\s*>', ' ', 'g') AS h FROM a), c AS (SELECT page_id, regexp_replace(h, '(?s)<[^>]*>', ' ', 'g') AS h FROM b)
+    SELECT page_id, left(trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), 300000) AS seen FROM c""")
+def page_scan(t: Tables):
+    """Pages as they are read, with forms and hidden parts that don't count."""
+    k = F.col("page_id") % 3
+    form = F.when(k == 0, '<form><textarea>two</textarea><input value="three">four</form>').when(k == 1, "<noscript>five</noscript> six").otherwise("")
+    return t.pages.select("page_id", text.page_text(F.concat(F.coalesce("html", F.lit("")), form)).alias("seen"))
