@@ -133,6 +133,16 @@ def search_pipeline_hybrid(t: Tables):
     return retrieve.search(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", "hybrid_rrf", asked(t)).select("query", "doc", "rank", "score")
 
 
+@query(f"""WITH {BM25}, {ASKED}, {PARTS}, f AS (SELECT query, doc, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM ({BOTH}) GROUP BY ALL), short AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, doc) AS rank FROM f QUALIFY rank <= 10),
+    strong AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY co DESC, dst) AS r FROM edges),
+    near AS (SELECT query, dst AS doc, min((rank, r)) AS o FROM short JOIN strong ON doc = src WHERE rank <= 3 AND r <= 5 GROUP BY ALL), fresh AS (SELECT near.* FROM near ANTI JOIN short USING (query, doc)),
+    wide AS (SELECT query, doc, rrf, rank FROM short UNION ALL SELECT query, doc, 0.0, (SELECT max(rank) FROM short s WHERE s.query = fresh.query) + row_number() OVER (PARTITION BY query ORDER BY o, doc) FROM fresh)
+    SELECT query, doc, rank, round(1 / (1 + exp(-12 * (least(rrf / (2.0 / 61), 1.0) - 0.55))), 4) AS score FROM wide""")
+def search_graph_expand(t: Tables):
+    """The fused shortlist with neighbours of its top, by the graph of parts over the same numbers."""
+    return retrieve.search(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", "graph_expand", asked(t), edges=part_edges(t)).select("query", "doc", "rank", "score")
+
+
 @query(f"WITH {BM25}, {ASKED}, by_id AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc) AS rank FROM dn WHERE rank <= 20), {_fused_sql(BOTH + ' UNION ALL SELECT query, doc, rank FROM by_id', 3)}")
 def search_three_rankings(t: Tables):
     from pyspark.sql import Window
