@@ -9,14 +9,12 @@ from . import fixed
 from .values import any_match, let
 
 #: Case matters: the verb is never a designation. Phrases such as "relevant IS" name nothing.
-CITATION = "".join(rf"(?<!\b{w})" for w in fixed.GENERIC) + r"(?<![A-Za-z])" + fixed.PREFIX + r"(?![A-Za-z])[:\s]*(\d{2,})(?:\s*\(([^)]{0,40})\))?"
-#: Looser, and blind to case: what a reader may take for a designation.
-LOOSE = r"(?i)\bIS[:\s]*(\d{2,6})(?:\s*\([^)]{0,40}\))?(?:\s*[:\-]\s*((?:19|20)\d{2}))?"
+CITATION = fixed.GENERIC + fixed.CITATION
 
 
 def unglued(run: Column) -> Column:
     """The number in a run of digits, which may have a year stuck to it; empty if it can't be read."""
-    return F.when(F.char_length(run) <= fixed.MOST_DIGITS, run).otherwise(F.regexp_extract(run, r"^(\d{2,6})((?:19|20)\d{2})$", 1))
+    return F.when(F.char_length(run) <= fixed.MOST_DIGITS, run).otherwise(F.regexp_extract(run, fixed.GLUED, 1))
 
 
 def extract(text: Column) -> Column:
@@ -46,7 +44,7 @@ def leaked(text: Column, allowed: Column, years: Column | None = None) -> Column
     allowed: array of designations. years: map of digits to the year on record.
     """
     bases = F.transform(allowed, lambda a: F.regexp_replace(F.substring_index(a, "(", 1), "[^0-9]", ""))
-    numbers, stated = F.regexp_extract_all(text, F.lit(LOOSE), F.lit(1)), F.regexp_extract_all(text, F.lit(LOOSE), F.lit(2))
+    numbers, stated = F.regexp_extract_all(text, F.lit(fixed.LOOSE), F.lit(1)), F.regexp_extract_all(text, F.lit(fixed.LOOSE), F.lit(2))
     found = F.zip_with(numbers, stated, lambda n, y: F.struct(n.alias("n"), y.alias("y")))
     wrong_year = lambda x: F.lit(False) if years is None else (F.coalesce(x["y"], F.lit("")) != "") & F.coalesce(F.element_at(years, x["n"]) != x["y"], F.lit(False))
     bad = lambda b: F.filter(found, lambda x: ~F.array_contains(b, x["n"]) | wrong_year(x))

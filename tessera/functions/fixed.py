@@ -1,6 +1,12 @@
 """Patterns, word lists and thresholds that results depend on, stated once."""
 
 # --- Fixed values: identity of designations ------------------------------------------------------------------------
+#: A citation, and the phrases that name nothing although a number may follow them.
+GENERIC = r"(?<!\brelevant )(?<!\bapplicable )(?<!\brespective )(?<!\bappropriate )(?<!\bany other )"
+CITATION = r"(?<![A-Za-z])IS(?:/(?:IEC|ISO))?(?![A-Za-z])[:\s]*(\d{2,})(?:\s*\(([^)]{0,40})\))?"
+#: What a reader may take for one, and a number with a year stuck to it.
+LOOSE = r"(?i)\bIS[:\s]*(\d{2,6})(?:\s*\([^)]{0,40}\))?(?:\s*[:\-]\s*((?:19|20)\d{2}))?"
+GLUED = r"^(\d{2,6})((?:19|20)\d{2})$"
 #: Designations of adopted texts carry a second prefix.
 PREFIX = r"IS(?:/(?:IEC|ISO))?"
 DUAL = r"\s*/\s*(?:ISO|IEC|EN|BS|ASTM|DIN|JIS)\b.*$"
@@ -8,8 +14,6 @@ TRAILING_PART = r"(?i)[\s,:;/-]*\b(?:Parts?|Pt\.?|Sections?|Sec\.?)\b.*$"
 EDITION = r":\s*(?:19|20)\d{2}\s*$"
 TRAILING_JUNK = r"[\s*+#†‡.,;:/-]+$"
 MOST_DIGITS = 6
-#: Words before a designation that make it a phrase and not a citation.
-GENERIC = ["relevant ", "applicable ", "respective ", "appropriate ", "any other "]
 PART_TOKEN = r"(?i)part\s*([0-9ivx]+)|sec(?:tion)?\s*([0-9ivx]+)"
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 #: Numbers from here on are adopted texts, published under the second prefix.
@@ -202,3 +206,11 @@ PROCUREMENT_WORDS = (
 SMALL_WORDS = "and for of the to in with under on at".split()
 ORDINAL_OWNERS = ["volume", "part", "section", "vol", "sec", "no"]
 GENERIC_TITLES = ["tender document", "document", "tender", "volume", "addendum", "corrigendum", "technical specification", "notice inviting tender", "specification"]
+TITLE_SUFFIX = r"(?i)\.(pdf|docx?|xlsx?|zip|pd)$"
+TITLE_ID = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{6,12}\b"
+TITLE_DATE = r"\b20\d{2}[_-]\d{2}[_-]\d{2}([_-]\d{2}){0,3}\b"
+TITLE_STAMP = r"\b1[0-9]{9}\b"
+
+# --- Fixed values: lines of documents --------------------------------------------------------------------------------
+NUMBERED_HEADING = r"^(\d+(\.\d+)*)[.)]?\s+(.{2,90})$"
+GLYPH_MARKS = r"\(cid:\d+\)|[ऀ-ॿ]+"

@@ -127,7 +127,7 @@ def is_heading(line: Column) -> Column:
     t = F.trim(line)
     letters, capitals = F.char_length(F.regexp_replace(t, r"[^A-Za-z]", "")), F.char_length(F.regexp_replace(t, "[^A-Z]", ""))
     caps = F.try_divide(capitals, letters)
-    numbered = t.rlike(r"^(\d+(\.\d+)*)[.)]?\s+(.{2,90})$")
+    numbered = t.rlike(fixed.NUMBERED_HEADING)
     return F.coalesce((F.char_length(t) <= 92) & ~t.endswith(".") & (letters > 0) & ((numbered & (caps > 0.6)) | ((caps > 0.85) & (F.size(F.split(t, r"\s+")) <= 12))), F.lit(False))
 
 

@@ -26,9 +26,9 @@ def vocabulary(texts: list[tuple[DataFrame, str]], extra: list[str] = ()) -> Dat
 
 def pieces(name: Column) -> Column:
     """Words of a file name: extension, ids and times off, then cut at marks, at lower-to-upper case, and at digits."""
-    t = F.regexp_replace(name, r"(?i)\.(pdf|docx?|xlsx?|zip|pd)$", "")
-    t = F.regexp_replace(t, r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{6,12}\b", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"\b20\d{2}[_-]\d{2}[_-]\d{2}([_-]\d{2}){0,3}\b", " "), r"\b1[0-9]{9}\b", " ")
+    t = F.regexp_replace(name, fixed.TITLE_SUFFIX, "")
+    t = F.regexp_replace(t, fixed.TITLE_ID, " ")
+    t = F.regexp_replace(F.regexp_replace(t, fixed.TITLE_DATE, " "), fixed.TITLE_STAMP, " ")
     t = F.regexp_replace(F.regexp_replace(t, r"[_\-.]+", " "), "(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", " ")
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 

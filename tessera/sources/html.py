@@ -43,7 +43,7 @@ def around(texts: DataFrame, key: str, text: str, pattern: str, words: list[str]
 
 def form_lines(text: Column) -> Column:
     """Lines of a form without glyph marks, white space collapsed."""
-    return F.transform(F.split(F.regexp_replace(text, r"\(cid:\d+\)|[ऀ-ॿ]+", " "), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.transform(F.split(F.regexp_replace(text, fixed.GLYPH_MARKS, " "), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
 
 
 def labelled(text: Column, label: str, most: int = 120) -> Column:

@@ -123,3 +123,5 @@ def test_typos_are_named_only_with_evidence(spark):
 
 def test_fixed_values_are_whole():
     assert len(fixed.ROLES) == 6 and len(fixed.MATERIALS) == 13 and len(fixed.SCRIPTS) == 10 and len(fixed.MARK) == 10
+    counts = {"EXPANSIONS": 12, "STRICT_EXPANSIONS": 5, "PHRASES": 7, "PROCUREMENT_WORDS": 59, "DECISIONS": 4, "VOCABULARY_STOPS": 37, "STOP_TERMS": 24, "ORDINAL_OWNERS": 6, "GENERIC_TITLES": 9, "UNSEEN": 4}
+    assert {k: len(getattr(fixed, k)) for k in counts} == counts
