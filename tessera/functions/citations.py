@@ -6,28 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
+from .ids import base
 from .values import any_match, let
 
 #: Case matters: the verb is never a designation. Phrases such as "relevant IS" name nothing.
 CITATION = fixed.GENERIC + fixed.CITATION
 
 
-def unglued(run: Column) -> Column:
-    """The number in a run of digits, which may have a year stuck to it; empty if it can't be read."""
-    return F.when(F.char_length(run) <= fixed.MOST_DIGITS, run).otherwise(F.regexp_extract(run, fixed.GLUED, 1))
+def unglued(run: Column, most: int = fixed.MOST_DIGITS) -> Column:
+    """The number in a run of digits, which may have a year stuck to it above ``most``; empty if it can't be read."""
+    return F.when(F.char_length(run) <= most, run).otherwise(F.regexp_extract(run, fixed.GLUED, 1))
 
 
-def extract(text: Column) -> Column:
-    """Citations in order, each once: spellings of one part reference count as one, and the first is kept."""
+def extract(text: Column, most: int = fixed.MOST_DIGITS) -> Column:
+    """Citations in order, each once: spellings of one part reference count as one, and the first is kept.
+
+    most: digits of the longest number there can be."""
     numbers = F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
     brackets = F.regexp_extract_all(text, F.lit(CITATION), F.lit(2))
-    found = F.zip_with(numbers, brackets, lambda n, p: F.struct(unglued(n).alias("n"), F.trim(F.regexp_replace(F.coalesce(p, F.lit("")), r"\s+", " ")).alias("p")))
+    found = F.zip_with(numbers, brackets, lambda n, p: F.struct(unglued(n, most).alias("n"), F.trim(F.regexp_replace(F.coalesce(p, F.lit("")), r"\s+", " ")).alias("p")))
     keyed = F.transform(F.filter(found, lambda x: x["n"] != ""), lambda x: F.struct(F.concat(x["n"], F.lit("|"), F.regexp_replace(F.lower(x["p"]), "[^a-z0-9]", "")).alias("k"), F.when(x["p"] == "", F.concat(F.lit("IS "), x["n"])).otherwise(F.concat(F.lit("IS "), x["n"], F.lit(" ("), x["p"], F.lit(")"))).alias("c")))
     # one pass over a map of what was seen: the first spelling of each key stays
     firsts = F.aggregate(F.coalesce(keyed, F.array().cast("array<struct<k:string,c:string>>")), F.struct(F.array().cast("array<string>").alias("k"), F.array().cast("array<string>").alias("c")), lambda s, x: F.when(F.array_contains(s["k"], x["k"]), s).otherwise(F.struct(F.array_append(s["k"], x["k"]).alias("k"), F.array_append(s["c"], x["c"]).alias("c"))))
     return firsts["c"]
 
 
+def bases(text: Column, most: int = fixed.MOST_DIGITS) -> Column:
+    """Citations by their numbers alone, in order and once each: what stands in a bracket behind a number is not read."""
+    return F.array_distinct(F.transform(extract(text, most), base))
+
+
 def demands_mark(text: Column) -> Column:
     return any_match(text, fixed.MARK)
 

@@ -23,8 +23,8 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?s)[(:].*$", ""), "[^0-9]", "")
 
 
-def number(c: Column) -> Column:
-    """The number of a well-formed designation without leading zeros; empty for anything else.
+def number(c: Column, most: int = fixed.MOST_DIGITS) -> Column:
+    """The number of a well-formed designation without leading zeros; empty for anything else, and above ``most`` digits.
 
     A second designation, part words, the edition year and footnote marks are taken off first.
     """
@@ -32,7 +32,7 @@ def number(c: Column) -> Column:
     head = F.regexp_replace(head, r"(?i)(?<=\d)" + fixed.DUAL, "")
     for pattern in (fixed.TRAILING_PART, fixed.EDITION, fixed.TRAILING_JUNK):
         head = F.regexp_replace(head, pattern, "")
-    return F.coalesce(F.regexp_extract(head, r"(?i)^\s*" + fixed.PREFIX + r"\s*[:\s]?\s*0*(\d{1," + str(fixed.MOST_DIGITS) + r"})\s*$", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(head, r"(?i)^\s*" + fixed.PREFIX + r"\s*[:\s]?\s*0*(\d{1," + str(most) + r"})\s*$", 1), F.lit(""))
 
 
 def parts(c: Column) -> Column:

@@ -6,9 +6,10 @@ the steps. Every spelled citation is resolved through the register's keys, so a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import citations, ids
@@ -20,7 +21,7 @@ from .plumbing import written
 @dataclass
 class Records:
     """register: number, status. rules: number (certification is mandatory). edges: src, dst, confidence, co, as documents
-    spell them. successors: number, successor."""
+    spell them. successors: number, successor. read: the citations of a text."""
 
     register: DataFrame
     rules: DataFrame
@@ -28,6 +29,7 @@ class Records:
     successors: DataFrame
     confidence: float
     co: int
+    read: Callable[[Column], Column] = citations.extract
 
     def of(self, spelled: DataFrame, column: str) -> DataFrame:
         """spelled, with number and status of the register's row; both null where nothing matches."""
@@ -45,7 +47,7 @@ class Audit:
 def audited(texts: DataFrame, key: str, text: str, records: Records) -> Audit:
     """texts: one row for each document."""
     t = F.col(text)
-    read = written(texts.select(F.col(key).alias("doc"), (F.trim(F.coalesce(t, F.lit(""))) != "").alias("has_text"), F.coalesce(citations.demands_mark(t), F.lit(False)).alias("demands"), F.coalesce(citations.extract(t), F.array().cast("array<string>")).alias("cites")), "desk-read")
+    read = written(texts.select(F.col(key).alias("doc"), (F.trim(F.coalesce(t, F.lit(""))) != "").alias("has_text"), F.coalesce(citations.demands_mark(t), F.lit(False)).alias("demands"), F.coalesce(records.read(t), F.array().cast("array<string>")).alias("cites")), "desk-read")
     docs = read.select("doc", "has_text", "demands", F.size("cites").cast("long").alias("n_cited"))
     spelled = read.select("doc", F.posexplode("cites").alias("place", "item"))
     cited = written(records.of(spelled, "item").select("doc", "place", "item", "number", "status"), "desk-cited")
@@ -95,7 +97,7 @@ def repaired(texts: DataFrame, key: str, text: str, records: Records) -> DataFra
     fixed = written(fixed, "desk-fixed")
     second = audited(fixed, key, "fixed", records)
     high = second.findings.filter("severity = 'high'").groupBy(F.col("doc").alias(key)).agg(F.count(F.lit(1)).alias("high"))
-    checked = repair.verified(fixed, key, "fixed", allowed.withColumnRenamed("doc", key), high).withColumnRenamed("high", "high_after")
+    checked = repair.verified(fixed, key, "fixed", allowed.withColumnRenamed("doc", key), high, records.read).withColumnRenamed("high", "high_after")
     done = changes.groupBy("doc", "action").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "action", "n"))), " ").alias("changes"))
     out = reports(first).join(done, "doc", "left").withColumn("changes", F.coalesce("changes", F.lit("")))
     return out.withColumnRenamed("doc", key).join(fixed, key).join(checked, key)
