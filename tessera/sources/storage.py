@@ -5,7 +5,8 @@ names the files of every table; that file is created exclusively, so that of two
 that dies before leaves files that no pointer names. Readers take the newest whole pointer, and so never see half a change,
 nor a table of one version beside a count of another.
 
-Tables with a key are dealt into hash buckets, and a change writes only the buckets it touches.
+Tables with a key are dealt into hash buckets, and a change writes only the buckets it touches. Buckets of many rows are written
+by several tasks each, so that a task's part doesn't grow with the table.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of a bucket that one task writes; buckets of more are dealt over several.
+ROWS = 1_000_000
+
 
 @dataclass
 class Staged:
@@ -36,9 +40,11 @@ class Pointer:
     facts: dict = field(default_factory=dict)
     tables: dict[str, dict] = field(default_factory=dict)
 
-    def rows(self, name: str) -> int | None:
-        """Rows of a table, as they were counted from its files; None if there is none."""
-        return sum(self.tables[name]["rows"].values()) if name in self.tables else None
+    def rows(self, name: str, only: list[int] | None = None) -> int | None:
+        """Rows of a table or of some of its buckets, as they were counted from its files; None if there is no such table."""
+        if name not in self.tables:
+            return None
+        return sum(n for b, n in self.tables[name]["rows"].items() if only is None or b == "all" or int(b) in only)
 
 
 class Store:
@@ -87,19 +93,31 @@ class Store:
         paths = [p for b, p in entry["parts"].items() if only is None or b == "all" or int(b) in only]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def stage(self, name: str, df: DataFrame, key: list[str] | None = None, touched: list[int] | None = None) -> Staged:
-        """Writes rows for a table, beside what is there."""
+    def dealt(self, df: DataFrame, key: list[str], rows: int = 0, touched: int | None = None) -> DataFrame:
+        """The rows with their _bucket and _task, each task's where it is written; rows: how many there are, at most, in
+        so many touched buckets (None: all)."""
+        each = max(-(-rows // (max(self.buckets if touched is None else touched, 1) * ROWS)), 1)
+        task = F.col("_bucket") * each + F.pmod(F.hash(*key), F.lit(each))
+        return df.withColumn("_bucket", self.bucket(key)).withColumn("_task", task.cast("int")).repartitionById(self.buckets * each, F.col("_task"))
+
+    def stage(self, name: str, df: DataFrame, key: list[str] | None = None, touched: list[int] | None = None, rows: int = 0, summed: str | None = None) -> Staged:
+        """Writes rows for a table, beside what is there; rows: how many there are at most, if that is known.
+
+        summed: a column of counts that are added up where rows have the same key.
+        """
         folder = f"{self.path}/{name}/{uuid.uuid4().hex}"
         if key is None:
             df.write.parquet(folder)
             parts = {"all": folder}
         else:
-            df.withColumn("_bucket", self.bucket(key)).repartition(self.buckets, "_bucket").write.partitionBy("_bucket").parquet(folder)
+            out = self.dealt(df, key, rows, None if touched is None else len(touched))
+            out = out.groupBy("_bucket", "_task", *key).agg(F.sum(summed).alias(summed)) if summed else out
+            out.drop("_task").write.partitionBy("_bucket").parquet(folder)
             parts = {x.removeprefix("_bucket="): f"{folder}/{x}" for x in self._listed(folder) if x.startswith("_bucket=")}
         written = self.spark.read.schema(df.schema)
         where = F.regexp_extract(F.col("_metadata.file_path"), "/_bucket=([0-9]+)/", 1)
-        rows = {r[0] or "all": r[1] for r in written.parquet(folder).groupBy(where).count().collect()}
-        return Staged(df.schema.json(), parts, {b: rows.get(b, 0) for b in parts}, touched)
+        held = {r[0] or "all": r[1] for r in written.parquet(folder).groupBy(where).count().collect()}
+        return Staged(df.schema.json(), parts, {b: held.get(b, 0) for b in parts}, touched)
 
     def commit(self, staged: dict[str, Staged], batch: int | None = None, facts: dict | None = None) -> Pointer:
         """Makes what was staged the newest version, all tables at once."""
@@ -147,10 +165,10 @@ def added(store: Store, at: Pointer, name: str, delta: DataFrame, key: list[str]
     """The table with the counts of delta added to its own, in the buckets that delta touches."""
     touched = store.touched(delta, key)
     old = store.read(name, touched, at)
-    rows = delta.select(*key, value)
+    rows, many = delta.select(*key, value), delta.count()
     if old is not None:
-        rows = old.select(*key, value).unionByName(rows).groupBy(*key).agg(F.sum(value).alias(value))
-    return store.stage(name, rows, key, touched)
+        rows, many = old.select(*key, value).unionByName(rows), many + at.rows(name, touched)
+    return store.stage(name, rows, key, touched, many, value)
 
 
 def bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int, sort: str | None = None) -> DataFrame:

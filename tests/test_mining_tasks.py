@@ -3,6 +3,8 @@
 from collections import Counter
 
 from tessera.operators import graph
+from tessera.sources import storage
+from tessera.streaming import graph as citations
 
 
 def test_tasks_grow_with_citations_and_pairs(spark):
@@ -16,3 +18,23 @@ def test_tasks_grow_with_citations_and_pairs(spark):
     by_rows, by_pairs = (graph.dealt_pairs(bridge, **limits)[0] for limits in ({"rows": 10}, {"most": 12}))
     assert by_rows.rdd.getNumPartitions() == 61 and by_pairs.rdd.getNumPartitions() >= 90
     assert all({(r.a, r.b): r.co for r in p.collect()} == want for p in (by_rows, by_pairs))
+
+
+def test_tasks_of_a_batch_and_of_the_store_grow_with_their_rows(spark, tmp_path, monkeypatch):
+    rows = sorted({(i // 5, i * i % 23) for i in range(600)})
+    monkeypatch.setattr(graph, "ROWS", 20)
+    monkeypatch.setattr(graph, "PAIRS", 40)
+    monkeypatch.setattr(storage, "ROWS", 10)
+    dealt = []
+    write = storage.Store.dealt
+    monkeypatch.setattr(storage.Store, "dealt", lambda *a: dealt.append(write(*a).rdd.glom().map(len).collect()) or write(*a))
+    path = str(tmp_path / "g")
+    each, mine = citations.co_citations_into(path, buckets=2), citations.delta_pairs
+    parts = []
+    monkeypatch.setattr(citations, "delta_pairs", lambda *a: parts.append(mine(*a).rdd.getNumPartitions()) or mine(*a))
+    for n in range(2):
+        each(spark.createDataFrame(rows[n::2], "doc long, item long"), n)
+    got = {tuple(r) for r in citations.edges(storage.Store(spark, path, 2), places=6).collect()}
+    assert got == {tuple(r) for r in graph.co_citation(spark.createDataFrame(rows, "doc long, item long"), "doc", "item", places=6).collect()}
+    assert len(parts) == 2 and min(parts) > 10  # by rows and pairs, not by a setting
+    assert max(max(n) for n in dealt) <= 3 * storage.ROWS and max(len(n) for n in dealt) > 20  # a bucket has several tasks
