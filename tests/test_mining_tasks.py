@@ -2,7 +2,10 @@
 
 from collections import Counter
 
-from tessera.operators import graph
+from pyspark.sql import functions as F
+
+from tessera.operators import audit, graph, resolve
+from tessera.plans import base
 from tessera.sources import storage
 from tessera.streaming import graph as citations
 
@@ -38,3 +41,17 @@ def test_tasks_of_a_batch_and_of_the_store_grow_with_their_rows(spark, tmp_path,
     assert got == {tuple(r) for r in graph.co_citation(spark.createDataFrame(rows, "doc long, item long"), "doc", "item", places=6).collect()}
     assert len(parts) == 2 and min(parts) > 10  # by rows and pairs, not by a setting
     assert max(max(n) for n in dealt) <= 3 * storage.ROWS and max(len(n) for n in dealt) > 20  # a bucket has several tasks
+
+
+def test_bridge_and_missing_items_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    lines = spark.range(400).select((F.col("id") % 90).alias("l_orderkey"), (F.col("id") % 7).alias("l_partkey"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(base, "ROWS", 10)
+    monkeypatch.setattr(audit, "ROWS", 10)
+    bridge = base.Tables(spark, str(tmp_path)).bridge
+    assert bridge.rdd.getNumPartitions() == 40 and bridge.count() == len({(i % 90, i % 7) for i in range(400)})
+    cited = bridge.select("doc", F.col("item").alias("place"), "item", F.lit(None).cast("long").alias("base"), F.col("item").alias("key"))
+    edges = spark.createDataFrame([(3, 20, 20, 0.5, 9, "Current"), (3, 4, 4, 0.9, 9, "Withdrawn")], "src long, dst long, dst_key long, confidence double, co long, dst_status string")
+    found = audit.missing_connected(cited, edges, 0.1, 1)
+    assert found.rdd.getNumPartitions() >= 30
+    assert {(r.doc, r.item, r.subject) for r in found.collect()} == {(i % 90, "20", "3") for i in range(400) if i % 7 == 3}
