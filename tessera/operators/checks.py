@@ -47,14 +47,15 @@ def counts_agree(stated: DataFrame, counted: DataFrame, key: str, n: str) -> Dat
 
 
 @check("accounted")
-def accounted(all_: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
-    """Keys that are in none of the parts, or in more than one."""
+def accounted(all_: DataFrame, parts: list[DataFrame], key: str, tasks: int | None = None) -> DataFrame:
+    """Keys that are in none of the parts, or in more than one; tasks: over how many keys are dealt, in place of the session's number."""
+    dealt = lambda df: df.repartition(tasks, key) if tasks else df
     seen = None
     for p in parts:
-        k = p.select(key).distinct()
+        k = dealt(p.select(key)).distinct()
         seen = k if seen is None else seen.unionByName(k)
-    n = seen.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return all_.select(key).distinct().join(n, key, "left").filter("n is null or n != 1")
+    n = dealt(seen).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return dealt(all_.select(key)).distinct().join(n, key, "left").filter("n is null or n != 1")
 
 
 @check("well_formed")

@@ -340,11 +340,11 @@ def consistency_report(t: Tables):
     tail = F.when(F.col("p_partkey") % 50 == 0, "20031").otherwise("2003 and more")
     rules = t.part.select(F.concat(F.lit("Order, S.O. "), F.col("p_partkey").cast("string"), F.lit("(E) dated 17-02-"), tail).alias("reference"))
     return checks.report({
-        "accounted": checks.accounted(o, [o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'")], "k"),
+        "accounted": checks.accounted(o, [o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'")], "k", graph.tasks(t.spark, o.count(), graph.ROWS)),
         "reproduced": checks.reproduced(stored, stored.withColumn("v", F.col("v") + (F.col("k") % 10 == 0).cast("int")), "k", "v"),
         "counts_agree": checks.counts_agree(said, brands, "p_brand", "n"),
         "answerable": checks.answerable(t.part.select(F.col("p_brand").alias("expected")), t.part.filter("p_brand != 'Brand#1'").select("p_brand").distinct(), "expected", "p_brand"),
-        "screens_agree": checks.screens_agree({"bridge": b.agg(F.count_distinct("doc").alias("n")), "flagged": flagged(t).agg(F.count_distinct("doc").alias("n")), "orders": o.agg(F.count(F.lit(1)).alias("n"))}),
+        "screens_agree": checks.screens_agree({"bridge": b.agg(F.count_distinct("doc").alias("n")), "flagged": flagged(t).repartition(t.parts, "doc").agg(F.count_distinct("doc").alias("n")), "orders": o.agg(F.count(F.lit(1)).alias("n"))}),
         "endpoints_known": checks.endpoints_known(part_edges(t), t.part.select(F.col("p_partkey").alias("node")), "node"),
         "complete_notifications": checks.complete_notifications(rules, "reference"),
     })

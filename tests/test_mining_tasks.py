@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, graph, resolve
+from tessera.operators import audit, checks, graph, resolve
 from tessera.plans import base
 from tessera.sources import storage
 from tessera.streaming import graph as citations
@@ -66,3 +66,9 @@ def test_candidates_are_not_paired_with_all_that_stands_beside(spark):
     assert [tuple(r) for r in out.collect()] == [("u0", "9", 3)]
     joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     assert len(joins) == 2 and not any(x.count("unknown") and x.count("=") == 1 for x in joins)  # none by the unknown alone
+
+
+def test_accounted_keys_are_dealt_over_the_tasks_asked_for(spark):
+    k = spark.range(100).withColumnRenamed("id", "k")
+    out = checks.accounted(k, [k.filter("k < 50"), k.filter("k between 49 and 97")], "k", 9)
+    assert out.rdd.getNumPartitions() == 9 and {r.k for r in out.collect()} == {49, 98, 99}
