@@ -1,6 +1,7 @@
 """Mining of pairs is dealt over tasks by the size of the table, not by a fixed number."""
 
 from collections import Counter
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -23,6 +24,17 @@ def test_tasks_grow_with_citations_and_pairs(spark):
     assert all({(r.a, r.b): r.co for r in p.collect()} == want for p in (by_rows, by_pairs))
 
 
+def test_edges_meet_the_counts_of_their_ends_in_as_many_tasks(spark, monkeypatch):
+    rows = [(i // 5, i * i % 23) for i in range(600)] + [(None, 1), (4, None)]
+    bridge = spark.createDataFrame(rows, "doc long, item long")
+    whole = {tuple(r) for r in graph.co_citation(bridge, "doc", "item", places=6).collect()}
+    monkeypatch.setattr(graph, "dealt_pairs", partial(graph.dealt_pairs, rows=10))
+    n, edges = graph.dealt_pairs(bridge)[1], graph.co_citation(bridge, "doc", "item", places=6)
+    assert n.rdd.getNumPartitions() == 61 and edges.rdd.getNumPartitions() == 61
+    assert {tuple(r) for r in edges.collect()} == whole
+    assert {r.item: r.n for r in n.collect()} == Counter(i for _, i in set(rows))
+
+
 def test_tasks_of_a_batch_and_of_the_store_grow_with_their_rows(spark, tmp_path, monkeypatch):
     rows = sorted({(i // 5, i * i % 23) for i in range(600)})
     monkeypatch.setattr(graph, "ROWS", 20)
