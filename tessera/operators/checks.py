@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .plumbing import over_tasks
+
 CHECKS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -28,9 +30,10 @@ def sets_agree(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 @check("endpoints_known")
-def endpoints_known(edges: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Graph nodes that no table knows."""
-    return edges.select(F.explode(F.array("src", "dst")).alias(key)).distinct().join(known.select(key), key, "left_anti")
+def endpoints_known(edges: DataFrame, known: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """Graph nodes that no table knows; tasks: over how many nodes are dealt, in place of the session's number."""
+    nodes = over_tasks(edges.select(F.explode(F.array("src", "dst")).alias(key)), tasks, key).distinct()
+    return nodes.join(over_tasks(known.select(key), tasks, key), key, "left_anti")
 
 
 @check("thresholds_hold")
@@ -49,7 +52,7 @@ def counts_agree(stated: DataFrame, counted: DataFrame, key: str, n: str) -> Dat
 @check("accounted")
 def accounted(all_: DataFrame, parts: list[DataFrame], key: str, tasks: int | None = None) -> DataFrame:
     """Keys that are in none of the parts, or in more than one; tasks: over how many keys are dealt, in place of the session's number."""
-    dealt = lambda df: df.repartition(tasks, key) if tasks else df
+    dealt = lambda df: over_tasks(df, tasks, key)
     seen = None
     for p in parts:
         k = dealt(p.select(key)).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from .lookup import keep_first
+from .plumbing import over_tasks
 
 
 def additive(master: DataFrame, collected: DataFrame, key: str, broad=ids.base) -> DataFrame:
@@ -68,13 +69,14 @@ def gap_filled(missing: DataFrame, wanted: str, records: DataFrame, number: str)
     return hit.groupBy("wanted").agg(F.min_by(F.coalesce("found", "_near"), F.struct(F.col("found").isNull(), F.col("_near").isNull(), F.col("priority"))).alias("found"))
 
 
-def ranked_gaps(edges: DataFrame, sources: list[DataFrame], held: DataFrame, key: str) -> DataFrame:
-    """Ids of any source that aren't held, by how many edges they have."""
+def ranked_gaps(edges: DataFrame, sources: list[DataFrame], held: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """Ids of any source that aren't held, by how many edges they have; tasks: over how many ids are dealt, in place of the session's number."""
+    dealt = lambda df: over_tasks(df, tasks, key)
     named = sources[0].select(F.col(sources[0].columns[0]).alias(key))
     for s in sources[1:]:
         named = named.unionByName(s.select(F.col(s.columns[0]).alias(key)))
-    degree = edges.select(F.explode(F.array("src", "dst")).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("degree"))
-    return named.distinct().join(held.select(key), key, "left_anti").join(degree, key, "left").fillna(0, ["degree"])
+    degree = dealt(edges.select(F.explode(F.array("src", "dst")).alias(key))).groupBy(key).agg(F.count(F.lit(1)).alias("degree"))
+    return dealt(named).distinct().join(dealt(held.select(key)), key, "left_anti").join(degree, key, "left").fillna(0, ["degree"])
 
 
 def merge_report(master: DataFrame, collected: DataFrame, key: str, year: str) -> DataFrame:

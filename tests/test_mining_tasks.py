@@ -5,7 +5,8 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, checks, graph, resolve
+from tessera.operators import audit, checks, graph, merge, resolve
+from tessera.operators import components as settling
 from tessera.plans import base
 from tessera.sources import storage
 from tessera.streaming import graph as citations
@@ -84,3 +85,62 @@ def test_accounted_keys_are_dealt_over_the_tasks_asked_for(spark):
     k = spark.range(100).withColumnRenamed("id", "k")
     out = checks.accounted(k, [k.filter("k < 50"), k.filter("k between 49 and 97")], "k", 9)
     assert out.rdd.getNumPartitions() == 9 and {r.k for r in out.collect()} == {49, 98, 99}
+
+
+def mined(spark, n=600):
+    return graph.co_citation(spark.createDataFrame([(i // 5, i * i % 23) for i in range(n)], "doc long, item long"), "doc", "item", places=6)
+
+
+def same(a, b):
+    rows = [Counter(tuple(r) for r in x.select(sorted(x.columns)).collect()) for x in (a, b)]
+    return rows[0] == rows[1] and bool(rows[0])
+
+
+def test_what_comes_after_the_edges_takes_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS", 10)
+    nodes = spark.range(30).select(F.col("id").alias("node"), F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("family"))
+    e, n = graph.stored(mined(spark), nodes)
+    assert n == -(-e.count() // 10) == 8 and graph.stored(e.limit(3), spark.range(95))[1] == 10
+    u = graph.undirected(e, n)
+    seen = {
+        "undirected": (u, graph.undirected(e)),
+        "edge_cap": (graph.edge_cap(u, 2, n), graph.edge_cap(graph.undirected(e), 2)),
+        "degrees": (graph.degrees(e, parts=n), graph.degrees(e)),
+        "visible": (graph.visible(u, nodes, 2, "f1", n)[1], graph.visible(graph.undirected(e), nodes, 2, "f1")[1]),
+        "gaps": (merge.ranked_gaps(e, [e.select("src"), e.select("dst")], nodes.filter("node % 2 = 0"), "node", n), merge.ranked_gaps(e, [e.select("src"), e.select("dst")], nodes.filter("node % 2 = 0"), "node")),
+        "endpoints": (checks.endpoints_known(e, nodes.filter("node % 2 = 0"), "node", n), checks.endpoints_known(e, nodes.filter("node % 2 = 0"), "node")),
+    }
+    for name, (dealt, plain) in seen.items():
+        assert same(dealt, plain), name
+        if name not in ("gaps", "endpoints"):  # a broadcast side leaves the rows of an anti-join where they are read
+            assert dealt.rdd.getNumPartitions() == n, name
+    assert same(graph.densest(e, 9, parts=n), graph.densest(e, 9))
+
+
+def test_places_on_a_ring_are_counted_over_ranges(spark):
+    rows = [(k, None if k % 7 == 0 else f"f{k % 7 % 3}", k % 5) for k in range(200)]
+    ring = graph.family_shares(spark.createDataFrame(rows, "node long, family string, degree long"), "family", "degree", "node", 9)
+    assert ring.columns == ["node", "family", "degree", "place", "n", "share"] and dict(ring.dtypes)["place"] == "int"
+    want, held = [], {}
+    for k, f, d in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", -r[2], r[0])):
+        held[f] = held.get(f, 0) + 1
+        want.append((k, f, d, held[f]))
+    got = ring.collect()
+    assert [tuple(r)[:4] for r in got] == want and all((r.n, r.share) == (held[r.family], round(held[r.family] / 200, 4)) for r in got)
+    assert ring.rdd.getNumPartitions() == 9
+
+
+def test_components_take_tasks_by_their_links(spark, monkeypatch):
+    monkeypatch.setattr(settling, "EACH", 16)
+    links = spark.range(300).select(F.lit(500).cast("long").alias("a"), (F.col("id") + 501).alias("b")).unionByName(spark.range(80).select(F.col("id").alias("a"), (F.col("id") + F.when(F.col("id") % 9 == 8, 0).otherwise(1)).alias("b")))
+    dealt, star = [], settling._star
+
+    def seen(*a):  # a round's table goes with the next, so its tasks are counted here
+        out = star(*a)
+        dealt.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(settling, "_star", seen)
+    found = graph.components(links, "a", "b", parts=12)
+    assert dealt[0] == 12
+    assert same(found, graph.components(links, "a", "b"))
