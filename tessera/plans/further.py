@@ -11,7 +11,7 @@ from ..operators import audit, checks, desk, evaluate, graph, lookup, merge, rep
 from ..sources import html, sinks, tables
 from .base import BRIDGE, BUYERS, KEY_DIGITS, REG, Tables, inside, inside_sql, query
 from .desk import records
-from .graphs import PARTS, UNDIRECTED, part_edges
+from .graphs import PARTS, UNDIRECTED, part_edges, stored_part_edges
 from .lookups import DEAD_BASES, FLAGGED, flagged
 from .retrieval import BM25, ranked
 
@@ -58,7 +58,7 @@ def number_checks(t: Tables):
 def findings_with_suggestions(t: Tables):
     unknown = t.bridge.filter("item % 97 = 0").select("doc", (F.col("item") * 10).cast("string").alias("item"))
     known = t.part.select(F.col("p_partkey").cast("string").alias("s"))
-    pairs = graph.undirected(part_edges(t)).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("co").alias("n"))
+    pairs = graph.undirected(*stored_part_edges(t)).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("co").alias("n"))
     c = resolve.typo_candidates(unknown, "item", known, "s")
     beside = unknown.select("doc", F.col("item").alias("unknown")).join(t.bridge.select("doc", F.col("item").cast("string").alias("beside")), "doc").select("unknown", "beside")
     return audit.not_in_register(unknown, resolve.typo_choice(c, beside, pairs)).drop("n")
@@ -337,6 +337,7 @@ def consistency_report(t: Tables):
     said = brands.withColumn("n", F.col("n") + F.col("p_brand").endswith("2").cast("int"))
     b = t.bridge
     # a reference that goes on where it is cut: the date's year has a fifth digit
+    edges, parts = stored_part_edges(t)
     tail = F.when(F.col("p_partkey") % 50 == 0, "20031").otherwise("2003 and more")
     rules = t.part.select(F.concat(F.lit("Order, S.O. "), F.col("p_partkey").cast("string"), F.lit("(E) dated 17-02-"), tail).alias("reference"))
     return checks.report({
@@ -345,6 +346,6 @@ def consistency_report(t: Tables):
         "counts_agree": checks.counts_agree(said, brands, "p_brand", "n"),
         "answerable": checks.answerable(t.part.select(F.col("p_brand").alias("expected")), t.part.filter("p_brand != 'Brand#1'").select("p_brand").distinct(), "expected", "p_brand"),
         "screens_agree": checks.screens_agree({"bridge": b.agg(F.count_distinct("doc").alias("n")), "flagged": flagged(t).repartition(t.parts, "doc").agg(F.count_distinct("doc").alias("n")), "orders": o.agg(F.count(F.lit(1)).alias("n"))}),
-        "endpoints_known": checks.endpoints_known(part_edges(t), t.part.select(F.col("p_partkey").alias("node")), "node"),
+        "endpoints_known": checks.endpoints_known(edges, t.part.select(F.col("p_partkey").alias("node")), "node", parts),
         "complete_notifications": checks.complete_notifications(rules, "reference"),
     })
