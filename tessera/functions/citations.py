@@ -68,6 +68,12 @@ def replace_citation(text: Column, old: Column, new: Column) -> Column:
     return F.regexp_replace(text, pattern, F.regexp_replace(new, r"([\\$])", r"\\$1"))
 
 
+def replace_exact(text: Column, old: Column, new: Column) -> Column:
+    """``old`` as it is spelled, with no digit behind it, becomes ``new``; what follows is never read as its edition year."""
+    pattern = F.concat(F.lit(r"(?<![A-Za-z])\Q"), old, F.lit(r"\E(?!\d)"))
+    return F.regexp_replace(text, pattern, F.regexp_replace(new, r"([\\$])", r"\\$1"))
+
+
 def occurrences(text: Column, citation: Column) -> Column:
     """How often a citation occurs in the text, in any spelling of its spaces."""
     tail = F.trim(F.regexp_replace(citation, r"^IS[:\s]*", ""))

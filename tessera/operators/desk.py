@@ -21,7 +21,8 @@ from .plumbing import written
 @dataclass
 class Records:
     """register: number, status. rules: number (certification is mandatory). edges: src, dst, confidence, co, as documents
-    spell them. successors: number, successor. read: the citations of a text."""
+    spell them. successors: number, successor. read: the citations of a text. put: a text with one citation replaced.
+    places: doc, item, at - the places of citations where these don't stand in the order of their text; equal ones go by item."""
 
     register: DataFrame
     rules: DataFrame
@@ -30,6 +31,8 @@ class Records:
     confidence: float
     co: int
     read: Callable[[Column], Column] = citations.extract
+    put: Callable[[Column, Column, Column], Column] = citations.replace_citation
+    places: DataFrame | None = None
 
     def of(self, spelled: DataFrame, column: str) -> DataFrame:
         """spelled, with number and status of the register's row; both null where nothing matches."""
@@ -50,6 +53,8 @@ def audited(texts: DataFrame, key: str, text: str, records: Records) -> Audit:
     read = written(texts.select(F.col(key).alias("doc"), (F.trim(F.coalesce(t, F.lit(""))) != "").alias("has_text"), F.coalesce(citations.demands_mark(t), F.lit(False)).alias("demands"), F.coalesce(records.read(t), F.array().cast("array<string>")).alias("cites")), "desk-read")
     docs = read.select("doc", "has_text", "demands", F.size("cites").cast("long").alias("n_cited"))
     spelled = read.select("doc", F.posexplode("cites").alias("place", "item"))
+    if records.places is not None:
+        spelled = spelled.join(records.places, ["doc", "item"], "left").select("doc", F.coalesce("at", "place").alias("place"), "item")
     cited = written(records.of(spelled, "item").select("doc", "place", "item", "number", "status"), "desk-cited")
     held = cited.filter("number is not null")
     mandatory = held.join(records.rules.select("number").distinct(), "number", "left_semi").select("item")
@@ -93,7 +98,7 @@ def repaired(texts: DataFrame, key: str, text: str, records: Records) -> DataFra
     first = audited(texts, key, text, records)
     changes, allowed = planned(first, records)
     tails = repair.tail(changes).withColumnRenamed("doc", key)
-    fixed = repair.substituted(texts, key, text, changes).join(tails, key, "left").select(key, repair.finished(F.col("fixed"), F.col("tail")).alias("fixed"))
+    fixed = repair.substituted(texts, key, text, changes, records.put).join(tails, key, "left").select(key, repair.finished(F.col("fixed"), F.col("tail")).alias("fixed"))
     fixed = written(fixed, "desk-fixed")
     second = audited(fixed, key, "fixed", records)
     high = second.findings.filter("severity = 'high'").groupBy(F.col("doc").alias(key)).agg(F.count(F.lit(1)).alias("high"))

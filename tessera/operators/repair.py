@@ -26,11 +26,13 @@ def plan(dead: DataFrame, missing: DataFrame, keep: DataFrame, duties: DataFrame
     return changes.unionByName(clause)
 
 
-def substituted(docs: DataFrame, key: str, text: str, changes: DataFrame) -> DataFrame:
-    """key, fixed: all replacements of a document in order of their old text, by a fold over one array per document."""
+def substituted(docs: DataFrame, key: str, text: str, changes: DataFrame, put: Callable[[Column, Column, Column], Column] = citations.replace_citation) -> DataFrame:
+    """key, fixed: all replacements of a document in order of their old text, by a fold over one array per document.
+
+    put: the text with one citation (old) replaced by another (new)."""
     ordered = changes.filter("action = 'replace'").groupBy(F.col("doc").alias(key)).agg(F.array_sort(F.collect_list(F.struct("old", "new"))).alias("_c"))
     out = docs.select(key, text).join(ordered, key, "left")
-    fold = F.aggregate(F.coalesce("_c", F.array().cast("array<struct<old:string,new:string>>")), F.col(text), lambda t, c: citations.replace_citation(t, c["old"], c["new"]))
+    fold = F.aggregate(F.coalesce("_c", F.array().cast("array<struct<old:string,new:string>>")), F.col(text), lambda t, c: put(t, c["old"], c["new"]))
     return out.select(key, fold.alias("fixed"))
 
 
