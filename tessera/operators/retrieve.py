@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, verdicts
 from ..functions.values import band
-from .plumbing import maybe_broadcast, written
+from .plumbing import maybe_broadcast, ship, written
 
 
 @dataclass(frozen=True)
@@ -76,24 +76,166 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Bytes of query vectors that are broadcast at a time.
+#: Bytes of query vectors that are broadcast at a time; rows of a block of vectors, of which two are compared at once.
 VECTOR_BYTES = 32 << 20
+BLOCK = 1024
+#: Scores as near as this may round to the same.
+SLACK = 2e-6
+
+
+def _packed(it):
+    """Blocks of rows (id, vector), each as the bytes of an Arrow stream."""
+    import pyarrow as pa
+
+    for rows in it:
+        for at in range(0, rows.num_rows, BLOCK):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema) as w:
+                w.write_batch(rows.slice(at, BLOCK))
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block"])
+
+
+def _unpacked(block: bytes):
+    """ids, and for each length of vectors the rows and the matrix of those that are whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    with pa.ipc.open_stream(block) as r:
+        t = r.read_all().combine_chunks()
+    ids = t.column(0).to_numpy()
+    rows: dict[int, list[int]] = {}
+    vectors = []
+    for v in t.column(1):
+        x = v.values
+        vectors.append(None if x is None or x.null_count else x.to_numpy(zero_copy_only=False).astype(np.float64))
+    for i, x in enumerate(vectors):
+        if x is not None:
+            rows.setdefault(len(x), []).append(i)
+    return ids, {n: (np.array(at), np.stack([vectors[i] for i in at])) for n, at in rows.items()}
+
+
+class _Tops:
+    """What a block of queries has found so far: of each query the k first documents by rounded score, and what rounds near the last."""
+
+    def __init__(self, block: bytes, k: int):
+        import numpy as np
+
+        self.k, (self.ids, self.groups) = k, _unpacked(block)
+        self.floor = np.full(len(self.ids), -np.inf)
+        self.held: list[tuple] = []
+        self.n = 0
+
+    def add(self, query, doc, score, null) -> None:
+        other = self.ids[query] != doc
+        self.held.append((query[other], doc[other], score[other], null[other]))
+        self.n += int(other.sum())
+
+    def meet(self, ids, groups: dict) -> None:
+        import numpy as np
+
+        most = np.unique(ids, return_counts=True)[1].max() if len(ids) else 0
+        lengths = np.full(len(ids), -1)
+        for n, (at, _) in groups.items():
+            lengths[at] = n
+        apart = np.full(len(self.ids), -2)
+        for n, (at, _) in self.groups.items():
+            apart[at] = n
+        for n in np.unique(apart):  # pairs without a score go last, by document
+            rest, asking = np.sort(ids[lengths != n])[: self.k + 1], np.flatnonzero((apart == n) & (self.floor == -np.inf))
+            if len(rest) and len(asking):
+                self.add(np.repeat(asking, len(rest)), np.tile(rest, len(asking)), np.full(len(rest) * len(asking), -np.inf), np.ones(len(rest) * len(asking), bool))
+        for n, (mine, q) in self.groups.items():
+            if n not in groups:
+                continue
+            at, v = groups[n]
+            with np.errstate(all="ignore"):
+                s = q @ v.T
+            s[np.isnan(s)] = np.inf
+            floor = self.floor[mine]
+            place = len(at) - self.k - most  # some of them may be the query itself
+            if place >= 0 and np.isneginf(floor).any():
+                floor = np.maximum(floor, np.partition(s, place, axis=1)[:, place])
+            i, j = np.nonzero(s >= (floor - SLACK - 1e-9 * np.abs(np.where(np.isfinite(floor), floor, 0)))[:, None])
+            for x in range(0, len(i), 1 << 15):
+                a, b = i[x : x + (1 << 15)], j[x : x + (1 << 15)]
+                exact = np.zeros(len(a))
+                with np.errstate(all="ignore"):
+                    for d in range(n):  # in the order of the places, as any fold of the products has it
+                        exact += q[a, d] * v[b, d]
+                self.add(mine[a], ids[at[b]], exact, np.zeros(len(a), bool))
+        if self.n > 4 * self.k * len(self.ids):
+            self.settle()
+
+    def settle(self) -> tuple:
+        import numpy as np
+
+        if not self.held:
+            return self.ids[:0], self.ids[:0], np.zeros(0), np.zeros(0, bool)
+        query, doc, score, null = (np.concatenate(x) for x in zip(*self.held))
+        rounded = np.where(np.isnan(score), np.inf, np.round(score, 6))
+        order = np.lexsort((np.unique(doc, return_inverse=True)[1], -rounded, query))
+        query, doc, score, null, rounded = (x[order] for x in (query, doc, score, null, rounded))
+        start = np.append(True, query[1:] != query[:-1])
+        place = np.arange(len(query)) - np.maximum.accumulate(np.where(start, np.arange(len(query)), 0))
+        last = place == self.k - 1
+        self.floor[query[last]] = rounded[last]
+        equal = start | np.append(True, rounded[1:] != rounded[:-1])
+        among = np.arange(len(query)) - np.maximum.accumulate(np.where(equal, np.arange(len(query)), 0))
+        keep = (among < self.k) & ((rounded >= self.floor[query] - SLACK) | (place < self.k))
+        self.held, self.n = [(query[keep], doc[keep], score[keep], null[keep])], int(keep.sum())
+        return self.ids[query[keep]], doc[keep], score[keep], null[keep]
+
+
+def compared(queries: DataFrame, q_key: str, vectors: DataFrame, key: str, vector: str, query_rows: int | None = None, dims: int = 1024, k: int = fixed.FUSE_DEPTH) -> list[DataFrame]:
+    """query, doc, score of a stated set of queries against all rows but themselves, where a task keeps those of a query that can
+    be among its k first: a frame for each part of the queries, whose vectors (of ``dims`` numbers at most) fit a broadcast.
+
+    Every query meets every row. Queries and rows are packed into blocks, and two blocks are one product of matrices; scores of
+    what is kept are added up in the order of the places. Vectors of other lengths, or with gaps, have no score and go last.
+    """
+    import pyarrow as pa
 
-
-def compared(queries: DataFrame, q_key: str, vectors: DataFrame, key: str, vector: str, query_rows: int | None = None, dims: int = 1024) -> list[DataFrame]:
-    """query, doc, score of a stated set of queries against all rows but themselves: a frame for each block of queries, whose
-    vectors (of ``dims`` numbers at most) fit a broadcast. Each block is one scan of the rows."""
-    q = queries.select(F.col(q_key).alias("query"), F.col(vector).alias("_q"))
+    ship(vectors.sparkSession)
+    q = queries.filter(F.col(q_key).isNotNull()).select(F.col(q_key).alias("query"), F.col(vector).alias("_q"))
     n = q.count() if query_rows is None else query_rows
-    blocks = max(1, -(-n * dims * 4 // VECTOR_BYTES))
+    parts = max(1, -(-n * dims * 4 // VECTOR_BYTES))
+    rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(vector).alias("_v")).mapInArrow(_packed, "block binary").withColumnRenamed("block", "_v")
+    kinds = [queries.schema[q_key].dataType.simpleString(), vectors.schema[key].dataType.simpleString()]
+
+    def run(it):
+        tops: dict[int, _Tops] = {}
+        seen, block = None, None
+        for b in it:
+            for number, mine, other in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                if number not in tops:
+                    tops[number] = _Tops(mine.as_py(), k)
+                if other != seen:  # the pairs of a block of rows come one after another
+                    seen, block = other, _unpacked(other)
+                tops[number].meet(*block)
+        for found in tops.values():
+            query, doc, score, null = found.settle()
+            for at in range(0, len(query), 10_000):
+                to = slice(at, at + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(query[to]), pa.array(doc[to]), pa.array(score[to], pa.float64(), mask=null[to])], names=["query", "doc", "score"])
+
     out = []
-    for i in range(blocks):
-        side = F.broadcast(q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))
-        pairs = vectors.select(F.col(key).alias("doc"), F.col(vector).alias("_v")).join(side, F.col("query") != F.col("doc"))
-        out.append(pairs.select("query", "doc", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score")))
+    for i in range(parts):
+        side = q if parts == 1 else q.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == i)
+        side = side.repartition(max(1, -(-n // parts // BLOCK))).mapInArrow(_packed, "block binary").select(F.monotonically_increasing_id().alias("_n"), F.col("block").alias("_q"))
+        found = rows.crossJoin(F.broadcast(side)).select("_n", "_q", "_v").mapInArrow(run, f"query {kinds[0]}, doc {kinds[1]}, score double")
+        out.append(found.withColumn("score", F.round("score", 6)))
     return out
 
 
+def leading(queries: DataFrame, q_key: str, vectors: DataFrame, key: str, order: list, k: int) -> DataFrame:
+    """query, doc, rank: the k first rows but the query itself by an order of ``doc`` that no query has a part in. These are
+    among the k + 1 first documents, whoever asks."""
+    docs = vectors.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("doc")).agg(F.count(F.lit(1)).alias("_n"))
+    few = docs.orderBy(*order).limit(k + 1).select("doc", F.explode(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(k)).cast("int"))).alias("_n")).drop("_n")
+    pairs = queries.select(F.col(q_key).alias("query")).join(F.broadcast(few), F.col("query") != F.col("doc"))
+    return best([pairs], order, k)
+
+
 def best(scored: list[DataFrame], order: list, k: int) -> DataFrame:
     """The k first documents of each query, with their rank; each task keeps its own k best before the shuffle."""
     tops = [s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k) for s in scored]
@@ -105,7 +247,7 @@ def best(scored: list[DataFrame], order: list, k: int) -> DataFrame:
 
 def nearest(queries: DataFrame, q_key: str, vectors: DataFrame, key: str, vector: str, k: int = fixed.FUSE_DEPTH, query_rows: int | None = None) -> DataFrame:
     """query, doc, score, rank by the dot product of unit vectors, without the query itself."""
-    return best(compared(queries, q_key, vectors, key, vector, query_rows), [F.desc("score"), "doc"], k)
+    return best(compared(queries, q_key, vectors, key, vector, query_rows, k=k), [F.desc("score"), "doc"], k)
 
 
 def matched(ranked: DataFrame, k: int = fixed.MATCHES) -> DataFrame:

@@ -28,3 +28,37 @@ def same_as_sql(spark, name, folder, con):
 def test_what_follows_a_replaced_citation_stays(spark, tmp_path, text):
     folder, con = tables(tmp_path, documents=f"SELECT * REPLACE ('{text}' AS text) FROM src", part="SELECT * REPLACE (CASE WHEN p_partkey % 2 = 0 THEN 45 ELSE 7 END::INT AS p_size) FROM src")
     same_as_sql(spark, "repaired_documents", folder, con)
+
+
+@pytest.mark.parametrize("name", ["dense_topk", "rrf_fusion"])
+def test_vectors_without_a_score(spark, tmp_path, name):
+    """Vectors that are missing, equal, empty or shorter than others."""
+    odd = "SELECT * REPLACE (CASE WHEN vec_id % 7 = 1 OR vec_id = 100 THEN NULL WHEN vec_id % 3 = 0 THEN (SELECT embedding FROM src WHERE vec_id = 5) ELSE embedding END AS embedding) FROM src WHERE vec_id < 300"
+    folder, con = tables(tmp_path, embeddings=odd)
+    same_as_sql(spark, name, folder, con)
+
+
+def test_blocks_give_every_pair(spark, monkeypatch):
+    """Blocks smaller than the table, ties, string ids and vectors of two lengths, against a plain sort."""
+    import numpy as np
+
+    from tessera.operators import retrieve
+
+    monkeypatch.setattr(retrieve, "VECTOR_BYTES", 1 << 14)
+    rng = np.random.default_rng(1)
+    v = [(f"d{i:04}", None if i % 11 == 0 else [float(x) for x in rng.integers(-2, 3, 4 if i % 5 else 3)]) for i in range(900)]
+    df = spark.createDataFrame(v, "id string, v array<float>")
+    got = retrieve.nearest(df.filter("id < 'd0040'"), "id", df, "id", "v", 7).collect()
+    want = {}
+    for q, a in v[:40]:
+        score = [(None if a is None or b is None or len(a) != len(b) else sum(x * y for x, y in zip(a, b)), d) for d, b in v if d != q]
+        want[q] = [(d, s) for s, d in sorted(score, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:7]]
+    assert {q: [(r.doc, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == q] for q in want} == want
+
+
+def test_second_ranking_compares_no_vectors(spark):
+    from tessera.plans import retrieval
+    from tessera.plans.base import Tables
+
+    plan = retrieval.fused(Tables(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and plan.count("MapInArrow") <= 6
