@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from .ids import base
 from .values import any_match, let
 
 #: Case matters: the verb is never a designation. Phrases such as "relevant IS" name nothing.
-CITATION = fixed.GENERIC + fixed.CITATION
+#: The first look ahead keeps what looks behind from being tried at every character of a text.
+CITATION = "(?=IS)" + fixed.GENERIC + fixed.CITATION
 
 
 def unglued(run: Column, most: int = fixed.MOST_DIGITS) -> Column:
@@ -37,7 +40,10 @@ def bases(text: Column, most: int = fixed.MOST_DIGITS) -> Column:
 
 
 def demands_mark(text: Column) -> Column:
-    return any_match(text, fixed.MARK)
+    """Whether the mark is asked for. Patterns are tried only on texts that have a word which they can't do without."""
+    low = F.lower(text)
+    tests = [F.contains(low, F.lit(word)) & any_match(text, [p]) for word, p in zip(fixed.MARK_WORDS, fixed.MARK, strict=True)]
+    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
 def foreign(text: Column, most: int = 12) -> Column:
@@ -70,7 +76,7 @@ def replace_citation(text: Column, old: Column, new: Column) -> Column:
 
 def replace_exact(text: Column, old: Column, new: Column) -> Column:
     """``old`` as it is spelled, with no digit behind it, becomes ``new``; what follows is never read as its edition year."""
-    pattern = F.concat(F.lit(r"(?<![A-Za-z])\Q"), old, F.lit(r"\E(?!\d)"))
+    pattern = F.concat(F.lit(r"(?=IS)(?<![A-Za-z])\Q"), old, F.lit(r"\E(?!\d)"))
     return F.regexp_replace(text, pattern, F.regexp_replace(new, r"([\\$])", r"\\$1"))
 
 

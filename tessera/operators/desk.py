@@ -102,7 +102,8 @@ def repaired(texts: DataFrame, key: str, text: str, records: Records) -> DataFra
     fixed = written(fixed, "desk-fixed")
     second = audited(fixed, key, "fixed", records)
     high = second.findings.filter("severity = 'high'").groupBy(F.col("doc").alias(key)).agg(F.count(F.lit(1)).alias("high"))
-    checked = repair.verified(fixed, key, "fixed", allowed.withColumnRenamed("doc", key), high, records.read).withColumnRenamed("high", "high_after")
+    found = second.cited.select(F.col("doc").alias(key), F.col("item").alias("cite"))  # the text was read for its second audit
+    checked = repair.verified(fixed, key, "fixed", allowed.withColumnRenamed("doc", key), high, found=found).withColumnRenamed("high", "high_after")
     done = changes.groupBy("doc", "action").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "action", "n"))), " ").alias("changes"))
     out = reports(first).join(done, "doc", "left").withColumn("changes", F.coalesce("changes", F.lit("")))
     return out.withColumnRenamed("doc", key).join(fixed, key).join(checked, key)

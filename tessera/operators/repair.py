@@ -47,20 +47,22 @@ def finished(fixed: Column, tail_: Column) -> Column:
     return F.when(F.coalesce(tail_, F.lit("")) == "", fixed).otherwise(F.concat(F.rtrim(fixed), F.lit("\n\n"), tail_, F.lit("\n")))
 
 
-def intruders(fixed: DataFrame, key: str, text: str, allowed: DataFrame, read: Callable[[Column], Column] = citations.extract) -> DataFrame:
+def intruders(fixed: DataFrame, key: str, text: str, allowed: DataFrame, read: Callable[[Column], Column] = citations.extract, found: DataFrame | None = None) -> DataFrame:
     """key, cite: citations of the corrected text, as ``read`` finds them, whose base is not among the allowed ones (key, cite)."""
     from ..functions.ids import base
 
-    found = fixed.select(key, F.explode(read(F.col(text))).alias("cite")).withColumn("_b", base(F.col("cite")))
+    found = fixed.select(key, F.explode(read(F.col(text))).alias("cite")) if found is None else found
+    found = found.withColumn("_b", base(F.col("cite")))
     return found.join(allowed.select(key, base(F.col("cite")).alias("_b")).distinct(), [key, "_b"], "left_anti").select(key, "cite")
 
 
-def verified(fixed_docs: DataFrame, key: str, text: str, allowed: DataFrame, high: DataFrame, read: Callable[[Column], Column] = citations.extract) -> DataFrame:
+def verified(fixed_docs: DataFrame, key: str, text: str, allowed: DataFrame, high: DataFrame, read: Callable[[Column], Column] = citations.extract, found: DataFrame | None = None) -> DataFrame:
     """One row for each corrected document, audited anew: intruders, high findings of the second audit, and whether it is clean.
 
-    allowed: key, cite. high: key, high (findings of that severity in the second audit).
+    allowed: key, cite. high: key, high (findings of that severity in the second audit). found: key, cite, where the citations
+    of the corrected texts are known.
     """
-    bad = intruders(fixed_docs, key, text, allowed, read).groupBy(key).agg(F.array_sort(F.collect_set("cite")).alias("intruders"))
+    bad = intruders(fixed_docs, key, text, allowed, read, found).groupBy(key).agg(F.array_sort(F.collect_set("cite")).alias("intruders"))
     out = fixed_docs.select(key).join(bad, key, "left").join(high, key, "left")
     out = out.select(key, F.coalesce("intruders", F.array().cast("array<string>")).alias("intruders"), F.coalesce("high", F.lit(0)).cast("long").alias("high"))
     return out.withColumn("clean", (F.size("intruders") == 0) & (F.col("high") == 0))

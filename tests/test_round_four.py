@@ -62,3 +62,27 @@ def test_second_ranking_compares_no_vectors(spark):
 
     plan = retrieval.fused(Tables(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and plan.count("MapInArrow") <= 6
+
+
+def test_words_of_the_mark_patterns(spark):
+    """Texts are tested on words that every match has; and what looks behind is tried only where a designation may stand."""
+    from tessera.functions import citations, fixed
+
+    asks = ["Standard\nMARK", "an Isi mark", "certification  mark", "bis certified", "CM / L", "Licence  Number", "certified under a scheme of BIS", "shall be certified", "a QCO", "Quality control\torder"]
+    assert len(fixed.MARK_WORDS) == len(fixed.MARK) == len(asks)
+    df = spark.createDataFrame([(x,) for x in [*asks, "marks of quality, cm, licence, bis", None]], "t string")
+    assert [r.d for r in df.select(citations.demands_mark(df.t).alias("d")).collect()] == [True] * len(asks) + [False, False]
+    assert citations.CITATION.startswith("(?=IS)")
+    df = spark.createDataFrame([("relevant IS 12, THIS 13, IS 14, IS/IEC 15 and ISO 16; IS: 17",)], "t string")
+    assert df.select(citations.extract(df.t).alias("c")).first().c == ["IS 14", "IS 15", "IS 17"]
+
+
+def test_a_second_audit_reads_no_text_again(spark):
+    from tessera.operators import repair
+
+    fixed = spark.createDataFrame([(1, "x"), (2, "y")], "doc long, t string")
+    allowed = spark.createDataFrame([(1, "IS 12"), (2, "IS 12 (Part 1)")], "doc long, cite string")
+    high = spark.createDataFrame([], "doc long, high long")
+    found = spark.createDataFrame([(1, "IS 13"), (1, "IS 12"), (2, "IS 12")], "doc long, cite string")
+    got = repair.verified(fixed, "doc", "t", allowed, high, found=found)
+    assert {r.doc: (r.intruders, r.clean) for r in got.collect()} == {1: (["IS 13"], False), 2: ([], True)}
