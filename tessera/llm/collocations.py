@@ -6,10 +6,10 @@ each phrase the counts of its first words (its ancestors). A suffix link, from a
 gives the counts of its last words: links are followed level by level as joins of counted nodes.
 
 Words are counted first, which is the tries' first level; ranges of paths are cut by these counts, those of a frequent word
-by its second words. That pass also adds up a sketch of adjacent words: counters,
-each of them the sum of the pairs that fall to it, so that a pair in a slot under the least count can't be part of any
-phrase that is counted. Tries grow only along pairs that the sketch leaves. It is of fixed size and never drops a phrase that
-counts; the fuller it is the less it saves.
+by its second words. That pass also counts adjacent words: counters, each of them the sum of the pairs that fall to it, are
+shuffled by parts and added up there. A sketch has the bits of the counters that come to the least count, so that a pair
+without its bit can't be part of any phrase that is counted. Tries grow only along pairs that the sketch leaves. It is of fixed
+size and never drops a phrase that counts.
 
 Defined results: null texts are empty, null languages are ``und``. Each row counts, equal ones too, and whatever its id.
 Words are bytes of UTF-8 between delimiters, with A-Z lower-cased; scores are exact, as decimals of 38 digits. Texts are
@@ -21,7 +21,6 @@ merged nodes are held by one task. A longer text without any delimiter is held w
 from __future__ import annotations
 
 import bisect
-import heapq
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -45,9 +44,12 @@ class Sizes(NamedTuple):
     block: int = 1 << 22
     held: int = 400_000
     run: int = 1 << 20
-    #: Counters of the sketch, and rows that it travels in.
-    slots: int = 1 << 23
-    parts: int = 64
+    #: Bits of the sketch that the second pass reads, parts in which it is added up, counters of each part, and pairs of
+    #: neighbours that a task counts at a time.
+    slots: int = 1 << 26
+    parts: int = 256
+    counters: int = 1 << 24
+    pairs: int = 1 << 22
     #: Ranges at most, occurrences of words that a range has, and runs that are merged at a time.
     ranges: int = 1 << 16
     mass: int = 1 << 21
@@ -55,8 +57,8 @@ class Sizes(NamedTuple):
 
 
 SIZES = Sizes()
-#: Counters add up to this at most.
-FULL = 255
+#: A counter adds up to this at most.
+FULL = np.uint32(0xFFFFFFFF)
 #: Where a language's phrases are ranked in parts.
 SALTS = 64
 STOP = b"."
@@ -88,12 +90,22 @@ class Words:
             self.counts = np.append(self.counts, np.zeros(max(len(self.counts), len(self.number)), np.int64))
         self.counts += np.bincount(ids, minlength=len(self.counts))
 
-    def slots(self, ids: np.ndarray, n: int) -> np.ndarray:
-        """The slot of each pair of neighbours in a sketch of n."""
+    def hashed(self, ids: np.ndarray) -> np.ndarray:
+        """A hash of each pair of neighbours."""
         h = self.hashes()[ids]
         x = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + self.salt)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x >> np.uint64(40)) % np.uint64(n)
+        return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def slots_of(hashed: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """The counter of each hash, by number over all parts."""
+    return (hashed >> np.uint64(24)) % np.uint64(sizes.parts * sizes.counters)
+
+
+def bits_of(hashed: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """The bit of each hash in the sketch: within its part's share, by its counter."""
+    slots, wide = slots_of(hashed, sizes), np.uint64(sizes.slots // sizes.parts)
+    return slots // np.uint64(sizes.counters) * wide + slots % np.uint64(sizes.counters) % wide
 
 
 class _Numbers(dict):
@@ -133,12 +145,12 @@ def blocks(it: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str, byte
 COUNTED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("slots", pa.binary())])
 
 
-def _first_pass(least: int, sizes: Sizes):
-    """Rows (lang, word, n), and rows (part, slots): the task's part of the sketch, in units that add up to FULL at ``least``."""
+def _first_pass(sizes: Sizes):
+    """Rows (lang, word, n), and rows (part, slots): counters of one part that the task's pairs are in, with their counts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Words] = {}
-        pairs = np.zeros(sizes.slots, np.uint32)
+        waiting: list[np.ndarray] = []
 
         def counted() -> Iterator[pa.RecordBatch]:
             for w in known.values():
@@ -148,50 +160,74 @@ def _first_pass(least: int, sizes: Sizes):
                     yield batch(COUNTED, lang=[w.lang] * len(part), word=part, part=[None] * len(part), n=n[at : at + (1 << 16)], slots=[None] * len(part))
             known.clear()
 
+        def sketched() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                slots, n = np.unique(np.concatenate(waiting), return_counts=True)
+                waiting.clear()
+                ends = np.searchsorted(slots, np.arange(sizes.parts + 1, dtype=np.uint64) * np.uint64(sizes.counters))
+                full = [(k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+                packed = [_some(slots[a:b] - np.uint64(k * sizes.counters), n[a:b]) for k, a, b in full]
+                yield batch(COUNTED, lang=[None] * len(full), word=[None] * len(full), part=[k for k, _, _ in full], n=[None] * len(full), slots=packed)
+
         for lang, text in blocks(it, sizes.block):
             w = known.setdefault(lang, Words(lang))
             ids = w.of(text)
             w.count(ids)
             if len(ids) > 1:
-                both = (ids[:-1] > 0) & (ids[1:] > 0)
-                np.add.at(pairs, w.slots(ids, sizes.slots)[both], 1)
+                waiting.append(slots_of(w.hashed(ids)[(ids[:-1] > 0) & (ids[1:] > 0)], sizes))
+            if sum(map(len, waiting)) >= sizes.pairs:
+                yield from sketched()
             if sum(len(x.number) for x in known.values()) > sizes.held:
                 yield from counted()
+        yield from sketched()
         yield from counted()
-        units = np.minimum(pairs if least <= FULL else -(-pairs.astype(np.int64) * FULL // least), FULL).astype(np.uint8)
-        wide = sizes.slots // sizes.parts
-        for k in range(sizes.parts):
-            if units[k * wide : (k + 1) * wide].any():
-                yield batch(COUNTED, lang=[None], word=[None], part=[k], n=[None], slots=[units[k * wide : (k + 1) * wide].tobytes()])
 
     return run
 
 
-def _summed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the sketch's rows that a task has, one row for each part."""
-    sums: dict[int, np.ndarray] = {}
-    for b in it:
-        for part, slots in zip(b.column(0).to_pylist(), b.column(1)):
-            got = np.frombuffer(slots.as_py(), np.uint8)
-            sums[part] = np.minimum(sums[part].astype(np.uint16) + got, FULL).astype(np.uint8) if part in sums else got
-    for part, units in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([units.tobytes()])], names=["part", "slots"])
+def _some(slots: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted slots and their counts: distances and counts, packed behind their number."""
+    raw = np.concatenate([np.diff(slots, prepend=np.uint64(0)).astype(np.uint32), n.astype(np.uint32)]).tobytes()
+    return len(n).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _read_some(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = int.from_bytes(packed[:8], "little")
+    both = np.frombuffer(pa.decompress(packed[8:], 8 * m, "zstd", asbytes=True), np.uint32)
+    return np.cumsum(both[:m], dtype=np.int64), both[m:]
 
 
 def open_slots(counted: DataFrame, least: int, sizes: Sizes) -> np.ndarray:
-    """Bits of the slots that pairs of ``least`` occurrences can be in: an eighth of their number in bytes, whatever the input."""
-    sketch = counted.filter("part is not null").select("part", "slots")
-    sums = sketch.mapInArrow(_summed, "part int, slots binary").repartition(sizes.parts, "part").mapInArrow(_summed, "part int, slots binary")
-    full = np.zeros(sizes.slots, bool)
+    """Bits of the sketch that counters of ``least`` or more fall to: an eighth of their number in bytes, whatever the input.
+
+    There are so many counters that pairs seldom share one, however long the texts are; those of a part are added up where it lies.
+    """
+    sketch = counted.filter("part is not null").select("part", "slots").repartition(sizes.parts, "part").sortWithinPartitions("part")
     wide = sizes.slots // sizes.parts
 
-    def bits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: int | None = None
+        sums = np.zeros(0, np.uint32)
+
+        def bits() -> pa.RecordBatch:
+            found = np.zeros(wide, bool)
+            found[np.flatnonzero(sums >= least) % wide] = True
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(found).tobytes()], pa.binary())], names=["part", "slots"])
+
         for b in it:
-            x = [np.packbits(np.frombuffer(s.as_py(), np.uint8) >= min(least, FULL)).tobytes() for s in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["part", "slots"])
+            for part, some in zip(b.column(0).to_pylist(), b.column(1)):
+                if part != at:
+                    if at is not None:
+                        yield bits()
+                    at, sums = part, np.zeros(sizes.counters, np.uint32)
+                slots, n = _read_some(some.as_py())
+                sums[slots] += np.minimum(n, FULL - sums[slots])
+        if at is not None:
+            yield bits()
 
-    for row in sums.mapInArrow(bits, "part int, slots binary").collect():
-        full[row.part * wide : (row.part + 1) * wide] = np.unpackbits(np.frombuffer(row.slots, np.uint8))
+    full = np.zeros(sizes.slots, bool)
+    for row in sketch.mapInArrow(run, "part int, slots binary").collect():
+        full[row.part * wide : (row.part + 1) * wide] = np.unpackbits(np.frombuffer(row.slots, np.uint8), count=wide)
     return np.packbits(full)
 
 
@@ -254,6 +290,19 @@ class Ranges:
                 yield self.of(lang, paths[a]), a, b
 
 
+class _Looked:
+    """An array's values, each made when it is looked at: cuts are found by some of them."""
+
+    def __init__(self, values: pa.Array):
+        self.values = values
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.values[i].as_py()
+
+
 def packed(range_: int, lang: str, paths: pa.Array, n: pa.Array) -> pa.RecordBatch:
     """A row of RUNS: sorted nodes of one language in one range."""
     out = pa.BufferOutputStream()
@@ -263,10 +312,10 @@ def packed(range_: int, lang: str, paths: pa.Array, n: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([range_], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], schema=RUNS)
 
 
-def unpacked(nodes: bytes) -> tuple[str, list[tuple[bytes, int]]]:
+def unpacked(nodes: bytes) -> tuple[str, pa.Table]:
     with pa.ipc.open_stream(nodes) as r:
         t = r.read_all()
-    return t.schema.metadata[b"lang"].decode(), list(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))
+    return t.schema.metadata[b"lang"].decode(), t.replace_schema_metadata(None)
 
 
 def serialised(words: list[bytes], levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[pa.Array, pa.Array]:
@@ -296,7 +345,7 @@ def _second_pass(bits: bytes, longest: int, sizes: Sizes, ranges: Ranges):
             w, ids = known[lang], np.concatenate(waiting.pop(lang))
             if len(ids) < 2:
                 return
-            slot = w.slots(ids, sizes.slots)
+            slot = bits_of(w.hashed(ids), sizes)
             go = (ids[:-1] > 0) & (ids[1:] > 0) & ((leave[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
             used = np.unique(np.concatenate([ids[:-1][go], ids[1:][go]]))
             if not len(used):
@@ -307,7 +356,7 @@ def _second_pass(bits: bytes, longest: int, sizes: Sizes, ranges: Ranges):
             rank = np.zeros(len(every), np.int64)
             rank[used[order]] = np.arange(len(names))  # numbers in the order of the words' bytes
             paths, n = serialised([names[i] for i in order], trie(rank[ids], go, longest))
-            for r, a, b in ranges.pieces(lang, paths.to_pylist()):
+            for r, a, b in ranges.pieces(lang, _Looked(paths)):
                 yield packed(r, lang, paths[a:b], n[a:b])
 
         for lang, text in blocks(it, sizes.block):
@@ -365,20 +414,15 @@ def cuts(words: DataFrame, n_ranges: int) -> list[tuple[str, bytes]]:
 NODES = pa.schema([("lang", pa.string()), ("path", pa.list_(pa.string())), ("f", pa.int64()), ("lefts", pa.list_(pa.int64()))])
 
 
+def added(runs: list[pa.Table]) -> pa.Table:
+    """Nodes (path, n) of several runs as one, in no order, with the counts of equal paths added up."""
+    return pa.concat_tables(runs).group_by("path", use_threads=False).aggregate([("n", "sum")]).select(["path", "n_sum"]).rename_columns(["path", "n"])
+
+
 def merged(runs: list[list[tuple[bytes, int]]]) -> list[tuple[bytes, int]]:
-    """Sorted nodes of several runs as one, with the counts of equal paths added up."""
-    out: list[tuple[bytes, int]] = []
-    last, total = None, 0
-    for path, n in heapq.merge(*runs):
-        if path == last:
-            total += n
-        else:
-            if last is not None:
-                out.append((last, total))
-            last, total = path, n
-    if last is not None:
-        out.append((last, total))
-    return out
+    """The same for pairs (path, n), in order."""
+    t = added([pa.table({"path": pa.array([p for p, _ in r], pa.binary()), "n": pa.array([n for _, n in r], pa.int64())}) for r in runs]).sort_by("path")
+    return list(zip(t.column("path").to_pylist(), t.column("n").to_pylist()))
 
 
 def _merged(least: int, ways: int):
@@ -388,12 +432,10 @@ def _merged(least: int, ways: int):
         def walked(runs: dict[str, list]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for lang, own in runs.items():
-                while len(own) > 1:
-                    own = [merged(own[i : i + ways]) for i in range(0, len(own), ways)]
+                nodes = added(own)
+                nodes = nodes.filter(pc.greater_equal(pc.abs(nodes.column("n")), least)).sort_by("path")  # few are left to walk
                 stack: list[tuple[bytes, int]] = []  # ancestors of the path at hand
-                for path, n in own[0]:
-                    if abs(n) < least:
-                        continue
+                for path, n in zip(nodes.column("path").to_pylist(), nodes.column("n").to_pylist()):
                     while stack and not path.startswith(stack[-1][0]):
                         stack.pop()
                     if n > 0:
@@ -420,7 +462,7 @@ def _merged(least: int, ways: int):
                 own = runs.setdefault(lang, [])
                 own.append(found)
                 if len(own) >= ways:
-                    runs[lang] = [merged(own)]
+                    runs[lang] = [added(own)]
         yield from walked(runs)
 
     return run
@@ -430,7 +472,7 @@ def counted_nodes(docs: DataFrame, longest: int, least: int, sizes: Sizes = SIZE
     """(nodes, totals): words and phrases of at least ``least`` occurrences as (lang, path, f, lefts), where lefts are the counts
     of the path's first words; and n, the words of each language."""
     cols = [F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.col("text").cast("string")]
-    counted = written(text_pass(docs, cols, _first_pass(least, sizes), "lang string, word string, part int, n long, slots binary"), "colloc-words")
+    counted = written(text_pass(docs, cols, _first_pass(sizes), "lang string, word string, part int, n long, slots binary"), "colloc-words")
     bits = open_slots(counted, least, sizes).tobytes()
     words = written(counted.filter("part is null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "colloc-counts")
     removed(counted)

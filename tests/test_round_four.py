@@ -4,6 +4,8 @@ import duckdb
 import pytest
 from test_queries import SF, TABLES, rows_of
 
+from pyspark.sql import functions as F
+
 from tessera.plans import registry
 
 
@@ -86,3 +88,20 @@ def test_a_second_audit_reads_no_text_again(spark):
     found = spark.createDataFrame([(1, "IS 13"), (1, "IS 12"), (2, "IS 12")], "doc long, cite string")
     got = repair.verified(fixed, "doc", "t", allowed, high, found=found)
     assert {r.doc: (r.intruders, r.clean) for r in got.collect()} == {1: (["IS 13"], False), 2: ([], True)}
+
+
+def test_a_long_text_does_not_fill_the_sketch(spark):
+    """Pairs that come once each, many more than the bits of the former sketch have counts to tell apart, leave it closed."""
+    import numpy as np
+
+    from tessera.llm import collocations as C
+
+    rng = np.random.default_rng(3)
+    rows = [("en", " ".join(f"w{x}" for x in rng.integers(0, 2000, 4000)) + " often seen") for _ in range(50)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    small = C.Sizes(slots=1 << 12, parts=4, counters=1 << 20)
+    counted = C.text_pass(docs, [F.col("lang"), F.col("text")], C._first_pass(small), "lang string, word string, part int, n long, slots binary")
+    bits = np.unpackbits(C.open_slots(counted, 30, small))
+    assert 1 <= bits.sum() <= 10  # 200,000 pairs over 4,096 counters came to 48 in each
+    got = C.mined(docs, least=30, top=3, sizes=small).collect()
+    assert [(r.phrase, r.a) for r in got] == [("often seen", 50)]
